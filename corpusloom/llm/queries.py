@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality
+from . import decontaminate, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,11 +16,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), carry=["doc_id"])
+    sha = F.sha2(F.array_join("verdict.items", ","), 256)
+    return found.select("row.doc_id", "verdict.n_words", "verdict.n_hit", "verdict.n_items", sha.alias("items_sha256"), "verdict.contaminated")
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     forest = quality.train(docs, table(spark, sf_dir, "labels"))
     return quality.judge(docs, forest, carry=["doc_id"]).select("row.doc_id", *(f"result.{c}" for c in (*quality.COUNTS, "base_failed", "kept", "score")))
 
 
-QUERIES: dict[str, Query] = {"op10_quality": op10_quality}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op5_decontaminate, op10_quality)}
 ORACLE_SQL: dict[str, str] = {}
