@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, quality
+from . import decontaminate, neardup, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,11 +22,15 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", "verdict.n_words", "verdict.n_hit", "verdict.n_items", sha.alias("items_sha256"), "verdict.contaminated")
 
 
+def op6_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80)
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     forest = quality.train(docs, table(spark, sf_dir, "labels"))
     return quality.judge(docs, forest, carry=["doc_id"]).select("row.doc_id", *(f"result.{c}" for c in (*quality.COUNTS, "base_failed", "kept", "score")))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op5_decontaminate, op10_quality)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op5_decontaminate, op6_neardup, op10_quality)}
 ORACLE_SQL: dict[str, str] = {}
