@@ -2,20 +2,33 @@
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, neardup, quality
+from . import decontaminate, neardup, quality, tokens
+from ._store import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+#: Where the public vocabulary files are.
+TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_tokens(spark: SparkSession, sf_dir: str, tokenizer: str = f"{TOKENIZERS}/byte_bpe_50k.json") -> DataFrame:
+    path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    tokens.write(table(spark, sf_dir, "documents"), path, tokenizer)
+    return tokens.read(spark, path, ids=False)
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), carry=["doc_id"])
     sha = F.sha2(F.array_join("verdict.items", ","), 256)
@@ -32,5 +45,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, forest, carry=["doc_id"]).select("row.doc_id", *(f"result.{c}" for c in (*quality.COUNTS, "base_failed", "kept", "score")))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op5_decontaminate, op6_neardup, op10_quality)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_tokens, op5_decontaminate, op6_neardup, op10_quality)}
 ORACLE_SQL: dict[str, str] = {}
