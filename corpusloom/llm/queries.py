@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, neardup, quality, tokens
+from . import decontaminate, mixing, neardup, quality, tokens
 from ._store import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,11 +39,15 @@ def op6_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80)
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(table(spark, sf_dir, "documents"), repeats=2.0)
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     forest = quality.train(docs, table(spark, sf_dir, "labels"))
     return quality.judge(docs, forest, carry=["doc_id"]).select("row.doc_id", *(f"result.{c}" for c in (*quality.COUNTS, "base_failed", "kept", "score")))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_tokens, op5_decontaminate, op6_neardup, op10_quality)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_tokens, op5_decontaminate, op6_neardup, op8_mixing, op10_quality)}
 ORACLE_SQL: dict[str, str] = {}
