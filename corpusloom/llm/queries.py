@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, neardup, quality, tokens
+from . import decontaminate, mixing, neardup, quality, tokens, toxicity
 from ._store import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +39,14 @@ def op6_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80)
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
+    model = toxicity.train(docs, labels.filter(~held_out))
+    scored = toxicity.score(docs, model, carry=["doc_id"]).select("row.doc_id", "result.score")
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(table(spark, sf_dir, "documents"), repeats=2.0)
 
@@ -49,5 +57,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, forest, carry=["doc_id"]).select("row.doc_id", *(f"result.{c}" for c in (*quality.COUNTS, "base_failed", "kept", "score")))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_tokens, op5_decontaminate, op6_neardup, op8_mixing, op10_quality)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_tokens, op5_decontaminate, op6_neardup, op7_toxicity, op8_mixing, op10_quality)}
 ORACLE_SQL: dict[str, str] = {}
