@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, neardup, quality, tokens, toxicity
+from . import decontaminate, linededup, mixing, neardup, quality, tokens, toxicity
 from ._store import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup_lines(table(spark, sf_dir, "documents"))
+
+
 def op3_tokens(spark: SparkSession, sf_dir: str, tokenizer: str = f"{TOKENIZERS}/byte_bpe_50k.json") -> DataFrame:
     path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
     tokens.write(table(spark, sf_dir, "documents"), path, tokenizer)
@@ -57,5 +61,21 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, forest, carry=["doc_id"]).select("row.doc_id", *(f"result.{c}" for c in (*quality.COUNTS, "base_failed", "kept", "score")))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_tokens, op5_decontaminate, op6_neardup, op7_toxicity, op8_mixing, op10_quality)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_linededup, op3_tokens, op5_decontaminate, op6_neardup, op7_toxicity, op8_mixing, op10_quality)}
+#: Without fingerprints: every window of 50 words is compared with the first of the same lines.
+LINE_DEDUP_SQL = r"""
+WITH split AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents),
+lines AS (SELECT doc_id, unnest(parts) AS line, unnest(range(len(parts))) AS pos FROM split),
+counted AS (SELECT doc_id, pos, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM lines),
+placed AS (SELECT doc_id, pos, line, n, sum(n) OVER (PARTITION BY doc_id ORDER BY pos) - n AS begun FROM counted WHERE n > 0),
+windows AS (
+  SELECT doc_id, pos, sum(n) OVER ahead AS size, max(pos) OVER ahead AS until_pos, list(line) OVER ahead AS content
+  FROM placed WINDOW ahead AS (PARTITION BY doc_id ORDER BY begun RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING)),
+ranked AS (SELECT doc_id, pos, until_pos, row_number() OVER (PARTITION BY content ORDER BY doc_id, pos) AS nth FROM windows WHERE size >= 50),
+gone AS (SELECT DISTINCT l.doc_id, l.pos FROM ranked r JOIN lines l ON l.doc_id = r.doc_id AND l.pos BETWEEN r.pos AND r.until_pos WHERE r.nth > 1),
+marked AS (SELECT l.doc_id, l.line, l.pos, g.pos IS NOT NULL AS removed FROM lines l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.pos = l.pos)
+SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT removed), '') AS text,
+  count(*) AS n_lines, count(*) FILTER (WHERE removed) AS n_removed
+FROM marked GROUP BY doc_id
+"""
+ORACLE_SQL: dict[str, str] = {"op1_linededup": LINE_DEDUP_SQL}
