@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, linededup, mixing, neardup, quality, tokens, toxicity
+from . import decontaminate, langid, linededup, mixing, neardup, quality, tokens, toxicity
 from ._store import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,14 @@ def op1_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(table(spark, sf_dir, "documents"))
 
 
+def op2_langid(spark: SparkSession, sf_dir: str, pieces: str = f"{TOKENIZERS}/piece_bpe_32k.model") -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 1
+    model = langid.train(docs, pieces, ~held_out)
+    found = langid.predict(docs, model, carry=["doc_id"]).select("row.doc_id", "result.*")
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op3_tokens(spark: SparkSession, sf_dir: str, tokenizer: str = f"{TOKENIZERS}/byte_bpe_50k.json") -> DataFrame:
     path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
     tokens.write(table(spark, sf_dir, "documents"), path, tokenizer)
@@ -61,7 +69,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, forest, carry=["doc_id"]).select("row.doc_id", *(f"result.{c}" for c in (*quality.COUNTS, "base_failed", "kept", "score")))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_linededup, op3_tokens, op5_decontaminate, op6_neardup, op7_toxicity, op8_mixing, op10_quality)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_linededup, op2_langid, op3_tokens, op5_decontaminate, op6_neardup, op7_toxicity, op8_mixing, op10_quality)}
 #: Without fingerprints: every window of 50 words is compared with the first of the same lines.
 LINE_DEDUP_SQL = r"""
 WITH split AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents),
