@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, linededup, mixing, neardup, quality, tokens, toxicity
+from . import decontaminate, langid, linededup, mixing, neardup, quality, tokens, toxicity, warc
 from ._store import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +41,12 @@ def op3_tokens(spark: SparkSession, sf_dir: str, tokenizer: str = f"{TOKENIZERS}
     return tokens.read(spark, path, ids=False)
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write(table(spark, sf_dir, "pages"), path)
+    return warc.resolved(warc.transactions(warc.read(spark, path)))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), carry=["doc_id"])
     sha = F.sha2(F.array_join("verdict.items", ","), 256)
@@ -69,7 +75,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, forest, carry=["doc_id"]).select("row.doc_id", *(f"result.{c}" for c in (*quality.COUNTS, "base_failed", "kept", "score")))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_linededup, op2_langid, op3_tokens, op5_decontaminate, op6_neardup, op7_toxicity, op8_mixing, op10_quality)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_linededup, op2_langid, op3_tokens, op4_warc, op5_decontaminate, op6_neardup, op7_toxicity, op8_mixing, op10_quality)}
 #: Without fingerprints: every window of 50 words is compared with the first of the same lines.
 LINE_DEDUP_SQL = r"""
 WITH split AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents),
@@ -86,4 +92,14 @@ SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT
   count(*) AS n_lines, count(*) FILTER (WHERE removed) AS n_removed
 FROM marked GROUP BY doc_id
 """
-ORACLE_SQL: dict[str, str] = {"op1_linededup": LINE_DEDUP_SQL}
+#: What the archives have to say, straight from the pages.
+WARC_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, octet_length(encode(html)) AS n, sha1(html) AS digest FROM p),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY digest) AS largest FROM d)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest,
+  CASE WHEN n >= 1000 AND page_id <> largest THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 1000 AND page_id <> largest THEN largest END AS refers_to
+FROM m
+"""
+ORACLE_SQL: dict[str, str] = {"op1_linededup": LINE_DEDUP_SQL, "op4_warc": WARC_SQL}
