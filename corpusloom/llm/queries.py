@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, linededup, mixing, neardup, quality, tokens, toxicity, warc
+from . import decontaminate, htmltext, langid, linededup, mixing, neardup, quality, tokens, toxicity, warc
 from ._store import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,13 +69,17 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(table(spark, sf_dir, "documents"), repeats=2.0)
 
 
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(table(spark, sf_dir, "pages"), carry=["page_id", "url"]).select("row.page_id", "row.url", "result.text", "result.n_chars")
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     forest = quality.train(docs, table(spark, sf_dir, "labels"))
     return quality.judge(docs, forest, carry=["doc_id"]).select("row.doc_id", *(f"result.{c}" for c in (*quality.COUNTS, "base_failed", "kept", "score")))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_linededup, op2_langid, op3_tokens, op4_warc, op5_decontaminate, op6_neardup, op7_toxicity, op8_mixing, op10_quality)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_linededup, op2_langid, op3_tokens, op4_warc, op5_decontaminate, op6_neardup, op7_toxicity, op8_mixing, op9_html, op10_quality)}
 #: Without fingerprints: every window of 50 words is compared with the first of the same lines.
 LINE_DEDUP_SQL = r"""
 WITH split AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents),
