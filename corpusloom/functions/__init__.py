@@ -1 +1 @@
-"""."""
+"""Column functions: text, paths, hashes and scores."""
