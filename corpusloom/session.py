@@ -12,3 +12,13 @@ def session(app: str = "corpusloom", **conf: str) -> SparkSession:
     for key, value in (settings | conf).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def checkpointed(df):  # noqa: ANN001, ANN201
+    """Cut lineage in the folder that spark.checkpoint.dir names; a folder of this machine only where it is unset, as in tests."""
+    import tempfile
+
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corpusloom-"))
+    return df.checkpoint()
