@@ -1,17 +1,18 @@
 """Near-duplicate documents by a Chosen Path set similarity join.
 
 A document's set is its distinct word shingles. Equal sets are one class, found by a hash of the
-set, and only classes are compared. Each class has a sketch of minwise values. In each of ``trees``
+set, and only classes are compared. Each class has a sketch of minwise values. In each of ``TREES``
 independent trees a node sends a class to one child for each of two coordinates, picked by the
 node's own hash: the child named by that coordinate and its minwise value. Two classes of
 similarity 0.8 part on both coordinates of a node in 4 per cent of cases only, and such a pair
 survives a tree of any depth with probability 0.937, four trees with 0.99998.
 
-Nodes of ``NODE`` classes or fewer are compared exhaustively in one task: pairs by sketch, then on
-full sets, skipping pairs that are connected already. A larger node first links all its classes
-to one of them; what the links of all nodes connect needs no comparing among itself. What is left
-is compared with the rest block by block if it is few, and branches into children if it is not.
-No rows are dropped or capped on the way, and no node is ever held by one task.
+Nodes of ``NODE`` classes or fewer are compared exhaustively by sketch, and close classes tied;
+larger ones branch, and what is still large after ``LEVELS`` is tied as a whole. Ties only say what
+has to be compared: each component of them is compared exhaustively on full sets, by one task if
+it is small and block against block if it is not. In a component of very many blocks all classes
+are held against its leader first, and only those that it doesn't take go through all blocks. No
+rows are dropped or capped on the way, and no task holds more than two blocks.
 """
 
 from __future__ import annotations
@@ -30,11 +31,13 @@ from .components import connected
 
 SHINGLE, PERCENT = 5, 80
 TREES, COORDINATES = 4, 64
-#: Classes and shingles that one task compares exhaustively.
-NODE, WEIGHT = 256, 1 << 21
-#: Levels of branching, after which what is left of large nodes is compared block by block.
-LEVELS = 4
-#: Sketches may miss the asked similarity by 4.5 deviations before full sets are not looked at.
+#: Classes that one task compares by sketch; levels of branching after the first.
+NODE, LEVELS = 4096, 2
+#: Classes and shingles of a block of full sets; a task has two blocks at most.
+BLOCK, WEIGHT = 1024, 1 << 20
+#: Blocks of a component beyond which a leader goes first.
+MANY = 8
+#: Sketches may miss the asked similarity by so many deviations before full sets are not looked at.
 SLACK = 4.5
 
 _ODD = np.random.default_rng(11).integers(0, 1 << 63, (COORDINATES, 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -110,13 +113,10 @@ def _branch(classes: DataFrame) -> DataFrame:
     return map_batches(classes.select("key", "cid", "sketch"), run, "key bigint, cid binary")
 
 
-def _live(children: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members of the nodes of two classes or more, once for each set of members, and those nodes' sizes."""
-    members = children.distinct().join(classes.select("cid", "n_shingles"), "cid")
-    nodes = members.groupBy("key").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("weight"), F.bit_xor(F.xxhash64("cid")).alias("x"), F.bit_xor(F.xxhash64("cid", F.lit(1))).alias("y")).filter("n > 1")
-    nodes = nodes.groupBy("n", "x", "y").agg(F.min("key").alias("key"), F.max("weight").alias("weight")).select("key", "n", "weight")
-    nodes = written(nodes, "nodes")
-    return written(members.join(nodes.select("key"), "key", "left_semi").select("key", "cid"), "members"), nodes
+def _nodes(members: DataFrame) -> DataFrame:
+    """``key, n`` of the nodes with two classes or more, once for each set of members."""
+    marks = [F.bit_xor(F.xxhash64("cid", F.lit(i))).alias(name) for i, name in enumerate("xy")]
+    return members.groupBy("key").agg(F.count("*").alias("n"), *marks).filter("n > 1").groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", "n")
 
 
 def groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
@@ -138,115 +138,152 @@ def groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+def _pairs(found: Iterator[tuple[bytes, bytes]]) -> Iterator[pa.RecordBatch]:
+    rows: list[tuple[bytes, bytes]] = []
+    for row in found:
+        rows.append(row)
+        if len(rows) >= 10_000:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*rows, strict=True)], ["a", "b"])
+            rows = []
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*rows, strict=True)], ["a", "b"])
+
+
 def _least(percent: int) -> int:
+    """Coordinates that sketches of similar sets share at the least."""
     p = percent / 100
     return int(np.floor(COORDINATES * max(0.0, p - SLACK * np.sqrt(p * (1 - p) / COORDINATES))))
 
 
-def _close_pairs(rows: np.ndarray, sides: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs whose sketches are close enough to look at full sets, closest first."""
-    first, second, near = [], [], []
-    for i in range(len(rows) - 1):
-        same = (rows[i] == rows[i + 1 :]).sum(1)
-        ok = same >= _least(percent)
-        if sides.any():
-            ok &= sides[i + 1 :] + sides[i] != 2
-        j = np.flatnonzero(ok)
-        first.append(np.full(len(j), i))
-        second.append(j + i + 1)
-        near.append(same[j])
-    if not first:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    first, second, near = np.concatenate(first), np.concatenate(second), np.concatenate(near)
-    order = np.argsort(-near, kind="stable")
-    return first[order], second[order]
-
-
-class _Union:
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def find(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = i = self.up[self.up[i]]
-        return i
-
-    def unite(self, i: int, j: int) -> bool:
-        i, j = self.find(i), self.find(j)
-        self.up[max(i, j)] = min(i, j)
-        return i != j
+def _tied(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Ties (a, b) that connect the classes with close sketches in each node."""
+    rows = members.join(classes.select("cid", "sketch"), "cid").select("key", "cid", "sketch").repartition("key").sortWithinPartitions("key")
+    least = _least(percent)
 
+    def ties(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, bytes]]:
+        for node in groups(batches, "key"):
+            cids = node.column("cid").to_pylist()
+            sketches = np.frombuffer(b"".join(node.column("sketch").to_pylist()), np.uint32).reshape(len(cids), -1)
+            left = np.arange(len(cids))  # not reached yet
+            while len(left):
+                front, left = [int(left[0])], left[1:]
+                root = front[0]
+                while front and len(left):
+                    near = (sketches[left] == sketches[front.pop()]).sum(1) >= least
+                    reached, left = left[near].tolist(), left[~near]
+                    front += reached
+                    yield from ((cids[x], cids[root]) for x in reached)
 
-def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    """Whether 100 |a ∩ b| >= percent |a ∪ b|, for sorted distinct values."""
-    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
-        return False
-    if len(a) > len(b):
-        a, b = b, a
-    at = np.searchsorted(b, a)
-    at[at == len(b)] = 0
-    common = int((b[at] == a).sum())
-    return 100 * common >= percent * (len(a) + len(b) - common)
+    return map_batches(rows, lambda batches: _pairs(ties(batches)), "a binary, b binary")
 
 
-def _refine(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Small nodes cut down to the classes with a close sketch in the node, each group of those a node of its own."""
-    rows = members.join(classes.select("cid", "sketch"), "cid").select("key", "cid", "sketch").repartition("key").sortWithinPartitions("key", "cid")
+def common_counts(a: list[np.ndarray], b: list[np.ndarray] | None = None) -> np.ndarray:
+    """How many values each set of ``a`` shares with each of ``b`` (of ``a`` itself by default).
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, cids = [], []
-        for node in groups(batches, "key"):
-            n = node.num_rows
-            rows = np.frombuffer(b"".join(node.column("sketch").to_pylist()), np.uint32).reshape(n, -1)
-            i, j = _close_pairs(rows, np.zeros(n, np.int8), percent)
-            union = _Union(n)
-            for a, b in zip(i.tolist(), j.tolist(), strict=True):
-                union.unite(a, b)
-            roots = np.array([union.find(x) for x in range(n)])
-            linked = np.bincount(roots, minlength=n)[roots] > 1
-            if linked.any():
-                key = mix(np.uint64(node.column("key")[0].as_py() & 0xFFFFFFFFFFFFFFFF) ^ mix(roots[linked].astype(np.uint64) + np.uint64(1)))
-                keys.append(key.view(np.int64))
-                cids += node.column("cid").filter(pa.array(linked)).to_pylist()
-                if len(cids) > 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(cids, pa.binary())], ["key", "cid"])
-                    keys, cids = [], []
-        if cids:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(cids, pa.binary())], ["key", "cid"])
-
-    return map_batches(rows, run, "key bigint, cid binary")
-
-
-def _compare(work: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) that connect what is similar in each task: columns task, side, label, cid, sketch, values.
-
-    Rows of side 1 are not compared with one another; rows with the same label are connected already.
+    Values in many sets are counted by matrix products over parts of the columns, others pair by pair.
     """
-    rows = work.select("task", "side", "label", "cid", "sketch", "values").repartition("task").sortWithinPartitions("task", "cid")
+    sets = a if b is None else [*a, *b]
+    n, first = len(sets), len(a)
+    owner = np.repeat(np.arange(n), [len(x) for x in sets])
+    _, value, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    out = np.zeros((first, n - first if b is not None else n), np.float32)
+    dense = times >= max(16, n // 16)
+    column = np.cumsum(dense) - 1
+    many = dense[value]
+    rows, columns = owner[many], column[value[many]]
+    order = np.argsort(columns, kind="stable")
+    rows, columns = rows[order], columns[order]
+    width = 2048
+    for at in range(0, int(dense.sum()), width):
+        s, e = np.searchsorted(columns, [at, at + width])
+        part = np.zeros((n, width), np.float32)
+        part[rows[s:e], columns[s:e] - at] = 1
+        out += part[:first] @ (part if b is None else part[first:]).T
+    few = ~many & (times > 1)[value]
+    order = np.lexsort((owner[few], value[few]))
+    rows, values = owner[few][order], value[few][order]
+    for k in range(1, int(times[~dense].max(initial=1))):
+        same = values[k:] == values[:-k]
+        if not same.any():
+            break
+        i, j = rows[:-k][same], rows[k:][same]
+        if b is None:
+            out += np.bincount(i * n + j, minlength=n * n).reshape(n, n)
+            out += np.bincount(j * n + i, minlength=n * n).reshape(n, n)
+        else:
+            across = (i < first) & (j >= first)
+            out += np.bincount(i[across] * (n - first) + j[across] - first, minlength=out.size).reshape(out.shape)
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _linked(sets: list[np.ndarray], sides: np.ndarray, taken: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Pairs of places that connect what similar sets connect; those in ``taken`` are connected already."""
+    n = len(sets)
+    first = int((sides == 0).sum())
+    cross = first < n
+    common = common_counts(sets[:first], sets[first:] if cross else None)
+    size = np.array([len(x) for x in sets], np.float32)
+    left, right = size[:first, None], size[None, first:] if cross else size[None, :]
+    near = 100 * common >= percent * (left + right - common)
+    reached, pairs = np.zeros(n, bool), []
+    held = np.flatnonzero(taken)
+    for root in range(n):
+        if reached[root]:
+            continue
+        reached[root] = True
+        front = [root]
+        while front:
+            x = front.pop()
+            if taken[x] and not reached[held].all():
+                joined = held[~reached[held]]
+            elif not cross:
+                joined = np.flatnonzero(near[x] & ~reached)
+            elif x < first:
+                joined = first + np.flatnonzero(near[x] & ~reached[first:])
+            else:
+                joined = np.flatnonzero(near[:, x - first] & ~reached[:first])
+            if len(joined):
+                reached[joined] = True
+                front += [x, *joined.tolist()]
+                pairs += [(root, int(j)) for j in joined]
+    return pairs
+
+
+def _compared(work: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that connect what is similar in each task: columns task, side, taken, cid, values."""
+    rows = work.select("task", "side", "taken", "cid", "values").repartition("task").sortWithinPartitions("task", "side")
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, bytes]]:
         for task in groups(batches, "task"):
-            n = task.num_rows
             cids = task.column("cid").to_pylist()
             sets = [np.frombuffer(x, np.uint64) for x in task.column("values").to_pylist()]
-            rows = np.frombuffer(b"".join(task.column("sketch").to_pylist()), np.uint32).reshape(n, -1)
-            sides = np.array(task.column("side").to_pylist(), np.int8)
-            union, seen, found = _Union(n), {}, []
-            for x, label in enumerate(task.column("label").to_pylist()):
-                if label is not None and seen.setdefault(label, x) != x:
-                    union.unite(seen[label], x)
-            for a, b in zip(*(x.tolist() for x in _close_pairs(rows, sides, percent)), strict=True):
-                if union.find(a) != union.find(b) and similar(sets[a], sets[b], percent):
-                    union.unite(a, b)
-                    found.append((cids[a], cids[b]))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*found, strict=True)], ["a", "b"])
-
-    return map_batches(rows, run, "a binary, b binary")
+            sides, taken = (np.array(task.column(c).to_pylist()) for c in ("side", "taken"))
+            yield from ((cids[i], cids[j]) for i, j in _linked(sets, sides, taken.astype(bool), percent))
+
+    return map_batches(rows, lambda batches: _pairs(links(batches)), "a binary, b binary")
+
+
+def _block(n: Column) -> Column:
+    return F.pmod(F.xxhash64("cid", F.lit("block")), n).cast("int")
+
+
+def _tasks(members: DataFrame, blocks: Column, rest: Column, rests: Column) -> DataFrame:
+    """``task, side, taken, cid`` of components (comp, cid): every pair of blocks of which one is in the rest.
+
+    The rest is dealt into ``rests`` blocks, what a leader has taken into ``blocks``. Blocks of the
+    rest meet themselves, one another and all other blocks.
+    """
+    m = members.withColumns({"_rest": rest, "_rests": rests, "_blocks": blocks}).withColumn("_own", F.when(F.col("_rest"), _block(F.col("_rests"))).otherwise(_block(F.greatest("_blocks", F.lit(1)))))
+    pair = lambda kind, i, j, side: F.struct(F.xxhash64("comp", F.lit(kind), i, j).alias("task"), F.lit(side).alias("side"))
+    own, upto = F.col("_own"), lambda n: F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>"))
+    among = F.transform(upto("_rests"), lambda i: F.when(i < own, pair("rest", i, own, 1)).otherwise(pair("rest", own, i, 0)))
+    outside = F.transform(upto("_blocks"), lambda j: pair("taken", own, j, 0))
+    tasks = F.when(F.col("_rest"), F.concat(among, outside)).otherwise(F.transform(upto("_rests"), lambda i: pair("taken", i, own, 1)))
+    return m.select("cid", (~F.col("_rest")).cast("int").alias("taken"), F.explode(tasks).alias("t")).select("t.*", "taken", "cid")
 
 
 def _is_similar(percent: int) -> Column:
-    """Native form of ``similar`` for columns x and y of packed sets, through Arrow."""
+    """Whether the packed sets x and y are similar."""
 
     @F.pandas_udf("boolean")
     def check(x, y):  # noqa: ANN001, ANN202
@@ -257,81 +294,60 @@ def _is_similar(percent: int) -> Column:
     return check("x", "y")
 
 
-def _slot(column: str, n: Column) -> Column:
-    return F.pmod(F.xxhash64(column, F.lit("block")), n).cast("int")
-
-
-def _block_tasks(members: DataFrame) -> DataFrame:
-    """Tasks of what is left of large nodes: columns key, cid, label, lead, n_rest, n_main and their weights.
-
-    The rest (classes not connected with the node's leader) is dealt into blocks, and so are the
-    others; each block of the rest meets itself, the later blocks of the rest and all other blocks.
-    """
-    most = lambda n, w: F.greatest(F.ceil(F.col(n) / NODE), F.ceil(F.col(w) / WEIGHT), F.lit(1)).cast("int")
-    rest = F.col("label") != F.col("lead")
-    m = members.withColumns({"rests": most("n_rest", "w_rest"), "mains": most("n_main", "w_main")}).withColumn("block", F.when(rest, _slot("cid", F.col("rests"))).otherwise(_slot("cid", F.col("mains"))))
-    pair = lambda kind, i, j, side: F.struct(F.xxhash64("key", F.lit(kind), i, j).alias("task"), F.lit(side).alias("side"))
-    own = F.col("block")
-    every = F.sequence(F.lit(0), F.col("rests") - 1)
-    mains = F.sequence(F.lit(0), F.col("mains") - 1)
-    among = F.transform(every, lambda i: F.when(i < own, pair("rest", i, own, 1)).otherwise(pair("rest", own, i, 0)))
-    tasks = F.when(rest, F.concat(among, F.transform(mains, lambda j: pair("main", own, j, 0)))).otherwise(F.transform(every, lambda i: pair("main", i, own, 1)))
-    return m.select("cid", "label", F.explode(tasks).alias("t")).select("t.*", "label", "cid")
-
+def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether 100 |a ∩ b| >= percent |a ∪ b|, for sorted distinct values."""
+    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
+        return False
+    if len(a) > len(b):
+        a, b = b, a
+    at = np.searchsorted(b, a)
+    at[at == len(b)] = 0
+    common = int((b[at] == a).sum())
+    return 100 * common >= percent * (len(a) + len(b) - common)
 
-def similarity_classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, trees: int = TREES) -> DataFrame:
-    """``doc_id, n_shingles, cid, component_id`` of each document.
 
-    Documents of ``percent`` or more shared shingles are linked, and the least doc_id that links lead
-    to names the component. Null and empty texts have empty sets and are components of their own;
-    repeated rows and equal sets share one. Null ids never name a component with other ids in it.
-    """
-    sketches = written(sketch(docs, shingle), "sketches")
-    full = sketches.filter("cid is not null")
-    reps = full.groupBy("cid").agg(F.min("doc_id").alias("doc_id"))
-    classes = full.join(reps, (full.cid == reps.cid) & full.doc_id.eqNullSafe(reps.doc_id), "left_semi").dropDuplicates(["cid"])
-    classes = written(classes.select("cid", "n_shingles", "doc_id", "sketch"), "classes")
-    roots = F.explode(F.array(*[F.lit(int(t)).cast("bigint") for t in range(1, trees + 1)]))
-    members, nodes = _live(_branch(classes.select(roots.alias("key"), "cid", "sketch")), classes)
-    small, links, sets, tasks = [], [], None, []
-    fits = (F.col("n") <= NODE) & (F.col("weight") <= WEIGHT)
-    labels = None
-    for level in range(LEVELS):
-        small.append(_refine(members.join(nodes.filter(fits), "key", "left_semi"), classes, percent))
-        large = nodes.filter(~fits)
+def _ties(classes: DataFrame, percent: int, trees: int) -> DataFrame:
+    """Ties of all trees: whatever is similar is connected by them, with the recall of the trees."""
+    roots = F.explode(F.array(*[F.lit(t).cast("bigint") for t in range(1, trees + 1)]))
+    members = written(_branch(classes.select(roots.alias("key"), "cid", "sketch")), "members")
+    ties = []
+    for level in range(LEVELS + 1):
+        nodes = written(_nodes(members), "nodes")
+        ties.append(_tied(members.join(nodes.filter(F.col("n") <= NODE), "key", "left_semi"), classes, percent))
+        large = nodes.filter(F.col("n") > NODE).select("key")
         if large.isEmpty():
             break
-        members = members.join(large.select("key"), "key", "left_semi")
-        lead = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("cid", "key").alias("h"), "cid")).alias("m")).select("key", F.col("m.cid").alias("lead"))
-        pairs = written(members.join(lead, "key").filter("cid <> lead").select("cid", "lead").distinct(), "led")
-        need = pairs.select("cid").unionByName(pairs.select(F.col("lead").alias("cid"))).distinct()
-        own = sets_of(docs, classes.join(need, "cid", "left_semi"), shingle)
-        led = pairs.join(own.select("cid", F.col("values").alias("x")), "cid").join(own.select(F.col("cid").alias("lead"), F.col("values").alias("y")), "lead").filter(_is_similar(percent))
-        links.append(written(led.select(F.col("cid").alias("a"), F.col("lead").alias("b")), "links"))
-        labels = connected(_union(links))
-        named = members.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("root", "cid")).drop("root")
-        leaders = lead.join(labels.withColumnRenamed("node", "lead"), "lead", "left").select("key", F.coalesce("root", "lead").alias("lead"))
-        named = named.join(leaders, "key").join(classes.select("cid", "n_shingles"), "cid")
-        other = F.col("label") != F.col("lead")
-        counts = named.groupBy("key").agg(F.count_if(other).alias("n_rest"), F.count_if(~other).alias("n_main"), F.sum(F.when(other, F.col("n_shingles")).otherwise(0)).alias("w_rest"), F.sum(F.when(other, 0).otherwise(F.col("n_shingles"))).alias("w_main")).filter("n_rest > 0")
-        counts = written(counts, "rests")
-        last = F.lit(level == LEVELS - 1) | (F.col("n_rest") <= NODE)
-        tasks.append(written(_block_tasks(named.join(counts.filter(last), "key")), "blocks"))
-        split = members.join(counts.filter(~last).select("key"), "key", "left_semi")
-        if level == LEVELS - 1 or counts.filter(~last).isEmpty():
-            break
-        members, nodes = _live(_branch(split.join(classes.select("cid", "sketch"), "cid")), classes)
-    refined = _union(small)
-    marks = refined.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("cid")).alias("x"), F.bit_xor(F.xxhash64("cid", F.lit(1))).alias("y")).groupBy("n", "x", "y").agg(F.min("key").alias("key"))
-    work = refined.join(marks.select("key"), "key", "left_semi").select(F.col("key").alias("task"), F.lit(0).alias("side"), F.lit(None).cast("binary").alias("label"), "cid")
-    work = written(_union([work, *tasks]), "work")
-    sets = sets_of(docs, classes.join(work.select("cid").distinct(), "cid", "left_semi"), shingle)
-    links.append(written(_compare(work.join(sets, "cid").join(classes.select("cid", "sketch"), "cid"), percent), "links"))
-    labels = connected(_union(links))
-    named = classes.select("cid", "doc_id").join(labels.withColumnRenamed("node", "cid"), "cid")
-    least = named.groupBy("root").agg(F.min("doc_id").alias("component"))
-    of_class = classes.select("cid", F.col("doc_id").alias("own")).join(named.select("cid", "root").join(least, "root").select("cid", "component"), "cid", "left").select("cid", F.coalesce("component", "own").alias("component"))
-    return sketches.select("doc_id", "n_shingles", "cid").join(of_class, "cid", "left").select("doc_id", "n_shingles", "cid", F.coalesce("component", "doc_id").alias("component_id"))
+        big = members.join(large, "key", "left_semi")
+        if level == LEVELS:
+            ties.append(big.join(big.groupBy("key").agg(F.min("cid").alias("b")), "key").select(F.col("cid").alias("a"), "b"))
+        else:
+            members = written(_branch(big.join(classes.select("cid", "sketch"), "cid")), "members")
+    return written(_union(ties), "ties")
+
+
+def _links(docs: DataFrame, classes: DataFrame, percent: int, shingle: int, trees: int) -> DataFrame:
+    """Links (a, b) of classes on full sets, as many as connect what is similar."""
+    parts = connected(_ties(classes, percent, trees))
+    members = written(parts.select(F.col("node").alias("cid"), F.col("root").alias("comp")).join(classes, "cid").select("cid", "comp", "doc_id", "n_shingles", "copies"), "compared")
+    best = F.struct("copies", "cid")
+    sizes = members.groupBy("comp").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("weight"), F.max_by("cid", best).alias("lead"))
+    sizes = sizes.withColumn("blocks", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("weight") / WEIGHT)).cast("int"))
+    sizes = written(sizes, "components")
+    sets = sets_of(docs, members, shingle)
+    placed = members.join(sizes, "comp")
+    whole = _tasks(placed.filter(F.col("blocks") <= MANY), F.lit(0), F.lit(True), F.col("blocks"))
+    found = []
+    if not sizes.filter(F.col("blocks") > MANY).isEmpty():
+        big = placed.filter(F.col("blocks") > MANY).select("cid", "comp", "lead", "n_shingles", "blocks").withColumn("salt", _block(F.col("blocks")))
+        leads = sizes.filter(F.col("blocks") > MANY).join(sets.select(F.col("cid").alias("lead"), F.col("values").alias("y")), "lead").select("comp", "y", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("salt"))
+        held = big.join(sets.select("cid", F.col("values").alias("x")), "cid").join(leads, ["comp", "salt"]).select("cid", "comp", "lead", "n_shingles", _is_similar(percent).alias("taken"))
+        held = written(held, "led")
+        found.append(held.filter("taken and cid <> lead").select(F.col("cid").alias("a"), F.col("lead").alias("b")))
+        amount = lambda mine, name: F.ceil(F.greatest(F.count_if(mine) / BLOCK, F.sum(F.when(mine, F.col("n_shingles")).otherwise(0)) / WEIGHT)).cast("int").alias(name)
+        counts = held.groupBy("comp").agg(amount(F.col("taken"), "n_taken"), amount(~F.col("taken"), "n_rest")).filter("n_rest > 0")
+        whole = whole.unionByName(_tasks(held.join(counts, "comp"), F.col("n_taken"), ~F.col("taken"), F.col("n_rest")))
+    found.append(_compared(whole.join(sets, "cid"), percent))
+    return written(_union(found), "links")
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -352,7 +368,26 @@ def sets_of(docs: DataFrame, classes: DataFrame, shingle: int) -> DataFrame:
         return [pa.array(_class_ids(values, sizes), pa.binary()), pa.array([values[e - s : e].tobytes() for e, s in zip(ends.tolist(), sizes.tolist(), strict=True)], pa.binary())]
 
     made = map_texts(texts, run, "cid binary, values binary", carry=[]).select("result.*")
-    return written(made.join(wanted.select("cid"), "cid", "left_semi").dropDuplicates(["cid"]), "sets")
+    # A null id stands for several rows, and rows may repeat: what isn't asked for goes, and of equal sets all but one.
+    return written(made.join(wanted.select("cid"), "cid", "left_semi").groupBy("cid").agg(F.first("values").alias("values")), "sets")
+
+
+def similarity_classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, trees: int = TREES) -> DataFrame:
+    """``doc_id, n_shingles, cid, component_id`` of each document.
+
+    Documents of ``percent`` or more shared shingles are linked, and the least doc_id that links lead
+    to names the component. Null and empty texts have empty sets and are components of their own;
+    repeated rows and equal sets share one. Null ids never name a component with other ids in it.
+    """
+    sketches = written(sketch(docs, shingle), "sketches")
+    one = F.min_by(F.struct("doc_id", "n_shingles", "sketch"), F.struct(F.col("doc_id").isNull(), "doc_id")).alias("one")
+    classes = sketches.filter("cid is not null").groupBy("cid").agg(one, F.count("*").alias("copies")).select("cid", "copies", "one.*")
+    classes = written(classes, "classes")
+    labels = connected(_links(docs, classes, percent, shingle, trees))
+    named = classes.select("cid", "doc_id").join(labels.withColumnRenamed("node", "cid"), "cid")
+    least = named.groupBy("root").agg(F.min("doc_id").alias("component"))
+    of_class = classes.select("cid", F.col("doc_id").alias("own")).join(named.select("cid", "root").join(least, "root").select("cid", "component"), "cid", "left").select("cid", F.coalesce("component", "own").alias("component"))
+    return sketches.select("doc_id", "n_shingles", "cid").join(of_class, "cid", "left").select("doc_id", "n_shingles", "cid", F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
