@@ -13,8 +13,8 @@ from dataclasses import dataclass
 import numpy as np
 
 #: Frequencies of a table add up to 2**PRECISION.
-PRECISION = 20
-LANES, STRIDE = 512, 128
+PRECISION = 18
+LANES, STRIDE = 1024, 128
 _LOW = np.uint64(1 << 31)
 _WORD = np.uint64(32)
 
@@ -31,7 +31,7 @@ class Table:
     def of(cls, frequency: np.ndarray) -> Table:
         frequency = frequency.astype(np.uint64)
         start = np.cumsum(frequency) - frequency
-        return cls(frequency, start.astype(np.uint64), np.repeat(np.arange(len(frequency), dtype=np.uint32), frequency.astype(np.int64)))
+        return cls(frequency, start.astype(np.uint64), np.repeat(np.arange(len(frequency), dtype=np.uint16 if len(frequency) <= 1 << 16 else np.uint32), frequency.astype(np.int64)))
 
 
 def scaled(counts: np.ndarray, precision: int = PRECISION) -> np.ndarray:

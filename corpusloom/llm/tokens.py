@@ -1,9 +1,9 @@
 """Token ids of documents in an entropy-coded binary format.
 
-A folder with two Parquet tables: ``table``, the frequencies that all blocks share, and ``blocks``,
-one row for each block of whole documents in ascending doc_id order. A block has its documents' ids
-and lengths, its first token's place in the corpus, the rANS words, checkpoints, and checksums of
-the words and of the ids, so blocks and parts of blocks are decoded independently.
+A folder with three Parquet tables: ``table``, the frequencies that all blocks share; ``blocks``,
+one row for each block of whole documents in ascending doc_id order; and ``starts``, where in the
+corpus each block begins. A block has its documents' ids and lengths, the rANS words, checkpoints,
+and checksums of the words and of the ids, so blocks and parts of blocks are decoded independently.
 """
 
 from __future__ import annotations
@@ -101,13 +101,14 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) -> None:
         if rows:
             yield out()
 
-    blocks = written(map_batches(ids.select("place", "doc_id", "ids"), run, fields.simpleString().removeprefix("struct<").removesuffix(">")), "blocks")
+    map_batches(ids.select("place", "doc_id", "ids"), run, fields.simpleString().removeprefix("struct<").removesuffix(">")).write.option("compression", "none").parquet(f"{path}/blocks")
+    blocks = spark.read.schema(fields).parquet(f"{path}/blocks")
     # Where each block begins: within the part of the corpus that one task wrote, and before that part.
     sizes = blocks.select("block", "n_tokens", F.shiftright("block", 33).alias("part"))
     before = lambda by, order: F.coalesce(F.sum("n_tokens").over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     parts = sizes.groupBy("part").agg(F.sum("n_tokens").alias("n_tokens")).select("part", before([], "part").alias("parts_before"))
     starts = sizes.select("block", "part", before(["part"], "block").alias("within")).join(parts, "part").select("block", (F.col("within") + F.col("parts_before")).alias("start"))
-    blocks.join(starts, "block").write.parquet(f"{path}/blocks")
+    starts.write.parquet(f"{path}/starts")
 
 
 def read(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
@@ -135,10 +136,13 @@ def read(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
                     raise ValueError(f"block {b['block']}: the ids' checksum doesn't fit")
                 ends = np.cumsum(b["lengths"])
                 docs = np.split(flat, ends[:-1])
-                columns = [pa.array(b["doc_ids"], pa.int64()), pa.array(b["start"] + ends - np.array(b["lengths"])), pa.array(b["lengths"], pa.int64()), pa.array([zlib.crc32(d.tobytes()) for d in docs], pa.int64())]
-                names = ["doc_id", "start", "n_tokens", "ids_crc32"]
+                columns = [pa.array(b["doc_ids"], pa.int64()), pa.array(ends - np.array(b["lengths"])), pa.array(b["lengths"], pa.int64()), pa.array([zlib.crc32(d.tobytes()) for d in docs], pa.int64()), pa.array(np.full(len(docs), b["block"]))]
+                names = ["doc_id", "within", "n_tokens", "ids_crc32", "block"]
                 if ids:
                     columns, names = [*columns, pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(flat.astype(np.int64)))], [*names, "ids"]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    return map_batches(spark.read.parquet(f"{path}/blocks"), run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + ", ids array<bigint>" * ids)
+    blocks = spark.read.schema(_BLOCKS).parquet(f"{path}/blocks")
+    docs = map_batches(blocks, run, "doc_id bigint, within bigint, n_tokens bigint, ids_crc32 bigint, block bigint" + ", ids array<bigint>" * ids)
+    starts = spark.read.parquet(f"{path}/starts")
+    return docs.join(starts, "block").select("doc_id", (F.col("start") + F.col("within")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * ids)
