@@ -20,10 +20,10 @@ def line_windows(files: DataFrame, size: int = 160, overlap: int = 20) -> DataFr
 
 
 def chunks(files: DataFrame, size: int = 160, overlap: int = 20) -> DataFrame:
-    """Chunks of files: ``file_id, path, ordinal, start, end, text, text_hash``. Lines are split once for each file."""
+    """Chunks of files: ``file_id, path, ordinal, start, end, text, text_hash``. Lines are split once for each file; the hash is of the first ``MAX_CHARS`` characters, which are what is embedded."""
     cut = files.select("file_id", "path", lines(F.col("content")).alias("_lines")).withColumn("line_count", F.size("_lines"))
     w = line_windows(cut, size, overlap)
-    text = F.substring(F.array_join(F.slice("_lines", F.col("start"), F.col("end") - F.col("start") + 1), "\n"), 1, MAX_CHARS)
+    text = F.array_join(F.slice("_lines", F.col("start"), F.col("end") - F.col("start") + 1), "\n")
     w = w.select("file_id", "path", "start", "end", text.alias("text"))
     ordinal = F.row_number().over(Window.partitionBy("file_id").orderBy("start"))
-    return w.select("file_id", "path", ordinal.alias("ordinal"), "start", "end", "text", content_hash(F.col("text")).alias("text_hash"))
+    return w.select("file_id", "path", ordinal.alias("ordinal"), "start", "end", "text", content_hash(F.substring("text", 1, MAX_CHARS)).alias("text_hash"))

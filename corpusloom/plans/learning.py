@@ -119,7 +119,7 @@ def agg13_mastery_overview(t: Tables) -> DataFrame:
     return top.groupBy("profile", "concept").agg(COUNT(), F.max_by("event_id", F.struct("ts", "event_id")).alias("last_event"))
 
 
-@query("WITH c AS (SELECT p_partkey AS item, p_size AS size, p_type AS kind, CAST(round(p_retailprice * 100) AS BIGINT) AS score FROM part), a AS (SELECT * FROM c WHERE kind LIKE '%STEEL%' ORDER BY score DESC, item LIMIT 4), b AS (SELECT * FROM c WHERE size < 10 AND item NOT IN (SELECT item FROM a) ORDER BY score DESC, item LIMIT 7), d AS (SELECT * FROM c WHERE item NOT IN (SELECT item FROM a UNION ALL SELECT item FROM b) ORDER BY score DESC, item LIMIT 7) SELECT item, 0 AS pool FROM a UNION ALL SELECT item, 1 FROM b UNION ALL SELECT item, 2 FROM d")
+@query("WITH c AS (SELECT p_partkey AS item, p_size AS size, p_type AS kind, CAST(round(p_retailprice * 100) AS BIGINT) AS score FROM part), a AS (SELECT * FROM c WHERE kind LIKE '%STEEL%' ORDER BY score DESC, item LIMIT 4), b AS (SELECT * FROM c WHERE size < 10 AND item NOT IN (SELECT item FROM a) ORDER BY score DESC, item LIMIT 7), d AS (SELECT * FROM c WHERE item NOT IN (SELECT item FROM a UNION ALL SELECT item FROM b) ORDER BY score DESC, item LIMIT (SELECT 18 - count(*) FROM (SELECT item FROM a UNION ALL SELECT item FROM b))) SELECT item, 0 AS pool FROM a UNION ALL SELECT item, 1 FROM b UNION ALL SELECT item, 2 FROM d")
 def st8_curriculum_plan(t: Tables) -> DataFrame:
     c = t.part.select(F.col("p_partkey").alias("item"), "p_size", "p_type", F.round(F.col("p_retailprice") * 100).cast("bigint").alias("score"))
     return lr.plan(c, [(F.col("p_type").contains("STEEL"), 4), (F.col("p_size") < 10, 7)], [F.desc("score"), F.asc("item")], 18).select("item", "pool")
