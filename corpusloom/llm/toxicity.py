@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -71,8 +72,11 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(mean + self.bias, -30, 30)))
 
 
-def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = 150, rate: float = 20.0, decay: float = 1e-5, seed: int = 3) -> Model:
-    """Train vectors and softmax on bags (buckets and their counts), each label weighing half.
+def fit(columns: np.ndarray, values: np.ndarray, sizes: np.ndarray, labels: np.ndarray, epochs: int = 150, rate: float = 20.0, decay: float = 1e-5, seed: int = 3) -> Model:
+    """Train vectors and softmax on bags, each label weighing half.
+
+    ``columns`` has the distinct buckets of each text, one text after another, ``values`` their shares
+    of the text's subwords, ``sizes`` how many buckets each text has.
 
     With two classes the gradient of a text's vector lies along the difference of the two softmax
     columns, so both products with the bags are sparse sums.
@@ -86,18 +90,18 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: i
     vectors = rng.uniform(-1, 1, (BUCKETS, DIMENSIONS)).astype(np.float32) / DIMENSIONS
     head = rng.normal(0, 1, DIMENSIONS).astype(np.float32)
     bias = 0.0
-    sizes = np.array([len(b) for b, _ in bags])
-    columns = np.concatenate([b for b, _ in bags])
-    values = np.concatenate([c / np.float32(max(c.sum(), 1)) for _, c in bags], dtype=np.float32)
     some = np.flatnonzero(sizes)
     starts = (np.cumsum(sizes) - sizes)[some]
+    seen = np.zeros(BUCKETS, bool)
+    seen[columns] = True
+    used = np.flatnonzero(seen)
+    columns = (np.cumsum(seen, dtype=np.int32) - np.int32(1))[columns]
     # The same entries once more by bucket, for sums over texts.
-    used, columns = np.unique(columns, return_inverse=True)
-    columns = columns.astype(np.int32)
-    order = np.argsort(columns, kind="stable")
+    order = np.argsort(columns, kind="stable").astype(np.int32)
     rows = np.repeat(np.arange(len(y), dtype=np.int32), sizes)[order]
-    by_bucket, bucket_starts = values[order], np.searchsorted(columns[order], np.arange(len(used)))
+    by_bucket = values[order]
     del order
+    bucket_starts = np.r_[0, np.cumsum(np.bincount(columns, minlength=len(used)))[:-1]].astype(np.int64)
     own = vectors[used]
     step_head, step_line = np.zeros(DIMENSIONS, np.float32), np.zeros(len(used), np.float32)
     for epoch in range(epochs):
@@ -118,7 +122,9 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: i
 
 
 def bag(buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return np.unique(buckets, return_counts=True)
+    """Distinct buckets of a text, and the share of its subwords that fall in each."""
+    distinct, counts = np.unique(buckets, return_counts=True)
+    return distinct, counts / np.float32(max(counts.sum(), 1))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
@@ -131,11 +137,16 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         buckets, owner = subwords(column)
         order = np.argsort(owner, kind="stable")
         bags = [bag(b) for b in np.split(buckets[order], np.cumsum(np.bincount(owner, minlength=len(column)))[:-1])]
-        return [pa.array([b.astype("<i4").tobytes() for b, _ in bags], pa.binary()), pa.array([c.astype("<i4").tobytes() for _, c in bags], pa.binary())]
-
-    table = map_texts(rows, run, "buckets binary, counts binary", carry=["doc_id", "y"]).select("row.*", "result.*").toPandas().sort_values("doc_id", kind="stable")
-    bags = [(np.frombuffer(b, "<i4"), np.frombuffer(c, "<i4")) for b, c in zip(table["buckets"], table["counts"], strict=True)]
-    return fit(bags, table["y"].to_numpy(float) > 0.5)
+        return [pa.array([b.astype("<i4").tobytes() for b, _ in bags], pa.binary()), pa.array([w.astype("<f4").tobytes() for _, w in bags], pa.binary())]
+
+    table = map_texts(rows, run, "buckets binary, shares binary", carry=["doc_id", "y"]).select("row.*", "result.*").toArrow().sort_by("doc_id")
+    labels_of = table.column("y").to_numpy().astype(float) > 0.5
+    sizes = pc.binary_length(table.column("buckets")).to_numpy() // 4
+    joined = lambda name, kind: np.frombuffer(b"".join(v.as_buffer() for v in table.column(name)), kind)
+    columns = joined("buckets", "<i4")
+    values = joined("shares", "<f4")
+    del table
+    return fit(columns, values, sizes, labels_of)
 
 
 def score(docs: DataFrame, model: Model, carry: list[str] | None = None) -> DataFrame:
