@@ -46,11 +46,13 @@ def captures(pages: DataFrame) -> DataFrame:
     """
     payload = F.coalesce("html", F.lit(""))
     all_pages = pages.select("page_id", "url", payload.alias("payload"), F.sha1(payload.cast("binary")).alias("digest"), F.octet_length(payload).cast("bigint").alias("n_bytes"))
-    ids = all_pages.filter(F.col("n_bytes") >= REVISIT_FROM).select("page_id", "digest", "n_bytes")
+    all_pages = all_pages.withColumn("key", F.concat_ws("|", F.coalesce(F.col("page_id").cast("string"), F.lit("null")), "digest"))
+    ids = all_pages.filter(F.col("n_bytes") >= REVISIT_FROM).select("page_id", "digest", "n_bytes", "key")
     largest = ids.groupBy("digest", "n_bytes").agg(F.max("page_id").alias("copy_of"), F.count("*").alias("n")).filter("n > 1 and copy_of is not null").drop("n")
-    copies = ids.join(largest, ["digest", "n_bytes"]).filter(~F.col("page_id").eqNullSafe(F.col("copy_of"))).select(F.col("page_id").alias("_id"), F.col("digest").alias("_digest"), "copy_of").distinct()
-    joined = all_pages.join(copies, all_pages["page_id"].eqNullSafe(copies["_id"]) & (all_pages["digest"] == copies["_digest"]), "left").drop("_id", "_digest")
-    return joined.withColumn("nth", F.row_number().over(Window.partitionBy("page_id", "digest").orderBy("url")))
+    copies = ids.join(largest, ["digest", "n_bytes"]).filter(~F.col("page_id").eqNullSafe(F.col("copy_of"))).select("key", "copy_of").distinct()
+    # Window and join have the same one key, so payloads are dealt out once for both.
+    numbered = all_pages.withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy("url")))
+    return numbered.join(copies, "key", "left").drop("key")
 
 
 def records(captured: DataFrame, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
