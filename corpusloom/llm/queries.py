@@ -44,7 +44,7 @@ def op3_tokens(spark: SparkSession, sf_dir: str, tokenizer: str = f"{TOKENIZERS}
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     warc.write(table(spark, sf_dir, "pages"), path)
-    return warc.resolved(warc.transactions(warc.read(spark, path)))
+    return warc.resolved(warc.transactions(warc.read(spark, path), payload=False))
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

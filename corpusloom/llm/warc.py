@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._rows import map_batches
+from ._store import written
 
 #: Payloads of fewer bytes are always written in full.
 REVISIT_FROM = 1000
@@ -155,13 +156,14 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return map_batches(chunks, run, ddl).withColumns({"n_bytes": F.octet_length("payload").cast("bigint"), "digest": F.sha1("payload")})
 
 
-def transactions(found: DataFrame) -> DataFrame:
+def transactions(found: DataFrame, payload: bool = True) -> DataFrame:
     """One nested row for each capture: ``capture_id, target_uri, date, response, request, metadata``.
 
     Requests and metadata are joined to the response or revisit that they are concurrent to; where one
-    is missing its struct is null, and records that name no capture in the archives are left out.
+    is missing its struct is null, and records that name no capture in the archives are left out. Without ``payload``, bodies stay out of
+    the joins; their sizes and digests are there.
     """
-    main = found.filter(F.col("warc_type").isin("response", "revisit")).select(F.col("record_id").alias("capture_id"), "target_uri", "date", F.struct("warc_type", "http", "payload", "n_bytes", "digest", "labelled_digest", "refers_to", "complete").alias("response"))
+    main = found.filter(F.col("warc_type").isin("response", "revisit")).select(F.col("record_id").alias("capture_id"), "target_uri", "date", F.struct("warc_type", "http", *["payload"] * payload, "n_bytes", "digest", "labelled_digest", "refers_to", "complete").alias("response"))
     beside = lambda kind, *columns: found.filter((F.col("warc_type") == kind) & F.col("concurrent_to").isNotNull()).select(F.col("concurrent_to").alias("capture_id"), F.struct("record_id", *columns).alias(kind))
     return main.join(beside("request", "http"), "capture_id", "left").join(beside("metadata", F.col("payload").cast("string").alias("fields")), "capture_id", "left")
 
@@ -170,5 +172,6 @@ def resolved(assembled: DataFrame) -> DataFrame:
     """``page_id, payload_bytes, payload_digest, record_type, refers_to`` of each transaction; a revisit has those of the payload it refers to."""
     page = F.nullif(F.regexp_extract("metadata.fields", r"(?m)^page_id: ?(-?[0-9]*)", 1), F.lit("")).cast("bigint")
     flat = assembled.select("capture_id", page.alias("page_id"), F.col("response.warc_type").alias("record_type"), F.col("response.refers_to").alias("target"), F.col("response.n_bytes").alias("n_bytes"), F.col("response.digest").alias("digest"))
+    flat = written(flat, "captures")
     targets = flat.filter("record_type = 'response'").select(F.col("capture_id").alias("target"), F.col("page_id").alias("refers_to"), F.col("n_bytes").alias("of_bytes"), F.col("digest").alias("of_digest"))
     return flat.join(targets, "target", "left").select("page_id", F.coalesce("of_bytes", "n_bytes").alias("payload_bytes"), F.coalesce("of_digest", "digest").alias("payload_digest"), "record_type", "refers_to")
