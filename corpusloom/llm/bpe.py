@@ -18,8 +18,8 @@ from ._bytes import Texts, ragged, span_hashes
 
 #: Pre-tokens that a worker remembers, as 64-bit hashes; it starts anew beyond that.
 REMEMBER = 1_500_000
-#: Characters below this are cut here.
-PLAIN = 0x560
+#: Characters below this are cut here: those of the lead bytes below ``ODD_LEAD``.
+PLAIN, ODD_LEAD = 0x580, 0xD6
 _OTHER, _LETTER, _NUMBER, _SPACE, _END = range(5)
 
 
@@ -118,7 +118,7 @@ class Encoder:
 
     def _odd(self, texts: Texts) -> np.ndarray:
         buf = texts.buf
-        bad = (buf == 0x27) | (buf >= 0xD6) | ((buf >= 0x1C) & (buf <= 0x1F))
+        bad = (buf == 0x27) | (buf >= ODD_LEAD) | ((buf >= 0x1C) & (buf <= 0x1F))
         bad[1:] |= (buf[1:] == 0x85) & (buf[:-1] == 0xC2)
         odd = np.zeros(texts.n, bool)
         odd[texts.doc_of(np.flatnonzero(bad))] = True

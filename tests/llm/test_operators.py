@@ -125,6 +125,21 @@ def test_tokens(spark, sf_dir):
     assert tokens.read(spark, f"{folder}-none").count() == 0
 
 
+def test_two_byte_letters():
+    from tokenizers import Tokenizer
+
+    import pyarrow as pa
+
+    from corpusloom.llm import bpe
+
+    path = f"{queries.TOKENIZERS}/byte_bpe_50k.json"
+    plain = Tokenizer.from_file(path)
+    words = ["\u0540\u0561\u0575\u0561\u057d\u057f\u0561\u0576", *(f"a{chr(c)}1 {chr(c)}{chr(c)}  {chr(c)}b.{chr(c)}" for c in range(0x80, 0x800))]
+    texts = [*words, *(" ".join(words[i : i + 64]) for i in range(0, len(words), 64))]
+    got = bpe.encoder(path).encode(pa.array(texts))
+    assert [x.tolist() for x in got] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_rans_parts():
     import numpy as np
 
