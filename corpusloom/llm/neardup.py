@@ -17,7 +17,7 @@ rows are dropped or capped on the way, and no task holds more than two blocks.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -84,14 +84,14 @@ def _sketches(values: np.ndarray, sizes: np.ndarray) -> list[bytes | None]:
     return [row.tobytes() if s else None for row, s in zip(out, sizes, strict=True)]
 
 
-def sketch(docs: DataFrame, shingle: int) -> DataFrame:
-    """``doc_id, n_shingles, cid, sketch`` of each document."""
+def sketch(docs: DataFrame, shingle: int, carry: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """The carried columns and ``n_shingles, cid, sketch`` of each document."""
 
     def run(column: pa.Array) -> list[pa.Array]:
         values, sizes = shingle_sets(column, shingle)
         return [pa.array(sizes.astype(np.int64)), pa.array(_class_ids(values, sizes), pa.binary()), pa.array(_sketches(values, sizes), pa.binary())]
 
-    return map_texts(docs, run, "n_shingles bigint, cid binary, sketch binary", carry=["doc_id"]).select("row.doc_id", "result.*")
+    return map_texts(docs, run, "n_shingles bigint, cid binary, sketch binary", carry=carry).select("row.*", "result.*")
 
 
 def _branch(classes: DataFrame) -> DataFrame:
@@ -372,6 +372,15 @@ def sets_of(docs: DataFrame, classes: DataFrame, shingle: int) -> DataFrame:
     return written(made.join(wanted.select("cid"), "cid", "left_semi").groupBy("cid").agg(F.first("values").alias("values")), "sets")
 
 
+def _grouped(docs: DataFrame, shingle: int, percent: int, trees: int, carry: Sequence[str] = ("doc_id",)) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sketches of documents with the carried columns, the classes of equal sets, and ``node, root`` of the linked classes."""
+    sketches = written(sketch(docs, shingle, carry), "sketches")
+    one = F.min_by(F.struct("doc_id", "n_shingles", "sketch"), F.struct(F.col("doc_id").isNull(), "doc_id")).alias("one")
+    classes = sketches.filter("cid is not null").groupBy("cid").agg(one, F.count("*").alias("copies")).select("cid", "copies", "one.*")
+    classes = written(classes, "classes")
+    return sketches, classes, connected(_links(docs, classes, percent, shingle, trees))
+
+
 def similarity_classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, trees: int = TREES) -> DataFrame:
     """``doc_id, n_shingles, cid, component_id`` of each document.
 
@@ -379,11 +388,7 @@ def similarity_classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
     to names the component. Null and empty texts have empty sets and are components of their own;
     repeated rows and equal sets share one. Null ids never name a component with other ids in it.
     """
-    sketches = written(sketch(docs, shingle), "sketches")
-    one = F.min_by(F.struct("doc_id", "n_shingles", "sketch"), F.struct(F.col("doc_id").isNull(), "doc_id")).alias("one")
-    classes = sketches.filter("cid is not null").groupBy("cid").agg(one, F.count("*").alias("copies")).select("cid", "copies", "one.*")
-    classes = written(classes, "classes")
-    labels = connected(_links(docs, classes, percent, shingle, trees))
+    sketches, classes, labels = _grouped(docs, shingle, percent, trees)
     named = classes.select("cid", "doc_id").join(labels.withColumnRenamed("node", "cid"), "cid")
     least = named.groupBy("root").agg(F.min("doc_id").alias("component"))
     of_class = classes.select("cid", F.col("doc_id").alias("own")).join(named.select("cid", "root").join(least, "root").select("cid", "component"), "cid", "left").select("cid", F.coalesce("component", "own").alias("component"))
@@ -396,7 +401,16 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def dedup(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """One document of each component, the one with the least id; of rows that repeat that id, any one."""
-    kept = near_duplicates(docs, shingle, percent).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").dropDuplicates(["doc_id"])
+def dedup(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, trees: int = TREES) -> DataFrame:
+    """One row of each component, one with the least id; null ids come last and stand for rows of their own.
+
+    Rows are told apart by id and text, so nothing goes because its id is null or repeats that of
+    another text; of rows equal in both one is left. Null and empty texts are components of their own.
+    """
+    digest = lambda c: F.coalesce(F.sha2(F.col(c).cast("string"), 256), F.lit(""))
+    keyed = docs.withColumn("_key", F.unhex(F.sha2(F.concat(digest("doc_id"), F.lit("|"), digest("text")), 256)))
+    sketches, _, labels = _grouped(keyed, shingle, percent, trees, ("doc_id", "_key"))
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_key")).alias("best")
+    of_class = sketches.groupBy(F.coalesce("cid", "_key").alias("node")).agg(best)
+    of_part = of_class.join(labels, "node", "left").groupBy(F.coalesce("root", "node").alias("part")).agg(F.min("best").alias("best"))
+    return keyed.join(of_part.select("best._key"), "_key", "left_semi").dropDuplicates(["_key"]).select(docs.columns)

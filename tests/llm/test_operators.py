@@ -73,6 +73,24 @@ def test_neardup(spark, docs):
     assert neardup.near_duplicates(table(spark, [])).count() == 0
 
 
+def test_dedup_keys(spark):
+    base = " ".join(f"w{i}" for i in range(100))
+    near = [base.replace(f"w{i} ", "z ") for i in (20, 50, 80)]
+    other = [" ".join(f"{c}{i}" for i in range(50)) for c in "abcdef"]
+    left = [(None, other[0]), (None, other[1]), (5, base), (7, other[2]), (9, other[3]), (None, None), (None, ""), (9, None), (3, other[5])]
+    gone = [(None, near[0]), (7, near[1]), (5, near[2]), (9, other[3]), (None, other[5]), (None, other[5])]
+    alone = [(None, f"{other[4]} {i}") for i in (1, 2)]
+    kinds = "doc_id long, text string"
+    got = [tuple(r) for r in neardup.dedup(spark.createDataFrame(left + gone + alone, kinds), shingle=4, percent=80).collect()]
+    got = [(i, near.index(t) if t in near else t) for i, t in got]
+    at_five = [x for x in got if x[0] == 5]
+    assert len(at_five) == 1 and at_five[0][1] in (base, 2)  # either row of the least id
+    want = [x for x in left if x[0] != 5]
+    assert Counter(x for x in got if x[0] != 5 and x not in alone) == Counter(want)
+    assert sum(x in alone for x in got) == 1  # near copies without ids
+    assert neardup.dedup(spark.createDataFrame([], kinds)).count() == 0
+
+
 def contamination(text, items):
     w = ALNUM.findall(lower(text or ""))
     hit, of = set(), set()
