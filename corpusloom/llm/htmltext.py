@@ -27,7 +27,11 @@ STOP_WORDS = frozenset(
     de het een van niet dat op te met""".split()
 )
 # Elements whose content is never text of a page, and elements that don't end a block.
-UNSEEN = ("script", "style", "noscript", "template", "textarea", "title", "svg", "iframe", "object", "select", "button", "head")
+RAW = ("script", "style", "textarea", "title", "iframe")
+UNSEEN = ("noscript", "template", "svg", "object", "select", "button")
+# Elements that end one of UNSEEN that is never closed.
+ENDING = """address article aside blockquote body center dd details dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6
+    header hgroup html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul""".split()
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 OUT = frozenset("nav footer aside form dialog menu".split())
@@ -39,26 +43,50 @@ OUT_WORDS = frozenset(
     social related recommended comment comments commentlist replies reply disqus respond widget copyright
     disclaimer alert complementary contentinfo dialog outbrain taboola""".split()
 )
+# Words that go with the above in one name and leave its meaning.
+WITH_OUT_WORDS = frozenset(
+    """site page main top bottom left right primary secondary global list area section block box bar wrap wrapper container
+    inner outer item items links link button buttons icons header head body form title text post posts entry article articles content
+    story widgets menus tags meta message""".split()
+)
 IN_WORDS = frozenset("article story post entry content main maincontent articlebody".split())
 
 SHORT, LONG = 70, 200
 SOME_STOPS, MANY_STOPS = 0.30, 0.32
+#: Below this share of stop words over a page, its language has no list here.
+FEW_STOPS = 0.12
 MOST_LINKED, LINKED_IN_ARTICLE = 0.2, 0.8
 
+_ATTRIBUTES = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*+"
+_INSIDE = r"(?:[^<]++|<(?!/?\2\b))"
+# Unseen elements may hold one level of their own kind; those without an end go up to the next block tag.
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({'|'.join(UNSEEN)})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|(?=<body\b)|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^<>]*)>|<[!?][^>]*>",
+    rf"<!--.*?(?:-->|\Z)|<({'|'.join(RAW)})\b{_ATTRIBUTES}>.*?(?:</\1\s*>|(?=<body\b)|\Z)"
+    r"|<svg\b(?:[^>\"'/]|/(?!>)|\"[^\"]*\"|'[^']*')*+/>"
+    rf"|<({'|'.join(UNSEEN)})\b{_ATTRIBUTES}>(?:(?:{_INSIDE}|<\2\b[^>]*>{_INSIDE}*+</\2\s*>)*+</\2\s*>|.*?(?=</?(?:{'|'.join(ENDING)})\b|\Z))"
+    rf"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)({_ATTRIBUTES})>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^<>]*)>|<[!?][^>]*>",
     re.S | re.I,
 )
 _NAMED = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
+_WIDE = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\U00020000-\U0003ffff]")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+def names_out(name: str) -> bool:
+    """Whether a whole class, id or role names what isn't the article; ``has-sidebar`` and ``content-sidebar`` name a layout."""
+    words = {w for w in re.split(r"[^a-z0-9]+", name) if w and not w.isdigit()}
+    if not words & OUT_WORDS or {"content", "sidebar"} <= words:
+        return False
+    return words <= OUT_WORDS | WITH_OUT_WORDS
+
+
 @dataclass
 class Block:
+    """``out`` is 0 in the page's text, 1 in a marked article inside of what is out, 2 in what is out, 3 if hidden."""
+
     text: str
     linked: int
-    out: bool
+    out: int
     level: int
     label: str = ""
 
@@ -66,6 +94,11 @@ class Block:
     def link_density(self) -> float:
         return self.linked / max(len(self.text), 1)
 
+    @property
+    def size(self) -> int:
+        """Length, where a character of scripts without blanks counts as three letters."""
+        return len(self.text) + 2 * len(_WIDE.findall(self.text))
+
     @property
     def stop_density(self) -> float:
         words = _WORD.findall(self.text.lower())
@@ -77,7 +110,7 @@ class _Page:
     """Blocks of a page as its tags come by; ``open`` has each open element with what it says about its content."""
 
     blocks: list[Block] = field(default_factory=list)
-    open: list[tuple[str, bool, int]] = field(default_factory=lambda: [("", False, 0)])
+    open: list[tuple[str, int, int]] = field(default_factory=lambda: [("", 0, 0)])
     counts: dict[str, int] = field(default_factory=dict)
     parts: list[str] = field(default_factory=list)
     linked: int = 0
@@ -111,16 +144,20 @@ class _Page:
         if tag in VOID:
             return
         _, out, level = self.open[-1]
-        here = tag in OUT or bool(names & OUT_WORDS) or (tag == "header" and level == 0) or "hidden" in attributes.lower().split()
+        whole = (n for _, value in _NAMED.findall(attributes) for n in value.lower().strip("\"'").split()) if names & OUT_WORDS else ()
+        here = 2 if tag in OUT or (tag == "header" and level == 0) or any(map(names_out, whole)) else 0
+        if "hidden" in attributes.lower().split():
+            here = 3
         if tag in ("body", "html"):
-            here = False
+            here = 0
         mine = 3 if tag == "article" else 2 if tag == "main" or "main" in names and "role" in attributes.lower() else 1 if names & IN_WORDS and tag not in ("body", "html") else 0
         if tag in INLINE:
             if here and tag != "a":
                 self.end_block()
-                self._push(tag, True, level)
+                self._push(tag, max(out, here), level)
             return
-        self._push(tag, out or here, max(level, mine))
+        out = max(out, here)
+        self._push(tag, 1 if mine >= 2 and out == 2 else out, max(level, mine))
 
     def end(self, tag: str) -> None:
         if tag == "a":
@@ -131,7 +168,7 @@ class _Page:
             self.end_block()
         self._pop(tag)
 
-    def _push(self, tag: str, out: bool, level: int) -> None:
+    def _push(self, tag: str, out: int, level: int) -> None:
         self.open.append((tag, out, level))
         self.counts[tag] = self.counts.get(tag, 0) + 1
 
@@ -151,31 +188,46 @@ def blocks(page: str) -> list[Block]:
     for m in _TOKEN.finditer(page):
         state.text(page[at : m.start()])
         at = m.end()
-        if tag := m[3] or m[6]:
+        if tag := m[4] or m[7]:
             tag = tag.lower()
-            if m[2] or m[5]:
+            if m[3] or m[6]:
                 state.end(tag)
             else:
-                state.start(tag, m[4] or m[7] or "")
-        elif m[1]:
-            state.end_block() if m[1].lower() not in INLINE else None
+                state.start(tag, m[5] or m[8] or "")
+        elif m[1] or m[2]:
+            state.end_block()
     state.text(page[at:])
     state.end_block()
     return state.blocks
 
 
+def has_stop_words(found: list[Block]) -> bool:
+    """Whether the page is of a language with stop words here, by all its longer blocks with few links."""
+    words = [w for b in found if not b.out and b.link_density <= MOST_LINKED and b.size >= SHORT for w in _WORD.findall(b.text.lower())]
+    return sum(w in STOP_WORDS for w in words) >= FEW_STOPS * len(words)
+
+
 def first_pass(found: list[Block]) -> None:
-    """Labels good and bad where a block can be decided, near and short where not."""
-    marked = max((b.level for b in found if not b.out), default=0)
+    """Labels good and bad where a block can be decided, near and short where not.
+
+    An article or main mark inside of what is out counts if the page has none elsewhere (comments and
+    teasers are often marked so). Blocks of a language without stop words go by links and length.
+    """
+    marked, most = max((b.level for b in found if not b.out), default=0), 0
+    if marked < 2 and any(b.out == 1 for b in found):
+        marked, most = max(b.level for b in found if b.out == 1), 1
+    listed = marked or has_stop_words(found)
     for b in found:
-        if b.out or b.level < marked:
+        if b.out > most or b.level < marked:
             b.label = "bad"
         elif marked:
             b.label = "bad" if b.link_density > LINKED_IN_ARTICLE else "good"
         elif b.link_density > MOST_LINKED:
             b.label = "bad"
-        elif len(b.text) < SHORT:
+        elif (b.size if not listed else len(b.text)) < SHORT:
             b.label = "bad" if b.linked else "short"
+        elif not listed:
+            b.label = "good" if b.size > LONG else "near"
         elif b.stop_density >= MANY_STOPS:
             b.label = "good" if len(b.text) > LONG else "near"
         else:

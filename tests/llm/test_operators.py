@@ -265,6 +265,31 @@ def test_html():
     assert htmltext.main_text(f"<div><a href=x>Link one</a> <a href=y>Link two</a></div><p>{long}</p><p>Short one.</p><p>{long}</p>") == f"{long.strip()} Short one. {long.strip()}"
 
 
+def test_html_marks():
+    text = "The house is on the hill and it was built by the people of the town for all of us to see. " * 4
+    want = text.strip()
+    for around in ("<main class='has-sidebar'>{}</main>", "<div class='content-sidebar-wrap'><article>{}</article></div>", "<article class='post category-social'>{}</article>", "<form id=f><main>{}</main></form>", "<div class=sidebar><main class=share>{}</main></div>"):
+        assert htmltext.main_text(around.format(f"<p>{text}</p>")) == want, around
+    page = f"<article><p>{text}</p><div id=comments><article class=comment><p>{text}</p></article></div></article><aside><article>{text}</article></aside><div class='site-footer'>{text}</div>"
+    assert htmltext.main_text(page) == want and htmltext.main_text(f"<div hidden><main>{text}</main></div>") == ""
+
+
+def test_html_languages():
+    texts = ["Дом стоит на холме, и его построили жители города, чтобы все мы могли его видеть. ", "Dom stoi wysoko ponad miastem, zbudowali go mieszkańcy, żeby wszyscy mogli go zobaczyć. ", "这座房子建在山上，是镇上的人们为了让我们大家都能看到而建造的。"]
+    for t in texts:
+        long = (t * 5).strip()
+        assert htmltext.main_text(f"<div><a href=x>{long}</a></div><p>{long}</p><p>{long}</p>") == f"{long} {long}"
+
+
+def test_html_unclosed():
+    text = "The house is on the hill and it was built by the people of the town for all of us to see. " * 4
+    for mark in ("<button>Open", "<select><option>One", "<object data=x>", "<svg><path d=z>", "<svg class=a />", "<svg><svg></svg></svg>"):
+        for after in ("", "<button>Close</button><select></select><svg></svg><object></object>"):
+            assert htmltext.main_text(f"<body>{mark}<article><p>{text}</p></article>{after}") == text.strip(), mark
+    assert htmltext.main_text(f"<html><head><title>t</title><meta x=y><article><p>{text}</p></article>") == text.strip()
+    assert htmltext.main_text(f"<article><button>Open <div>menu</div></button><p>{text}</p></article>") == text.strip()
+
+
 def test_warc_odd(spark):
     body = "<p>WARC/1.0 in a body\r\n\r\nWARC/1.1</p>" * 40
     pages = spark.createDataFrame([(1, "http://a/ b\n", body), (3, None, body), (3, None, body), (2, "x", None), (None, "u", "é")], "page_id long, url string, html string")
