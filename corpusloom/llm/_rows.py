@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,3 +37,21 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator
     """mapInArrow with small batches."""
     small_batches(df.sparkSession)
     return df.mapInArrow(fn, schema)
+
+
+#: Parts that a group is dealt into by ``with_group``.
+SALTS = 1024
+
+
+def with_group(rows: DataFrame, keys: list[str], of: Column, figures: dict[str, tuple[Column, Callable[[str], Column]]]) -> DataFrame:
+    """Rows with aggregates of their group, however large a group is.
+
+    ``figures`` names each aggregate and how partial ones are put together. A group is dealt into
+    ``SALTS`` parts by a hash of ``of``; parts are aggregated, then groups over their parts, and each
+    part gets its group's figures back, so no task sees more than a part of a group. Null keys are dropped.
+    """
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(of), F.lit(SALTS)).cast("int"))
+    parts = salted.groupBy(*keys, "_salt").agg(*[first.alias(name) for name, (first, _) in figures.items()])
+    groups = parts.groupBy(*keys).agg(*[merge(name).alias(name) for name, (_, merge) in figures.items()])
+    back = parts.select(*keys, "_salt").join(groups, keys)
+    return salted.join(back, [*keys, "_salt"]).drop("_salt")

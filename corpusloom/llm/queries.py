@@ -80,16 +80,20 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_linededup, op2_langid, op3_tokens, op4_warc, op5_decontaminate, op6_neardup, op7_toxicity, op8_mixing, op9_html, op10_quality)}
-#: Without fingerprints: every window of 50 words is compared with the first of the same lines.
+#: Without fingerprints: every shortest window of 50 words, from a line on or up to a line, is compared with the first of the same lines.
 LINE_DEDUP_SQL = r"""
 WITH split AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents),
 lines AS (SELECT doc_id, unnest(parts) AS line, unnest(range(len(parts))) AS pos FROM split),
 counted AS (SELECT doc_id, pos, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM lines),
-placed AS (SELECT doc_id, pos, line, n, sum(n) OVER (PARTITION BY doc_id ORDER BY pos) - n AS begun FROM counted WHERE n > 0),
+placed AS (SELECT doc_id, pos, line, n, sum(n) OVER (PARTITION BY doc_id ORDER BY pos) AS ended FROM counted WHERE n > 0),
+begun AS (SELECT *, ended - n AS began FROM placed),
 windows AS (
-  SELECT doc_id, pos, sum(n) OVER ahead AS size, max(pos) OVER ahead AS until_pos, list(line) OVER ahead AS content
-  FROM placed WINDOW ahead AS (PARTITION BY doc_id ORDER BY begun RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING)),
-ranked AS (SELECT doc_id, pos, until_pos, row_number() OVER (PARTITION BY content ORDER BY doc_id, pos) AS nth FROM windows WHERE size >= 50),
+  SELECT 'ahead' AS kind, doc_id, pos, sum(n) OVER ahead AS size, max(pos) OVER ahead AS until_pos, list(line) OVER ahead AS content
+  FROM begun WINDOW ahead AS (PARTITION BY doc_id ORDER BY began RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING)
+  UNION ALL
+  SELECT 'back', doc_id, min(pos) OVER back, sum(n) OVER back, pos, list(line) OVER back
+  FROM begun WINDOW back AS (PARTITION BY doc_id ORDER BY ended RANGE BETWEEN 49 PRECEDING AND CURRENT ROW)),
+ranked AS (SELECT doc_id, pos, until_pos, row_number() OVER (PARTITION BY kind, content ORDER BY doc_id, pos) AS nth FROM windows WHERE size >= 50),
 gone AS (SELECT DISTINCT l.doc_id, l.pos FROM ranked r JOIN lines l ON l.doc_id = r.doc_id AND l.pos BETWEEN r.pos AND r.until_pos WHERE r.nth > 1),
 marked AS (SELECT l.doc_id, l.line, l.pos, g.pos IS NOT NULL AS removed FROM lines l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.pos = l.pos)
 SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT removed), '') AS text,
