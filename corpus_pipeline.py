@@ -18,30 +18,49 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and the trees."""
+    """Documents that pass the base rules and the trees.
+
+    Null and empty texts fail; of rows that repeat all stay or all go; an empty table gives none.
+    Columns of any name stay as they are.
+    """
     forest = quality.train(docs, _table(spark, sf_dir, "labels"))
     return quality.judge(docs, forest).filter("result.kept").select("row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that links of five-word shingles and similarity 0.8 connect."""
+    """One document of each group that links of five-word shingles and similarity 0.8 connect.
+
+    Null and empty texts are groups of their own, rows equal in id and text are one, and a null or
+    repeated id costs no row of another text. An empty table gives none.
+    """
     return neardup.dedup(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which less than a twentieth stands in benchmark passages."""
+    """Documents of which less than a twentieth stands in benchmark passages.
+
+    Null and empty texts have no words and stay, each row is judged by itself, and an empty table or
+    benchmark takes nothing away. Columns of any name stay as they are.
+    """
     return decontaminate.remove(docs, _table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document once, those of small sources up to twice, by temperature weights."""
+    """Every document once, those of small sources up to twice, by temperature weights.
+
+    A null source is a source; texts without words stay once; rows equal in id, source and text get
+    the same number of copies. The mixture's order follows from the rows: see ``mixing.ordered``.
+    """
     return mixing.mixed(docs, repeats=2.0)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Place, length and checksum of each document in the token files, read back from them."""
+    """Place, length and checksum of each document in the token files, which are in the mixture's order, read back from them.
+
+    Null texts are empty and have the end id alone; every row is written, null and repeated ids too.
+    """
     path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
-    tokens.write(docs, path, TOKENIZER)
+    tokens.write(mixing.ordered(docs), path, TOKENIZER, order="position")
     return tokens.read(spark, path, ids=False)
 
 

@@ -13,9 +13,11 @@ ARROW_ROWS = 200
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, or a folder of this machine where none is named (tests)."""
+    """The cluster's shared folder; a folder of this machine only where none is named and Spark is local (tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         at = tempfile.mkdtemp(prefix="corpusloom-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")

@@ -65,7 +65,7 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, k: int = K) ->
 
 
 def _bitmap(windows: DataFrame, bits: int) -> np.ndarray:
-    """One bit for each slot that a benchmark fingerprint falls in, by a bitwise aggregate: ``bits / 63`` rows at most."""
+    """One bit for each slot that a benchmark fingerprint falls in, by a bitwise aggregate: ``bits / 32`` rows at most."""
     slot = F.pmod("fp", F.lit(bits))
     rows = windows.select(slot.alias("slot")).groupBy((F.col("slot") / 32).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 32 as int))")).alias("mask")).collect()
     out = np.zeros(bits // 32, np.int64)
@@ -108,7 +108,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k
 
     A word is hit if it stands in an occurrence of a window; a document is contaminated if a twentieth
     of its words or more are. Null and empty texts have no words and are clean; repeated rows get the
-    same verdict each; with an empty benchmark all are clean. Null item ids count as the empty string.
+    same verdict each; with an empty benchmark all are clean, and an empty table gives no rows. Null
+    item ids count as the empty string; items of equal text both count. Very long texts are searched
+    whole. Carried columns are in ``row``, so their names can't clash.
     """
     windows = written(benchmark_windows(benchmark, window, k), "windows")
     found = hits(docs, windows, window, k, carry=carry).withColumn("rid", F.monotonically_increasing_id())

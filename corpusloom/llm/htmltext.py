@@ -1,9 +1,11 @@
 """Main text of web pages by two passes over their blocks.
 
-The first pass decides blocks by where they stand, their link density, their length and their density
-of stop words; the second gives short and doubtful blocks the label of the nearest decided ones. A
-page's own marks come first: what stands in navigation, forms, asides, adverts or comments is out, and
-if the page marks its article, what stands elsewhere is out too.
+The first pass decides blocks by link density, length and density of stop words; the second gives
+short and doubtful blocks the label of the nearest decided ones. Both go over every page. The page's
+own marks are features of them: what stands in navigation, forms, asides, adverts or comments, or
+outside of an article that the page marks, is decided in the first pass; inside of a marked article a
+block of few stop words is doubtful rather than bad, and the mark counts as a good neighbour beyond
+either end.
 """
 
 from __future__ import annotations
@@ -33,6 +35,9 @@ UNSEEN = ("noscript", "template", "svg", "object", "select", "button")
 ENDING = """address article aside blockquote body center dd details dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6
     header hgroup html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul""".split()
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+# Elements that hold the text of one block; blocks in one parent of these are of one home.
+LEAF = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th tr pre blockquote figcaption address summary center".split())
+HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 OUT = frozenset("nav footer aside form dialog menu".split())
 # Words of a class, id or role that name what isn't the article, and what is.
@@ -52,7 +57,8 @@ WITH_OUT_WORDS = frozenset(
 IN_WORDS = frozenset("article story post entry content main maincontent articlebody".split())
 
 SHORT, LONG = 70, 200
-SOME_STOPS, MANY_STOPS = 0.30, 0.32
+#: The lists above hold the commonest words only, so running text has less of them than of full lists.
+SOME_STOPS, MANY_STOPS = 0.08, 0.2
 #: Below this share of stop words over a page, its language has no list here.
 FEW_STOPS = 0.12
 MOST_LINKED, LINKED_IN_ARTICLE = 0.2, 0.8
@@ -88,6 +94,8 @@ class Block:
     linked: int
     out: int
     level: int
+    home: int = 0
+    heading: bool = False
     label: str = ""
 
     @property
@@ -110,7 +118,8 @@ class _Page:
     """Blocks of a page as its tags come by; ``open`` has each open element with what it says about its content."""
 
     blocks: list[Block] = field(default_factory=list)
-    open: list[tuple[str, int, int]] = field(default_factory=lambda: [("", 0, 0)])
+    open: list[tuple[str, int, int, int]] = field(default_factory=lambda: [("", 0, 0, 0)])
+    homes: int = 0
     counts: dict[str, int] = field(default_factory=dict)
     parts: list[str] = field(default_factory=list)
     linked: int = 0
@@ -126,8 +135,8 @@ class _Page:
         if self.parts:
             text = " ".join(html.unescape("".join(self.parts)).split())
             if text:
-                _, out, level = self.open[-1]
-                self.blocks.append(Block(text, self.linked, out, level))
+                _, out, level, home = self.open[-1]
+                self.blocks.append(Block(text, self.linked, out, level, home, any(self.counts.get(h) for h in HEADING)))
             self.parts = []
         self.linked = 0
 
@@ -143,7 +152,7 @@ class _Page:
                 self._pop("p")
         if tag in VOID:
             return
-        _, out, level = self.open[-1]
+        _, out, level, _ = self.open[-1]
         whole = (n for _, value in _NAMED.findall(attributes) for n in value.lower().strip("\"'").split()) if names & OUT_WORDS else ()
         here = 2 if tag in OUT or (tag == "header" and level == 0) or any(map(names_out, whole)) else 0
         if "hidden" in attributes.lower().split():
@@ -169,14 +178,18 @@ class _Page:
         self._pop(tag)
 
     def _push(self, tag: str, out: int, level: int) -> None:
-        self.open.append((tag, out, level))
+        home = self.open[-1][3]
+        if tag not in INLINE and tag not in LEAF:
+            self.homes += 1
+            home = self.homes
+        self.open.append((tag, out, level, home))
         self.counts[tag] = self.counts.get(tag, 0) + 1
 
     def _pop(self, tag: str) -> None:
         """Close the last open element of this name and what is open inside it; an end without a start does nothing."""
         if self.counts.get(tag):
             while True:
-                name, _, _ = self.open.pop()
+                name = self.open.pop()[0]
                 self.counts[name] -= 1
                 if name == tag:
                     return
@@ -207,62 +220,98 @@ def has_stop_words(found: list[Block]) -> bool:
     return sum(w in STOP_WORDS for w in words) >= FEW_STOPS * len(words)
 
 
-def first_pass(found: list[Block]) -> None:
-    """Labels good and bad where a block can be decided, near and short where not.
+def marks(found: list[Block]) -> tuple[int, int]:
+    """The strongest mark of an article on the page, and how far out a block may stand to be in it.
 
     An article or main mark inside of what is out counts if the page has none elsewhere (comments and
-    teasers are often marked so). Blocks of a language without stop words go by links and length.
+    teasers are often marked so).
     """
     marked, most = max((b.level for b in found if not b.out), default=0), 0
     if marked < 2 and any(b.out == 1 for b in found):
         marked, most = max(b.level for b in found if b.out == 1), 1
-    listed = marked or has_stop_words(found)
+    return marked, most
+
+
+def first_pass(found: list[Block]) -> None:
+    """Labels good and bad where a block can be decided, near and short where not, off where the page's marks rule it out.
+
+    Blocks of a language without stop words here go by links and length.
+    """
+    marked, most = marks(found)
+    listed = has_stop_words(found)
     for b in found:
+        size = len(b.text) if listed else b.size
         if b.out > most or b.level < marked:
+            b.label = "off"
+        elif b.link_density > (LINKED_IN_ARTICLE if marked else MOST_LINKED):
             b.label = "bad"
-        elif marked:
-            b.label = "bad" if b.link_density > LINKED_IN_ARTICLE else "good"
+        elif size < SHORT:
+            b.label = "bad" if b.linked and not marked else "short"
         elif b.link_density > MOST_LINKED:
-            b.label = "bad"
-        elif (b.size if not listed else len(b.text)) < SHORT:
-            b.label = "bad" if b.linked else "short"
+            b.label = "near"
         elif not listed:
-            b.label = "good" if b.size > LONG else "near"
-        elif b.stop_density >= MANY_STOPS:
-            b.label = "good" if len(b.text) > LONG else "near"
+            b.label = "good" if size > LONG else "near"
         else:
-            b.label = "near" if b.stop_density >= SOME_STOPS else "bad"
-
-
-def _nearest(labels: list[str], skip: tuple[str, ...]) -> tuple[list[str], list[str]]:
-    """The nearest label before and after each place that isn't skipped; bad beyond the ends."""
-    sides = []
-    for order in (range(len(labels)), range(len(labels) - 1, -1, -1)):
-        last, side = "bad", [""] * len(labels)
-        for i in order:
-            side[i] = last
-            if labels[i] not in skip:
-                last = labels[i]
-        sides.append(side)
-    return sides[0], sides[1]
+            density = b.stop_density
+            if density >= MANY_STOPS:
+                b.label = "good" if size > LONG else "near"
+            else:
+                b.label = "near" if density >= SOME_STOPS or marked else "bad"
+
+
+def _decided(found: list[Block], places: list[int], edge: str | None) -> dict[int, list[tuple[str, int]]]:
+    """For each undecided place the nearest decided labels before and after it, with how many blocks away; ``edge`` stands beyond the ends."""
+    sides: dict[int, list[tuple[str, int]]] = {}
+    for order in (range(len(places)), range(len(places) - 1, -1, -1)):
+        last = (edge, -1 if order.step > 0 else len(places))
+        for k in order:
+            block = found[places[k]]
+            if block.label in ("good", "bad"):
+                last = (block.label, k)
+            elif last[0]:
+                sides.setdefault(places[k], []).append((last[0], abs(k - last[1])))
+            else:
+                sides.setdefault(places[k], []).append(("", 0))
+    return sides
 
 
 def second_pass(found: list[Block]) -> None:
-    """Doubtful blocks are good next to a good one, short ones between two, or between a good and a doubtful one."""
-    labels = [b.label for b in found]
-    before, after = _nearest(labels, ("short", "near"))
-    near_before, near_after = _nearest(labels, ("short",))
-    for i, b in enumerate(found):
-        if labels[i] == "near":
-            b.label = "good" if "good" in (before[i], after[i]) else "bad"
-        elif labels[i] == "short":
-            pair = {before[i], after[i]}
-            doubtful = before[i] == "bad" and near_before[i] == "near" or after[i] == "bad" and near_after[i] == "near"
-            b.label = "good" if pair == {"good"} or "good" in pair and doubtful else "bad"
+    """Short and doubtful blocks take the label of the nearest decided blocks.
+
+    Neighbours with the same parent go first; where it has none that is decided, those before and
+    after on the page, and beyond the ends the article's mark, or bad on a page without. Doubtful
+    blocks are good next to a good one. Short ones are good between two; where both sides differ, the
+    nearer of one parent decides, at equal distance the later for a heading and the earlier for
+    others, and over parents they are bad.
+    """
+    edge = "good" if marks(found)[0] else "bad"
+    inside = [i for i, b in enumerate(found) if b.label != "off"]
+    homes: dict[int, list[int]] = {}
+    for i in inside:
+        homes.setdefault(found[i].home, []).append(i)
+    on_page = _decided(found, inside, edge)
+    labels = {}
+    for places in homes.values():
+        for i, sides in _decided(found, places, None).items():
+            near = [s for s in sides if s[0]]
+            at_home = bool(near)
+            near = near or on_page[i]
+            kinds = {label for label, _ in near}
+            if len(kinds) == 1:
+                labels[i] = kinds.pop()
+            elif found[i].label == "near":
+                labels[i] = "good"
+            elif not at_home:
+                labels[i] = "bad"
+            else:
+                (before, b), (after, a) = near
+                labels[i] = before if b < a or b == a and not found[i].heading else after
+    for i, label in labels.items():
+        found[i].label = label
 
 
 def main_text(page: str | None) -> str:
-    """The good blocks of a page, joined by a blank; null and empty pages have none."""
+    """The good blocks of a page, joined by a blank; null and empty pages have none, very long ones are read as a whole."""
     found = blocks(page or "")
     first_pass(found)
     second_pass(found)

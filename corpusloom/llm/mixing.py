@@ -16,6 +16,8 @@ from ._store import checkpoint, written
 
 #: Documents' tokens that a block aims at.
 BLOCK_TOKENS = 1 << 18
+#: Blocks of a pass are summed by ranges of their hash's leading bits: 4,096 ranges.
+RANGE_BITS = 52
 #: Exponents that one aggregate looks at; each such job is worth four halvings.
 FAN, JOBS = 16, 10
 
@@ -111,8 +113,13 @@ def plan(docs: DataFrame, key: list[str], entropy: float | None = None, repeats:
     sized = checkpoint(dealt.groupBy("source", "block").agg(F.sum("n_tokens").alias("size")))
     passes = F.greatest(F.ceil(F.col("target") / F.col("tokens")), F.lit(1)).cast("int")
     b = sized.join(goal, null_safe(sized, goal)).select(sized["source"], "block", "size", "tokens", "target", F.explode(F.sequence(F.lit(0), passes - 1)).alias("pass"))
-    order = Window.partitionBy("source", "pass").orderBy(F.xxhash64("source", "block", "pass", F.lit(seed)), "block")
-    before = F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    b = b.withColumn("place", F.xxhash64("source", "block", "pass", F.lit(seed))).withColumn("range", F.shiftright("place", RANGE_BITS))
+    # What stands before a block: the ranges of the hash before its own, and the blocks before it in its range.
+    running = lambda by, order: F.coalesce(F.sum("size").over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = b.groupBy("source", "pass", "range").agg(F.sum("size").alias("size"))
+    ranges = ranges.select(F.col("source").alias("rs"), F.col("pass").alias("rp"), F.col("range").alias("rr"), running(["source", "pass"], ["range"]).alias("ranges_before"))
+    b = b.withColumn("within", running(["source", "pass", "range"], ["place", "block"])).join(ranges, F.col("source").eqNullSafe(F.col("rs")) & (F.col("pass") == F.col("rp")) & (F.col("range") == F.col("rr")))
+    before = F.col("ranges_before") + F.col("within")
     b = b.withColumn("left", F.col("target") - F.col("pass") * F.col("tokens") - before).filter("left > 0").select(F.col("source").alias("bs"), F.col("block").alias("bb"), "pass", "left", "size")
     b = checkpoint(b)
     base = dealt.filter("weight is not null and n_tokens > 0")
@@ -128,17 +135,44 @@ def plan(docs: DataFrame, key: list[str], entropy: float | None = None, repeats:
     return taken.withColumn("position", F.xxhash64(*key, "source", "pass", F.lit(seed + 1)))
 
 
+def _measured(docs: DataFrame) -> DataFrame:
+    """``doc_id, digest, source, tokens`` of each row; the digest tells texts apart that share an id."""
+    return docs.select("doc_id", F.xxhash64("text").alias("digest"), "source", token_count().alias("tokens"))
+
+
 def mixture(docs: DataFrame, entropy: float | None = None, repeats: float | None = 2.0, budget: int | None = None, seed: int = 1) -> DataFrame:
-    """``doc_id, source, n_tokens, weight, pass, position`` of every copy in the mixture."""
-    measured = docs.select("doc_id", "source", token_count().alias("tokens"))
-    return plan(written(measured, "measured"), ["doc_id"], entropy, repeats, budget, seed)
+    """``doc_id, source, n_tokens, weight, pass, position`` of every copy in the mixture.
+
+    Null sources are a source; null and empty texts have no tokens, weigh nothing and stay once. Null
+    or repeated ids are told apart by their texts, equal rows are separate documents, and an empty
+    table gives no rows. Other columns aren't read.
+    """
+    return plan(written(_measured(docs), "measured"), ["doc_id", "digest"], entropy, repeats, budget, seed).drop("digest")
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``row`` (all columns of the document) beside what tells documents apart, so that no name can clash."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("digest"), F.col("source").alias("of"))
 
 
 def mixed(docs: DataFrame, entropy: float | None = None, repeats: float | None = 2.0, budget: int | None = None, seed: int = 1) -> DataFrame:
-    """The documents themselves, each as often as the mixture has it, with their own columns.
+    """The documents themselves, each as often as the mixture has it, with their own columns, whatever they are called.
+
+    Rows that are equal in id, source and text share their copies' number. ``ordered`` gives the
+    mixture's order back.
+    """
+    copies = plan(written(_measured(docs), "measured"), ["doc_id", "digest"], entropy, repeats, budget, seed).groupBy("doc_id", "source", "digest").agg(F.count_distinct("pass").cast("int").alias("times"))
+    rows, c = _keyed(docs), copies.select(F.col("doc_id").alias("cid"), F.col("source").alias("cs"), F.col("digest").alias("cd"), "times")
+    joined = rows.join(c, rows["id"].eqNullSafe(c["cid"]) & rows["of"].eqNullSafe(c["cs"]) & rows["digest"].eqNullSafe(c["cd"]))
+    return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
+
+
+def ordered(docs: DataFrame, seed: int = 1) -> DataFrame:
+    """``doc_id, text, position`` of each row of what ``mixed`` returned: the mixture's own positions.
 
-    Rows that share an id and a source share their copies' number.
+    Copies of a document are numbered by pass again, and the position is the same hash of id, text,
+    source and pass, so it follows from the rows alone and copies stand far apart.
     """
-    copies = mixture(docs, entropy, repeats, budget, seed).groupBy("doc_id", "source").agg(F.count_distinct("pass").alias("_times")).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "_times")
-    joined = docs.join(copies, docs["doc_id"].eqNullSafe(copies["_id"]) & docs["source"].eqNullSafe(copies["_source"]))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select(*[docs[c] for c in docs.columns])
+    number = F.row_number().over(Window.partitionBy("id", "digest", "of").orderBy("id")) - 1
+    rows = _keyed(docs).select("id", "digest", "of", F.col("row.text").alias("text"), number.alias("pass"))
+    return rows.select(F.col("id").alias("doc_id"), "text", F.xxhash64("id", "digest", "of", "pass", F.lit(seed + 1)).alias("position"))

@@ -1,7 +1,7 @@
 """Token ids of documents in an entropy-coded binary format.
 
 A folder with three Parquet tables: ``table``, the frequencies that all blocks share; ``blocks``,
-one row for each block of whole documents in ascending doc_id order; and ``starts``, where in the
+one row for each block of whole documents in ascending order of doc_id or of a given column; and ``starts``, where in the
 corpus each block begins. A block has its documents' ids and lengths, the rANS words, checkpoints,
 and checksums of the words and of the ids, so blocks and parts of blocks are decoded independently.
 """
@@ -26,8 +26,8 @@ BLOCK = 1 << 18
 _BLOCKS = "block bigint, n_tokens bigint, doc_ids array<bigint>, lengths array<bigint>, width int, words binary, states binary, marks array<bigint>, crc_words bigint, crc_ids bigint"
 
 
-def tokenized(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """``place, doc_id, ids`` in ascending doc_id order: place grows along the corpus, ids are packed and end with ``end_id``."""
+def tokenized(docs: DataFrame, tokenizer: str, end_id: int, order: str = "doc_id") -> DataFrame:
+    """``place, doc_id, ids`` in ascending order of a column, then of a digest of the text: place grows along the corpus, ids are packed and end with ``end_id``."""
     from .bpe import encoder
 
     def run(column: pa.Array) -> list[pa.Array]:
@@ -37,7 +37,9 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
 
     if end_id > np.iinfo(encoder(tokenizer).kind).max:
         raise ValueError("the end id does not fit the vocabulary's width")
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select("doc_id", "text", F.col(order).alias("at"), F.xxhash64("text").alias("digest"))
+    # With the digest, a null or repeated id that many rows have isn't one range.
+    ordered = rows.repartitionByRange("at", "digest").sortWithinPartitions("at", "digest", "doc_id", "text")
     ids = map_texts(ordered, run, "ids binary", carry=["doc_id"])
     return written(ids.select(F.monotonically_increasing_id().alias("place"), "row.doc_id", "result.ids"), "ids")
 
@@ -60,16 +62,17 @@ def frequencies(ids: DataFrame, kind: np.dtype) -> DataFrame:
     return map_batches(ids.select("ids"), run, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
 
 
-def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) -> None:
-    """Tokenize whole texts (null: empty) and write the folder at ``path``.
+def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, order: str = "doc_id") -> None:
+    """Tokenize whole texts (null: empty) and write the folder at ``path``, in ascending order of the column ``order``.
 
-    Every row of ``docs`` is written, repeated ids in the order of their texts, null ids first. An
-    empty table gives tables without rows.
+    Every row of ``docs`` is written, ties in the order of a digest of their texts, nulls first; equal
+    rows are as many documents. An empty table gives tables without rows. A text longer than a block
+    is a block by itself. Columns other than doc_id, text and ``order`` aren't read.
     """
     from .bpe import encoder
 
     spark, kind = docs.sparkSession, encoder(tokenizer).kind
-    ids = tokenized(docs, tokenizer, end_id)
+    ids = tokenized(docs, tokenizer, end_id, order)
     counted = {r["id"]: r["n"] for r in frequencies(ids, kind).collect()}
     counts = np.zeros(max(counted, default=0) + 1, np.int64)
     counts[list(counted)] = list(counted.values())

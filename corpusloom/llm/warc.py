@@ -130,14 +130,39 @@ def _records(chunks: Iterator[tuple[int, bytes]]) -> Iterator[dict]:
         yield found
 
 
+#: Suffixes of files that Spark never splits.
+_WHOLE = (".gz", ".zst", ".zstd", ".lz4", ".snappy", ".deflate")
+
+
+def _chunks(spark: SparkSession, path: str) -> list[DataFrame]:
+    """``file, chunk`` of what stands between version marks, each file's chunks in order and in one task.
+
+    A compressed file is one split. A plain file may have several, and a body may contain the mark, so
+    only what comes before a chunk in its file tells a record from a body: its chunks are brought
+    together by file and put in the order of splits and rows.
+    """
+    files = spark.read.text(path).inputFiles()
+    whole = [f for f in files if f.endswith(_WHOLE)]
+    plain = [f for f in files if not f.endswith(_WHOLE)]
+    found = []
+    reader = spark.read.option("lineSep", _VERSION)
+    file, chunk = F.xxhash64("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("chunk")
+    if whole:
+        found.append(reader.text(whole).select(file, chunk))
+    if plain:
+        placed = reader.text(plain).select(file, chunk, F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("row"))
+        found.append(placed.repartition("file").sortWithinPartitions("file", "split", "row").select("file", "chunk"))
+    return found
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
     """``record_id, warc_type, concurrent_to, refers_to, target_uri, date, labelled_digest, http, payload, complete, n_bytes, digest`` of each record.
 
     Archives are read as streams of chunks, so a file is never held as a whole; WARC 1.0 and 1.1, plain
     or compressed as Spark's text reader knows. ``n_bytes`` and ``digest`` are of the payload as read.
-    Plain archives should have one file split each, as compressed ones do.
+    A record that ends before its Content-Length has ``complete`` false. Files without records, and a
+    folder without files, give no rows.
     """
-    chunks = spark.read.option("lineSep", _VERSION).text(path).select(F.xxhash64(F.input_file_name()).alias("file"), F.col("value").cast("binary").alias("chunk"))
     names = [*_FIELDS.values(), "http", "payload", "complete"]
     schema = pa.schema([(n, pa.binary() if n == "payload" else pa.bool_() if n == "complete" else pa.string()) for n in names])
 
@@ -153,19 +178,26 @@ def read(spark: SparkSession, path: str) -> DataFrame:
             yield pa.RecordBatch.from_pylist(rows, schema)
 
     ddl = ", ".join(f"{n} {'binary' if n == 'payload' else 'boolean' if n == 'complete' else 'string'}" for n in names)
-    return map_batches(chunks, run, ddl).withColumns({"n_bytes": F.octet_length("payload").cast("bigint"), "digest": F.sha1("payload")})
+    parsed = [map_batches(chunks, run, ddl) for chunks in _chunks(spark, path)] or [spark.createDataFrame([], ddl)]
+    found = parsed[0] if len(parsed) == 1 else parsed[0].unionByName(parsed[1])
+    return found.withColumns({"n_bytes": F.octet_length("payload").cast("bigint"), "digest": F.sha1("payload")})
 
 
 def transactions(found: DataFrame, payload: bool = True) -> DataFrame:
     """One nested row for each capture: ``capture_id, target_uri, date, response, request, metadata``.
 
     Requests and metadata are joined to the response or revisit that they are concurrent to; where one
-    is missing its struct is null, and records that name no capture in the archives are left out. Without ``payload``, bodies stay out of
-    the joins; their sizes and digests are there.
+    is missing its struct is null, and records that name no capture in the archives are left out, as
+    are incomplete ones (``read`` has them, with ``complete`` false). The archives are parsed once:
+    records are written and the joins read them back. Without ``payload``, bodies stay out of that;
+    their sizes and digests are there. Repeated records give repeated rows; no records, no rows.
     """
-    main = found.filter(F.col("warc_type").isin("response", "revisit")).select(F.col("record_id").alias("capture_id"), "target_uri", "date", F.struct("warc_type", "http", *["payload"] * payload, "n_bytes", "digest", "labelled_digest", "refers_to", "complete").alias("response"))
-    beside = lambda kind, *columns: found.filter((F.col("warc_type") == kind) & F.col("concurrent_to").isNotNull()).select(F.col("concurrent_to").alias("capture_id"), F.struct("record_id", *columns).alias(kind))
-    return main.join(beside("request", "http"), "capture_id", "left").join(beside("metadata", F.col("payload").cast("string").alias("fields")), "capture_id", "left")
+    fields = F.when(F.col("warc_type") == "metadata", F.col("payload").cast("string")).alias("fields")
+    body = F.when(F.col("warc_type").isin("response", "revisit"), F.col("payload")).alias("payload")
+    slim = written(found.filter("complete").select("record_id", "warc_type", "concurrent_to", "refers_to", "target_uri", "date", "labelled_digest", "http", *[body] * payload, fields, "complete", "n_bytes", "digest"), "records")
+    main = slim.filter(F.col("warc_type").isin("response", "revisit")).select(F.col("record_id").alias("capture_id"), "target_uri", "date", F.struct("warc_type", "http", *["payload"] * payload, "n_bytes", "digest", "labelled_digest", "refers_to", "complete").alias("response"))
+    beside = lambda kind, *columns: slim.filter((F.col("warc_type") == kind) & F.col("concurrent_to").isNotNull()).select(F.col("concurrent_to").alias("capture_id"), F.struct("record_id", *columns).alias(kind))
+    return main.join(beside("request", "http"), "capture_id", "left").join(beside("metadata", "fields"), "capture_id", "left")
 
 
 def resolved(assembled: DataFrame) -> DataFrame:
