@@ -319,7 +319,7 @@ def main_text(page: str | None) -> str:
 
 
 def extract(pages: DataFrame, carry: list[str] | None = None) -> DataFrame:
-    """``row`` and ``result`` (text, n_chars) of every page; null html gives the empty text, repeated rows the same one each."""
+    """``row`` and ``result`` (text, n_chars) of every page; null html gives the empty text, repeated rows the same one each, an empty table none. Carried columns are in ``row``, so their names can't clash."""
 
     def run(column: pa.Array) -> list[pa.Array]:
         texts = [main_text(p) for p in column.to_pylist()]

@@ -24,8 +24,10 @@ from ._store import written
 #: Runs of ASCII letters and of everything beyond ASCII.
 LETTERS = byte_set(r"A-Za-z\x80-\xFF")
 _ASCII = byte_set("A-Za-z")
-#: Letters beyond which a run is scored in stretches; pieces that are longer aren't used.
-STRETCH, LONGEST = 32, 16
+#: Pieces of more letters aren't in the vocabulary used here.
+LONGEST = 16
+#: Letters up to which runs of one length are summed side by side; longer ones go one by one, and are learned from in stretches.
+STRETCH = 32
 #: Each character's probability is scaled by this, so that products stay within doubles.
 SCALE = 300.0
 UNKNOWN, SMOOTH = 1e-5, 0.05
@@ -80,8 +82,8 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(sorted({p for p in (model.id_to_piece(i) for i in ids) if len(p) <= LONGEST and p == p.lower()}))
 
 
-def _matrices(raw: bytes, start: np.ndarray, end: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Stretches of words of one length each: owners, code points, and whether they begin a word."""
+def _matrices(raw: bytes, start: np.ndarray, end: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Owners and code points of words, by length; words of more than ``STRETCH`` letters in stretches of that many."""
     rows: dict[tuple[int, bool], tuple[list[int], list[str]]] = {}
     for i, (s, e) in enumerate(zip(start.tolist(), end.tolist(), strict=True)):
         word = raw[s:e].lower().decode("utf-8", "replace")
@@ -94,7 +96,7 @@ def _matrices(raw: bytes, start: np.ndarray, end: np.ndarray) -> Iterator[tuple[
         points = np.frombuffer("".join(parts).encode("utf-32-le"), np.uint32).reshape(-1, n)
         if begins:
             points = np.concatenate([np.full((len(points), 1), _START, np.uint32), points], 1)
-        yield np.array(owners), points, np.full(len(points), begins)
+        yield np.array(owners), points
 
 
 def _edges(points: np.ndarray, words: Vocabulary) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -134,6 +136,41 @@ def forward(points: np.ndarray, words: Vocabulary, theta: np.ndarray) -> tuple[n
     return alpha, used
 
 
+def log_sum(points: np.ndarray, words: Vocabulary, theta: np.ndarray) -> np.ndarray:
+    """Log of the sum over all segmentations of one run of any length, by language.
+
+    All pieces in it are found at once; the sums go on from end to end with the last ``longest`` of
+    them held, rescaled as they go.
+    """
+    n, longest = len(points), words.longest
+    terms = mix(points.astype(np.uint64) + np.uint64(0x1F3))
+    hashes = np.zeros(n, np.uint64)
+    ends, sizes, numbers = [], [], []
+    for size in range(1, min(n, longest) + 1):
+        hashes = hashes[: n - size + 1] + terms[size - 1 :] * _UP[size - 1]
+        at, found = words.find(hashes)
+        ends.append(at + size)
+        sizes.append(np.full(len(at), size))
+        numbers.append(found)
+    end, size, number = (np.concatenate(x) for x in (ends, sizes, numbers))
+    order = np.argsort(end, kind="stable")
+    end, size, number = end[order], size[order], number[order]
+    cut = np.searchsorted(end, np.arange(1, n + 2))
+    held, scale = np.zeros((longest + 1, theta.shape[1])), np.zeros(theta.shape[1])
+    held[0] = 1.0
+    for j in range(1, n + 1):
+        a, b = cut[j - 1], cut[j]
+        if a < b:
+            held[j % (longest + 1)] = (held[(j - size[a:b]) % (longest + 1)] * theta[number[a:b]] * SCALE ** size[a:b, None]).sum(0)
+        else:
+            held[j % (longest + 1)] = held[(j - 1) % (longest + 1)] * (UNKNOWN * SCALE)
+        if j % longest == 0:
+            top = np.maximum(held.max(0), 1e-300)
+            held /= top
+            scale += np.log(top)
+    return np.log(np.maximum(held[n % (longest + 1)], 1e-300)) + scale - n * np.log(SCALE)
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -159,18 +196,25 @@ class Scorer:
         self.parts = [(np.zeros(0, np.uint64), np.zeros((0, k), np.float32)) for _ in range(2)]
 
     def compute(self, raw: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """As 32-bit numbers, which is what is remembered, so a word has one score whenever it is asked for."""
         out = np.zeros((len(start), len(self.languages)))
-        for owners, points, _ in _matrices(raw, start, end):
+        long = np.flatnonzero(end - start > STRETCH)
+        long = long[[len(raw[s:e].decode("utf-8", "replace")) > STRETCH for s, e in zip(start[long].tolist(), end[long].tolist(), strict=True)]] if len(long) else long
+        for i in long.tolist():
+            word = raw[start[i] : end[i]].lower().decode("utf-8", "replace")
+            out[i] = log_sum(np.array([_START, *map(ord, word)], np.uint32), self.words, self.theta)
+        short = np.setdiff1d(np.arange(len(start)), long)
+        for owners, points in _matrices(raw, start[short], end[short]):
             alpha, _ = forward(points, self.words, self.theta)
-            np.add.at(out, owners, np.log(np.maximum(alpha[-1], 1e-300)) - points.shape[1] * np.log(SCALE))
-        return out
+            out[short[owners]] = np.log(np.maximum(alpha[-1], 1e-300)) - points.shape[1] * np.log(SCALE)
+        return out.astype(np.float32)
 
     def of_words(self, texts: Texts, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Scores of the distinct words and which of them each word is."""
         hashes, example, inverse = np.unique(span_hashes(texts.buf, start, end, lower=True), return_index=True, return_inverse=True)
         if sum(len(p[0]) for p in self.parts) > REMEMBER:
             self._clear()
-        out, there = np.zeros((len(hashes), len(self.languages))), np.zeros(len(hashes), bool)
+        out, there = np.zeros((len(hashes), len(self.languages)), np.float32), np.zeros(len(hashes), bool)
         for keys, rows in self.parts:
             if len(keys):
                 i = np.searchsorted(keys, hashes)
@@ -181,7 +225,7 @@ class Scorer:
         new = ~there
         if new.any():
             out[new] = self.compute(texts.buf.tobytes(), start[example[new]], end[example[new]])
-            self._remember(hashes[new], out[new].astype(np.float32))
+            self._remember(hashes[new], out[new])
         return out, inverse
 
     def _remember(self, keys: np.ndarray, rows: np.ndarray) -> None:
@@ -204,7 +248,7 @@ def expectations(column: pa.Array, langs: np.ndarray, model: Model) -> np.ndarra
         mine = np.flatnonzero(of == k)
         _, example, counts = np.unique(hashes[mine], return_index=True, return_counts=True)
         theta = np.exp(model.log_theta[:, [k]])
-        for owners, points, _ in _matrices(raw, words.start[mine[example]], words.end[mine[example]]):
+        for owners, points in _matrices(raw, words.start[mine[example]], words.end[mine[example]]):
             alpha, used = forward(points, vocab, theta)
             beta = np.zeros_like(alpha)
             beta[-1] = counts[owners][:, None] / np.maximum(alpha[-1], 1e-300)
@@ -221,7 +265,9 @@ def expectations(column: pa.Array, langs: np.ndarray, model: Model) -> np.ndarra
 def train(docs: DataFrame, path: str, held_in: Column, sample: int = SAMPLE, rounds: int = ROUNDS) -> Model:
     """Learn from the texts of rows with ``held_in`` and a language, about ``sample`` of each at most, by their ids' hashes.
 
-    Rows without text or language are left out; with none left the model has no languages.
+    Rows without text or language are left out; with none left the model has no languages. Of texts of
+    one id all are in the sample or none. Runs of more than ``STRETCH`` letters are learned from in
+    stretches.
     """
     known = docs.filter(held_in & F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -262,7 +308,9 @@ def predict(docs: DataFrame, model: Model, carry: list[str] | None = None) -> Da
 
     The score is the share of the best language in the sum of all, languages weighing the same; ties
     go to the first by name. Null texts and those without a letter are ``und`` with score 0, and so
-    are all texts if no language was learned. Repeated rows get the same prediction each.
+    are all texts if no language was learned. Repeated rows get the same prediction each, an empty
+    table none; whole texts are summed, however long they or their words are. Carried columns are in
+    ``row``, so their names can't clash.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     held: list[Scorer] = []
@@ -281,6 +329,7 @@ def predict(docs: DataFrame, model: Model, carry: list[str] | None = None) -> Da
             sums = np.zeros((texts.n, max(k, 1)))
         else:
             scores, inverse = scorer.of_words(texts, words.start, words.end)
+            scores = scores.astype(float)
             sums = np.stack([np.bincount(words.doc, scores[inverse, c], texts.n) for c in range(k)], 1)
         best = sums.argmax(1)
         share = 1 / np.exp(sums - sums.max(1, keepdims=True)).sum(1)

@@ -7,9 +7,10 @@ node's own hash: the child named by that coordinate and its minwise value. Two c
 similarity 0.8 part on both coordinates of a node in 4 per cent of cases only, and such a pair
 survives a tree of any depth with probability 0.937, four trees with 0.99998.
 
-Nodes of ``NODE`` classes or fewer are compared exhaustively by sketch, and close classes tied;
-larger ones branch, and what is still large after ``LEVELS`` is tied as a whole. Ties only say what
-has to be compared: each component of them is compared exhaustively on full sets, by one task if
+Nodes of ``Limits.node`` classes or fewer are compared exhaustively by sketch, and close classes
+tied. A larger one branches again as long as it has half of its parent's classes or fewer, so all
+nodes of a level never hold more than those of the one before; one with more than half of them is
+of classes alike and is tied as a whole. Ties only say what has to be compared: each component of them is compared exhaustively on full sets, by one task if
 it is small and block against block if it is not. In a component of very many blocks all classes
 are held against its leader first, and only those that it doesn't take go through all blocks. No
 rows are dropped or capped on the way, and no task holds more than two blocks.
@@ -18,6 +19,7 @@ rows are dropped or capped on the way, and no task holds more than two blocks.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -31,12 +33,21 @@ from .components import connected
 
 SHINGLE, PERCENT = 5, 80
 TREES, COORDINATES = 4, 64
-#: Classes that one task compares by sketch; levels of branching after the first.
-NODE, LEVELS = 4096, 2
-#: Classes and shingles of a block of full sets; a task has two blocks at most.
-BLOCK, WEIGHT = 1024, 1 << 20
-#: Blocks of a component beyond which a leader goes first.
-MANY = 8
+
+
+@dataclass(frozen=True)
+class Limits:
+    """How much one task takes; every way round them gives the same links."""
+
+    #: Classes that one task compares by sketch.
+    node: int = 4096
+    #: Classes and shingles of a block of full sets; a task has two blocks at most.
+    block: int = 1024
+    weight: int = 1 << 20
+    #: Blocks of a component beyond which a leader goes first.
+    many: int = 8
+
+
 #: Sketches may miss the asked similarity by so many deviations before full sets are not looked at.
 SLACK = 4.5
 
@@ -95,7 +106,7 @@ def sketch(docs: DataFrame, shingle: int, carry: Sequence[str] = ("doc_id",)) ->
 
 
 def _branch(classes: DataFrame) -> DataFrame:
-    """Children (key, cid) of classes in nodes: columns key, cid, sketch."""
+    """Children (key, cid, of) of classes in nodes: columns key, cid, sketch, and of, how many classes the node has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -108,15 +119,15 @@ def _branch(classes: DataFrame) -> DataFrame:
             two = (one + np.uint64(1) + (pick >> np.uint64(32)) % np.uint64(COORDINATES - 1)) % np.uint64(COORDINATES)
             for c in (one, two):
                 value = rows[np.arange(len(rows)), c.astype(np.int64)].astype(np.uint64)
-                yield pa.RecordBatch.from_arrays([pa.array(mix(key ^ mix(value << np.uint64(8) | c)).view(np.int64)), batch.column(1)], ["key", "cid"])
+                yield pa.RecordBatch.from_arrays([pa.array(mix(key ^ mix(value << np.uint64(8) | c)).view(np.int64)), batch.column(1), batch.column(3)], ["key", "cid", "of"])
 
-    return map_batches(classes.select("key", "cid", "sketch"), run, "key bigint, cid binary")
+    return map_batches(classes.select("key", "cid", "sketch", F.col("of").cast("bigint").alias("of")), run, "key bigint, cid binary, of bigint")
 
 
 def _nodes(members: DataFrame) -> DataFrame:
-    """``key, n`` of the nodes with two classes or more, once for each set of members."""
+    """``key, n, of`` of the nodes with two classes or more, once for each set of members; ``of`` is its parent's size."""
     marks = [F.bit_xor(F.xxhash64("cid", F.lit(i))).alias(name) for i, name in enumerate("xy")]
-    return members.groupBy("key").agg(F.count("*").alias("n"), *marks).filter("n > 1").groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", "n")
+    return members.groupBy("key").agg(F.count("*").alias("n"), F.first("of").alias("of"), *marks).filter("n > 1").groupBy("n", "x", "y").agg(F.min(F.struct("key", "of")).alias("one")).select("one.key", "n", "one.of")
 
 
 def groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
@@ -186,7 +197,7 @@ def common_counts(a: list[np.ndarray], b: list[np.ndarray] | None = None) -> np.
     n, first = len(sets), len(a)
     owner = np.repeat(np.arange(n), [len(x) for x in sets])
     _, value, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    out = np.zeros((first, n - first if b is not None else n), np.float32)
+    out = np.zeros((first, n - first if b is not None else n), np.int32)
     dense = times >= max(16, n // 16)
     column = np.cumsum(dense) - 1
     many = dense[value]
@@ -198,7 +209,7 @@ def common_counts(a: list[np.ndarray], b: list[np.ndarray] | None = None) -> np.
         s, e = np.searchsorted(columns, [at, at + width])
         part = np.zeros((n, width), np.float32)
         part[rows[s:e], columns[s:e] - at] = 1
-        out += part[:first] @ (part if b is None else part[first:]).T
+        out += (part[:first] @ (part if b is None else part[first:]).T).astype(np.int32)
     few = ~many & (times > 1)[value]
     order = np.lexsort((owner[few], value[few]))
     rows, values = owner[few][order], value[few][order]
@@ -222,9 +233,12 @@ def _linked(sets: list[np.ndarray], sides: np.ndarray, taken: np.ndarray, percen
     first = int((sides == 0).sum())
     cross = first < n
     common = common_counts(sets[:first], sets[first:] if cross else None)
-    size = np.array([len(x) for x in sets], np.float32)
-    left, right = size[:first, None], size[None, first:] if cross else size[None, :]
-    near = 100 * common >= percent * (left + right - common)
+    size = np.array([len(x) for x in sets], np.int64)
+    right = size[None, first:] if cross else size[None, :]
+    near = np.zeros(common.shape, bool)
+    for at in range(0, first, 256):  # whole numbers, some rows at a time
+        part = common[at : at + 256].astype(np.int64)
+        near[at : at + 256] = 100 * part >= percent * (size[at : min(at + 256, first), None] + right - part)
     reached, pairs = np.zeros(n, bool), []
     held = np.flatnonzero(taken)
     for root in range(n):
@@ -306,44 +320,45 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(a) + len(b) - common)
 
 
-def _ties(classes: DataFrame, percent: int, trees: int) -> DataFrame:
+def _ties(classes: DataFrame, percent: int, trees: int, limits: Limits) -> DataFrame:
     """Ties of all trees: whatever is similar is connected by them, with the recall of the trees."""
     roots = F.explode(F.array(*[F.lit(t).cast("bigint") for t in range(1, trees + 1)]))
-    members = written(_branch(classes.select(roots.alias("key"), "cid", "sketch")), "members")
+    members = written(_branch(classes.select(roots.alias("key"), "cid", "sketch", F.lit(classes.count()).alias("of"))), "members")
     ties = []
-    for level in range(LEVELS + 1):
+    while True:
         nodes = written(_nodes(members), "nodes")
-        ties.append(_tied(members.join(nodes.filter(F.col("n") <= NODE), "key", "left_semi"), classes, percent))
-        large = nodes.filter(F.col("n") > NODE).select("key")
-        if large.isEmpty():
-            break
-        big = members.join(large, "key", "left_semi")
-        if level == LEVELS:
+        ties.append(_tied(members.join(nodes.filter(F.col("n") <= limits.node), "key", "left_semi"), classes, percent))
+        large = nodes.filter(F.col("n") > limits.node)
+        alike = large.filter("2 * n > of").select("key")
+        if not alike.isEmpty():
+            big = members.join(alike, "key", "left_semi")
             ties.append(big.join(big.groupBy("key").agg(F.min("cid").alias("b")), "key").select(F.col("cid").alias("a"), "b"))
-        else:
-            members = written(_branch(big.join(classes.select("cid", "sketch"), "cid")), "members")
-    return written(_union(ties), "ties")
+        parted = large.filter("2 * n <= of").select("key", F.col("n").alias("of"))
+        if parted.isEmpty():
+            return written(_union(ties), "ties")
+        members = written(_branch(members.drop("of").join(parted, "key").join(classes.select("cid", "sketch"), "cid")), "members")
 
 
-def _links(docs: DataFrame, classes: DataFrame, percent: int, shingle: int, trees: int) -> DataFrame:
+def _links(docs: DataFrame, classes: DataFrame, percent: int, shingle: int, trees: int, limits: Limits) -> DataFrame:
     """Links (a, b) of classes on full sets, as many as connect what is similar."""
-    parts = connected(_ties(classes, percent, trees))
+    parts = connected(_ties(classes, percent, trees, limits))
     members = written(parts.select(F.col("node").alias("cid"), F.col("root").alias("comp")).join(classes, "cid").select("cid", "comp", "doc_id", "n_shingles", "copies"), "compared")
     best = F.struct("copies", "cid")
     sizes = members.groupBy("comp").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("weight"), F.max_by("cid", best).alias("lead"))
-    sizes = sizes.withColumn("blocks", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("weight") / WEIGHT)).cast("int"))
+    sizes = sizes.withColumn("blocks", F.greatest(F.ceil(F.col("n") / limits.block), F.ceil(F.col("weight") / limits.weight)).cast("int"))
     sizes = written(sizes, "components")
     sets = sets_of(docs, members, shingle)
     placed = members.join(sizes, "comp")
-    whole = _tasks(placed.filter(F.col("blocks") <= MANY), F.lit(0), F.lit(True), F.col("blocks"))
+    whole = _tasks(placed.filter(F.col("blocks") <= limits.many), F.lit(0), F.lit(True), F.col("blocks"))
     found = []
-    if not sizes.filter(F.col("blocks") > MANY).isEmpty():
-        big = placed.filter(F.col("blocks") > MANY).select("cid", "comp", "lead", "n_shingles", "blocks").withColumn("salt", _block(F.col("blocks")))
-        leads = sizes.filter(F.col("blocks") > MANY).join(sets.select(F.col("cid").alias("lead"), F.col("values").alias("y")), "lead").select("comp", "y", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("salt"))
+    of_many = F.col("blocks") > limits.many
+    if not sizes.filter(of_many).isEmpty():
+        big = placed.filter(of_many).select("cid", "comp", "lead", "n_shingles", "blocks").withColumn("salt", _block(F.col("blocks")))
+        leads = sizes.filter(of_many).join(sets.select(F.col("cid").alias("lead"), F.col("values").alias("y")), "lead").select("comp", "y", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("salt"))
         held = big.join(sets.select("cid", F.col("values").alias("x")), "cid").join(leads, ["comp", "salt"]).select("cid", "comp", "lead", "n_shingles", _is_similar(percent).alias("taken"))
         held = written(held, "led")
         found.append(held.filter("taken and cid <> lead").select(F.col("cid").alias("a"), F.col("lead").alias("b")))
-        amount = lambda mine, name: F.ceil(F.greatest(F.count_if(mine) / BLOCK, F.sum(F.when(mine, F.col("n_shingles")).otherwise(0)) / WEIGHT)).cast("int").alias(name)
+        amount = lambda mine, name: F.ceil(F.greatest(F.count_if(mine) / limits.block, F.sum(F.when(mine, F.col("n_shingles")).otherwise(0)) / limits.weight)).cast("int").alias(name)
         counts = held.groupBy("comp").agg(amount(F.col("taken"), "n_taken"), amount(~F.col("taken"), "n_rest")).filter("n_rest > 0")
         whole = whole.unionByName(_tasks(held.join(counts, "comp"), F.col("n_taken"), ~F.col("taken"), F.col("n_rest")))
     found.append(_compared(whole.join(sets, "cid"), percent))
@@ -372,45 +387,49 @@ def sets_of(docs: DataFrame, classes: DataFrame, shingle: int) -> DataFrame:
     return written(made.join(wanted.select("cid"), "cid", "left_semi").groupBy("cid").agg(F.first("values").alias("values")), "sets")
 
 
-def _grouped(docs: DataFrame, shingle: int, percent: int, trees: int, carry: Sequence[str] = ("doc_id",)) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _grouped(docs: DataFrame, shingle: int, percent: int, trees: int, limits: Limits, carry: Sequence[str] = ("doc_id",)) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Sketches of documents with the carried columns, the classes of equal sets, and ``node, root`` of the linked classes."""
     sketches = written(sketch(docs, shingle, carry), "sketches")
     one = F.min_by(F.struct("doc_id", "n_shingles", "sketch"), F.struct(F.col("doc_id").isNull(), "doc_id")).alias("one")
     classes = sketches.filter("cid is not null").groupBy("cid").agg(one, F.count("*").alias("copies")).select("cid", "copies", "one.*")
     classes = written(classes, "classes")
-    return sketches, classes, connected(_links(docs, classes, percent, shingle, trees))
+    return sketches, classes, connected(_links(docs, classes, percent, shingle, trees, limits))
 
 
-def similarity_classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, trees: int = TREES) -> DataFrame:
+def similarity_classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, trees: int = TREES, limits: Limits = Limits()) -> DataFrame:
     """``doc_id, n_shingles, cid, component_id`` of each document.
 
     Documents of ``percent`` or more shared shingles are linked, and the least doc_id that links lead
     to names the component. Null and empty texts have empty sets and are components of their own;
-    repeated rows and equal sets share one. Null ids never name a component with other ids in it.
+    repeated rows and equal sets share one. Null ids never name a component with other ids in it. Very
+    long texts count with all their shingles, an empty table gives no rows, and columns other than
+    doc_id and text aren't read.
     """
-    sketches, classes, labels = _grouped(docs, shingle, percent, trees)
+    sketches, classes, labels = _grouped(docs, shingle, percent, trees, limits)
     named = classes.select("cid", "doc_id").join(labels.withColumnRenamed("node", "cid"), "cid")
     least = named.groupBy("root").agg(F.min("doc_id").alias("component"))
     of_class = classes.select("cid", F.col("doc_id").alias("own")).join(named.select("cid", "root").join(least, "root").select("cid", "component"), "cid", "left").select("cid", F.coalesce("component", "own").alias("component"))
     return sketches.select("doc_id", "n_shingles", "cid").join(of_class, "cid", "left").select("doc_id", "n_shingles", "cid", F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, trees: int = TREES, limits: Limits = Limits()) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept``: kept where the document names its component."""
-    found = similarity_classes(docs, shingle, percent)
+    found = similarity_classes(docs, shingle, percent, trees, limits)
     return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def dedup(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, trees: int = TREES) -> DataFrame:
+def dedup(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, trees: int = TREES, limits: Limits = Limits()) -> DataFrame:
     """One row of each component, one with the least id; null ids come last and stand for rows of their own.
 
     Rows are told apart by id and text, so nothing goes because its id is null or repeats that of
     another text; of rows equal in both one is left. Null and empty texts are components of their own.
+    All columns come through, whatever they are called; an empty table stays empty.
     """
     digest = lambda c: F.coalesce(F.sha2(F.col(c).cast("string"), 256), F.lit(""))
-    keyed = docs.withColumn("_key", F.unhex(F.sha2(F.concat(digest("doc_id"), F.lit("|"), digest("text")), 256)))
-    sketches, _, labels = _grouped(keyed, shingle, percent, trees, ("doc_id", "_key"))
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_key")).alias("best")
-    of_class = sketches.groupBy(F.coalesce("cid", "_key").alias("node")).agg(best)
+    key = F.unhex(F.sha2(F.concat(digest("doc_id"), F.lit("|"), digest("text")), 256))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key.alias("key"))
+    sketches, _, labels = _grouped(docs.select("doc_id", "text", key.alias("key")), shingle, percent, trees, limits, ("doc_id", "key"))
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key")).alias("best")
+    of_class = sketches.groupBy(F.coalesce("cid", "key").alias("node")).agg(best)
     of_part = of_class.join(labels, "node", "left").groupBy(F.coalesce("root", "node").alias("part")).agg(F.min("best").alias("best"))
-    return keyed.join(of_part.select("best._key"), "_key", "left_semi").dropDuplicates(["_key"]).select(docs.columns)
+    return rows.join(of_part.select("best.key"), "key", "left_semi").dropDuplicates(["key"]).select("row.*")

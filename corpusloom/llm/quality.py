@@ -90,7 +90,9 @@ def judge(docs: DataFrame, forest: trees.Forest, threshold: float = 0.5, least_w
     A document fails the base rules if it has fewer than ``least_words`` words, or if more than
     ``most_repeated`` per cent of its words stand in three-word windows found twice or more. Others
     are kept if the trees give them ``threshold`` or more. Null and empty texts have no words and
-    fail; every row has its own verdict, so repeated rows have the same one.
+    fail; every row has its own verdict, so repeated rows have the same one, and a score at the
+    threshold is kept. Very long texts are measured whole; an empty table gives no rows. Carried
+    columns are in ``row``, so their names can't clash.
     """
     shared = docs.sparkSession.sparkContext.broadcast(forest)
 

@@ -17,11 +17,12 @@ from pyspark.sql import functions as F
 
 from ._bytes import _P, ALNUM, Texts, _table, mix, powers
 from ._rows import map_texts
-from ._store import bounded_sample
+from ._store import bounded_sample, written
 
 BUCKETS, DIMENSIONS, GRAMS = 1 << 18, 16, (3, 4, 5, 6)
-#: Labelled rows the model is fitted on at most, in expectation, by label.
-SAMPLE = 1500
+#: The fit's sample: labelled texts of each label at most, and bytes of text of each label at most, both in
+#: expectation; texts of more bytes than the last are scored like all, but not learned from.
+SAMPLE, SAMPLE_BYTES, LONGEST = 1500, 6 << 20, 1 << 20
 
 
 def subwords(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -127,11 +128,23 @@ def bag(buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return distinct, counts / np.float32(max(counts.sum(), 1))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit to ``labels.toxic`` on about ``sample`` documents at most of either label, chosen by their ids' hashes."""
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES, longest: int = LONGEST) -> Model:
+    """Fit to ``labels.toxic`` on a sample of the documents of either label, chosen by their ids' hashes.
+
+    About ``sample`` texts and ``sample_bytes`` bytes of each label at most, none of more than
+    ``longest`` bytes, so what comes to the driver is bounded whatever the tables hold. Labels that are
+    null or without a document are left out; an id with both labels is toxic. Without labels, or with
+    one label only, every text gets that label's share.
+    """
     known = labels.select("doc_id", "toxic").dropna().groupBy("doc_id").agg(F.max("toxic").alias("y"))
-    chosen = [bounded_sample(known.filter(F.col("y") == v), F.col("doc_id"), sample) for v in (0, 1)]
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id")
+    size = F.octet_length(F.coalesce("text", F.lit("")))
+    some = [bounded_sample(known.filter(F.col("y") == v), F.col("doc_id"), sample) for v in (0, 1)]
+    rows = docs.select("doc_id", "text").filter(size <= longest).join(F.broadcast(some[0].unionByName(some[1])), "doc_id")
+    rows = written(rows, "toxicity-sample")
+    held = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.sum(size).alias("n")).collect()}
+    share = F.coalesce(*[F.when(F.col("y") == v, F.lit(min(1.0, sample_bytes / max(n, 1)))) for v, n in held.items()], F.lit(1.0))
+    slots = 1 << 30
+    rows = rows.filter(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("bytes")), F.lit(slots)) < share * F.lit(slots))
 
     def run(column: pa.Array) -> list[pa.Array]:
         buckets, owner = subwords(column)
@@ -150,6 +163,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 
 def score(docs: DataFrame, model: Model, carry: list[str] | None = None) -> DataFrame:
-    """``row`` and ``result.score`` of every document; null and empty texts get the bias alone."""
+    """``row`` and ``result.score`` of every document; null and empty texts get the bias alone, equal texts equal scores.
+
+    Whole texts are scored, however long; an empty table gives no rows. Carried columns are in
+    ``row``, so their names can't clash.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return map_texts(docs, lambda column: [pa.array(shared.value.score(column))], "score double", carry=carry)
