@@ -24,41 +24,142 @@ def query_terms(queries: DataFrame, text: Column, limit: int = MAX_TERMS) -> Dat
     return queries.select("query_id", F.explode(words).alias("term"))
 
 
-def ranked(scored: DataFrame, limit: int = CANDIDATES) -> DataFrame:
-    """Rank within each query by score and chunk id, cut to the retriever's candidates."""
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
+def query_hints(queries: DataFrame, text: Column, hints: Mapping[str, str]) -> DataFrame:
+    """``query_id`` and a boolean for each hint: whether its pattern is in the query."""
+    return queries.select("query_id", *[F.lower(text).rlike(pattern).alias(name) for name, pattern in hints.items()])
+
+
+def ranked(scored: DataFrame, limit: int = CANDIDATES, order: Sequence[Column] | None = None) -> DataFrame:
+    """Rank within each query by score and chunk id, or another order, cut to the retriever's candidates."""
+    w = Window.partitionBy("query_id").orderBy(*(order or [F.desc("score"), F.asc("chunk_id")]))
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
 
 
-def exact(chunks: DataFrame, terms: DataFrame) -> DataFrame:
-    """Best band over terms: a word of the path 0.85, of the title 0.65. An equi join on exploded words."""
-    place = F.array_union(F.transform(F.array_distinct(tokens(F.col("path"))), lambda w: F.struct(w.alias("term"), F.lit(0.85).alias("score"))), F.transform(F.array_distinct(tokens(F.col("title"))), lambda w: F.struct(w.alias("term"), F.lit(0.65).alias("score"))))
-    words = chunks.select("chunk_id", F.explode(place).alias("p")).select("chunk_id", "p.*")
-    return ranked(words.join(terms, "term").groupBy("query_id", "chunk_id").agg(F.max("score").alias("score")))
+def containing(words: DataFrame, terms: DataFrame) -> DataFrame:
+    """``word, term`` of each distinct word that a term of two letters or more is in: an equi join on the term's first letters."""
+    grams = lambda n: F.when(F.length("word") >= n, F.transform(F.sequence(F.lit(1), F.length("word") - n + 1), lambda i: F.substring(F.col("word"), i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    each = words.select("word").distinct().select("word", F.explode(F.array_distinct(F.concat(grams(2), grams(3)))).alias("gram"))
+    asked = terms.select("term").distinct().withColumn("gram", F.substring("term", 1, 3))
+    return each.join(asked, "gram").filter(F.contains("word", "term")).select("word", "term")
+
+
+def exact(chunks: DataFrame, terms: DataFrame, limit: int = CANDIDATES) -> DataFrame:
+    """Best band over a query's terms: the symbol 1.0, in it 0.9; the path's end 0.85, in it 0.7; in the title 0.65.
+
+    Terms are ASCII words, so where one is in a text it is in a word of it. Words are matched with
+    terms once each, however many chunks have them. Of the chunks that have a word in one place only
+    the most specific ``limit`` can be among a query's candidates by it, as all of them have the same
+    score for it; so a word that is everywhere costs no more than any other.
+    """
+    place = lambda column, kind: F.transform(F.array_distinct(tokens(F.col(column))), lambda w: F.struct(w.alias("word"), F.lit(kind).alias("kind")))
+    last = F.regexp_extract(F.lower("path"), "[a-z0-9]+$", 0)
+    ends = F.when(last != "", F.array(F.struct(last.alias("word"), F.lit("end").alias("kind")))).otherwise(F.array().cast("array<struct<word:string,kind:string>>"))
+    of_symbol = F.coalesce(place("symbol", "symbol"), F.array().cast("array<struct<word:string,kind:string>>"))
+    words = chunks.select("chunk_id", "specificity", F.explode(F.concat(of_symbol, place("path", "path"), ends, place("title", "title"))).alias("w")).select("chunk_id", "specificity", "w.*")
+    first = Window.partitionBy("kind", "word").orderBy(F.desc("specificity"), "chunk_id")
+    postings = words.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= limit).drop("_n")
+    pairs = containing(postings, terms)
+    whole, at_end = F.col("word") == F.col("term"), F.endswith("word", "term")
+    score = F.when(F.col("kind") == "symbol", F.when(whole, 1.0).otherwise(0.9)).when(F.col("kind") == "end", F.when(at_end, 0.85).otherwise(0.7)).when(F.col("kind") == "path", 0.7).otherwise(0.65)
+    found = postings.join(pairs, "word").join(terms, "term").groupBy("query_id", "chunk_id").agg(F.max(score).alias("score"), F.max("specificity").alias("specificity"))
+    return ranked(found, limit, [F.desc("score"), F.desc("specificity"), F.asc("chunk_id")]).drop("specificity")
+
+
+#: Query terms that are broadcast at most; with more, occurrences are counted by shuffles.
+BROADCAST_TERMS = 200_000
 
 
-def lexical(chunks: DataFrame, terms: DataFrame) -> DataFrame:
-    """A tenth for each occurrence of a query term; words that no query has leave before the shuffle."""
-    wanted = terms.select("term").distinct()
-    words = chunks.select("chunk_id", F.explode(tokens(F.col("text"))).alias("term")).join(wanted, "term", "left_semi")
-    frequency = words.groupBy("chunk_id", "term").agg(F.count("*").alias("tf"))
-    return ranked(frequency.join(terms, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum("tf") / 10, 6).alias("score")))
+def _best_of_task(limit: int):  # noqa: ANN202
+    """A function on batches of (query_id, chunk_id, n), a chunk's rows together: the best chunks of each query in the task."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((0, 3), np.int64)  # rows of the last chunk, which may go on
+        best = np.zeros((0, 3), np.int64)
+
+        def cut(rows: np.ndarray) -> np.ndarray:
+            rows = rows[np.lexsort((rows[:, 1], -rows[:, 2], rows[:, 0]))]
+            new = np.r_[True, rows[1:, 0] != rows[:-1, 0]] if len(rows) else np.zeros(0, bool)
+            nth = np.arange(len(rows)) - np.maximum.accumulate(np.where(new, np.arange(len(rows)), 0))
+            return rows[nth < limit]
+
+        def counted(rows: np.ndarray) -> np.ndarray:
+            if not len(rows):
+                return rows
+            rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+            start = np.flatnonzero(np.r_[True, (rows[1:, :2] != rows[:-1, :2]).any(1)])
+            return np.c_[rows[start, :2], np.add.reduceat(rows[:, 2], start)]
+
+        for batch in batches:
+            rows = np.concatenate([held, np.stack([np.asarray(batch.column(i)) for i in range(3)], 1)])
+            if not len(rows):
+                continue
+            last = rows[:, 1] == rows[-1, 1]
+            held = counted(rows[last])
+            best = cut(np.concatenate([best, counted(rows[~last])]))
+        best = cut(np.concatenate([best, held]))
+        if len(best):
+            yield pa.RecordBatch.from_arrays([pa.array(best[:, i]) for i in range(3)], ["query_id", "chunk_id", "n"])
+
+    return run
+
+
+def lexical(chunks: DataFrame, terms: DataFrame, limit: int = CANDIDATES, broadcast_terms: int = BROADCAST_TERMS) -> DataFrame:
+    """A tenth for each occurrence of a query's term in a chunk.
+
+    Where the queries' terms are few enough to broadcast, each task counts its own chunks and hands on
+    the best of each query only, so common words cause no shuffle of all (query, chunk) pairs; beyond
+    that, words that no query has leave before the shuffle. Both give the same rows.
+    """
+    words = chunks.select("chunk_id", F.explode(tokens(F.col("text"))).alias("term"))
+    if terms.limit(broadcast_terms + 1).count() <= broadcast_terms:
+        hits = words.join(F.broadcast(terms), "term").select("query_id", "chunk_id", F.lit(1).cast("bigint").alias("n"))
+        counted = hits.mapInArrow(_best_of_task(limit), "query_id bigint, chunk_id bigint, n bigint")
+    else:
+        frequency = words.join(terms.select("term").distinct(), "term", "left_semi").groupBy("chunk_id", "term").agg(F.count("*").alias("tf"))
+        counted = frequency.join(terms, "term").groupBy("query_id", "chunk_id").agg(F.sum("tf").alias("n"))
+    return ranked(counted.select("query_id", "chunk_id", F.round(F.col("n") / 10, 6).alias("score")), limit)
 
-def fuse(retrievers: Mapping[str, DataFrame]) -> DataFrame:
-    """``query_id, chunk_id, score, first_retriever, first_rank`` by weighted reciprocal ranks."""
+
+def selected(chunks: DataFrame, selections: DataFrame, limit: int = CANDIDATES) -> DataFrame:
+    """Chunks that overlap a query's selection (query_id, file_id, first, last), by place; a null range is the whole file. Score 1 / rank."""
+    hit = chunks.join(selections, "file_id").filter(F.coalesce((F.col("start") <= F.col("last")) & (F.col("end") >= F.col("first")), F.lit(True)))
+    rows = ranked(hit.select("query_id", "chunk_id", "start", "end"), limit, [F.asc("start"), F.asc("end"), F.asc("chunk_id")])
+    return rows.select("query_id", "chunk_id", F.round(1 / F.col("rank"), 6).alias("score"), "rank")
+
+
+def by_vector(vectors: DataFrame, query_vectors: DataFrame | None, limit: int = CANDIDATES) -> tuple[DataFrame | None, str]:
+    """Vector candidates and a status: without query vectors (no model to embed them) there are none, and retrieval goes on.
+
+    ``vectors`` has id and vector of chunks, ``query_vectors`` of queries; null vectors are left out.
+    """
+    if query_vectors is None:
+        return None, "unavailable"
+    return nearest(vectors, query_vectors, limit).select("query_id", F.col("id").alias("chunk_id"), "score", "rank"), "ready"
+
+
+def fuse(retrievers: Mapping[str, DataFrame | None]) -> DataFrame:
+    """``query_id, chunk_id, score, first_retriever, first_rank`` by weighted reciprocal ranks; a retriever that is None has no candidates."""
     out = None
     for place, (name, candidates) in enumerate(retrievers.items()):
+        if candidates is None:
+            continue
         part = candidates.select("query_id", "chunk_id", "rank", F.lit(place).alias("place"), (F.lit(WEIGHTS[name]) / (F.lit(RRF_K) + F.col("rank"))).alias("part"))
         out = part if out is None else out.unionByName(part)
+    if out is None:
+        raise ValueError("no retriever has candidates")
     first = F.min(F.struct("place", "rank"))
     return out.groupBy("query_id", "chunk_id").agg(F.round(F.sum("part"), 10).alias("score"), first.alias("_f")).select("query_id", "chunk_id", "score", F.col("_f.place").alias("first_retriever"), F.col("_f.rank").alias("first_rank"))
 
 
-def rerank(fused: DataFrame, chunks: DataFrame, noise: str, entry: str, hits: int = HITS) -> DataFrame:
-    """Structural adjustment by path, then the final order and cut: score, specificity, first retriever, first rank, id."""
-    adjust = F.when(F.col("path").rlike(noise), -0.015).otherwise(0.0) + F.when(F.col("path").rlike(entry), 0.018).otherwise(0.0)
-    scored = fused.join(chunks.select("chunk_id", "path", "specificity"), "chunk_id").withColumn("score", F.round(F.col("score") + adjust, 10))
+def rerank(fused: DataFrame, chunks: DataFrame, hints: DataFrame, noise: str, entry: str, hits: int = HITS) -> DataFrame:
+    """Structural adjustment by path and the query's hints, then the final order and cut: score, specificity, first retriever, first rank, id.
+
+    ``hints`` has test and entry_point of each query. A path that ``noise`` matches loses 0.015 unless the query
+    hints at tests; if it hints at an entry point, a path that ``entry`` matches gains 0.018 and noise loses another 0.012.
+    """
+    is_noise, is_entry = F.col("path").rlike(noise), F.col("path").rlike(entry)
+    adjust = F.when(is_noise & ~F.col("test"), -0.015).otherwise(0.0) + F.when(F.col("entry_point") & is_entry, 0.018).otherwise(0.0) + F.when(F.col("entry_point") & is_noise, -0.012).otherwise(0.0)
+    scored = fused.join(hints, "query_id").join(chunks.select("chunk_id", "path", "specificity"), "chunk_id").withColumn("score", F.round(F.col("score") + adjust, 10))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("specificity"), "first_retriever", "first_rank", "chunk_id")
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= hits).select("query_id", "chunk_id", "score", "rank")
 
@@ -132,3 +233,53 @@ def cache_lookup(requests: DataFrame, entries: DataFrame, least: float) -> DataF
     near = nearest(entries.select("id", "vector"), missed, 1, least).select(F.col("query_id").alias("id"), F.col("id").alias("near"))
     joined = same.select("id", "entry").join(near, "id", "left")
     return joined.select("id", F.coalesce("entry", "near").alias("entry"), F.when(F.col("entry").isNotNull(), "exact").when(F.col("near").isNotNull(), "semantic").otherwise("miss").alias("how"))
+
+
+#: Fixed value: numbers of a local hash embedding.
+DIMENSIONS = 768
+
+
+def hash_embedding(text: Column, dimensions: int = DIMENSIONS) -> Column:
+    """A vector for each text without a model: words and, of words of four letters or more, trigrams of ``^word$``.
+
+    Each feature has a place and a sign by BLAKE2b and counts 1 + ln(times); the vector has length 1, or
+    is all zero for a null text or one without words. Words are ASCII letters and digits and Hangul,
+    parted at camel-case boundaries.
+    """
+    from pyspark.sql.pandas.functions import pandas_udf
+
+    @pandas_udf("array<double>")
+    def embed(texts):  # noqa: ANN001, ANN202
+        import hashlib
+        import re
+        from collections import Counter
+
+        import pandas as pd
+
+        word, boundary = re.compile("[A-Za-z0-9\uac00-\ud7a3]+"), re.compile("(?<=[a-z0-9])(?=[A-Z])")
+        places: dict[str, tuple[int, float]] = {}
+
+        def place(feature: str) -> tuple[int, float]:
+            if feature not in places:
+                digest = hashlib.blake2b(feature.encode(), digest_size=16).digest()
+                places[feature] = int.from_bytes(digest[:8], "big") % dimensions, 1.0 if digest[8] & 1 else -1.0
+            return places[feature]
+
+        def one(t: str | None) -> np.ndarray:
+            words = Counter(w.lower() for w in word.findall(boundary.sub(" ", t or "")))
+            features = Counter(words)
+            for w, n in words.items():
+                if len(w) >= 4:
+                    marked = f"^{w}$"
+                    for i in range(len(marked) - 2):
+                        features[marked[i : i + 3]] += n
+            out = np.zeros(dimensions)
+            if features:
+                at, sign = zip(*(place(f) for f in features), strict=True)
+                np.add.at(out, np.array(at), np.array(sign) * (1 + np.log(np.fromiter(features.values(), float, len(features)))))
+            size = np.sqrt((out * out).sum())
+            return out / size if size else out
+
+        return pd.Series([one(t) for t in texts])
+
+    return embed(text)

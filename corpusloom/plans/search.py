@@ -9,42 +9,84 @@ from ..functions import text as fx
 from ..operators import chunks as ch
 from ..operators import relational as op
 from ..operators import retrieval as rt
+from ..session import written
 from ..sources.tables import FILES_SQL, Tables
 from .registry import Registry
 
 query = Registry()
-NOISE, ENTRY = "^src1[0-9]?/", r"^src0/"
-
-CHUNK_SQL = FILES_SQL + """, cw AS (SELECT file_id, path, string_split(regexp_replace(content, '\\n$', ''), chr(10)) AS ls, unnest(range(1, greatest(1, line_count - 5) + 1, 15)) AS s FROM files),
-chunks AS (SELECT file_id * 100000 + s AS chunk_id, file_id, path, s AS start, least(len(ls), s + 19) AS "end", ls[s] AS title, array_to_string(ls[s:least(len(ls), s + 19)], chr(10)) AS text, 1 AS specificity FROM cw)"""
+#: Paths that count as tests and as entry files here, and words of a query that hint at them.
+NOISE, ENTRY = "^src1[0-9]?/", "^src[05]/"
+HINTS = {"test": "was|est", "entry_point": "for"}
+
+CHUNK_SQL = FILES_SQL + """, ls AS (SELECT file_id, path, language, string_split(regexp_replace(content, '\\n$', ''), chr(10)) AS ls, line_count AS n FROM files),
+spans AS (SELECT * EXCLUDE (s), s AS start, least(n, s + 39) AS "end", lower(regexp_extract(ls[s], '[A-Za-z0-9]+')) AS symbol FROM (SELECT *, unnest(range(1, n + 1, 40)) AS s FROM ls)),
+drafts AS (SELECT file_id, path, language, ls, 'file' AS kind, NULL AS symbol, s AS start, least(n, s + 19) AS "end", 1 AS specificity FROM (SELECT *, unnest(range(1, greatest(1, n - 5) + 1, 15)) AS s FROM ls)
+  UNION ALL SELECT file_id, path, language, ls, 'symbol', symbol, start, "end", 3 FROM spans
+  UNION ALL SELECT file_id, path, language, ls, 'block', symbol, b, least("end", b + 15), 2 FROM (SELECT *, unnest(range(start, greatest(start, "end" - 4) + 1, 12)) AS b FROM spans WHERE "end" - start + 1 > 16)),
+chunks AS (SELECT file_id * 1000000 + row_number() OVER (PARTITION BY file_id ORDER BY start, "end", kind) AS chunk_id, row_number() OVER (PARTITION BY file_id ORDER BY start, "end", kind) AS ordinal, file_id, path, language, kind, symbol, start, "end", specificity,
+  concat_ws('#', path, symbol) || CASE WHEN kind = 'symbol' THEN '' ELSE ' lines ' || start || '-' || "end" END AS title, array_to_string(ls[start:"end"], chr(10)) AS text FROM drafts)"""
 TERM_SQL = """terms AS (SELECT query_id, term FROM (SELECT query_id, term, row_number() OVER (PARTITION BY query_id ORDER BY pos) AS n FROM (
   SELECT query_id, term, min(pos) AS pos FROM (SELECT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term, unnest(range(len(regexp_extract_all(lower(text), '[a-z0-9]+')))) AS pos FROM benchmark) WHERE length(term) >= 2 GROUP BY 1, 2)) WHERE n <= 10)"""
-EXACT_SQL = """ew AS (SELECT chunk_id, unnest(list_distinct(regexp_extract_all(lower(path), '[a-z0-9]+'))) AS term, 0.85 AS score FROM chunks UNION ALL SELECT chunk_id, unnest(list_distinct(regexp_extract_all(lower(title), '[a-z0-9]+'))), 0.65 FROM chunks),
-es AS (SELECT query_id, chunk_id, max(score) AS score FROM ew JOIN terms USING (term) GROUP BY 1, 2), exact AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM es) WHERE rank <= 24)"""
+EXACT_SQL = """words AS (SELECT DISTINCT term FROM terms), names AS (SELECT DISTINCT path, symbol, title FROM chunks),
+bands AS (SELECT path, symbol, title, term, greatest(CASE WHEN symbol = term THEN 1.0 WHEN contains(symbol, term) THEN 0.9 ELSE 0 END, CASE WHEN ends_with(lower(path), term) THEN 0.85 WHEN contains(lower(path), term) THEN 0.7 ELSE 0 END, CASE WHEN contains(lower(title), term) THEN 0.65 ELSE 0 END) AS band FROM names, words),
+es AS (SELECT query_id, chunk_id, specificity, max(band)::DOUBLE AS score FROM chunks c JOIN bands b ON b.title = c.title AND b.symbol IS NOT DISTINCT FROM c.symbol AND b.band > 0 JOIN terms USING (term) GROUP BY 1, 2, 3),
+exact AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, specificity DESC, chunk_id) AS rank FROM es) WHERE rank <= 24)"""
 LEXICAL_SQL = """lw AS (SELECT chunk_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM chunks),
-ls AS (SELECT query_id, chunk_id, round(count(*) / 10, 6) AS score FROM lw JOIN terms USING (term) GROUP BY 1, 2), lexical AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM ls) WHERE rank <= 24)"""
-FUSED_SQL = f"WITH {CHUNK_SQL}, {TERM_SQL}, {EXACT_SQL}, {LEXICAL_SQL}, " + """fu AS (SELECT query_id, chunk_id, rank, 0 AS place, 1.5 / (60 + rank) AS part FROM exact UNION ALL SELECT query_id, chunk_id, rank, 1, 1.0 / (60 + rank) FROM lexical),
+ls2 AS (SELECT query_id, chunk_id, round(count(*) / 10, 6) AS score FROM lw JOIN terms USING (term) GROUP BY 1, 2), lexical AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM ls2) WHERE rank <= 24)"""
+SELECTION_SQL = """sel AS (SELECT item_id AS query_id, item_id * 7 AS file_id, CASE WHEN item_id % 5 > 0 THEN 5 END AS first, CASE WHEN item_id % 5 > 0 THEN 30 END AS last FROM benchmark),
+selection AS (SELECT query_id, chunk_id, rank, round(1.0 / rank, 6) AS score FROM (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY start, "end", chunk_id) AS rank FROM chunks JOIN sel USING (file_id) WHERE coalesce(start <= last AND "end" >= first, true)) WHERE rank <= 24)"""
+VECTOR_SQL = """cv AS (SELECT chunk_id, embedding::DOUBLE[] AS v FROM chunks JOIN embeddings ON vec_id = file_id WHERE ordinal = 1), qv AS (SELECT item_id AS query_id, embedding::DOUBLE[] AS v FROM benchmark JOIN embeddings ON vec_id = item_id + 10),
+vector AS (SELECT * FROM (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(qv.v, cv.v), 9) DESC, chunk_id) AS rank FROM qv, cv) WHERE rank <= 24)"""
+FUSED_SQL = f"WITH {CHUNK_SQL}, {TERM_SQL}, {EXACT_SQL}, {LEXICAL_SQL}, {SELECTION_SQL}, {VECTOR_SQL}, " + """fu AS (SELECT query_id, chunk_id, rank, 0 AS place, 1.5 / (60 + rank) AS part FROM exact UNION ALL SELECT query_id, chunk_id, rank, 1, 1.0 / (60 + rank) FROM lexical UNION ALL SELECT query_id, chunk_id, rank, 2, 1.25 / (60 + rank) FROM selection UNION ALL SELECT query_id, chunk_id, rank, 3, 1.0 / (60 + rank) FROM vector),
 fused AS (SELECT query_id, chunk_id, round(CAST(sum(CAST(part AS DOUBLE)) AS DOUBLE), 10) AS score, min(place) AS first_retriever, arg_min(rank, place) AS first_rank FROM fu GROUP BY 1, 2)"""
-FINAL_SQL = FUSED_SQL + """, adj AS (SELECT f.*, specificity, round(f.score + CASE WHEN regexp_matches(path, '^src1[0-9]?/') THEN -0.015 ELSE 0 END + CASE WHEN regexp_matches(path, '^src0/') THEN 0.018 ELSE 0 END, 10) AS s2 FROM fused f JOIN chunks USING (chunk_id)),
+ADJUST_SQL = f"""hints AS (SELECT item_id AS query_id, regexp_matches(lower(text), '{HINTS["test"]}') AS test, regexp_matches(lower(text), '{HINTS["entry_point"]}') AS entry_point FROM benchmark),
+adj AS (SELECT f.*, specificity, round(f.score + CASE WHEN regexp_matches(path, '{NOISE}') AND NOT test THEN -0.015 ELSE 0 END + CASE WHEN entry_point AND regexp_matches(path, '{ENTRY}') THEN 0.018 ELSE 0 END + CASE WHEN entry_point AND regexp_matches(path, '{NOISE}') THEN -0.012 ELSE 0 END, 10) AS s2 FROM fused f JOIN chunks USING (chunk_id) JOIN hints USING (query_id)),
 final AS (SELECT query_id, chunk_id, s2 AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s2 DESC, specificity DESC, first_retriever, first_rank, chunk_id) AS rank FROM adj) WHERE rank <= 8)"""
+FINAL_SQL = f"{FUSED_SQL}, {ADJUST_SQL}"
 
 
 def chunked(t: Tables) -> DataFrame:
-    c = ch.chunks(t.files(), 20, 5)
-    return c.select((F.col("file_id") * 100000 + F.col("start")).alias("chunk_id"), "file_id", "path", "start", "end", F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"), "text", F.lit(1).alias("specificity"))
+    """Chunks of the files: windows of 20 lines, spans of 40 as symbols named by their first word, and blocks of 16 lines in them."""
+    n = F.size("_lines")
+    name = lambda s: F.lower(F.regexp_extract(F.get("_lines", s - 1), "[A-Za-z0-9]+", 0))
+    spans = F.transform(F.sequence(F.lit(1), n, F.lit(40)), lambda s: F.struct(s.alias("start"), F.least(n, s + 39).alias("end"), name(s).alias("name")))
+    return ch.chunks(t.files(), 20, 5, spans, 16, 4).withColumn("chunk_id", F.col("file_id") * 1_000_000 + F.col("ordinal"))
+
+
+def asked(t: Tables) -> DataFrame:
+    return t.benchmark.select(F.col("item_id").alias("query_id"), "text")
 
 
 def terms(t: Tables) -> DataFrame:
-    return rt.query_terms(t.benchmark.select(F.col("item_id").alias("query_id"), "text"), F.col("text"))
+    return rt.query_terms(asked(t), F.col("text"))
+
+
+def selections(t: Tables) -> DataFrame:
+    inside = F.col("item_id") % 5 > 0
+    return t.benchmark.select(F.col("item_id").alias("query_id"), (F.col("item_id") * 7).alias("file_id"), F.when(inside, 5).alias("first"), F.when(inside, 30).alias("last"))
+
+
+def vectors(t: Tables, slim: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Given vectors: a file's stands for its first chunk; queries have others."""
+    of_chunks = slim.filter("ordinal = 1").join(t.embeddings, F.col("file_id") == F.col("vec_id")).select(F.col("chunk_id").alias("id"), F.col("embedding").alias("vector"))
+    return of_chunks, t.benchmark.join(t.embeddings, F.col("vec_id") == F.col("item_id") + 10).select(F.col("item_id").alias("id"), F.col("embedding").alias("vector"))
+
+
+def slim(t: Tables) -> DataFrame:
+    """Chunks without their text, cut once and written."""
+    return written(chunked(t).select("chunk_id", "file_id", "path", "symbol", "title", "start", "end", "specificity", "ordinal"), "chunks")
 
 
-def fused(t: Tables) -> DataFrame:
-    c, q = chunked(t), terms(t)
-    return rt.fuse({"exact": rt.exact(c, q), "lexical": rt.lexical(c, q)})
+def fused(t: Tables, chunks: DataFrame, embedded: bool = True) -> DataFrame:
+    q = written(terms(t), "terms")
+    of_chunks, of_queries = vectors(t, chunks)
+    by_vector, _ = rt.by_vector(of_chunks, of_queries if embedded else None)
+    return rt.fuse({"exact": rt.exact(chunks, q), "lexical": rt.lexical(chunked(t).select("chunk_id", "text"), q), "selection": rt.selected(chunks, selections(t)), "vector": by_vector})
 
 
-def final(t: Tables) -> DataFrame:
-    return rt.rerank(fused(t), chunked(t), NOISE, ENTRY)
+def final(t: Tables, chunks: DataFrame, candidates: DataFrame | None = None) -> DataFrame:
+    hints = rt.query_hints(asked(t), F.col("text"), HINTS)
+    return rt.rerank(fused(t, chunks) if candidates is None else candidates, chunks, hints, NOISE, ENTRY)
 
 
 @query("SELECT conv_id, turn, CASE WHEN regexp_matches(lower(text), 'where|find|wo|donde') THEN 'locate' WHEN regexp_matches(lower(text), 'how|why|the') THEN 'explain' ELSE 'general' END AS intent, len(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: length(x) >= 2)))::BIGINT AS n_terms FROM conversations")
@@ -56,12 +98,12 @@ def ret1_query_analysis(t: Tables) -> DataFrame:
 
 @query(f"WITH {CHUNK_SQL}, {TERM_SQL}, {EXACT_SQL} SELECT query_id, chunk_id, score, rank FROM exact")
 def ret2_exact_retriever(t: Tables) -> DataFrame:
-    return rt.exact(chunked(t), terms(t)).select("query_id", "chunk_id", "score", "rank")
+    return rt.exact(slim(t), terms(t)).select("query_id", "chunk_id", "score", "rank")
 
 
 @query(f"WITH {CHUNK_SQL}, {TERM_SQL}, {LEXICAL_SQL} SELECT query_id, chunk_id, score, rank FROM lexical")
 def ret3_lexical_retriever(t: Tables) -> DataFrame:
-    return rt.lexical(chunked(t), terms(t)).select("query_id", "chunk_id", "score", "rank")
+    return rt.lexical(chunked(t).select("chunk_id", "text"), terms(t)).select("query_id", "chunk_id", "score", "rank")
 
 
 @query("SELECT query_id, id, rank FROM (SELECT q.vec_id AS query_id, r.vec_id AS id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], r.embedding::DOUBLE[]), 9) DESC, r.vec_id) AS rank FROM embeddings q, embeddings r WHERE q.vec_id % 20 = 0) WHERE rank <= 8")
@@ -70,26 +112,41 @@ def ret4_vector_topk(t: Tables) -> DataFrame:
     return rt.nearest(v, v.filter("id % 20 = 0"), 8).select("query_id", "id", "rank")
 
 
-@query(f"WITH {CHUNK_SQL} SELECT chunk_id, rank, round(1.0 / rank, 6) AS score FROM (SELECT chunk_id, file_id, row_number() OVER (PARTITION BY file_id ORDER BY start) AS rank FROM chunks WHERE start <= 25 AND \"end\" >= 18)")
+@query(f"WITH {CHUNK_SQL}, {SELECTION_SQL} SELECT query_id, chunk_id, rank, score FROM selection")
 def ret5_selection_retriever(t: Tables) -> DataFrame:
-    hit = chunked(t).filter((F.col("start") <= 25) & (F.col("end") >= 18))
-    return hit.withColumn("rank", F.row_number().over(Window.partitionBy("file_id").orderBy("start"))).select("chunk_id", "rank", F.round(1 / F.col("rank"), 6).alias("score"))
+    return rt.selected(chunked(t), selections(t)).select("query_id", "chunk_id", "rank", "score")
 
 
 @query(FUSED_SQL + " SELECT query_id, chunk_id, score, first_retriever, first_rank FROM fused")
 def ret6_rrf_fusion(t: Tables) -> DataFrame:
-    return fused(t)
+    return fused(t, slim(t))
+
+
+@query(FINAL_SQL + " SELECT f.query_id, f.chunk_id, round(a.s2 - f.score, 6) AS adjustment FROM fused f JOIN adj a ON a.query_id = f.query_id AND a.chunk_id = f.chunk_id")
+def ret7_structural_rerank(t: Tables) -> DataFrame:
+    chunks = slim(t)
+    f = written(fused(t, chunks), "fused")
+    all_of_them = rt.rerank(f, chunks, rt.query_hints(asked(t), F.col("text"), HINTS), NOISE, ENTRY, hits=1 << 30)
+    before = f.select("query_id", "chunk_id", F.col("score").alias("before"))
+    return all_of_them.join(before, ["query_id", "chunk_id"]).select("query_id", "chunk_id", F.round(F.col("score") - F.col("before"), 6).alias("adjustment"))
 
 
 @query(FINAL_SQL + " SELECT query_id, chunk_id, score, rank FROM final")
 def ret8_hybrid_retrieval(t: Tables) -> DataFrame:
-    return final(t)
+    return final(t, slim(t))
 
 
 @query(FINAL_SQL + " SELECT f.query_id, f.chunk_id, x.rank AS final_rank, x.rank IS NOT NULL AS selected FROM fused f LEFT JOIN final x ON x.query_id = f.query_id AND x.chunk_id = f.chunk_id")
 def ret9_candidate_trace(t: Tables) -> DataFrame:
-    f = fused(t)
-    return rt.trace(f, rt.rerank(f, chunked(t), NOISE, ENTRY)).select("query_id", "chunk_id", "final_rank", "selected")
+    chunks = slim(t)
+    f = written(fused(t, chunks), "fused")
+    return rt.trace(f, final(t, chunks, f)).select("query_id", "chunk_id", "final_rank", "selected")
+
+
+@query(FUSED_SQL.replace(" UNION ALL SELECT query_id, chunk_id, rank, 3, 1.0 / (60 + rank) FROM vector", "") + " SELECT query_id, chunk_id, score, 'unavailable' AS vector_status FROM fused")
+def ret10_without_vectors(t: Tables) -> DataFrame:
+    _, status = rt.by_vector(t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), None)
+    return fused(t, slim(t), embedded=False).select("query_id", "chunk_id", "score", F.lit(status).alias("vector_status"))
 
 
 @query(f"WITH {CHUNK_SQL} SELECT chunk_id FROM chunks WHERE file_id IN (SELECT file_id FROM files WHERE language <> 'es')")
@@ -106,7 +163,8 @@ def ret12_preview(t: Tables) -> DataFrame:
 
 @query(FINAL_SQL + ", h AS (SELECT f.*, c.file_id FROM final f JOIN chunks c USING (chunk_id)), l AS (SELECT *, row_number() OVER (PARTITION BY query_id, file_id ORDER BY rank) AS n FROM h), d AS (SELECT *, row_number() OVER (PARTITION BY query_id, n = 1 ORDER BY rank) AS k FROM l) SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN n = 1 AND k <= 3 THEN 0 ELSE 1 END, rank) AS answer_rank FROM d")
 def ret13_answer_selection(t: Tables) -> DataFrame:
-    hits = final(t).join(chunked(t).select("chunk_id", "file_id"), "chunk_id")
+    chunks = slim(t)
+    hits = final(t, chunks).join(chunks.select("chunk_id", "file_id"), "chunk_id")
     return rt.spread_answers(hits, ["file_id"]).select("query_id", "chunk_id", "answer_rank")
 
 
@@ -142,9 +200,21 @@ def fn1_expand_identifiers(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", fx.expand_identifiers(F.concat(F.col("p_name"), F.lit("_"), F.col("p_brand"), F.lit("Xy"))).alias("words"))
 
 
-@query(f"WITH {CHUNK_SQL} SELECT chunk_id, 'sha256:' || sha256(text[1:24000]) AS text_hash, row_number() OVER (PARTITION BY file_id ORDER BY start) AS ordinal FROM chunks")
+@query(f"WITH {CHUNK_SQL} SELECT chunk_id, kind, title, specificity, 'sha256:' || sha256(text) AS text_hash, ordinal FROM chunks")
 def fn3_chunk_build(t: Tables) -> DataFrame:
-    return ch.chunks(t.files(), 20, 5).select((F.col("file_id") * 100000 + F.col("start")).alias("chunk_id"), "text_hash", "ordinal")
+    return chunked(t).select("chunk_id", "kind", "title", "specificity", "text_hash", "ordinal")
+
+
+@query(f"WITH {CHUNK_SQL}, e AS (SELECT chunk_id, concat_ws(chr(10), 'path: ' || path, 'language: ' || language, 'chunk: ' || kind, 'title: ' || title, 'symbol: ' || symbol, 'source:', text, lower(trim(regexp_replace(regexp_replace(regexp_replace(title, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '[_.]+', ' ', 'g'), '[ \\t]+', ' ', 'g')))) AS whole FROM chunks) SELECT chunk_id, length(whole[1:24000]) AS n_chars, sha256(whole[1:24000]) AS digest FROM e")
+def fn4_embedding_text(t: Tables) -> DataFrame:
+    made = chunked(t).select("chunk_id", ch.embedding_text().alias("e"))
+    return made.select("chunk_id", F.length("e").cast("bigint").alias("n_chars"), F.sha2("e", 256).alias("digest"))
+
+
+@query()
+def fn10_hash_embedding(t: Tables) -> DataFrame:
+    v = t.documents.select("doc_id", rt.hash_embedding(F.col("text")).alias("v"))
+    return v.select("doc_id", F.posexplode("v").alias("place", "value")).filter("value <> 0").select("doc_id", "place", F.round("value", 6).alias("value"))
 
 
 @query("SELECT doc_id, concat_ws(',', CASE WHEN regexp_matches(text, '[0-9]{4}') THEN 'number' END, CASE WHEN regexp_matches(text, '[*]{3}|[$]{3}') THEN 'symbols' END, CASE WHEN regexp_matches(text, 'token = ') THEN 'secret' END) AS tags FROM documents")
