@@ -7,25 +7,26 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpointed
-from .relational import priority_order, ranked_fill
+from ..session import written
+from .relational import best_per_key, ranked_fill
 
 
-def closure(edges: DataFrame, start: DataFrame, node: str = "node", reverse: bool = True, rounds: int = 50) -> DataFrame:
+def closure(edges: DataFrame, start: DataFrame, node: str = "node", reverse: bool = True, rounds: int = 1000) -> DataFrame:
     """Everything that reaches the start set (or is reached from it), with the distance, the start at 0.
 
-    One join for each step: the frontier is expanded, what is known is taken out, and lineage is cut by
-    a checkpoint. Only the frontier's size comes to the driver.
+    One join for each step: the frontier is expanded and what is known is taken out. Each level is
+    written once; what has been seen is the union of the levels. Only whether a level is empty comes
+    to the driver. Longer chains than ``rounds`` raise.
     """
     at, to = ("target", "source") if reverse else ("source", "target")
-    pairs = edges.select(F.col(at).alias(node), F.col(to).alias("next")).distinct()
-    seen = checkpointed(start.select(node).distinct().withColumn("depth", F.lit(0)))
-    frontier = seen.select(node)
+    pairs = written(edges.select(F.col(at).alias(node), F.col(to).alias("next")).distinct(), "pairs")
+    frontier = written(start.select(node).distinct(), "level")
+    seen = frontier.withColumn("depth", F.lit(0))
     for depth in range(1, rounds + 1):
-        new = checkpointed(pairs.join(frontier, node, "left_semi").select(F.col("next").alias(node)).distinct().join(seen, node, "left_anti"))
+        new = written(pairs.join(frontier, node, "left_semi").select(F.col("next").alias(node)).distinct().join(seen, node, "left_anti"), "level")
         if new.isEmpty():
             return seen
-        seen = checkpointed(seen.unionByName(new.withColumn("depth", F.lit(depth))))
+        seen = seen.unionByName(new.withColumn("depth", F.lit(depth)))
         frontier = new
     raise RuntimeError(f"closure has not settled in {rounds} rounds")
 
@@ -117,16 +118,44 @@ def risk(edges: DataFrame, danger: Sequence[str]) -> DataFrame:
     return flags.select("source", F.when(F.col("high"), "high").when(F.col("sure") | (F.col("n") > 10), "medium").otherwise("low").alias("risk"))
 
 
-def flows(edges: DataFrame, first: str, then: str, last: str, order: Sequence[str], limit: int = 3) -> DataFrame:
-    """Chains first -> then -> last of relations, at most ``limit`` for each origin.
+def flows(edges: DataFrame, trigger: str, request: str, effect: str, least: int, limit: int = 3) -> DataFrame:
+    """``origin, handler, route, effect, reach, lowest, confidence, rank``: at most ``limit`` flows of each origin.
 
-    A chain's confidence is its weakest edge's. Chains are ranked by their last relation's place in
-    ``order``, then confidence, then nodes.
+    A flow begins with a trigger edge; its handler's best request and that route's best effect follow
+    where they have ``least`` confidence or more. One edge of a node and relation goes on, so flows
+    are as many as triggers. ``reach`` is 4 with an effect, 3 with a route, else 1; flows rank by it,
+    by their weakest edge, then by handler and line. Confidence is verified with a route and 90 or
+    more in trigger and request, inferred from 65 on, else unknown.
     """
-    def part(relation: str, a: str, b: str, c: str) -> DataFrame:
-        return edges.filter(F.col("relation") == relation).select(F.col("source").alias(a), F.col("target").alias(b), F.col("confidence").alias(c))
-
-    chain = part(first, "origin", "handler", "c1").join(part(then, "handler", "route", "c2"), "handler").join(part(last, "route", "effect", "c3"), "route")
-    chain = chain.withColumn("confidence", F.least("c1", "c2", "c3")).withColumn("relation", F.lit(last)).withColumn("_p", priority_order("relation", order))
-    w = Window.partitionBy("origin").orderBy("_p", F.desc("confidence"), "handler", "route", "effect")
-    return chain.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit).select("origin", "handler", "route", "effect", "confidence", "rank")
+    some = edges.filter("source <> target")
+    best = lambda relation: best_per_key(some.filter(F.col("relation") == relation), ["source"], [-F.col("confidence"), F.col("line"), F.col("target")], ["target", "confidence"]).filter(F.col("confidence") >= least)
+    begun = some.filter(F.col("relation") == trigger).select(F.col("source").alias("origin"), F.col("target").alias("handler"), F.col("confidence").alias("c1"), "line")
+    requests = best(request).select(F.col("source").alias("handler"), F.col("target").alias("route"), F.col("confidence").alias("c2"))
+    effects = best(effect).select(F.col("source").alias("route"), F.col("target").alias("effect"), F.col("confidence").alias("c3"))
+    chain = begun.join(requests, "handler", "left").join(effects, "route", "left")
+    gate = F.least("c1", "c2")
+    reach = F.when(F.col("effect").isNotNull(), 4).when(F.col("route").isNotNull(), 3).otherwise(1)
+    confidence = F.when(F.col("route").isNotNull() & (gate >= 90), "verified").when(gate >= 65, "inferred").otherwise("unknown")
+    rated = chain.withColumns({"reach": reach, "lowest": F.least("c1", "c2", "c3"), "flow_confidence": confidence})
+    w = Window.partitionBy("origin").orderBy(F.desc("reach"), F.desc("lowest"), "handler", "line")
+    return rated.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit).select("origin", "handler", "route", "effect", "reach", "lowest", F.col("flow_confidence").alias("confidence"), "rank")
+
+
+def library_flows(nodes: DataFrame, calls: DataFrame, entries: int = 3, steps: int = 7, depth: int = 2) -> DataFrame:
+    """``origin, node, ordinal``: without triggers, flows begin at entry nodes and go through what they reach.
+
+    ``nodes`` has node and preferred; the first ``entries`` by that and by node are entries, each with
+    itself and then what is within ``depth`` calls, in order, to ``steps`` in all.
+    """
+    chosen = written(nodes.orderBy(F.desc("preferred"), "node").limit(entries).select(F.col("node").alias("source")), "entries")
+    near = reach(calls, chosen, depth).filter("node <> origin").select("origin", "node").distinct()
+    ordinal = F.row_number().over(Window.partitionBy("origin").orderBy("node")) + 1
+    own = chosen.select(F.col("source").alias("origin"), F.col("source").alias("node"), F.lit(1).alias("ordinal"))
+    return own.unionByName(near.withColumn("ordinal", ordinal)).filter(F.col("ordinal") <= steps)
+
+
+def failures(near: DataFrame, raises: DataFrame, limit: int = 3) -> DataFrame:
+    """``origin, source, target, line, rank``: the first few distinct raising edges in what an origin (origin, node) reaches."""
+    found = near.select("origin", F.col("node").alias("source")).distinct().join(raises.select("source", "target", "line").distinct(), "source")
+    w = Window.partitionBy("origin").orderBy("line", "source", "target")
+    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit).select("origin", "source", "target", "line", "rank")

@@ -4,17 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .folds import clamped_sums
 from .relational import top_per_key
 
 
-def replay(events: DataFrame, start: int = 500, low: int = 0, high: int = 1000) -> DataFrame:
-    """``profile, concept, score, n`` in thousandths: deltas added in (ts, event_id) order, clamped at each step."""
-    rows = events.groupBy("profile", "concept").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", F.col("delta").cast("int").alias("delta")))).alias("rows"))
-    score = F.aggregate("rows", F.lit(start), lambda s, r: F.least(F.greatest(s + r["delta"], F.lit(low)), F.lit(high)))
-    return rows.select("profile", "concept", score.alias("score"), F.size("rows").cast("bigint").alias("n"))
+#: Fixed values, in thousandths: what a concept begins with, and the score and confidence each kind of event adds.
+START_SCORE, START_CONFIDENCE = 500, 350
+DELTAS = {"understood": (80, 80), "needs_help": (-60, 80), "correct": (120, 150), "wrong": (-80, 120)}
+
+
+def replay(events: DataFrame, start: int = START_SCORE, confidence: int = START_CONFIDENCE, low: int = 0, high: int = 1000, parts: int | None = None) -> DataFrame:
+    """``profile, concept, score, confidence, n`` in thousandths: deltas added in (ts, event_id) order, clamped at each step."""
+    sums = {"score": ("delta", start, low, high), "confidence": ("confidence_delta", confidence, low, high)}
+    return clamped_sums(events, ["profile", "concept"], ["ts", "event_id"], sums, parts)
 
 
 def state(score: Column) -> Column:
@@ -23,9 +28,13 @@ def state(score: Column) -> Column:
 
 
 def project(old: DataFrame, new: DataFrame, key: Sequence[str]) -> DataFrame:
-    """New absolute scores that differ from the old ones, with both."""
-    joined = new.join(old.withColumnRenamed("score", "before"), list(key), "left")
-    return joined.filter(~F.col("score").eqNullSafe(F.col("before"))).select(*key, "before", "score")
+    """``before, score, confidence_before, confidence`` of new absolute values that differ from the old ones.
+
+    A key that has no old values is taken to have had the start score and no confidence.
+    """
+    known = old.select(*key, F.col("score").alias("before"), F.col("confidence").alias("confidence_before"))
+    both = new.join(known, list(key), "left").withColumns({"before": F.coalesce("before", F.lit(START_SCORE)), "confidence_before": F.coalesce("confidence_before", F.lit(0))})
+    return both.filter((F.col("score") != F.col("before")) | (F.col("confidence") != F.col("confidence_before"))).select(*key, "before", "score", "confidence_before", "confidence")
 
 
 def assess(answers: DataFrame) -> DataFrame:
@@ -72,19 +81,13 @@ def recommend(sources: DataFrame, limit: int = 6) -> DataFrame:
     return top_per_key(sources, ["profile"], [F.asc(F.col("score") + F.abs(F.col("difficulty") - F.col("level")) * 10), F.asc("minutes"), F.asc("title")], limit)
 
 
-def reduce_progress(events: DataFrame) -> DataFrame:
-    """``profile, opened, understood, needs_help, style``: an ordered fold; a call for help simplifies the style, understanding restores it."""
-    rows = events.groupBy("profile").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "kind"))).alias("rows"))
-    zero = F.struct(F.lit(0).alias("opened"), F.lit(0).alias("understood"), F.lit(0).alias("help"), F.lit(2).alias("style"))
+def reduce_progress(events: DataFrame, parts: int | None = None) -> DataFrame:
+    """``profile, opened, understood, help, style``: how often each happened, and the style after all in order.
 
-    def step(s: Column, r: Column) -> Column:
-        is_ = lambda k: (r["kind"] == k).cast("int")
-        style = F.when(r["kind"] == "needs_help", F.greatest(s["style"] - 1, F.lit(0))).when(r["kind"] == "understood", F.least(s["style"] + 1, F.lit(2))).otherwise(s["style"])
-        return F.struct((s["opened"] + is_("opened")).alias("opened"), (s["understood"] + is_("understood")).alias("understood"), (s["help"] + is_("needs_help")).alias("help"), style.alias("style"))
-
-    return rows.select("profile", F.aggregate("rows", zero, step).alias("s")).select("profile", "s.*")
-
-
-def link_steps(steps: DataFrame, key: str, order: str) -> DataFrame:
-    w = Window.partitionBy(key).orderBy(order)
-    return steps.withColumns({"previous": F.lag(order).over(w), "next": F.lead(order).over(w)})
+    A call for help simplifies the style, understanding restores it; it stays within 0 and 2.
+    """
+    kind = F.col("kind")
+    step = F.when(kind == "needs_help", -1).when(kind == "understood", 1).otherwise(0)
+    style = clamped_sums(events.withColumn("_step", step), ["profile"], ["ts", "event_id"], {"style": ("_step", 2, 0, 2)}, parts).drop("n")
+    times = lambda k, name: F.count_if(kind == k).alias(name)
+    return events.groupBy("profile").agg(times("opened", "opened"), times("understood", "understood"), times("needs_help", "help")).join(style, "profile")

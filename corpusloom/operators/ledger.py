@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .folds import granted
 
 def priced(usage: DataFrame, prices: DataFrame) -> DataFrame:
-    """Usage (usage_type, units) with the newest price of its type (since, micro_per_unit): ``cost`` in micro-units."""
+    """Usage (usage_type, units) with the newest price of its type (since, micro_per_unit): ``cost`` in micro-units.
+
+    Spark broadcasts the newest prices where its own size check allows it.
+    """
     newest = prices.groupBy("usage_type").agg(F.max_by("micro_per_unit", "since").alias("micro_per_unit"))
-    return usage.join(F.broadcast(newest), "usage_type").withColumn("cost", (F.col("units") * F.col("micro_per_unit")).cast("bigint"))
+    return usage.join(newest, "usage_type").withColumn("cost", (F.col("units") * F.col("micro_per_unit")).cast("bigint"))
 
 
 def drawdown(grants: DataFrame, amounts: DataFrame, key: str, order: list[Column]) -> DataFrame:
@@ -21,20 +25,17 @@ def drawdown(grants: DataFrame, amounts: DataFrame, key: str, order: list[Column
 
 
 def reserve(requests: DataFrame, allowance: int, key: str = "org", order: tuple[str, ...] = ("ts", "event_id"), amount: str = "micro") -> DataFrame:
-    """``granted`` of each request: taken in order while the allowance lasts, refusals taking nothing.
+    """``granted`` of each request: taken in order while the allowance lasts, refusals taking nothing; keys are independent."""
+    return granted(requests, allowance, key, order, amount)
 
-    Each decision changes the balance, so a key's requests are folded in order; keys are independent.
-    """
-    item = F.struct(*order, F.col(amount).alias("amount"), F.col(order[-1]).alias("id"))
-    rows = requests.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("rows"))
-    start = F.struct(F.lit(0).cast("bigint").alias("used"), F.array().cast("array<struct<id:bigint,granted:boolean>>").alias("out"))
 
-    def step(state: Column, row: Column) -> Column:
-        ok = state["used"] + row["amount"] <= allowance
-        return F.struct(F.when(ok, state["used"] + row["amount"]).otherwise(state["used"]).alias("used"), F.array_append(state["out"], F.struct(row["id"].cast("bigint").alias("id"), ok.alias("granted"))).alias("out"))
+def release_stale(reservations: DataFrame, now: Column) -> DataFrame:
+    """Reservations with those released that have expired before any provider was asked: status released, ``reserved`` 0.
 
-    folded = rows.select(key, F.aggregate("rows", start, step)["out"].alias("out"))
-    return folded.select(key, F.explode("out").alias("o")).select(key, F.col("o.id").alias(order[-1]), "o.granted")
+    ``reservations`` has status, expires_at, provider_request and reserved; others stay as they are.
+    """
+    stale = (F.col("status") == "pending") & (F.col("expires_at") <= now) & F.col("provider_request").isNull()
+    return reservations.withColumns({"status": F.when(stale, "released").otherwise(F.col("status")), "reserved": F.when(stale, 0).otherwise(F.col("reserved"))})
 
 
 def remaining(ledger: DataFrame) -> DataFrame:
@@ -42,7 +43,10 @@ def remaining(ledger: DataFrame) -> DataFrame:
     return ledger.withColumn("remaining", F.greatest(F.lit(0), F.col("allowance") + F.col("bonus") - F.col("reserved") - F.col("consumed")))
 
 
-def feature_limits(usage: DataFrame, start: str, end: str, limit: int) -> DataFrame:
-    """Uses of each org and feature in a half-open period, and whether they are at the limit."""
-    inside = usage.filter((F.col("ts") >= F.lit(start).cast("timestamp_ntz")) & (F.col("ts") < F.lit(end).cast("timestamp_ntz")))
-    return inside.groupBy("org", "feature").agg(F.count("*").alias("n")).withColumn("blocked", F.col("n") >= limit)
+def feature_limits(usage: DataFrame, start: Column, end: Column, limit: int, active: Column | None = None, concurrent: int | None = None) -> DataFrame:
+    """``org, feature, n, active, blocked``: uses in a half-open period and those still active; at either limit a feature is blocked."""
+    inside = (F.col("ts") >= start) & (F.col("ts") < end)
+    running = F.count_if(active) if active is not None else F.lit(0).cast("bigint")
+    held = usage.groupBy("org", "feature").agg(F.count_if(inside).alias("n"), running.alias("active"))
+    full = F.col("n") >= limit
+    return held.withColumn("blocked", full if concurrent is None else full | (F.col("active") >= concurrent))

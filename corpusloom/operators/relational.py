@@ -113,3 +113,14 @@ def distinct_first(df: DataFrame, distinct_by: str, order: Sequence[Column], lim
     """In rank order at most one row for each value of ``distinct_by``."""
     first = df.withColumn("_n", F.row_number().over(Window.partitionBy(distinct_by).orderBy(*order))).filter("_n = 1").drop("_n")
     return first.orderBy(*order).limit(limit)
+
+
+def manifest_hash(files: DataFrame, by: str) -> DataFrame:
+    """One hash for each group of files (path, content_hash): of its parts' hashes, where a part holds the paths whose digest begins alike.
+
+    A part's paths are hashed in order, then the 4,096 parts in order, so no group is ever one string.
+    """
+    line = F.struct("path", F.concat_ws("=", "path", "content_hash").alias("line"))
+    joined = lambda rows, name: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(rows)), lambda x: x[name]), "\n"), 256)
+    parts = files.groupBy(by, F.substring(F.sha2("path", 256), 1, 3).alias("part")).agg(joined(line, "line").alias("hash"))
+    return parts.groupBy(by).agg(joined(F.struct("part", "hash"), "hash").alias("manifest"))

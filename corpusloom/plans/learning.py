@@ -21,7 +21,7 @@ PRICE_SQL = "prices(usage_type, since, micro) AS (VALUES " + ", ".join(f"('{a}',
 #: Prerequisites: source comes before target.
 PREREQUISITES = [("signup", "view"), ("view", "click"), ("click", "purchase"), ("signup", "purchase")]
 PRE_SQL = "pre(source, target) AS (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in PREREQUISITES) + ")"
-REPLAY_SQL = MASTERY_SQL + ", folded AS (SELECT profile, concept, list_reduce(list_prepend(500, list(delta ORDER BY ts, event_id)), lambda a, x: least(greatest(a + x, 0), 1000)) AS score, count(*) AS n FROM mastery GROUP BY 1, 2)"
+REPLAY_SQL = MASTERY_SQL + ", folded AS (SELECT profile, concept, list_reduce(list_prepend(500, list(delta ORDER BY ts, event_id)), lambda a, x: least(greatest(a + x, 0), 1000)) AS score, list_reduce(list_prepend(350, list(confidence_delta ORDER BY ts, event_id)), lambda a, x: least(greatest(a + x, 0), 1000)) AS confidence, count(*) AS n FROM mastery GROUP BY 1, 2)"
 
 
 # -- ledger ------------------------------------------------------------------------------------
@@ -46,12 +46,12 @@ def led1_reserve(t: Tables) -> DataFrame:
     return u.select("org").distinct().join(granted, "org", "left").select("org", F.coalesce("used", F.lit(0)).alias("used"))
 
 
-@query(f"WITH {USAGE_SQL}, m AS (SELECT max(ts) AS now FROM usage) SELECT event_id, CASE WHEN feature = 'view' AND ts < now - INTERVAL 7 DAY THEN 'released' WHEN feature = 'view' THEN 'pending' ELSE 'settled' END AS status FROM usage, m")
+@query(f"WITH {USAGE_SQL}, m AS (SELECT max(ts) - INTERVAL 2 DAY AS now FROM usage), r AS (SELECT event_id, micro, ts + INTERVAL 7 DAY AS expires_at, CASE WHEN feature IN ('view', 'click') THEN 'pending' ELSE 'settled' END AS status, CASE WHEN feature = 'click' THEN event_id END AS provider_request FROM usage), s AS (SELECT *, status = 'pending' AND expires_at <= now AND provider_request IS NULL AS stale FROM r, m) SELECT event_id, CASE WHEN stale THEN 'released' ELSE status END AS status, CASE WHEN stale THEN 0 ELSE micro END AS reserved FROM s")
 def led3_release_stale(t: Tables) -> DataFrame:
-    u = t.usage()
-    u = u.join(F.broadcast(u.agg(F.max("ts").alias("now"))))
-    old = F.col("ts") < F.col("now") - F.expr("INTERVAL 7 DAYS")
-    return u.select("event_id", F.when((F.col("feature") == "view") & old, "released").when(F.col("feature") == "view", "pending").otherwise("settled").alias("status"))
+    kind = F.col("feature")
+    r = t.usage().select("event_id", F.col("micro").alias("reserved"), (F.col("ts") + F.expr("INTERVAL 7 DAYS")).alias("expires_at"), F.when(kind.isin("view", "click"), "pending").otherwise("settled").alias("status"), F.when(kind == "click", F.col("event_id")).alias("provider_request"))
+    now = t.usage().agg((F.max("ts") - F.expr("INTERVAL 2 DAYS")).alias("now"))
+    return ld.release_stale(r.join(F.broadcast(now)), F.col("now")).select("event_id", "status", "reserved")
 
 
 @query(f"WITH {USAGE_SQL} SELECT org, greatest(0, 100000 + coalesce(sum(micro) FILTER (WHERE feature = 'signup'), 0) - coalesce(sum(micro) FILTER (WHERE feature = 'view'), 0) - coalesce(sum(micro) FILTER (WHERE feature = 'purchase'), 0)) AS remaining FROM usage GROUP BY 1")
@@ -61,12 +61,11 @@ def led4_remaining(t: Tables) -> DataFrame:
     return ld.remaining(book).select("org", "remaining")
 
 
-@query(f"WITH {USAGE_SQL}, m AS (SELECT date_trunc('month', max(ts)) AS e FROM usage) SELECT org, feature, count(*) AS n, count(*) >= 3 AS blocked FROM usage, m WHERE ts >= e - INTERVAL 1 MONTH AND ts < e GROUP BY 1, 2")
+@query(f"WITH {USAGE_SQL}, m AS (SELECT date_trunc('month', max(ts)) AS s, max(ts) AS now FROM usage) SELECT org, feature, count(*) FILTER (WHERE ts >= s AND ts < s + INTERVAL 1 MONTH) AS n, count(*) FILTER (WHERE ts > now - INTERVAL 1 HOUR) AS active, count(*) FILTER (WHERE ts >= s AND ts < s + INTERVAL 1 MONTH) >= 20 OR count(*) FILTER (WHERE ts > now - INTERVAL 1 HOUR) >= 2 AS blocked FROM usage, m GROUP BY 1, 2")
 def led5_feature_limit(t: Tables) -> DataFrame:
     u = t.usage()
-    end = F.broadcast(u.agg(F.date_trunc("month", F.max("ts")).cast("timestamp_ntz").alias("e")))
-    inside = u.join(end, (F.col("ts") >= F.col("e") - F.expr("INTERVAL 1 MONTH")) & (F.col("ts") < F.col("e")))
-    return inside.groupBy("org", "feature").agg(COUNT()).withColumn("blocked", F.col("n") >= 3)
+    m = F.broadcast(u.agg(F.date_trunc("month", F.max("ts")).cast("timestamp_ntz").alias("s"), F.max("ts").alias("now")))
+    return ld.feature_limits(u.join(m), F.col("s"), F.col("s") + F.expr("INTERVAL 1 MONTH"), 20, F.col("ts") > F.col("now") - F.expr("INTERVAL 1 HOUR"), 2)
 
 
 @query("WITH k AS (SELECT o_custkey, arg_max(o_orderkey, struct_pack(a := o_orderdate, b := o_orderkey)) FILTER (WHERE o_orderstatus = 'F') AS exact, arg_max(o_orderkey, struct_pack(a := o_orderdate, b := o_orderkey)) FILTER (WHERE o_orderstatus = 'O') AS base FROM orders GROUP BY 1) SELECT c_custkey, CASE WHEN exact IS NOT NULL THEN 'exact' WHEN base IS NOT NULL THEN 'incremental' ELSE 'full' END AS how, coalesce(exact, base) AS snapshot FROM customer LEFT JOIN k ON o_custkey = c_custkey")
@@ -78,7 +77,7 @@ def led6_snapshot_reuse(t: Tables) -> DataFrame:
 
 
 # -- learning ----------------------------------------------------------------------------------
-@query(f"WITH {REPLAY_SQL} SELECT profile, concept, score, n FROM folded")
+@query(f"WITH {REPLAY_SQL} SELECT profile, concept, score, confidence, n FROM folded")
 def win9_clamped_replay(t: Tables) -> DataFrame:
     return lr.replay(t.mastery())
 
@@ -88,12 +87,17 @@ def st5_mastery_states(t: Tables) -> DataFrame:
     return lr.replay(t.mastery()).groupBy("concept", lr.state(F.col("score")).alias("state")).agg(COUNT("profiles"))
 
 
-@query(f"WITH {REPLAY_SQL}, o AS (SELECT profile, concept, 500 AS score FROM mastery WHERE delta > 0 GROUP BY 1, 2) SELECT f.profile, f.concept, o.score AS before, f.score FROM folded f LEFT JOIN o USING (profile, concept) WHERE o.score IS DISTINCT FROM f.score")
+@query(f"WITH {REPLAY_SQL}, o AS (SELECT profile, concept, least(1000, 500 + 80 * count(*)) AS score, 430 AS confidence FROM mastery WHERE delta = 80 GROUP BY 1, 2), j AS (SELECT f.profile, f.concept, coalesce(o.score, 500) AS before, f.score, coalesce(o.confidence, 0) AS confidence_before, f.confidence FROM folded f LEFT JOIN o USING (profile, concept)) SELECT * FROM j WHERE before <> score OR confidence_before <> confidence")
 def st2_projection(t: Tables) -> DataFrame:
-    old = t.mastery().filter("delta > 0").select("profile", "concept").distinct().withColumn("score", F.lit(500))
+    old = t.mastery().filter("delta = 80").groupBy("profile", "concept").agg(F.least(F.lit(1000), 500 + 80 * F.count("*")).alias("score"), F.lit(430).alias("confidence"))
     return lr.project(old, lr.replay(t.mastery()).drop("n"), ["profile", "concept"])
 
 
+@query("WITH d(event_type, a, b) AS (VALUES ('signup', 80, 80), ('view', 80, 80), ('click', -60, 80), ('purchase', 120, 150), ('error', -80, 120)) SELECT user_id, sum(a) AS score, sum(b) AS confidence FROM events JOIN d USING (event_type) GROUP BY 1")
+def st1_event_deltas(t: Tables) -> DataFrame:
+    return t.mastery().groupBy(F.col("profile").alias("user_id")).agg(F.sum("delta").alias("score"), F.sum("confidence_delta").alias("confidence"))
+
+
 @query("SELECT event_type, count(*) AS n, sum(CASE event_type WHEN 'view' THEN 8 WHEN 'click' THEN -6 WHEN 'purchase' THEN 12 ELSE -8 END) AS total FROM events GROUP BY 1")
 def st3_delta_constants(t: Tables) -> DataFrame:
     delta = F.when(F.col("event_type") == "view", 8).when(F.col("event_type") == "click", -6).when(F.col("event_type") == "purchase", 12).otherwise(-8)
@@ -142,7 +146,7 @@ def st11_recommendation(t: Tables) -> DataFrame:
     return lr.recommend(e.join(p, "score")).select("profile", "title", "rank")
 
 
-@query()
+@query("WITH k AS (SELECT user_id AS profile, ts, event_id, CASE event_type WHEN 'error' THEN 'needs_help' WHEN 'purchase' THEN 'understood' ELSE 'opened' END AS kind FROM events) SELECT profile, count(*) FILTER (WHERE kind = 'opened') AS opened, count(*) FILTER (WHERE kind = 'understood') AS understood, count(*) FILTER (WHERE kind = 'needs_help') AS help, list_reduce(list_prepend(2, list(CASE kind WHEN 'needs_help' THEN -1 WHEN 'understood' THEN 1 ELSE 0 END ORDER BY ts, event_id)), lambda a, x: least(greatest(a + x, 0), 2)) AS style FROM k GROUP BY 1")
 def st6_progress_fold(t: Tables) -> DataFrame:
     kind = F.when(F.col("event_type") == "error", "needs_help").when(F.col("event_type") == "purchase", "understood").otherwise("opened")
     return lr.reduce_progress(t.events.select(F.col("user_id").alias("profile"), "ts", "event_id", kind.alias("kind")))

@@ -90,10 +90,10 @@ def fil4_validity(t: Tables) -> DataFrame:
     return p.join(F.broadcast(now), (F.col("since") <= F.col("now")) & (F.col("until").isNull() | (F.col("until") > F.col("now")))).select("o_orderkey")
 
 
-@query("SELECT event_type, count(*) AS n FROM events, (SELECT date_trunc('month', max(ts)) AS e FROM events) m WHERE ts >= e - INTERVAL 1 MONTH AND ts < e GROUP BY 1")
+@query("SELECT event_type, count(*) AS n FROM events, (SELECT date_trunc('day', max(ts)) AS e FROM events) m WHERE ts >= e - INTERVAL 1 DAY AND ts < e GROUP BY 1")
 def fil5_half_open_period(t: Tables) -> DataFrame:
-    end = t.events.agg(F.date_trunc("month", F.max("ts")).cast("timestamp_ntz").alias("e"))
-    return t.events.join(F.broadcast(end), (F.col("ts") >= F.col("e") - F.expr("INTERVAL 1 MONTH")) & (F.col("ts") < F.col("e"))).groupBy("event_type").agg(COUNT())
+    end = t.events.agg(F.date_trunc("day", F.max("ts")).cast("timestamp_ntz").alias("e"))
+    return t.events.join(F.broadcast(end), (F.col("ts") >= F.col("e") - F.expr("INTERVAL 1 DAY")) & (F.col("ts") < F.col("e"))).groupBy("event_type").agg(COUNT())
 
 
 @query(f"WITH {FILES_SQL} SELECT path, regexp_matches(lower(path), '(^|/)src1[0-9]?/|\\.de$') AS noise FROM files")
@@ -282,11 +282,9 @@ def agg17_reuse(t: Tables) -> DataFrame:
     return t.documents.agg(COUNT("total"), d.alias("distinct_texts"), (F.count("*") - d).alias("reused"))
 
 
-@query(f"WITH {FILES_SQL} SELECT language, sha256(string_agg(path || '=' || content_hash, chr(10) ORDER BY path)) AS manifest FROM files GROUP BY 1")
+@query(f"WITH {FILES_SQL}, b AS (SELECT language, sha256(path)[1:3] AS part, sha256(string_agg(path || '=' || content_hash, chr(10) ORDER BY path)) AS hash FROM files GROUP BY 1, 2) SELECT language, sha256(string_agg(hash, chr(10) ORDER BY part)) AS manifest FROM b GROUP BY 1")
 def agg19_manifest_hash(t: Tables) -> DataFrame:
-    line = F.struct("path", F.concat_ws("=", "path", "content_hash").alias("line"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"]), "\n")
-    return t.files().groupBy("language").agg(F.sha2(joined, 256).alias("manifest"))
+    return op.manifest_hash(t.files(), "language")
 
 
 @query(f"WITH {USAGE_SQL}, m AS (SELECT max(ts) AS now FROM usage) SELECT count(*) FILTER (WHERE feature = 'view') AS pending, count(*) FILTER (WHERE feature = 'view' AND ts < now - INTERVAL 7 DAY) AS stale, coalesce(sum(micro) FILTER (WHERE feature = 'purchase'), 0) AS settled, count(*) FILTER (WHERE feature = 'error') AS invalid FROM usage, m")

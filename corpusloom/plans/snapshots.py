@@ -12,8 +12,17 @@ from .registry import Registry
 query = Registry()
 DIFF_SQL = MANIFEST_SQL + """, j AS (SELECT coalesce(c.path, b.path) AS path, CASE WHEN b.path IS NULL THEN 'added' WHEN c.path IS NULL THEN 'deleted' WHEN b.content_hash = c.content_hash THEN 'unchanged' ELSE 'modified' END AS change,
  coalesce(c.content_hash, b.content_hash) AS hash, coalesce(c.language, b.language) AS language, coalesce(c.byte_size, b.byte_size) AS byte_size FROM curr c FULL JOIN base b ON b.path = c.path),
-n AS (SELECT *, row_number() OVER (PARTITION BY hash, change ORDER BY path) AS nth FROM j WHERE change IN ('added', 'deleted')),
-ren AS (SELECT a.path, d.path AS old_path, a.language, a.byte_size FROM n a JOIN n d ON a.change = 'added' AND d.change = 'deleted' AND a.hash = d.hash AND a.nth = d.nth),
+n0 AS (SELECT * FROM j WHERE change IN ('added', 'deleted')),
+k0 AS (SELECT *, regexp_extract(path, '[^/]*$') AS alike, row_number() OVER (PARTITION BY hash, change, regexp_extract(path, '[^/]*$') ORDER BY path) AS nth FROM n0),
+r0 AS (SELECT a.path, d.path AS old_path, a.language, a.byte_size FROM k0 a JOIN k0 d ON a.change = 'added' AND d.change = 'deleted' AND a.hash = d.hash AND a.alike = d.alike AND a.nth = d.nth),
+n1 AS (SELECT * FROM n0 WHERE path NOT IN (SELECT path FROM r0 UNION ALL SELECT old_path FROM r0)),
+k1 AS (SELECT *, regexp_replace(path, '[^/]*$', '') AS alike, row_number() OVER (PARTITION BY hash, change, regexp_replace(path, '[^/]*$', '') ORDER BY path) AS nth FROM n1),
+r1 AS (SELECT a.path, d.path AS old_path, a.language, a.byte_size FROM k1 a JOIN k1 d ON a.change = 'added' AND d.change = 'deleted' AND a.hash = d.hash AND a.alike = d.alike AND a.nth = d.nth),
+n2 AS (SELECT * FROM n1 WHERE path NOT IN (SELECT path FROM r1 UNION ALL SELECT old_path FROM r1)),
+k2 AS (SELECT *, '' AS alike, row_number() OVER (PARTITION BY hash, change, '' ORDER BY path) AS nth FROM n2),
+r2 AS (SELECT a.path, d.path AS old_path, a.language, a.byte_size FROM k2 a JOIN k2 d ON a.change = 'added' AND d.change = 'deleted' AND a.hash = d.hash AND a.alike = d.alike AND a.nth = d.nth),
+n3 AS (SELECT * FROM n2 WHERE path NOT IN (SELECT path FROM r2 UNION ALL SELECT old_path FROM r2)),
+ren AS (SELECT * FROM r0 UNION ALL SELECT * FROM r1 UNION ALL SELECT * FROM r2),
 changes AS (SELECT path, NULL AS old_path, change, language, byte_size FROM j WHERE path NOT IN (SELECT path FROM ren UNION ALL SELECT old_path FROM ren) UNION ALL SELECT path, old_path, 'renamed', language, byte_size FROM ren),
 dirty AS (SELECT path FROM changes WHERE change <> 'unchanged' UNION SELECT old_path FROM changes WHERE old_path IS NOT NULL)"""
 
@@ -69,21 +78,68 @@ def gr2_boundary_expansion(t: Tables) -> DataFrame:
     return graph.boundary_expansion(snapshot.dirty(changes(t)), t.files(), r"^1[0-9]*2\.")
 
 
-@query(f"WITH {EDGES_SQL}, one AS (SELECT DISTINCT source, target FROM edges WHERE relation = 'RF' AND confidence >= 95), s AS (SELECT s_suppkey AS o FROM supplier WHERE s_acctbal < -800), d1 AS (SELECT DISTINCT o, target AS node FROM s JOIN one ON source = o), d2 AS (SELECT DISTINCT o, one.target AS node FROM d1 JOIN one ON source = node), d3 AS (SELECT DISTINCT o, one.target AS node FROM d2 JOIN one ON source = node) SELECT o AS origin, node, min(d) AS depth FROM (SELECT o, node, 1 AS d FROM d1 UNION ALL SELECT o, node, 2 FROM d2 UNION ALL SELECT o, node, 3 FROM d3) WHERE node <> o GROUP BY 1, 2")
+@query(f"WITH {EDGES_SQL}, one AS (SELECT DISTINCT source, target FROM edges WHERE relation = 'RF'), s AS (SELECT s_suppkey AS o FROM supplier WHERE s_acctbal < -800), d1 AS (SELECT DISTINCT o, target AS node FROM s JOIN one ON source = o), d2 AS (SELECT DISTINCT o, one.target AS node FROM d1 JOIN one ON source = node), d3 AS (SELECT DISTINCT o, one.target AS node FROM d2 JOIN one ON source = node) SELECT o AS origin, node, min(d) AS depth FROM (SELECT o, node, 1 AS d FROM d1 UNION ALL SELECT o, node, 2 FROM d2 UNION ALL SELECT o, node, 3 FROM d3) WHERE node <> o GROUP BY 1, 2")
 def gr3_bounded_reach(t: Tables) -> DataFrame:
     sources = t.supplier.filter("s_acctbal < -800").select(F.col("s_suppkey").alias("source"))
-    return graph.reach(t.edges().filter("relation = 'RF' and confidence >= 95"), sources, 3)
+    return graph.reach(t.edges().filter("relation = 'RF'"), sources, 3)
 
 
-@query(f"WITH {EDGES_SQL}, f AS (SELECT DISTINCT source, target, confidence, relation FROM edges WHERE confidence = 100), c AS (SELECT a.source AS origin, a.target AS handler, b.target AS route, d.target AS effect, least(a.confidence, b.confidence, d.confidence) AS confidence FROM f a JOIN f b ON b.source = a.target AND b.relation = 'NF' JOIN f d ON d.source = b.target AND d.relation = 'AF' WHERE a.relation = 'NF') SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY origin ORDER BY confidence DESC, handler, route, effect) AS rank FROM c) WHERE rank <= 3")
+#: Roles of the relations in a flow: what triggers it, what it requests, what it has for an effect, and what fails.
+FLOW_SQL = """picked AS (SELECT source, relation, arg_min(target, k) AS target, arg_min(confidence, k) AS confidence, arg_min(line, k) AS line FROM (SELECT *, struct_pack(a := -confidence, b := line, c := target) AS k FROM edges WHERE source <> target) GROUP BY 1, 2),
+trig AS (SELECT source AS origin, target AS handler, confidence AS c1, line FROM edges WHERE relation = 'NF' AND source <> target),
+flows AS (SELECT t.origin, t.handler, q.target AS route, e.target AS effect, t.c1, q.confidence AS c2, e.confidence AS c3, t.line FROM trig t LEFT JOIN picked q ON q.source = t.handler AND q.relation = 'RF' AND q.confidence >= 80 LEFT JOIN picked e ON e.source = q.target AND e.relation = 'AF' AND e.confidence >= 80),
+rated AS (SELECT origin, handler, route, effect, CASE WHEN effect IS NOT NULL THEN 4 WHEN route IS NOT NULL THEN 3 ELSE 1 END AS reach, least(c1, coalesce(c2, 100), coalesce(c3, 100)) AS lowest, least(c1, coalesce(c2, 100)) AS gate, line FROM flows),
+ranked AS (SELECT origin, handler, route, effect, reach, lowest, CASE WHEN route IS NOT NULL AND gate >= 90 THEN 'verified' WHEN gate >= 65 THEN 'inferred' ELSE 'unknown' END AS confidence, row_number() OVER (PARTITION BY origin ORDER BY reach DESC, lowest DESC, handler, line) AS rank FROM rated)"""
+RELATIONS = {"trigger": "NF", "request": "RF", "effect": "AF"}
+
+
+@query(f"WITH {EDGES_SQL}, {FLOW_SQL} SELECT origin, handler, route, effect, lowest, rank FROM ranked WHERE rank <= 3")
 def gr5_flow_assembly(t: Tables) -> DataFrame:
-    return graph.flows(t.edges().filter("confidence = 100"), "NF", "NF", "AF", ["AF", "NF"])
+    return graph.flows(t.edges(), **RELATIONS, least=80).select("origin", "handler", "route", "effect", "lowest", "rank")
+
+
+@query(f"WITH {EDGES_SQL}, {FLOW_SQL} SELECT reach, count(*) AS n, min(lowest) AS lowest FROM ranked WHERE rank <= 3 GROUP BY 1")
+def gr8_flow_rank(t: Tables) -> DataFrame:
+    return graph.flows(t.edges(), **RELATIONS, least=80).groupBy("reach").agg(F.count("*").alias("n"), F.min("lowest").alias("lowest"))
+
+
+@query(f"WITH {EDGES_SQL}, {FLOW_SQL} SELECT origin, handler, confidence FROM ranked WHERE rank <= 3")
+def gr9_flow_confidence(t: Tables) -> DataFrame:
+    return graph.flows(t.edges(), **RELATIONS, least=80).select("origin", "handler", "confidence")
+
+
+@query(f"""WITH {EDGES_SQL}, entry AS (SELECT s_suppkey AS origin FROM supplier ORDER BY CASE WHEN s_nationkey < 5 THEN 0 ELSE 1 END, s_suppkey LIMIT 3), one AS (SELECT DISTINCT source, target FROM edges WHERE relation = 'RF' AND source <> target),
+d1 AS (SELECT origin, target AS node FROM entry JOIN one ON source = origin), d2 AS (SELECT origin, one.target AS node FROM d1 JOIN one ON source = node),
+near AS (SELECT origin, node, min(d) AS depth FROM (SELECT *, 1 AS d FROM d1 UNION ALL SELECT *, 2 FROM d2) WHERE node <> origin GROUP BY 1, 2),
+steps AS (SELECT origin, origin AS node, 1 AS ordinal FROM entry UNION ALL SELECT origin, node, 1 + row_number() OVER (PARTITION BY origin ORDER BY node) FROM near) SELECT origin, node, ordinal FROM steps WHERE ordinal <= 7""")
+def gr6_library_flow(t: Tables) -> DataFrame:
+    nodes = t.supplier.select(F.col("s_suppkey").alias("node"), (F.col("s_nationkey") < 5).alias("preferred"))
+    return graph.library_flows(nodes, t.edges().filter("relation = 'RF' and source <> target"))
+
+
+@query(f"""WITH {EDGES_SQL}, origins AS (SELECT s_suppkey AS origin FROM supplier), one AS (SELECT DISTINCT source, target FROM edges WHERE relation = 'RF' AND confidence >= 95 AND source <> target),
+inside AS (SELECT origin, origin AS node FROM origins UNION SELECT source, target FROM one),
+f AS (SELECT DISTINCT i.origin, e.source, e.target, e.line FROM inside i JOIN edges e ON e.source = i.node AND e.relation = 'AF')
+SELECT origin, source, target, line, rank FROM (SELECT *, row_number() OVER (PARTITION BY origin ORDER BY line, source, target) AS rank FROM f) WHERE rank <= 3""")
+def gr7_failure_steps(t: Tables) -> DataFrame:
+    calls = t.edges().filter("relation = 'RF' and confidence >= 95 and source <> target")
+    origins = t.supplier.select(F.col("s_suppkey").alias("source"))
+    near = graph.reach(calls, origins, 1).select("origin", "node").unionByName(origins.select(F.col("source").alias("origin"), F.col("source").alias("node")))
+    return graph.failures(near, t.edges().filter("relation = 'AF'"))
+
+
+BOUNDED_SQL = """n AS (SELECT s_suppkey AS node, s_nationkey AS layer, CAST(round(s_acctbal * 100) AS BIGINT) AS score FROM supplier),
+c AS (SELECT node FROM (SELECT *, row_number() OVER (PARTITION BY layer ORDER BY score DESC, node) AS k FROM n) ORDER BY CASE WHEN k <= 2 THEN 0 ELSE 1 END, score DESC, node LIMIT 34),
+bounded AS (SELECT source, target, relation, max(confidence) AS confidence FROM edges WHERE source <> target AND source IN (SELECT node FROM c) AND target IN (SELECT node FROM c) GROUP BY 1, 2, 3 ORDER BY confidence DESC, source, target, relation LIMIT 48)"""
+
+
+def scored_nodes(t: Tables) -> DataFrame:
+    return t.supplier.select(F.col("s_suppkey").alias("node"), F.col("s_nationkey").alias("layer"), F.round(F.col("s_acctbal") * 100).cast("bigint").alias("score"))
 
 
-@query(f"WITH {EDGES_SQL}, n AS (SELECT s_suppkey AS node, s_nationkey AS layer, CAST(round(s_acctbal * 100) AS BIGINT) AS score FROM supplier), c AS (SELECT node FROM (SELECT *, row_number() OVER (PARTITION BY layer ORDER BY score DESC, node) AS k FROM n) ORDER BY CASE WHEN k <= 2 THEN 0 ELSE 1 END, score DESC, node LIMIT 34) SELECT source, target, relation, max(confidence) AS confidence FROM edges WHERE source <> target AND source IN (SELECT node FROM c) AND target IN (SELECT node FROM c) GROUP BY 1, 2, 3 ORDER BY confidence DESC, source, target, relation LIMIT 48")
+@query(f"WITH {EDGES_SQL}, {BOUNDED_SQL} SELECT source, target, relation, confidence FROM bounded")
 def gr10_bounded_graph(t: Tables) -> DataFrame:
-    nodes = t.supplier.select(F.col("s_suppkey").alias("node"), F.col("s_nationkey").alias("layer"), F.round(F.col("s_acctbal") * 100).cast("bigint").alias("score"))
-    return graph.select_graph(nodes, t.edges())
+    return graph.select_graph(scored_nodes(t), t.edges())
 
 
 @query(f"WITH {EDGES_SQL} SELECT relation, count(*) AS n FROM edges e WHERE relation <> 'NO' OR NOT EXISTS (SELECT 1 FROM edges x WHERE x.source = e.source AND x.target = e.target AND x.relation <> 'NO') GROUP BY 1")
@@ -91,9 +147,9 @@ def gr11_suppress_weaker(t: Tables) -> DataFrame:
     return graph.without_weaker(t.edges(), "NO").groupBy("relation").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {EDGES_SQL}, b AS (SELECT source AS node, 'out' AS side, relation FROM edges WHERE confidence = 50 UNION SELECT target, 'in', relation FROM edges WHERE confidence = 50) SELECT node, coalesce(string_agg(relation, ',' ORDER BY relation) FILTER (WHERE side = 'in'), '') AS ins, coalesce(string_agg(relation, ',' ORDER BY relation) FILTER (WHERE side = 'out'), '') AS outs FROM b GROUP BY node")
+@query(f"WITH {EDGES_SQL}, b AS (SELECT source AS node, 'out' AS side, relation FROM edges UNION SELECT target, 'in', relation FROM edges) SELECT node, coalesce(string_agg(relation, ',' ORDER BY relation) FILTER (WHERE side = 'in'), '') AS ins, coalesce(string_agg(relation, ',' ORDER BY relation) FILTER (WHERE side = 'out'), '') AS outs FROM b GROUP BY node")
 def gr12_in_out_labels(t: Tables) -> DataFrame:
-    return graph.labels_in_out(t.edges().filter("confidence = 50"))
+    return graph.labels_in_out(t.edges())
 
 
 @query(f"WITH {EDGES_SQL} SELECT e.source, coalesce(s.s_name, 'external:' || e.target) AS target_name, count(*) AS n FROM edges e LEFT JOIN supplier s ON s.s_suppkey = e.target AND s.s_acctbal > 0 GROUP BY 1, 2")
@@ -134,10 +190,10 @@ def gr19_validation(t: Tables) -> DataFrame:
     return graph.validation(t.supplier.filter("s_acctbal > -500").select(F.col("s_suppkey").alias("node")), t.edges())
 
 
-@query(f"WITH {EDGES_SQL} SELECT s_nationkey AS layer, 'flowchart LR' || chr(10) || string_agg('  n' || source || ' -->|' || relation || '| n' || target, chr(10) ORDER BY source, target, relation) AS text FROM edges JOIN supplier ON s_suppkey = source WHERE confidence = 100 AND relation = 'RF' GROUP BY 1")
+@query(f"WITH {EDGES_SQL}, {BOUNDED_SQL} SELECT s_nationkey AS layer, 'flowchart LR' || chr(10) || string_agg('  n' || source || ' -->|' || relation || '| n' || target, chr(10) ORDER BY source, target, relation) AS text FROM bounded JOIN supplier ON s_suppkey = source GROUP BY 1")
 def snk6_mermaid(t: Tables) -> DataFrame:
     layer = t.supplier.select(F.col("s_suppkey").alias("node"), F.col("s_nationkey").alias("layer"))
-    return graph.mermaid(t.edges().filter("confidence = 100 and relation = 'RF'"), layer)
+    return graph.mermaid(graph.select_graph(scored_nodes(t), t.edges()), layer)
 
 
 # -- intervals over documents' lines -----------------------------------------------------------

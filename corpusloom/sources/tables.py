@@ -46,9 +46,9 @@ class Tables:
         return rows.groupBy("source", "target", "relation").agg(F.max("confidence").alias("confidence"), F.min("line").alias("line"))
 
     def manifests(self) -> tuple[DataFrame, DataFrame]:
-        """Two snapshots of the files: some added, deleted, changed and renamed since the first. Hashes hold the id, so a rename has one candidate."""
+        """Two snapshots of the files: some added, deleted, changed and renamed since the first. Copies have one hash, so renames compete."""
         f = self.files().select("file_id", "path", "language", "byte_size", "content_hash")
-        own = F.concat_ws(":", "content_hash", "file_id")
+        own = F.col("content_hash")
         kind = F.col("file_id") % 10
         base = f.filter(kind != 0).select("path", own.alias("content_hash"), "language", "byte_size")
         changed = F.when(kind == 2, F.concat(own, F.lit("+"))).otherwise(own)
@@ -60,13 +60,13 @@ class Tables:
         return self.events.select("event_id", F.col("user_id").alias("org"), F.col("event_type").alias("feature"), "ts", F.round(F.col("value") * 100).cast("bigint").alias("micro"))
 
     def mastery(self) -> DataFrame:
-        """Events as learning events: profile, concept, order and a delta in thousandths."""
-        delta = F.create_map(*[F.lit(x) for pair in MASTERY_DELTA.items() for x in pair])
-        return self.events.select("event_id", F.col("user_id").alias("profile"), F.col("event_type").alias("concept"), "ts", delta[F.col("event_type")].alias("delta"))
+        """Events as learning events: profile, concept, order and what they add to score and confidence in thousandths."""
+        pick = lambda i: F.create_map(*[F.lit(x) for kind, deltas in MASTERY_DELTA.items() for x in (kind, deltas[i])])[F.col("event_type")]
+        return self.events.select("event_id", F.col("user_id").alias("profile"), F.col("event_type").alias("concept"), "ts", pick(0).alias("delta"), pick(1).alias("confidence_delta"))
 
 
-#: Thousandths a learning event adds to a score, by event type.
-MASTERY_DELTA = {"signup": 80, "purchase": 120, "view": 80, "click": -60, "error": -80}
+#: Thousandths a learning event adds to a score and to its confidence, by event type.
+MASTERY_DELTA = {"signup": (80, 80), "purchase": (120, 150), "view": (80, 80), "click": (-60, 80), "error": (-80, 120)}
 
 #: The views in DuckDB SQL, to stand before a query.
 FILES_SQL = """files AS (SELECT doc_id AS file_id, source || '/' || doc_id || '.' || lang AS path, lang AS language, text AS content,
@@ -75,9 +75,10 @@ FILES_SQL = """files AS (SELECT doc_id AS file_id, source || '/' || doc_id || '.
 EDGES_SQL = """edges AS (SELECT source, target, relation, max(confidence) AS confidence, min(line) AS line FROM (
   SELECT l_suppkey AS source, l_partkey % (SELECT count(*) FROM supplier) + 1 AS target, l_returnflag || l_linestatus AS relation,
     100 - 5 * CAST(round(l_discount * 100) AS INTEGER) AS confidence, l_orderkey AS line FROM lineitem) GROUP BY 1, 2, 3)"""
-MANIFEST_SQL = FILES_SQL + """, own AS (SELECT *, content_hash || ':' || file_id AS h, file_id % 10 AS kind FROM files),
+MANIFEST_SQL = FILES_SQL + """, own AS (SELECT *, content_hash AS h, file_id % 10 AS kind FROM files),
 base AS (SELECT path, h AS content_hash, language, byte_size FROM own WHERE kind <> 0),
 curr AS (SELECT CASE WHEN kind = 3 THEN 'new/' || path ELSE path END AS path, CASE WHEN kind = 2 THEN h || '+' ELSE h END AS content_hash,
   language, byte_size + CASE WHEN kind = 2 THEN 1 ELSE 0 END AS byte_size FROM own WHERE kind <> 1)"""
 USAGE_SQL = "usage AS (SELECT event_id, user_id AS org, event_type AS feature, ts, CAST(round(value * 100) AS BIGINT) AS micro FROM events)"
-MASTERY_SQL = "mastery AS (SELECT event_id, user_id AS profile, event_type AS concept, ts, CASE event_type " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in MASTERY_DELTA.items()) + " END AS delta FROM events)"
+_MASTERY_CASE = [" ".join(f"WHEN '{k}' THEN {v[i]}" for k, v in MASTERY_DELTA.items()) for i in (0, 1)]
+MASTERY_SQL = f"mastery AS (SELECT event_id, user_id AS profile, event_type AS concept, ts, CASE event_type {_MASTERY_CASE[0]} END AS delta, CASE event_type {_MASTERY_CASE[1]} END AS confidence_delta FROM events)"
