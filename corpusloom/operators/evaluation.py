@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -24,6 +24,67 @@ def set_quality(actual: DataFrame, gold: DataFrame, key: list[str]) -> DataFrame
     return both.withColumns({"recall": ratio("expected"), "precision": ratio("found")})
 
 
+def read_gold(spark: SparkSession, path: str) -> DataFrame:
+    """``query_id, query, expected`` of a gold set in JSON lines: each case has id, query and expected_any, a list of paths."""
+    cases = spark.read.schema("id bigint, query string, expected_any array<struct<path: string>>").json(path)
+    return cases.select(F.col("id").alias("query_id"), "query", F.explode("expected_any").alias("e")).select("query_id", "query", F.col("e.path").alias("expected"))
+
+
+def matched_flows(gold: DataFrame, actual: DataFrame) -> DataFrame:
+    """``gold_id, actual_id`` one to one: greedy by coverage of the gold flow's steps, then by how many, then by ids.
+
+    Only flows that share a step can be matched, so pairs come from a join on steps.
+    """
+    size = gold.groupBy("gold_id").agg(F.count_distinct("step").alias("size"))
+    shared = gold.select("gold_id", "step").distinct().join(actual.select("actual_id", "step").distinct(), "step").groupBy("gold_id", "actual_id").agg(F.count("*").alias("overlap"))
+    score = F.round(F.col("overlap") / F.col("size"), 9) * 1_000_000 + F.col("overlap") / 1_000_000
+    pairs = shared.join(size, "gold_id").select(F.col("gold_id").alias("left"), F.col("actual_id").alias("right"), score.alias("score"))
+    return greedy_matching(pairs).select(F.col("left").alias("gold_id"), F.col("right").alias("actual_id"))
+
+
+def flow_quality(gold: DataFrame, actual: DataFrame, pairs: DataFrame, least: float = 1.0) -> DataFrame:
+    """``features, feature_recall, step_recall, verified_precision`` of flows matched by ``pairs``.
+
+    A gold flow is found if its match has ``least`` of its steps; a verified step is right if its
+    flow's match expects it.
+    """
+    seen = actual.select("actual_id", "step").distinct().withColumn("hit", F.lit(1))
+    each = gold.join(pairs, "gold_id", "left").join(seen, ["actual_id", "step"], "left").groupBy("gold_id").agg(F.count("*").alias("expected"), F.count("hit").alias("hit"))
+    ratio = lambda a, b: F.round(a / F.greatest(b, F.lit(1)), 4)
+    recall = each.agg(F.count("*").alias("features"), ratio(F.count_if(F.col("hit") >= F.lit(least) * F.col("expected")), F.count("*")).alias("feature_recall"), ratio(F.sum("hit"), F.sum("expected")).alias("step_recall"))
+    right = gold.join(pairs, "gold_id").select("actual_id", "step").distinct().withColumn("ok", F.lit(1))
+    precision = actual.filter("verified").join(right, ["actual_id", "step"], "left").agg(ratio(F.count("ok"), F.count("*")).alias("verified_precision"))
+    return recall.join(F.broadcast(precision))
+
+
+def story_quality(roles: DataFrame, gold: DataFrame, low: int = 3, high: int = 12) -> DataFrame:
+    """Recall and verified precision of roles (id, verified, filled, fields, generic) against gold ids, their narrative, and whether their number is in order."""
+    known = gold.select("id").distinct().withColumn("gold", F.lit(True))
+    both = roles.withColumn("role", F.lit(True)).join(known, "id", "full")
+    ratio = lambda a, b: F.round(a / F.greatest(b, F.lit(1)), 4)
+    n, role, gold_too = F.count("role"), F.col("role").isNotNull(), F.col("gold").isNotNull()
+    return both.agg(
+        ratio(F.count_if(role & gold_too), F.count("gold")).alias("role_recall"),
+        ratio(F.count_if(F.col("verified") & gold_too), F.count_if(F.col("verified"))).alias("verified_role_precision"),
+        ratio(F.sum("filled"), F.sum("fields")).alias("narrative_coverage"),
+        ratio(F.count_if(F.col("generic")), n).alias("generic_ratio"),
+        ((n >= low) & (n <= high)).alias("count_compliant"),
+    )
+
+
+def confidence_counts(payload: Column) -> dict[str, Column]:
+    """How often each confidence stands in a JSON text, at any depth."""
+    found = lambda name: F.regexp_count(payload, F.lit(f'"confidence"\\s*:\\s*"{name}"')).cast("bigint")
+    return {name: found(name) for name in ("verified", "inferred", "unknown")}
+
+
+def dependency_fingerprint(evidence: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
+    """A hash of each key's distinct pieces of evidence, in order; a key is one artifact, whose evidence fits a row."""
+    piece = F.concat_ws("|", *[F.col(c).cast("string") for c in columns])
+    joined = F.array_join(F.array_sort(F.collect_set(piece)), "\n")
+    return evidence.groupBy(*key).agg(F.concat(F.lit("sha256:"), F.sha2(joined, 256)).alias("fingerprint"))
+
+
 def gate(report: DataFrame, at_least: Mapping[str, float], at_most: Mapping[str, float]) -> DataFrame:
     """Whether every metric of the one-row report is within its threshold."""
     ok = F.lit(True)

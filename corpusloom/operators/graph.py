@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import written
-from .relational import best_per_key, ranked_fill
+from .relational import best_per_key, ranked_fill, top_per_key
 
 
 def closure(edges: DataFrame, start: DataFrame, node: str = "node", reverse: bool = True, rounds: int = 1000) -> DataFrame:
@@ -155,7 +155,11 @@ def library_flows(nodes: DataFrame, calls: DataFrame, entries: int = 3, steps: i
 
 
 def failures(near: DataFrame, raises: DataFrame, limit: int = 3) -> DataFrame:
-    """``origin, source, target, line, rank``: the first few distinct raising edges in what an origin (origin, node) reaches."""
-    found = near.select("origin", F.col("node").alias("source")).distinct().join(raises.select("source", "target", "line").distinct(), "source")
+    """``origin, source, target, line, rank``: the first few distinct raising edges in what an origin (origin, node) reaches.
+
+    Of a node's edges only the first few can be among an origin's, so no more are joined.
+    """
+    first = top_per_key(raises.select("source", "target", "line").distinct(), ["source"], [F.col("line"), F.col("target")], limit, "_n").drop("_n")
+    found = near.select("origin", F.col("node").alias("source")).distinct().join(first, "source")
     w = Window.partitionBy("origin").orderBy("line", "source", "target")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit).select("origin", "source", "target", "line", "rank")

@@ -124,3 +124,19 @@ def manifest_hash(files: DataFrame, by: str) -> DataFrame:
     joined = lambda rows, name: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(rows)), lambda x: x[name]), "\n"), 256)
     parts = files.groupBy(by, F.substring(F.sha2("path", 256), 1, 3).alias("part")).agg(joined(line, "line").alias("hash"))
     return parts.groupBy(by).agg(joined(F.struct("part", "hash"), "hash").alias("manifest"))
+
+
+def replace_partitions(rows: DataFrame, path: str, by: str) -> None:
+    """Write rows so that they take the place of what the table at ``path`` has of their partitions; other partitions stay, as does one that has no new rows."""
+    rows.write.partitionBy(by).option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
+
+
+def unexpired(rows: DataFrame, now: Column) -> DataFrame:
+    """Rows without those that have expired and were never hit."""
+    return rows.filter(~((F.col("expires_at") < now) & (F.col("hit_count") == 0)))
+
+
+def get_or_create(wanted: DataFrame, existing: DataFrame, key: Sequence[str], value: str, made: Column) -> DataFrame:
+    """Each wanted key with the existing value, or the made one; ``created`` tells which."""
+    joined = wanted.join(existing.select(*key, value), list(key), "left")
+    return joined.select(*key, F.coalesce(F.col(value), made).alias(value), F.col(value).isNull().alias("created"))

@@ -197,27 +197,12 @@ def join20_greedy_matching(t: Tables) -> DataFrame:
 
 
 # -- composites --------------------------------------------------------------------------------
-@query("WITH c AS (SELECT source, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY CASE WHEN lang = 'en' THEN 0 ELSE 1 END, doc_id) AS n FROM documents) SELECT source, doc_id FROM c WHERE n <= 3")
-def cp3_system_areas(t: Tables) -> DataFrame:
-    return op.top_per_key(t.documents.select("source", "doc_id", "lang"), ["source"], [F.when(F.col("lang") == "en", 0).otherwise(1), F.asc("doc_id")], 3).select("source", "doc_id")
-
-
-@query(f"WITH {FILES_SQL} SELECT language, arg_min(path, line_count * 1000000000 + file_id) AS path FROM files GROUP BY 1")
-def cp6_read_first(t: Tables) -> DataFrame:
-    return t.files().groupBy("language").agg(F.min_by("path", F.struct("line_count", "file_id")).alias("path"))
-
-
 @query("WITH s AS (SELECT doc_id, quality, row_number() OVER (PARTITION BY doc_id ORDER BY toxic, quality) AS n FROM labels) SELECT d.doc_id, coalesce('label ' || s.quality, 'doc ' || d.source) AS label FROM documents d LEFT JOIN s ON s.doc_id = d.doc_id AND n = 1")
 def cp10_label_overrides(t: Tables) -> DataFrame:
     first = t.labels.groupBy("doc_id").agg(F.min_by("quality", F.struct("toxic", "quality")).alias("quality"))
     return t.documents.select("doc_id", "source").join(first, "doc_id", "left").select("doc_id", F.coalesce(F.concat(F.lit("label "), F.col("quality").cast("string")), F.concat(F.lit("doc "), "source")).alias("label"))
 
 
-@query("SELECT source, bool_or(lang = 'en') AS has_en, bool_or(lang = 'de') AS has_de, bool_or(n_chars > 20000) AS has_long FROM documents GROUP BY 1")
-def cp11_stack_detection(t: Tables) -> DataFrame:
-    return t.documents.groupBy("source").agg(F.bool_or(F.col("lang") == "en").alias("has_en"), F.bool_or(F.col("lang") == "de").alias("has_de"), F.bool_or(F.col("n_chars") > 20000).alias("has_long"))
-
-
 @query("SELECT c_custkey, o_orderkey FROM customer LEFT JOIN (SELECT o_custkey, arg_min(o_orderkey, struct_pack(a := o_orderdate, b := o_orderkey)) AS o_orderkey FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1) ON o_custkey = c_custkey")
 def cp13_earliest_membership(t: Tables) -> DataFrame:
     first = t.orders.filter("o_orderstatus <> 'P'").groupBy("o_custkey").agg(F.min_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("o_orderkey"))

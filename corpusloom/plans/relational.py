@@ -23,14 +23,6 @@ def src1_source_scan(t: Tables) -> DataFrame:
     return f.filter((F.col("byte_size") <= 20000) & ~F.col("content").contains("\0") & F.col("language").isin("en", "de")).select("file_id", "path", "byte_size", "line_count")
 
 
-@query(f"WITH {FILES_SQL} SELECT path FROM files WHERE NOT (regexp_matches(path, '^src1[0-9]?/') OR regexp_matches(path, '\\.es$') OR regexp_matches(path, '/[0-9]*13\\.'))")
-def src2_ignore_rules(t: Tables) -> DataFrame:
-    ignored = F.lit(False)
-    for rule in (r"^src1[0-9]?/", r"\.es$", r"/[0-9]*13\."):
-        ignored = ignored | F.col("path").rlike(rule)
-    return t.files().filter(~ignored).select("path")
-
-
 @query(f"WITH {FILES_SQL} SELECT path, regexp_matches(lower(path), '(^|/)(\\.env(\\.[^/]*)?|id_rsa|credentials\\.json|[^/]*\\.(pem|key|p12|fr))$') AS secret FROM files")
 def src3_secret_files(t: Tables) -> DataFrame:
     return t.files().select("path", F.lower("path").rlike(r"(^|/)(\.env(\.[^/]*)?|id_rsa|credentials\.json|[^/]*\.(pem|key|p12|fr))$").alias("secret"))

@@ -217,12 +217,6 @@ def fn10_hash_embedding(t: Tables) -> DataFrame:
     return v.select("doc_id", F.posexplode("v").alias("place", "value")).filter("value <> 0").select("doc_id", "place", F.round("value", 6).alias("value"))
 
 
-@query("SELECT doc_id, concat_ws(',', CASE WHEN regexp_matches(text, '[0-9]{4}') THEN 'number' END, CASE WHEN regexp_matches(text, '[*]{3}|[$]{3}') THEN 'symbols' END, CASE WHEN regexp_matches(text, 'token = ') THEN 'secret' END) AS tags FROM documents")
-def fn5_concept_tags(t: Tables) -> DataFrame:
-    rules = {"number": "[0-9]{4}", "symbols": "[*]{3}|[$]{3}", "secret": "token = "}
-    return t.documents.select("doc_id", F.array_join(fx.concept_tags(F.col("text"), rules), ",").alias("tags"))
-
-
 @query("SELECT item_id, trim(regexp_replace(lower('  ' || text || ' '), '[ \\t\\r\\n]+', ' ', 'g')) AS q FROM benchmark")
 def fn7_normalize_query(t: Tables) -> DataFrame:
     return t.benchmark.select("item_id", fx.normalize_query(F.concat(F.lit("  "), F.col("text"), F.lit(" "))).alias("q"))

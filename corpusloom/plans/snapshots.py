@@ -117,12 +117,12 @@ def gr6_library_flow(t: Tables) -> DataFrame:
     return graph.library_flows(nodes, t.edges().filter("relation = 'RF' and source <> target"))
 
 
-@query(f"""WITH {EDGES_SQL}, origins AS (SELECT s_suppkey AS origin FROM supplier), one AS (SELECT DISTINCT source, target FROM edges WHERE relation = 'RF' AND confidence >= 95 AND source <> target),
+@query(f"""WITH {EDGES_SQL}, origins AS (SELECT s_suppkey AS origin FROM supplier), one AS (SELECT DISTINCT source, target FROM edges WHERE relation = 'RF' AND source <> target),
 inside AS (SELECT origin, origin AS node FROM origins UNION SELECT source, target FROM one),
 f AS (SELECT DISTINCT i.origin, e.source, e.target, e.line FROM inside i JOIN edges e ON e.source = i.node AND e.relation = 'AF')
 SELECT origin, source, target, line, rank FROM (SELECT *, row_number() OVER (PARTITION BY origin ORDER BY line, source, target) AS rank FROM f) WHERE rank <= 3""")
 def gr7_failure_steps(t: Tables) -> DataFrame:
-    calls = t.edges().filter("relation = 'RF' and confidence >= 95 and source <> target")
+    calls = t.edges().filter("relation = 'RF' and source <> target")
     origins = t.supplier.select(F.col("s_suppkey").alias("source"))
     near = graph.reach(calls, origins, 1).select("origin", "node").unionByName(origins.select(F.col("source").alias("origin"), F.col("source").alias("node")))
     return graph.failures(near, t.edges().filter("relation = 'AF'"))
