@@ -136,7 +136,7 @@ def unexpired(rows: DataFrame, now: Column) -> DataFrame:
     return rows.filter(~((F.col("expires_at") < now) & (F.col("hit_count") == 0)))
 
 
-def get_or_create(wanted: DataFrame, existing: DataFrame, key: Sequence[str], value: str, made: Column) -> DataFrame:
-    """Each wanted key with the existing value, or the made one; ``created`` tells which."""
+def get_or_create(wanted: DataFrame, existing: DataFrame, key: Sequence[str], value: str, made: Column, carry: Sequence[str] = ()) -> DataFrame:
+    """Each wanted key, and what it carries, with the existing value, or the made one; ``created`` tells which."""
     joined = wanted.join(existing.select(*key, value), list(key), "left")
-    return joined.select(*key, F.coalesce(F.col(value), made).alias(value), F.col(value).isNull().alias("created"))
+    return joined.select(*key, *carry, F.coalesce(F.col(value), made).alias(value), F.col(value).isNull().alias("created"))

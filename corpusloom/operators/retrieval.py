@@ -227,12 +227,20 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int, least: float = -1.0, bl
 
 
 def cache_lookup(requests: DataFrame, entries: DataFrame, least: float) -> DataFrame:
-    """``id, entry, how``: the entry with the request's fingerprint, else the nearest one of ``least`` similarity, else none."""
+    """``id, entry, how``: the entry with the request's fingerprint, else the nearest one of ``least`` similarity, else none.
+
+    Both sides have id, fingerprint, vector and manifest. An entry that was made of other files than
+    the request's is not used, whichever way it was found: its row has no entry and is quarantined.
+    """
     same = requests.join(entries.groupBy("fingerprint").agg(F.min("id").alias("entry")), "fingerprint", "left")
     missed = same.filter("entry is null").select("id", "vector")
     near = nearest(entries.select("id", "vector"), missed, 1, least).select(F.col("query_id").alias("id"), F.col("id").alias("near"))
-    joined = same.select("id", "entry").join(near, "id", "left")
-    return joined.select("id", F.coalesce("entry", "near").alias("entry"), F.when(F.col("entry").isNotNull(), "exact").when(F.col("near").isNotNull(), "semantic").otherwise("miss").alias("how"))
+    found = same.select("id", "manifest", "entry").join(near, "id", "left").withColumn("hit", F.coalesce("entry", "near"))
+    made_of = entries.select(F.col("id").alias("hit"), F.col("manifest").alias("made_of"))
+    joined = found.join(made_of, "hit", "left")
+    other = F.col("hit").isNotNull() & ~F.col("manifest").eqNullSafe(F.col("made_of"))
+    how = F.when(other, "quarantined").when(F.col("entry").isNotNull(), "exact").when(F.col("near").isNotNull(), "semantic").otherwise("miss")
+    return joined.select("id", F.when(~other, F.col("hit")).alias("entry"), how.alias("how"))
 
 
 #: Fixed value: numbers of a local hash embedding.

@@ -129,10 +129,10 @@ def st8_curriculum_plan(t: Tables) -> DataFrame:
     return lr.plan(c, [(F.col("p_type").contains("STEEL"), 4), (F.col("p_size") < 10, 7)], [F.desc("score"), F.asc("item")], 18).select("item", "pool")
 
 
-@query("WITH done AS (SELECT DISTINCT l_partkey AS item FROM lineitem WHERE l_quantity = 50), c AS (SELECT p_partkey AS item, row_number() OVER (ORDER BY p_size, p_partkey) AS k FROM part WHERE p_partkey NOT IN (SELECT item FROM done) AND p_size <= 3), o AS (SELECT count(*) AS n FROM done) SELECT item, n + k AS ordinal FROM c, o")
+@query("WITH done AS (SELECT DISTINCT l_partkey AS item FROM lineitem WHERE l_quantity = 50), c AS (SELECT p_partkey AS item, row_number() OVER (ORDER BY p_size, p_partkey) AS k FROM part WHERE p_partkey NOT IN (SELECT item FROM done)), o AS (SELECT count(*) AS n FROM done) SELECT item, n + k AS ordinal FROM c, o")
 def st9_replan(t: Tables) -> DataFrame:
     done = t.lineitem.filter("l_quantity = 50").select(F.col("l_partkey").alias("item")).distinct()
-    left = t.part.filter("p_size <= 3").select(F.col("p_partkey").alias("item"), "p_size").join(done, "item", "left_anti")
+    left = t.part.select(F.col("p_partkey").alias("item"), "p_size").join(done, "item", "left_anti")
     # One sort for each size, then offsets of sizes: no window over all rows.
     sizes = left.groupBy("p_size").agg(COUNT()).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("p_size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
     k = F.row_number().over(Window.partitionBy("p_size").orderBy("item"))
@@ -193,7 +193,7 @@ def ev1_retrieval_quality(t: Tables) -> DataFrame:
 @query()
 def join20_greedy_matching(t: Tables) -> DataFrame:
     pairs = t.lineitem.groupBy(F.col("l_suppkey").alias("left"), F.col("l_partkey").alias("right")).agg(F.sum("l_quantity").alias("score"))
-    return ev.greedy_matching(pairs.filter("score >= 60"))
+    return ev.greedy_matching(pairs)
 
 
 # -- composites --------------------------------------------------------------------------------

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as fx
 from ..operators import evaluation as ev
+from ..operators import jobs as jb
 from ..operators import mapping as mp
 from ..operators import relational as op
 from ..operators import resolution as rs
@@ -397,3 +398,38 @@ def gr20_role_story(t: Tables) -> DataFrame:
     edges = t.orders.select(F.col("o_custkey").alias("source"), (F.col("o_custkey") % 100 + 1).alias("target"), F.col("o_orderstatus").alias("relation"))
     return rs.role_connections(edges, roles)
 
+
+
+# -- jobs --------------------------------------------------------------------------------------
+CHANGES_SQL = "j AS (SELECT user_id AS id, event_type AS status, ts AS at_, event_id AS seq, max(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS over, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS was FROM events), changes AS (SELECT id, status, at_, seq FROM j WHERE coalesce(over, 0) = 0 AND was IS DISTINCT FROM status)"
+
+
+def job_rows(t: Tables) -> DataFrame:
+    return t.events.select(F.col("user_id").alias("id"), F.col("event_type").alias("status"), F.col("ts").alias("at"), F.col("event_id").alias("seq"))
+
+
+@query(f"WITH {CHANGES_SQL}, m AS (SELECT max(ts) AS now FROM events) SELECT id, status, seq, greatest(0, epoch_us(coalesce(lead(at_) OVER (PARTITION BY id ORDER BY at_, seq), now)) - epoch_us(at_)) // 15000000 AS beats FROM changes, m")
+def str1_status_changes(t: Tables) -> DataFrame:
+    changes = jb.status_changes(job_rows(t), ["signup"])
+    return jb.heartbeats(changes.join(F.broadcast(t.events.agg(F.max("ts").alias("now")))), F.col("now"), 15)
+
+
+@query("WITH f AS (SELECT * FROM (SELECT l_orderkey AS id, CASE WHEN l_shipdate IS NULL THEN 'none' WHEN l_linestatus = 'F' THEN 'slow' ELSE 'fast' END AS queue, l_shipdate::TIMESTAMP AS at_, l_linenumber AS seq, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber) AS n FROM lineitem) WHERE n = 1) SELECT id, queue, row_number() OVER (PARTITION BY queue ORDER BY at_, id) AS place FROM f WHERE queue <> 'none'")
+def str2_queue_order(t: Tables) -> DataFrame:
+    jobs = t.lineitem.select(F.col("l_orderkey").alias("id"), F.when(F.col("l_linestatus") == "F", "slow").otherwise("fast").alias("queue"), F.col("l_shipdate").cast("timestamp_ntz").alias("at"), F.col("l_linenumber").alias("line"))
+    once = op.best_per_key(jobs, ["id"], [F.col("at"), F.col("line")], ["queue", "at"])
+    return jb.queue_order(once.withColumn("seq", F.col("id")), ["fast", "slow"])
+
+
+@query("WITH e AS (SELECT user_id AS id, event_type AS kind, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE event_type IN ('error', 'purchase', 'signup')) SELECT u.id, coalesce(e.kind, 'queued') AS status FROM (SELECT DISTINCT user_id AS id FROM events) u LEFT JOIN e ON e.id = u.id AND e.n = 1")
+def str4_guarded_jobs(t: Tables) -> DataFrame:
+    return jb.guarded(job_rows(t).withColumnRenamed("status", "kind"), "error", ["purchase", "signup"])
+
+
+@query("WITH e AS (SELECT o_custkey, o_orderkey, o_orderpriority, CASE WHEN o_orderstatus = 'F' THEN 'confirmed' ELSE 'possible' END AS kind FROM orders), b AS (SELECT o_custkey, count(*) FILTER (WHERE kind = 'confirmed') AS confirmed, count(*) FILTER (WHERE kind = 'possible') AS possible FROM e GROUP BY 1) SELECT o_custkey, confirmed, possible, CASE WHEN o_custkey % 5 = 0 THEN 'brief_' || o_custkey ELSE 'made_' || confirmed || '_' || possible END AS brief, o_custkey % 5 <> 0 AS created FROM b")
+def cp16_change_brief(t: Tables) -> DataFrame:
+    sure = F.col("o_orderstatus") == "F"
+    briefs = t.orders.groupBy("o_custkey").agg(F.count_if(sure).alias("confirmed"), F.count_if(~sure).alias("possible"))
+    have = t.customer.filter("c_custkey % 5 = 0").select(F.col("c_custkey").alias("o_custkey"), F.concat(F.lit("brief_"), F.col("c_custkey").cast("string")).alias("brief"))
+    made = F.concat_ws("_", F.lit("made"), F.col("confirmed").cast("string"), F.col("possible").cast("string"))
+    return op.get_or_create(briefs, have, ["o_custkey"], "brief", made, ["confirmed", "possible"])

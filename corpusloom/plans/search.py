@@ -168,11 +168,12 @@ def ret13_answer_selection(t: Tables) -> DataFrame:
     return rt.spread_answers(hits, ["file_id"]).select("query_id", "chunk_id", "answer_rank")
 
 
-@query("WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v, 'l' || label || ':' || vec_id AS f FROM embeddings WHERE label < 5), r AS (SELECT vec_id, embedding::DOUBLE[] AS v, 'l' || label || ':' || vec_id AS f FROM embeddings WHERE vec_id % 20 = 0), x AS (SELECT r.vec_id AS id, e.vec_id AS entry FROM r JOIN e USING (f)), n AS (SELECT r.vec_id AS id, e.vec_id AS near, row_number() OVER (PARTITION BY r.vec_id ORDER BY round(list_cosine_similarity(r.v, e.v), 9) DESC, e.vec_id) AS k, round(list_cosine_similarity(r.v, e.v), 9) AS s FROM r, e WHERE r.vec_id NOT IN (SELECT id FROM x)) SELECT r.vec_id AS id, coalesce(x.entry, n.near) AS entry, CASE WHEN x.entry IS NOT NULL THEN 'exact' WHEN n.near IS NOT NULL THEN 'semantic' ELSE 'miss' END AS how FROM r LEFT JOIN x ON x.id = r.vec_id LEFT JOIN n ON n.id = r.vec_id AND n.k = 1 AND n.s >= 0.3")
+@query("WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v, 'l' || label || ':' || vec_id AS f, label AS m FROM embeddings WHERE vec_id % 3 > 0), r AS (SELECT vec_id, embedding::DOUBLE[] AS v, 'l' || label || ':' || vec_id AS f, CASE WHEN vec_id % 40 = 0 THEN label + 1 ELSE label END AS m FROM embeddings WHERE vec_id % 20 = 0), x AS (SELECT r.vec_id AS id, e.vec_id AS entry FROM r JOIN e USING (f)), n AS (SELECT r.vec_id AS id, e.vec_id AS near, row_number() OVER (PARTITION BY r.vec_id ORDER BY round(list_cosine_similarity(r.v, e.v), 9) DESC, e.vec_id) AS k, round(list_cosine_similarity(r.v, e.v), 9) AS s FROM r, e WHERE r.vec_id NOT IN (SELECT id FROM x)), h AS (SELECT r.vec_id AS id, r.m, x.entry, n.near, coalesce(x.entry, n.near) AS hit FROM r LEFT JOIN x ON x.id = r.vec_id LEFT JOIN n ON n.id = r.vec_id AND n.k = 1 AND n.s >= 0.3), q AS (SELECT h.*, e.m IS DISTINCT FROM h.m AND hit IS NOT NULL AS other FROM h LEFT JOIN e ON e.vec_id = hit) SELECT id, CASE WHEN NOT other THEN hit END AS entry, CASE WHEN other THEN 'quarantined' WHEN entry IS NOT NULL THEN 'exact' WHEN near IS NOT NULL THEN 'semantic' ELSE 'miss' END AS how FROM q")
 def ret14_semantic_cache(t: Tables) -> DataFrame:
     mark = F.concat(F.lit("l"), F.col("label").cast("string"), F.lit(":"), F.col("vec_id").cast("string"))
-    v = t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label", mark.alias("fingerprint"))
-    return rt.cache_lookup(v.filter("id % 20 = 0").drop("label"), v.filter("label < 5").drop("label"), 0.3)
+    v = t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), mark.alias("fingerprint"), F.col("label").alias("manifest"))
+    changed = F.when(F.col("id") % 40 == 0, F.col("manifest") + 1).otherwise(F.col("manifest"))
+    return rt.cache_lookup(v.filter("id % 20 = 0").withColumn("manifest", changed), v.filter("id % 3 > 0"), 0.3)
 
 
 @query("WITH m AS (SELECT max(ts) AS now FROM events), e AS (SELECT user_id, event_type, max(ts) AS ts, max(ts) + INTERVAL 30 DAY AS until FROM events WHERE event_type IN ('view', 'click') GROUP BY 1, 2), live AS (SELECT e.* FROM e, m WHERE until > now), fresh AS (SELECT user_id, event_type, max(ts) AS ts FROM events WHERE event_type IN ('view', 'purchase') GROUP BY 1, 2) SELECT user_id, event_type, ts FROM live UNION ALL SELECT user_id, event_type, ts FROM fresh f WHERE NOT EXISTS (SELECT 1 FROM live l WHERE l.user_id = f.user_id AND l.event_type = f.event_type)")
@@ -294,3 +295,39 @@ def fn11_normalized(t: Tables) -> DataFrame:
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
     unit = F.transform(v, lambda x: x / F.when(norm == 0, 1.0).otherwise(norm))
     return t.embeddings.select("vec_id", F.round(F.get(unit, F.lit(0)), 5).alias("first"))
+
+
+# -- composites --------------------------------------------------------------------------------
+@query(FINAL_SQL + """, cached AS (SELECT item_id AS query_id, 'answer-' || item_id AS answer FROM benchmark WHERE item_id % 4 = 0),
+kept AS (SELECT f.query_id, f.chunk_id, c.file_id, row_number() OVER (PARTITION BY f.query_id ORDER BY rank) AS k FROM final f JOIN chunks c USING (chunk_id) WHERE c.file_id % 6 <> 0 AND f.query_id NOT IN (SELECT query_id FROM cached)),
+spread AS (SELECT *, row_number() OVER (PARTITION BY query_id, file_id ORDER BY k) AS n FROM kept), lead AS (SELECT *, row_number() OVER (PARTITION BY query_id, n = 1 ORDER BY k) AS d FROM spread),
+placed AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN n = 1 AND d <= 3 THEN 0 ELSE 1 END, k) AS a FROM lead)
+SELECT query_id, 'cache' AS how, answer, 0 AS cost FROM cached UNION ALL SELECT query_id, 'retrieved', string_agg('ev_' || chunk_id, ',' ORDER BY a), 3 * count(*) FROM placed WHERE a <= 3 GROUP BY 1""")
+def cp9_grounded_turn(t: Tables) -> DataFrame:
+    cached = t.benchmark.filter("item_id % 4 = 0").select(F.col("item_id").alias("query_id"), F.concat(F.lit("answer-"), F.col("item_id").cast("string")).alias("answer"))
+    chunks = slim(t)
+    hits = final(t, chunks).join(cached.select("query_id"), "query_id", "left_anti").join(chunks.select("chunk_id", "file_id", "start", "end"), "chunk_id")
+    # Evidence counts only if the file is what it was when the chunk was made.
+    files = t.files()
+    made_of = files.select("file_id", F.when(F.col("file_id") % 6 == 0, F.lit("sha256:old")).otherwise(F.col("content_hash")).alias("file_hash"))
+    texts = chunked(t).select("chunk_id", "text")
+    kept = rt.verified(hits.join(texts, "chunk_id").join(made_of, "file_id"), files)
+    best = rt.spread_answers(kept, ["file_id"]).filter("answer_rank <= 3")
+    answers = best.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("answer_rank", "chunk_id"))), lambda x: F.concat(F.lit("ev_"), x["chunk_id"].cast("string"))), ",").alias("answer"), (3 * F.count("*")).alias("cost"))
+    return cached.select("query_id", F.lit("cache").alias("how"), "answer", F.lit(0).cast("bigint").alias("cost")).unionByName(answers.select("query_id", F.lit("retrieved").alias("how"), "answer", "cost"))
+
+
+@query(f"""WITH {CHUNK_SQL}, {SELECTION_SQL}, s AS (SELECT query_id, file_id, coalesce(first, 1) AS first, coalesce(last, 1) AS last FROM sel),
+sym AS (SELECT query_id, arg_min(chunk_id, struct_pack(a := "end" - start, b := start)) AS symbol FROM s JOIN chunks c USING (file_id) WHERE kind = 'symbol' AND start <= first AND "end" >= last GROUP BY 1),
+ov AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY start, chunk_id) AS n FROM s JOIN chunks USING (file_id) WHERE kind = 'block' AND start <= last AND "end" >= first)
+SELECT s.query_id, symbol, coalesce(related, '') AS related FROM s SEMI JOIN chunks USING (file_id) LEFT JOIN sym USING (query_id) LEFT JOIN (SELECT query_id, string_agg(chunk_id::VARCHAR, ',' ORDER BY n) AS related FROM ov WHERE n <= 5 GROUP BY 1) USING (query_id)""")
+def cp8_selection_explanation(t: Tables) -> DataFrame:
+    wanted = selections(t).select("query_id", "file_id", F.coalesce("first", F.lit(1)).alias("start"), F.coalesce("last", F.lit(1)).alias("end"))
+    wanted = wanted.join(t.files().select("file_id"), "file_id", "left_semi")
+    chunks = chunked(t).select("chunk_id", "file_id", "kind", "start", "end")
+    spans = chunks.filter("kind = 'symbol'").select("file_id", "start", "end", F.col("chunk_id").alias("span_id"))
+    symbol = op.enclosing(wanted, spans, ["file_id"]).select("query_id", F.col("span_id").alias("symbol"))
+    blocks = chunks.filter("kind = 'block'").select("file_id", F.col("start").alias("r_start"), F.col("end").alias("r_end"), "chunk_id")
+    near = op.top_per_key(op.overlapping(wanted, blocks, ["file_id"]), ["query_id"], [F.col("r_start"), F.col("chunk_id")], 5, "n")
+    related = near.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "chunk_id"))), lambda x: x["chunk_id"].cast("string")), ",").alias("related"))
+    return wanted.select("query_id").join(symbol, "query_id", "left").join(related, "query_id", "left").select("query_id", "symbol", F.coalesce("related", F.lit("")).alias("related"))
