@@ -54,13 +54,14 @@ def exact(chunks: DataFrame, terms: DataFrame, limit: int = CANDIDATES) -> DataF
     place = lambda column, kind: F.transform(F.array_distinct(tokens(F.col(column))), lambda w: F.struct(w.alias("word"), F.lit(kind).alias("kind")))
     last = F.regexp_extract(F.lower("path"), "[a-z0-9]+$", 0)
     ends = F.when(last != "", F.array(F.struct(last.alias("word"), F.lit("end").alias("kind")))).otherwise(F.array().cast("array<struct<word:string,kind:string>>"))
-    of_symbol = F.coalesce(place("symbol", "symbol"), F.array().cast("array<struct<word:string,kind:string>>"))
+    kind = F.when(F.lower("symbol").rlike("^[a-z0-9]+$"), "name").otherwise("symbol")
+    of_symbol = F.coalesce(F.transform(F.array_distinct(tokens(F.col("symbol"))), lambda w: F.struct(w.alias("word"), kind.alias("kind"))), F.array().cast("array<struct<word:string,kind:string>>"))
     words = chunks.select("chunk_id", "specificity", F.explode(F.concat(of_symbol, place("path", "path"), ends, place("title", "title"))).alias("w")).select("chunk_id", "specificity", "w.*")
     first = Window.partitionBy("kind", "word").orderBy(F.desc("specificity"), "chunk_id")
     postings = words.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= limit).drop("_n")
     pairs = containing(postings, terms)
     whole, at_end = F.col("word") == F.col("term"), F.endswith("word", "term")
-    score = F.when(F.col("kind") == "symbol", F.when(whole, 1.0).otherwise(0.9)).when(F.col("kind") == "end", F.when(at_end, 0.85).otherwise(0.7)).when(F.col("kind") == "path", 0.7).otherwise(0.65)
+    score = F.when((F.col("kind") == "name") & whole, 1.0).when(F.col("kind").isin("name", "symbol"), 0.9).when(F.col("kind") == "end", F.when(at_end, 0.85).otherwise(0.7)).when(F.col("kind") == "path", 0.7).otherwise(0.65)
     found = postings.join(pairs, "word").join(terms, "term").groupBy("query_id", "chunk_id").agg(F.max(score).alias("score"), F.max("specificity").alias("specificity"))
     return ranked(found, limit, [F.desc("score"), F.desc("specificity"), F.asc("chunk_id")]).drop("specificity")
 
