@@ -29,6 +29,13 @@ def test_status_changes(spark, tmp_path):
     assert sorted((i, s) for i, s, _ in found) == [(1, "failed"), (1, "queued"), (1, "running"), (2, "queued"), (2, "running")]
 
 
+def test_finished_state_goes(spark, tmp_path):
+    h = lambda i: T0 + datetime.timedelta(hours=i)
+    batches = [[(1, "failed", h(0))], [(1, "queued", h(1))], [(2, "queued", h(30))], [(3, "queued", h(60))], [(1, "queued", h(61))], [(2, "queued", h(62))]]
+    found = rows_of(spark, tmp_path, batches, "id long, status string, updated_at timestamp", lambda s: jobs.status_changes(s, 2))
+    assert sorted((i, s) for i, s, _ in found) == [(1, "failed"), (1, "queued"), (2, "queued"), (3, "queued")]
+
+
 def test_once(spark, tmp_path):
     found = rows_of(spark, tmp_path, [[("a", T0), ("b", T0)], [("a", T0), ("c", T0)]], "job string, ts timestamp", lambda s: jobs.once(s, "job", "ts").select("job"))
     assert sorted(found) == [("a",), ("b",), ("c",)]
