@@ -187,34 +187,28 @@ def spread_answers(hits: DataFrame, distinct: Sequence[str], first: int = 3) ->
     return lead.withColumn("answer_rank", F.row_number().over(Window.partitionBy("query_id").orderBy(early, "rank"))).drop("_n", "_d")
 
 
-def _blocks(df: DataFrame, prefix: str, size: int) -> DataFrame:
-    """Rows packed into blocks (ids and values as arrays) by hash; blocks are of about ``size`` rows."""
-    n = F.broadcast(df.agg(F.greatest(F.ceil(F.count("*") / size), F.lit(1)).alias("_blocks")))
-    slot = F.pmod(F.xxhash64("id"), F.col("_blocks"))
-    rows = df.join(n).groupBy(slot.alias(f"{prefix}_block")).agg(F.collect_list(F.struct("id", "vector")).alias("rows"))
-    return rows.select(f"{prefix}_block", F.col("rows.id").alias(f"{prefix}_ids"), F.flatten("rows.vector").alias(f"{prefix}_values"))
+def _packed(df: DataFrame, prefix: str, size: int, key: Sequence[str] = ()) -> DataFrame:
+    """Rows (key, id, vector) packed into blocks of about ``size`` rows by hash: key, ids and values as arrays."""
+    n = df.groupBy(*key).agg(F.greatest(F.ceil(F.count("*") / size), F.lit(1)).alias("_blocks"))
+    sized = df.join(n, list(key)) if key else df.join(F.broadcast(n))
+    rows = sized.groupBy(*key, F.pmod(F.xxhash64("id"), F.col("_blocks")).alias(f"{prefix}_block")).agg(F.collect_list(F.struct("id", "vector")).alias("rows"))
+    return rows.select(*key, F.col("rows.id").alias(f"{prefix}_ids"), F.flatten("rows.vector").alias(f"{prefix}_values"))
 
 
-def nearest(rows: DataFrame, queries: DataFrame, k: int, least: float = -1.0, block: int = VECTOR_BLOCK) -> DataFrame:
-    """``query_id, id, score``: the ``k`` rows of highest cosine for each query, ties by id, exactly.
+def _units(values: np.ndarray, n: int) -> np.ndarray:
+    m = values.astype(np.float64).reshape(n, -1)
+    size = np.sqrt((m * m).sum(1, keepdims=True))
+    return m / np.where(size == 0, 1, size)
 
-    Both sides have id and vector. Every block of queries meets every block of rows in one matrix
-    product, which leaves ``k`` rows of each for the final pick. Zero vectors have score 0; null
-    vectors are left out.
-    """
-    sides = [_blocks(df.filter("vector is not null"), prefix, block) for df, prefix in ((rows, "r"), (queries, "q"))]
-    pairs = sides[0].join(sides[1])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def unit(values: np.ndarray, n: int) -> np.ndarray:
-            m = values.astype(np.float64).reshape(n, -1)
-            size = np.sqrt((m * m).sum(1, keepdims=True))
-            return m / np.where(size == 0, 1, size)
+def _best_of_pairs(pairs: DataFrame, k: int, least: float) -> DataFrame:
+    """``query_id, id, score, rank`` of pairs of blocks (r_ids, r_values, q_ids, q_values): one matrix product each, which leaves ``k`` rows of a query."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
                 ids, queries = (np.asarray(batch.column(c)[row].values) for c in (0, 2))
-                score = np.round(unit(np.asarray(batch.column(3)[row].values), len(queries)) @ unit(np.asarray(batch.column(1)[row].values), len(ids)).T, 9)
+                score = np.round(_units(np.asarray(batch.column(3)[row].values), len(queries)) @ _units(np.asarray(batch.column(1)[row].values), len(ids)).T, 9)
                 order = np.argsort(ids, kind="stable")
                 ids, score = ids[order], score[:, order]
                 top = np.argsort(-score, axis=1, kind="stable")[:, :k]
@@ -227,6 +221,62 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int, least: float = -1.0, bl
     return part.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def nearest(rows: DataFrame, queries: DataFrame, k: int, least: float = -1.0, block: int = VECTOR_BLOCK) -> DataFrame:
+    """``query_id, id, score, rank``: the ``k`` rows of highest cosine for each query, ties by id, exactly.
+
+    Both sides have id and vector. Every block of queries meets every block of rows, so the work is
+    rows times queries; ``Lists`` is the way for more. Zero vectors have score 0; null vectors are left out.
+    """
+    sides = [_packed(df.filter("vector is not null"), prefix, block) for df, prefix in ((rows, "r"), (queries, "q"))]
+    return _best_of_pairs(sides[0].join(sides[1]), k, least)
+
+
+class Lists:
+    """An index of inverted lists: each row is in the list of its nearest centre, a query looks into the nearest few lists.
+
+    Centres are fitted by spherical k-means on a sample of about ``sample`` rows, chosen by their ids' hashes; every
+    row is indexed. Lists are dealt into blocks, so a list may hold any share of the rows.
+    """
+
+    def __init__(self, rows: DataFrame, lists: int = 64, sample: int = 20_000, rounds: int = 10, seed: int = 5):
+        known = rows.filter("vector is not null")
+        n, slots = known.count(), 1 << 30
+        chosen = known if n <= sample else known.filter(F.pmod(F.xxhash64("id", F.lit("lists")), F.lit(slots)) < int(slots * sample / n))
+        some = chosen.select("vector").toArrow().column(0)
+        m = _units(np.array([v.as_py() for v in some], np.float64), len(some)) if len(some) else np.zeros((1, 1))
+        rng = np.random.default_rng(seed)
+        centres = m[np.sort(rng.choice(len(m), min(lists, len(m)), replace=False))]
+        for _ in range(rounds):
+            of = (m @ centres.T).argmax(1)
+            sums = np.zeros_like(centres)
+            np.add.at(sums, of, m)
+            centres = np.where(np.bincount(of, minlength=len(centres))[:, None] > 0, _units(sums, len(sums)), centres)
+        self.centres = centres
+        self.rows = self._listed(known, 1)
+
+    def _listed(self, df: DataFrame, probes: int) -> DataFrame:
+        """Rows with the ``probes`` nearest lists of each."""
+        shared = df.sparkSession.sparkContext.broadcast(self.centres)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    values = batch.column(1)
+                    m = _units(np.asarray(values.flatten()), batch.num_rows)
+                    near = np.argsort(-(m @ shared.value.T), axis=1, kind="stable")[:, :probes]
+                    at = np.repeat(np.arange(batch.num_rows), near.shape[1])
+                    yield pa.RecordBatch.from_arrays([pa.array(near.ravel().astype(np.int32)), batch.column(0).take(pa.array(at)), values.take(pa.array(at))], ["list", "id", "vector"])
+
+        kind = df.schema["vector"].dataType.simpleString()
+        return df.select("id", "vector").mapInArrow(run, f"list int, id bigint, vector {kind}")
+
+    def nearest(self, queries: DataFrame, k: int, probes: int = 8, least: float = -1.0, block: int = VECTOR_BLOCK) -> DataFrame:
+        """As ``nearest``, but of the rows in each query's ``probes`` lists."""
+        asked = self._listed(queries.filter("vector is not null"), probes)
+        pairs = _packed(self.rows, "r", block, ["list"]).join(_packed(asked, "q", block, ["list"]), "list")
+        return _best_of_pairs(pairs, k, least)
+
+
 def cache_lookup(requests: DataFrame, entries: DataFrame, least: float) -> DataFrame:
     """``id, entry, how``: the entry with the request's fingerprint, else the nearest one of ``least`` similarity, else none.
 

@@ -112,6 +112,12 @@ def ret4_vector_topk(t: Tables) -> DataFrame:
     return rt.nearest(v, v.filter("id % 20 = 0"), 8).select("query_id", "id", "rank")
 
 
+@query()
+def ret4_vector_index(t: Tables) -> DataFrame:
+    v = t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return rt.Lists(v, lists=32).nearest(v.filter("id % 20 = 0"), 8, probes=20).select("query_id", "id", "rank")
+
+
 @query(f"WITH {CHUNK_SQL}, {SELECTION_SQL} SELECT query_id, chunk_id, rank, score FROM selection")
 def ret5_selection_retriever(t: Tables) -> DataFrame:
     return rt.selected(chunked(t), selections(t)).select("query_id", "chunk_id", "rank", "score")

@@ -14,6 +14,7 @@ from corpusloom.operators import chunks as ch
 from corpusloom.operators import folds, graph, learning, ledger, mapping, resolution, retrieval, snapshot
 from corpusloom.operators.evaluation import matched_flows
 from corpusloom.plans import learning as learning_plans
+from corpusloom.plans import search
 from corpusloom.sources.tables import Tables
 
 
@@ -95,6 +96,21 @@ def test_lexical_ways(spark, drafts):
         assert got == {q: w for q, w in want.items() if w}
 
 
+def test_vector_index(spark, sf_dir):
+    folder = sf_dir.replace("sf0.001", "sf0.1")
+    pairs = lambda df: {(r.query_id, r.id) for r in df.collect()}
+    whole = pairs(search.ret4_vector_topk(Tables(spark, folder)))
+    found = pairs(search.ret4_vector_index(Tables(spark, folder)))
+    assert len(whole & found) >= 0.9 * len(whole) > 0
+    rng = random.Random(2)
+    v = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(500)] + [(900, [0.0] * 8), (901, None)], "id long, vector array<float>")
+    lists = retrieval.Lists(v, lists=5, sample=100)
+    rows = lambda df: sorted((r.query_id, r.id, r.rank) for r in df.collect())
+    asked = v.filter("id < 40 or id > 800")
+    for block in (7, 2048):  # with all lists the index is exact, whatever the blocks
+        assert rows(lists.nearest(asked, 5, probes=5, block=block)) == rows(retrieval.nearest(v, asked, 5, block=block))
+
+
 def test_no_vectors(spark):
     rows = spark.createDataFrame([(1, 5, 0.5, 1)], "query_id long, chunk_id long, score double, rank int")
     none, status = retrieval.by_vector(rows, None)
