@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as fx
 from ..operators import relational as op
+from ..operators import scanning as sc
 from ..sources.tables import EDGES_SQL, FILES_SQL, USAGE_SQL, Tables
 from .registry import Registry
 
@@ -17,10 +18,26 @@ NOW = "2024-01-01 00:00:00"
 
 
 # -- scans -------------------------------------------------------------------------------------
-@query(f"WITH {FILES_SQL} SELECT file_id, path, byte_size, line_count FROM files WHERE byte_size <= 20000 AND position(chr(0) IN content) = 0 AND language IN ('en','de')")
+SCAN_SQL = f"""{FILES_SQL}, scanned AS (SELECT split_part(path, '/', 1) AS snapshot, path, content, byte_size, CASE regexp_extract(path, '\\.([a-z]+)$', 1) WHEN 'en' THEN 'english' WHEN 'de' THEN 'german' WHEN 'fr' THEN 'french' END AS name FROM files),
+kept AS (SELECT * FROM scanned WHERE name IS NOT NULL AND byte_size <= 20000 AND NOT regexp_matches(path, '/[0-9]*3\\.de$') AND position(chr(0) IN content) = 0),
+sums AS (SELECT snapshot, count(*) AS files, sum(byte_size) AS bytes FROM kept GROUP BY 1), limits AS (SELECT *, CASE WHEN files > 44 THEN 'too many files' WHEN bytes > 120000 THEN 'too many bytes' END AS refused FROM sums)"""
+
+
+def scanned(t: Tables) -> DataFrame:
+    rows = t.files().select(F.split_part("path", F.lit("/"), F.lit(1)).alias("snapshot"), "path", F.col("content").cast("binary").alias("raw"), "byte_size")
+    return sc.collected(rows, ["*3.de"], {".en": "english", ".de": "german", ".fr": "french"}, 20_000)
+
+
+@query(f"WITH {SCAN_SQL} SELECT path, name AS language, byte_size, length(content) AS n_chars FROM kept WHERE snapshot NOT IN (SELECT snapshot FROM limits WHERE refused IS NOT NULL)")
 def src1_source_scan(t: Tables) -> DataFrame:
-    f = t.files()
-    return f.filter((F.col("byte_size") <= 20000) & ~F.col("content").contains("\0") & F.col("language").isin("en", "de")).select("file_id", "path", "byte_size", "line_count")
+    rows = scanned(t)
+    refused = sc.within_limits(rows, 44, 120_000).filter("refused is not null")
+    return rows.join(refused, "snapshot", "left_anti").select("path", "language", "byte_size", F.length("content").cast("bigint").alias("n_chars"))
+
+
+@query(f"WITH {SCAN_SQL} SELECT snapshot, files, bytes, refused FROM limits")
+def src1_limits(t: Tables) -> DataFrame:
+    return sc.within_limits(scanned(t), 44, 120_000)
 
 
 @query(f"WITH {FILES_SQL} SELECT path, regexp_matches(lower(path), '(^|/)(\\.env(\\.[^/]*)?|id_rsa|credentials\\.json|[^/]*\\.(pem|key|p12|fr))$') AS secret FROM files")

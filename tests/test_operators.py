@@ -225,3 +225,18 @@ def test_matching_query(spark, sf_dir):
     rows = Tables(spark, sf_dir).lineitem.groupBy("l_suppkey", "l_partkey").agg(F.sum("l_quantity").alias("s")).collect()
     want = greedy([(r.s, r.l_suppkey, r.l_partkey) for r in rows])
     assert sorted((r.left, r.right) for r in learning_plans.join20_greedy_matching(Tables(spark, sf_dir)).collect()) == want
+
+
+def test_scanning(spark, tmp_path):
+    from corpusloom.operators import scanning
+
+    files = {"a/x.py": b"\xef\xbb\xbfprint(1)\n", "a/y.py": b"\xff\xfe", "a/z.py": b"a\0b", "b/big.py": b"x" * 50, "b/my.pem": b"k", "c/notes.txt": b"t", "build/o.py": b"1", "d/u.py": "\u00e9".encode()}
+    for name, raw in files.items():
+        at = tmp_path / "tree" / name
+        at.parent.mkdir(parents=True, exist_ok=True)
+        at.write_bytes(raw)
+    rows = scanning.read_folder(spark, str(tmp_path / "tree")).withColumn("snapshot", F.lit("s"))
+    assert {(r.path, bytes(r.raw)) for r in rows.collect()} == set(files.items())
+    got = scanning.collected(rows, ["build/"], {".py": "python", ".pem": "key"}, 20)
+    assert {(r.path, r.content) for r in got.collect()} == {("a/x.py", "print(1)\n"), ("d/u.py", "\u00e9")}
+    assert [tuple(r) for r in scanning.within_limits(got, 1, 99).collect()] == [("s", 2, 14, "too many files")]
