@@ -13,19 +13,32 @@ from pyspark.sql import functions as F
 FAR = 1 << 60
 
 
-def in_parts(rows: DataFrame, at: str, parts: int | None = None) -> DataFrame:
-    """Rows with ``_part``: ranges of the order column by its quantiles over all rows, so each range has about the same number.
+#: Ranges by quantiles, and rows that a part of a range aims at.
+RANGES, PART_ROWS = 64, 100_000
 
-    However many rows a key has, it has no more than its share of a range in one part.
-    """
-    n = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = F.unix_micros(F.col(at).cast("timestamp"))
-    cuts = rows.agg(F.percentile_approx(order, F.array(*[F.lit(i / n) for i in range(1, n)]), 10_000)).first()[0] if n > 1 else []
-    bounds = F.array(*[F.lit(c).cast("bigint") for c in sorted(set(cuts or []))]) if cuts else F.array().cast("array<bigint>")
-    return rows.withColumn("_part", F.size(F.filter(bounds, lambda b: b <= order)))
 
+def in_parts(rows: DataFrame, at: str, ranges: int = RANGES, part_rows: int = PART_ROWS) -> DataFrame:
+    """Rows with ``_part``, a number that grows with the order column.
 
-def clamped_sums(rows: DataFrame, key: Sequence[str], order: Sequence[str], sums: Mapping[str, tuple[str, int, int, int]], parts: int | None = None) -> DataFrame:
+    Quantiles over all rows give ranges of about as many rows each, and ranges have as many parts of equal
+    width as leave about ``part_rows`` rows in one. So parts grow in number with the table, and however
+    many rows a key has, no more than a part's are together.
+    """
+    order = F.unix_micros(F.col(at).cast("timestamp"))
+    found = rows.agg(F.count("*").alias("n"), F.percentile_approx(order, F.array(*[F.lit(i / ranges) for i in range(ranges + 1)]), 10_000).alias("cuts")).first()
+    cuts = sorted(set(found["cuts"] or []))
+    if len(cuts) < 2:
+        return rows.withColumn("_part", F.lit(0).cast("bigint"))
+    inner = F.array(*[F.lit(c).cast("bigint") for c in cuts[1:-1]]) if len(cuts) > 2 else F.array().cast("array<bigint>")
+    bounds = F.array(*[F.lit(c).cast("bigint") for c in cuts])
+    each = max(1, -(-found["n"] // (part_rows * (len(cuts) - 1))))
+    k = F.size(F.filter(inner, lambda c: c <= order))
+    low, high = F.get(bounds, k), F.get(bounds, k + 1)
+    within = F.least(F.greatest(F.floor((order - low) * each / (high - low + 1)), F.lit(0)), F.lit(each - 1))
+    return rows.withColumn("_part", (k * F.lit(each) + within).cast("bigint"))
+
+
+def clamped_sums(rows: DataFrame, key: Sequence[str], order: Sequence[str], sums: Mapping[str, tuple[str, int, int, int]], ranges: int = RANGES, part_rows: int = PART_ROWS) -> DataFrame:
     """Key, each named sum and ``n``: deltas added in order, clamped at each step.
 
     ``sums`` names the delta column, the start, and the bounds of each. Adding and clamping is a map
@@ -33,7 +46,7 @@ def clamped_sums(rows: DataFrame, key: Sequence[str], order: Sequence[str], sums
     folded to (s, l, h) by themselves, and a key's few maps are put together in order.
     """
     one = F.struct(*[F.col(c) for c in order], *[F.col(d).cast("bigint").alias(f"_{name}") for name, (d, _, _, _) in sums.items()])
-    held = in_parts(rows, order[0], parts).groupBy(*key, "_part").agg(F.array_sort(F.collect_list(one)).alias("_rows"))
+    held = in_parts(rows, order[0], ranges, part_rows).groupBy(*key, "_part").agg(F.array_sort(F.collect_list(one)).alias("_rows"))
     clamp = lambda x, low, high: F.least(F.greatest(x, low), high)
 
     def then(a: Column, b: tuple[Column, Column, Column]) -> Column:

@@ -16,10 +16,10 @@ START_SCORE, START_CONFIDENCE = 500, 350
 DELTAS = {"understood": (80, 80), "needs_help": (-60, 80), "correct": (120, 150), "wrong": (-80, 120)}
 
 
-def replay(events: DataFrame, start: int = START_SCORE, confidence: int = START_CONFIDENCE, low: int = 0, high: int = 1000, parts: int | None = None) -> DataFrame:
+def replay(events: DataFrame, start: int = START_SCORE, confidence: int = START_CONFIDENCE, low: int = 0, high: int = 1000) -> DataFrame:
     """``profile, concept, score, confidence, n`` in thousandths: deltas added in (ts, event_id) order, clamped at each step."""
     sums = {"score": ("delta", start, low, high), "confidence": ("confidence_delta", confidence, low, high)}
-    return clamped_sums(events, ["profile", "concept"], ["ts", "event_id"], sums, parts)
+    return clamped_sums(events, ["profile", "concept"], ["ts", "event_id"], sums)
 
 
 def state(score: Column) -> Column:
@@ -81,13 +81,13 @@ def recommend(sources: DataFrame, limit: int = 6) -> DataFrame:
     return top_per_key(sources, ["profile"], [F.asc(F.col("score") + F.abs(F.col("difficulty") - F.col("level")) * 10), F.asc("minutes"), F.asc("title")], limit)
 
 
-def reduce_progress(events: DataFrame, parts: int | None = None) -> DataFrame:
+def reduce_progress(events: DataFrame) -> DataFrame:
     """``profile, opened, understood, help, style``: how often each happened, and the style after all in order.
 
     A call for help simplifies the style, understanding restores it; it stays within 0 and 2.
     """
     kind = F.col("kind")
     step = F.when(kind == "needs_help", -1).when(kind == "understood", 1).otherwise(0)
-    style = clamped_sums(events.withColumn("_step", step), ["profile"], ["ts", "event_id"], {"style": ("_step", 2, 0, 2)}, parts).drop("n")
+    style = clamped_sums(events.withColumn("_step", step), ["profile"], ["ts", "event_id"], {"style": ("_step", 2, 0, 2)}).drop("n")
     times = lambda k, name: F.count_if(kind == k).alias(name)
     return events.groupBy("profile").agg(times("opened", "opened"), times("understood", "understood"), times("needs_help", "help")).join(style, "profile")

@@ -220,8 +220,7 @@ def fn4_embedding_text(t: Tables) -> DataFrame:
 
 @query()
 def fn10_hash_embedding(t: Tables) -> DataFrame:
-    v = t.documents.select("doc_id", rt.hash_embedding(F.col("text")).alias("v"))
-    return v.select("doc_id", F.posexplode("v").alias("place", "value")).filter("value <> 0").select("doc_id", "place", F.round("value", 6).alias("value"))
+    return t.documents.select("doc_id", rt.hash_embedding(F.col("text")).alias("embedding"))
 
 
 @query("SELECT item_id, trim(regexp_replace(lower('  ' || text || ' '), '[ \\t\\r\\n]+', ' ', 'g')) AS q FROM benchmark")

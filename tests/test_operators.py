@@ -25,20 +25,20 @@ def test_clamped_sums(spark):
     want = {}
     for k, s, i, d in sorted(rows, key=lambda r: (r[1], r[2])):
         want[k] = min(max(want.get(k, 500) + d, 0), 1000)
-    for parts in (1, 3, 40):
-        got = folds.clamped_sums(events, ["k"], ["ts", "i"], {"x": ("d", 500, 0, 1000)}, parts)
+    for ranges, size in ((1, 1000), (3, 1000), (3, 20), (40, 7)):
+        got = folds.clamped_sums(events, ["k"], ["ts", "i"], {"x": ("d", 500, 0, 1000)}, ranges, size)
         assert {r.k: r.x for r in got.collect()} == want
     assert Counter(r[0] for r in rows) == Counter({r.k: r.n for r in got.collect()})
-    assert folds.clamped_sums(events.limit(0), ["k"], ["ts", "i"], {"x": ("d", 500, 0, 1000)}, 3).count() == 0
+    assert folds.clamped_sums(events.limit(0), ["k"], ["ts", "i"], {"x": ("d", 500, 0, 1000)}).count() == 0
 
 
 def test_replay_and_progress(spark):
     rows = [("p", "c", 1, 1, 80, 80), ("p", "c", 2, 2, -800, 120), ("p", "c", 3, 3, 80, 900)]
     events = spark.createDataFrame(rows, "profile string, concept string, s long, event_id long, delta long, confidence_delta long").withColumn("ts", F.timestamp_seconds("s"))
-    (got,) = learning.replay(events, parts=2).collect()
+    (got,) = learning.replay(events).collect()
     assert (got.score, got.confidence, got.n) == (80, 1000, 3)
     kinds = spark.createDataFrame([("p", 1, 1, "needs_help"), ("p", 2, 2, "needs_help"), ("p", 3, 3, "needs_help"), ("p", 4, 4, "understood"), ("p", 5, 5, "opened")], "profile string, s long, event_id long, kind string").withColumn("ts", F.timestamp_seconds("s"))
-    (got,) = learning.reduce_progress(kinds, 3).collect()
+    (got,) = learning.reduce_progress(kinds).collect()
     assert (got.opened, got.understood, got.help, got.style) == (1, 1, 3, 1)
 
 
