@@ -227,7 +227,7 @@ def ev2_flow_quality(t: Tables) -> DataFrame:
 
 @query()
 def ev2_flow_matching(t: Tables) -> DataFrame:
-    step = F.concat("l_returnflag", (F.col("l_partkey") % 200).cast("string"))
+    step = F.concat("l_returnflag", F.col("l_partkey").cast("string"))
     gold = t.lineitem.filter("l_linenumber <= 3").select(F.col("l_orderkey").alias("gold_id"), step.alias("step")).distinct()
     actual = t.lineitem.filter("l_linenumber >= 2").select(F.col("l_orderkey").alias("actual_id"), step.alias("step")).distinct()
     return ev.matched_flows(gold, actual)
@@ -253,10 +253,10 @@ def snk1_replace_partition(t: Tables) -> DataFrame:
     return t.spark.read.parquet(at).select("doc_id", "version", "source")
 
 
-@query("WITH m AS (SELECT max(ts) AS now FROM events), e AS (SELECT event_id, ts + CASE event_type WHEN 'view' THEN INTERVAL 1 DAY ELSE INTERVAL 30 DAY END AS expires_at, CAST(value AS INTEGER) % 3 AS hit_count FROM events) SELECT event_id FROM e, m WHERE NOT (expires_at < now AND hit_count = 0)")
+@query("WITH m AS (SELECT max(ts) AS now FROM events), e AS (SELECT event_id, ts + CASE event_type WHEN 'view' THEN INTERVAL 1 DAY ELSE INTERVAL 30 DAY END AS expires_at, CAST(floor(value) AS INTEGER) % 3 AS hit_count FROM events) SELECT event_id FROM e, m WHERE NOT (expires_at < now AND hit_count = 0)")
 def str3_expiry(t: Tables) -> DataFrame:
     life = F.when(F.col("event_type") == "view", F.expr("INTERVAL 1 DAY")).otherwise(F.expr("INTERVAL 30 DAY"))
-    hits = F.floor(F.col("value") + 0.5).cast("int") % 3
+    hits = F.floor("value").cast("int") % 3
     rows = t.events.select("event_id", (F.col("ts") + life).alias("expires_at"), hits.alias("hit_count"))
     return op.unexpired(rows.join(F.broadcast(t.events.agg(F.max("ts").alias("now")))), F.col("now")).select("event_id")
 
@@ -414,11 +414,11 @@ def str1_status_changes(t: Tables) -> DataFrame:
     return jb.heartbeats(changes.join(F.broadcast(t.events.agg(F.max("ts").alias("now")))), F.col("now"), 15)
 
 
-@query("WITH f AS (SELECT * FROM (SELECT l_orderkey AS id, CASE WHEN l_shipdate IS NULL THEN 'none' WHEN l_linestatus = 'F' THEN 'slow' ELSE 'fast' END AS queue, l_shipdate::TIMESTAMP AS at_, l_linenumber AS seq, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber) AS n FROM lineitem) WHERE n = 1) SELECT id, queue, row_number() OVER (PARTITION BY queue ORDER BY at_, id) AS place FROM f WHERE queue <> 'none'")
+@query("WITH f AS (SELECT * FROM (SELECT o_custkey AS id, CASE o_orderstatus WHEN 'F' THEN 'slow' WHEN 'O' THEN 'fast' ELSE 'none' END AS queue, o_orderdate AS at_, o_orderkey AS seq, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n FROM orders) WHERE n = 1) SELECT id, queue, row_number() OVER (PARTITION BY queue ORDER BY at_, seq) AS place FROM f WHERE queue <> 'none'")
 def str2_queue_order(t: Tables) -> DataFrame:
-    jobs = t.lineitem.select(F.col("l_orderkey").alias("id"), F.when(F.col("l_linestatus") == "F", "slow").otherwise("fast").alias("queue"), F.col("l_shipdate").cast("timestamp_ntz").alias("at"), F.col("l_linenumber").alias("line"))
-    once = op.best_per_key(jobs, ["id"], [F.col("at"), F.col("line")], ["queue", "at"])
-    return jb.queue_order(once.withColumn("seq", F.col("id")), ["fast", "slow"])
+    status = F.col("o_orderstatus")
+    jobs = t.orders.select(F.col("o_custkey").alias("id"), F.when(status == "F", "slow").when(status == "O", "fast").otherwise("none").alias("queue"), F.col("o_orderdate").alias("at"), F.col("o_orderkey").alias("seq"))
+    return jb.queue_order(jobs, ["fast", "slow"])
 
 
 @query("WITH e AS (SELECT user_id AS id, event_type AS kind, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE event_type IN ('error', 'purchase', 'signup')) SELECT u.id, coalesce(e.kind, 'queued') AS status FROM (SELECT DISTINCT user_id AS id FROM events) u LEFT JOIN e ON e.id = u.id AND e.n = 1")
