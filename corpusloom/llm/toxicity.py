@@ -156,10 +156,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes
     labels_of = table.column("y").to_numpy().astype(float) > 0.5
     sizes = pc.binary_length(table.column("buckets")).to_numpy() // 4
     joined = lambda name, kind: np.frombuffer(b"".join(v.as_buffer() for v in table.column(name)), kind)
-    columns = joined("buckets", "<i4")
-    values = joined("shares", "<f4")
+    held = [joined("buckets", "<i4"), joined("shares", "<f4")]
     del table
-    return fit(columns, values, sizes, labels_of)
+    pa.default_memory_pool().release_unused()
+    return fit(held.pop(0), held.pop(0), sizes, labels_of)  # no other reference: the fit replaces its columns
 
 
 def score(docs: DataFrame, model: Model, carry: list[str] | None = None) -> DataFrame:
