@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._bytes import NON_SPACE, Texts, Words, gram_hashes, mix
-from ._rows import map_batches, map_texts
+from ._rows import map_batches, map_texts, with_group
 from ._store import written
 from .components import connected
 
@@ -331,8 +331,8 @@ def _ties(classes: DataFrame, percent: int, trees: int, limits: Limits) -> DataF
         large = nodes.filter(F.col("n") > limits.node)
         alike = large.filter("2 * n > of").select("key")
         if not alike.isEmpty():
-            big = members.join(alike, "key", "left_semi")
-            ties.append(big.join(big.groupBy("key").agg(F.min("cid").alias("b")), "key").select(F.col("cid").alias("a"), "b"))
+            big = members.join(alike, "key", "left_semi").select("key", "cid")
+            ties.append(with_group(big, ["key"], F.col("cid"), {"b": (F.min("cid"), F.min)}).select(F.col("cid").alias("a"), "b"))
         parted = large.filter("2 * n <= of").select("key", F.col("n").alias("of"))
         if parted.isEmpty():
             return written(_union(ties), "ties")
