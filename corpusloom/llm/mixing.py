@@ -170,9 +170,10 @@ def mixed(docs: DataFrame, entropy: float | None = None, repeats: float | None =
 def ordered(docs: DataFrame, seed: int = 1) -> DataFrame:
     """``doc_id, text, position`` of each row of what ``mixed`` returned: the mixture's own positions.
 
-    Copies of a document are numbered by pass again, and the position is the same hash of id, text,
-    source and pass, so it follows from the rows alone and copies stand far apart.
+    Copies of a document are counted, so a text crosses the network once however many copies stand
+    beside one another, and get the passes from 0 on again; the position is the same hash of id, text,
+    source and pass. It follows from the rows alone, and copies stand far apart.
     """
-    number = F.row_number().over(Window.partitionBy("id", "digest", "of").orderBy("id")) - 1
-    rows = _keyed(docs).select("id", "digest", "of", F.col("row.text").alias("text"), number.alias("pass"))
-    return rows.select(F.col("id").alias("doc_id"), "text", F.xxhash64("id", "digest", "of", "pass", F.lit(seed + 1)).alias("position"))
+    counted = docs.select("doc_id", "source", F.col("text").cast("string").alias("text")).groupBy("doc_id", "source", "text").agg(F.count("*").cast("int").alias("times"))
+    passes = counted.select("doc_id", "text", F.xxhash64("text").alias("digest"), F.col("source").alias("of"), F.explode(F.sequence(F.lit(0), F.col("times") - 1)).alias("pass"))
+    return passes.select("doc_id", "text", F.xxhash64("doc_id", "digest", "of", "pass", F.lit(seed + 1)).alias("position"))

@@ -539,3 +539,48 @@ def test_stages_on_odd_rows(spark, sf_dir):
         assert corpus_pipeline.token_output(spark, docs, sf_dir).count() == n
     kept = corpus_pipeline.decontamination(spark, clashing(spark, rows), sf_dir).count()
     assert kept == len(rows)
+
+
+# Odd tables
+
+
+def test_odd_tables(spark, sf_dir):
+    from corpusloom.llm import decontaminate
+
+    item = " ".join(f"k{i}" for i in range(20))
+    bench = spark.createDataFrame([(1, item), (2, item), (None, "k3 k4")], "item_id long, text string")
+    rows = [(None, item, "s"), (1, None, None), (2, "x " + item, "s"), (2, "x " + item, "s"), (2, "", "s")]
+    for docs in (clashing(spark, rows), clashing(spark, [])):
+        n = docs.count()
+        found = decontaminate.contamination(docs, bench).collect()
+        assert len(found) == n
+        for r in found:
+            assert (r.verdict.n_items, r.verdict.contaminated) == ((3, True) if r.row.text else (0, False)) and r.row._copy == "a"
+        assert decontaminate.remove(docs, bench).columns == docs.columns and decontaminate.remove(docs, bench).count() == min(n, 2)
+        forest = quality.train(docs, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int"))
+        judged = quality.judge(docs, forest).collect()
+        assert len(judged) == n and len({tuple(r.result) for r in judged if r.row.doc_id == 2 and r.row.text}) == min(n, 1)
+        path = f"{shared_dir(spark)}/odd-ids-{n}"
+        tokens.write(docs, path, corpus_pipeline.TOKENIZER)
+        read = tokens.read(spark, path).orderBy("start").collect()
+        assert [r.doc_id for r in read] == sorted((r[0] for r in rows[:n]), key=lambda i: (i is not None, i))
+        mixed = Counter(r.doc_id for r in mixing.mixed(docs).collect())
+        assert set(mixed) == {r[0] for r in rows[:n]} and all(mixed[i] >= sum(r[0] == i for r in rows) for i in mixed)
+
+
+def test_ties(spark):
+    model = langid.uniform(["b", "a"][::-1], f"{queries.TOKENIZERS}/piece_bpe_32k.model")
+    (r,) = langid.predict(table(spark, ["some words"]), model).collect()
+    assert (r.result.lang_pred, r.result.score) == ("a", 0.5)
+
+
+def test_empty_archives(spark):
+    folder = f"{shared_dir(spark)}/no-warc"
+    pages = spark.createDataFrame([], "page_id long, url string, html string, `payload` string, `key` string")
+    warc.write(pages, folder)
+    records = warc.read(spark, folder)
+    assert records.count() == 0 and warc.resolved(warc.transactions(records)).count() == 0
+    some = spark.createDataFrame([(1, "u", "<p>x", "a", "b"), (1, "u", "<p>x", "a", "b"), (1, "v", "<p>" + "y" * 2000, "a", "b")], pages.schema)
+    warc.write(some, f"{folder}-some")
+    got = Counter(tuple(r) for r in warc.resolved(warc.transactions(warc.read(spark, f"{folder}-some"))).collect())
+    assert sum(got.values()) == 3 and {(r[0], r[1], r[3], r[4]) for r in got} == {(1, 4, "response", None), (1, 2003, "response", None)}
