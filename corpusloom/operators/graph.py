@@ -44,9 +44,17 @@ def reach(edges: DataFrame, sources: DataFrame, depth: int = 3, origin: str = "o
 
 
 def boundary_expansion(dirty: DataFrame, files: DataFrame, boundary: str) -> DataFrame:
-    """Dirty paths, and all files below the directory of a dirty boundary file (a pattern on names)."""
+    """Dirty paths, and all files below the directory of a dirty boundary file (a pattern on names), at any depth.
+
+    A boundary file at the root makes all files dirty. Files meet their directories by an equi join on
+    each prefix of their paths.
+    """
     roots = dirty.filter(F.regexp_extract("path", "([^/]+)$", 1).rlike(boundary)).select(F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("root")).distinct()
-    under = files.select("path", F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("root")).join(roots, "root", "left_semi").select("path")
+    if not roots.filter("root = ''").isEmpty():
+        return dirty.select("path").unionByName(files.select("path")).distinct()
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    under = files.filter(F.contains("path", F.lit("/"))).select("path", F.explode(above).alias("root")).join(roots, "root", "left_semi").select("path")
     return dirty.select("path").unionByName(under).distinct()
 
 

@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
+
 
 def best_per_key(df: DataFrame, key: Sequence[str], order: Sequence[Column], keep: Sequence[str] | None = None) -> DataFrame:
     """One row for each key, the first by ``order``, by an aggregate that combines before the shuffle.
@@ -24,6 +26,22 @@ def top_per_key(df: DataFrame, key: Sequence[str], order: Sequence[Column], n: i
     return df.withColumn(name, F.row_number().over(w)).filter(F.col(name) <= n)
 
 
+def numbered(df: DataFrame, key: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
+    """Rows with their place within their key by ``order``, from 1, without any key in one task.
+
+    Rows are sorted by ranges over all keys and written; a row's place is its place among its key's
+    rows of one range, and the key's rows in the ranges before.
+    """
+    ordered = df.repartitionByRange(*key, *order).sortWithinPartitions(*key, *order)
+    rows = written(ordered.withColumns({"_range": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}), "numbered")
+    ranges = rows.groupBy(*key, "_range").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = ranges.withColumn("_before", before).drop("_n")
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"o.{c}")) for c in (*key, "_range")]
+    joined = rows.alias("r").join(offsets.alias("o"), same)
+    return joined.select(*[F.col(f"r.{c}") for c in df.columns], (F.col("_before") + F.col("_at") - F.col("_first") + 1).alias(name))
+
+
 def insert_if_absent(table: DataFrame, rows: DataFrame, key: Sequence[str]) -> DataFrame:
     """The table and those rows whose key it hasn't; of new rows with one key any one."""
     return table.unionByName(rows.dropDuplicates(list(key)).join(table.select(*key), list(key), "left_anti"))
@@ -126,11 +144,6 @@ def manifest_hash(files: DataFrame, by: str) -> DataFrame:
     return parts.groupBy(by).agg(joined(F.struct("part", "hash"), "hash").alias("manifest"))
 
 
-def replace_partitions(rows: DataFrame, path: str, by: str) -> None:
-    """Write rows so that they take the place of what the table at ``path`` has of their partitions; other partitions stay, as does one that has no new rows."""
-    rows.write.partitionBy(by).option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
-
-
 def unexpired(rows: DataFrame, now: Column) -> DataFrame:
     """Rows without those that have expired and were never hit."""
     return rows.filter(~((F.col("expires_at") < now) & (F.col("hit_count") == 0)))

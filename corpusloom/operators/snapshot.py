@@ -2,47 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checkpointed, written
-
-
-def _renames(rows: DataFrame) -> DataFrame:
-    """``path, old_path`` of added and deleted rows (path, change, hash) of equal content, most alike paths first.
-
-    Pairs are looked for by equal file name, then by equal directory, then within the content alone;
-    in each round the rest of both sides is paired in path order, so each path is used once and no
-    group's pairs are ever listed.
-    """
-    name, folder = F.element_at(F.split("path", "/"), -1), F.regexp_replace("path", "[^/]*$", "")
-    left = rows.filter(F.col("change").isin("added", "deleted")).select("path", "change", "hash")
-    found = None
-    for alike in (name, folder, F.lit("")):
-        nth = F.row_number().over(Window.partitionBy("hash", "change", "alike").orderBy("path"))
-        placed = left.withColumn("alike", alike).withColumn("nth", nth)
-        new, old = placed.filter("change = 'added'").drop("change"), placed.filter("change = 'deleted'").select(F.col("path").alias("old_path"), "hash", "alike", "nth")
-        pairs = checkpointed(new.join(old, ["hash", "alike", "nth"]).select("path", "old_path"))
-        found = pairs if found is None else found.unionByName(pairs)
-        left = left.join(pairs.select("path").unionByName(pairs.select(F.col("old_path").alias("path"))), "path", "left_anti")
-    return found
+from ..session import written
+from .renames import renames
 
 
 def diff(base: DataFrame, current: DataFrame) -> DataFrame:
     """``path, old_path, change, language, byte_size`` of every path of two manifests.
 
     A full outer join tells unchanged, modified, added and deleted; then added and deleted files with
-    equal content are paired as renames.
+    equal content are paired as renames, most alike paths first.
     """
     b = base.select("path", F.col("content_hash").alias("old_hash"), F.col("language").alias("old_language"), F.col("byte_size").alias("old_size"))
     joined = current.join(b, "path", "full")
     change = F.when(F.col("old_hash").isNull(), "added").when(F.col("content_hash").isNull(), "deleted").when(F.col("old_hash") == F.col("content_hash"), "unchanged").otherwise("modified")
     rows = joined.select("path", change.alias("change"), F.coalesce("content_hash", "old_hash").alias("hash"), F.coalesce("language", "old_language").alias("language"), F.coalesce("byte_size", "old_size").alias("byte_size"))
     rows = written(rows, "changes")
-    renames = _renames(rows).join(rows.select("path", "language", "byte_size"), "path")
-    gone = renames.select("path").unionByName(renames.select(F.col("old_path").alias("path")))
+    moved = renames(rows).join(rows.select("path", "language", "byte_size"), "path")
+    gone = moved.select("path").unionByName(moved.select(F.col("old_path").alias("path")))
     still = rows.join(gone, "path", "left_anti").select("path", F.lit(None).cast("string").alias("old_path"), "change", "language", "byte_size")
-    return still.unionByName(renames.select("path", "old_path", F.lit("renamed").alias("change"), "language", "byte_size"))
+    return still.unionByName(moved.select("path", "old_path", F.lit("renamed").alias("change"), "language", "byte_size"))
 
 
 def dirty(changes: DataFrame) -> DataFrame:

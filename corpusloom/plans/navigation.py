@@ -11,6 +11,7 @@ from ..operators import jobs as jb
 from ..operators import mapping as mp
 from ..operators import relational as op
 from ..operators import resolution as rs
+from ..operators.commits import Versions
 from ..session import shared_dir
 from ..sources.tables import FILES_SQL, IMPORTS_SQL, TREE_SQL, Tables
 from .registry import Registry
@@ -242,15 +243,16 @@ def ev4_story_quality(t: Tables) -> DataFrame:
 
 
 # -- tables ------------------------------------------------------------------------------------
-@query("SELECT doc_id, CASE WHEN source = 'src1' THEN 'new' ELSE 'old' END AS version, source FROM documents WHERE source <> 'src1' OR doc_id % 4 = 1")
+@query("SELECT doc_id, CASE WHEN source = 'src1' THEN 'new' ELSE 'old' END AS version, source FROM documents WHERE source NOT IN ('src1', 'src2') OR source = 'src1' AND doc_id % 4 = 1")
 def snk1_replace_partition(t: Tables) -> DataFrame:
+    """All sources are written; then one has new rows and another none."""
     import uuid
 
-    at = f"{shared_dir(t.spark)}/derived-{uuid.uuid4().hex}"
-    rows = t.documents.select("doc_id", "source")
-    op.replace_partitions(rows.withColumn("version", F.lit("old")), at, "source")
-    op.replace_partitions(rows.filter("source = 'src1' and doc_id % 4 = 1").withColumn("version", F.lit("new")), at, "source")
-    return t.spark.read.parquet(at).select("doc_id", "version", "source")
+    rows = t.documents.select("doc_id", "source").filter("source is not null")
+    table = Versions(t.spark, f"{shared_dir(t.spark)}/derived-{uuid.uuid4().hex}", "source")
+    table.replace(rows.withColumn("version", F.lit("old")), [r.source for r in rows.select("source").distinct().collect()])
+    table.replace(rows.filter("source = 'src1' and doc_id % 4 = 1").withColumn("version", F.lit("new")), ["src1", "src2"])
+    return table.read().select("doc_id", "version", "source")
 
 
 @query("WITH m AS (SELECT max(ts) AS now FROM events), e AS (SELECT event_id, ts + CASE event_type WHEN 'view' THEN INTERVAL 1 DAY ELSE INTERVAL 30 DAY END AS expires_at, CAST(floor(value) AS INTEGER) % 3 AS hit_count FROM events) SELECT event_id FROM e, m WHERE NOT (expires_at < now AND hit_count = 0)")

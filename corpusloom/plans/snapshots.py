@@ -10,20 +10,20 @@ from ..sources.tables import EDGES_SQL, FILES_SQL, MANIFEST_SQL, Tables
 from .registry import Registry
 
 query = Registry()
+#: Renames: matching blocks of each pair of paths by recursion (the longest, then the first in the old path, then in the new), then each new path in order takes the most alike old path left.
 DIFF_SQL = MANIFEST_SQL + """, j AS (SELECT coalesce(c.path, b.path) AS path, CASE WHEN b.path IS NULL THEN 'added' WHEN c.path IS NULL THEN 'deleted' WHEN b.content_hash = c.content_hash THEN 'unchanged' ELSE 'modified' END AS change,
  coalesce(c.content_hash, b.content_hash) AS hash, coalesce(c.language, b.language) AS language, coalesce(c.byte_size, b.byte_size) AS byte_size FROM curr c FULL JOIN base b ON b.path = c.path),
-n0 AS (SELECT * FROM j WHERE change IN ('added', 'deleted')),
-k0 AS (SELECT *, regexp_extract(path, '[^/]*$') AS alike, row_number() OVER (PARTITION BY hash, change, regexp_extract(path, '[^/]*$') ORDER BY path) AS nth FROM n0),
-r0 AS (SELECT a.path, d.path AS old_path, a.language, a.byte_size FROM k0 a JOIN k0 d ON a.change = 'added' AND d.change = 'deleted' AND a.hash = d.hash AND a.alike = d.alike AND a.nth = d.nth),
-n1 AS (SELECT * FROM n0 WHERE path NOT IN (SELECT path FROM r0 UNION ALL SELECT old_path FROM r0)),
-k1 AS (SELECT *, regexp_replace(path, '[^/]*$', '') AS alike, row_number() OVER (PARTITION BY hash, change, regexp_replace(path, '[^/]*$', '') ORDER BY path) AS nth FROM n1),
-r1 AS (SELECT a.path, d.path AS old_path, a.language, a.byte_size FROM k1 a JOIN k1 d ON a.change = 'added' AND d.change = 'deleted' AND a.hash = d.hash AND a.alike = d.alike AND a.nth = d.nth),
-n2 AS (SELECT * FROM n1 WHERE path NOT IN (SELECT path FROM r1 UNION ALL SELECT old_path FROM r1)),
-k2 AS (SELECT *, '' AS alike, row_number() OVER (PARTITION BY hash, change, '' ORDER BY path) AS nth FROM n2),
-r2 AS (SELECT a.path, d.path AS old_path, a.language, a.byte_size FROM k2 a JOIN k2 d ON a.change = 'added' AND d.change = 'deleted' AND a.hash = d.hash AND a.alike = d.alike AND a.nth = d.nth),
-n3 AS (SELECT * FROM n2 WHERE path NOT IN (SELECT path FROM r2 UNION ALL SELECT old_path FROM r2)),
-ren AS (SELECT * FROM r0 UNION ALL SELECT * FROM r1 UNION ALL SELECT * FROM r2),
-changes AS (SELECT path, NULL AS old_path, change, language, byte_size FROM j WHERE path NOT IN (SELECT path FROM ren UNION ALL SELECT old_path FROM ren) UNION ALL SELECT path, old_path, 'renamed', language, byte_size FROM ren),
+fresh AS (SELECT hash, path, language, byte_size, row_number() OVER (PARTITION BY hash ORDER BY path) AS nth FROM j WHERE change = 'added'),
+copies AS (SELECT f.hash, f.path, f.nth, o.path AS old_path FROM fresh f JOIN j o ON o.change = 'deleted' AND o.hash = f.hash),
+blocks(old_path, path, a, b, m) AS (SELECT old_path, path, old_path, path, 0::BIGINT FROM copies UNION ALL
+ SELECT old_path, path, c.a, c.b, c.m FROM (SELECT old_path, path, unnest([{'a': substr(a, 1, i - 1), 'b': substr(b, 1, spot - 1), 'm': k}, {'a': substr(a, i + k), 'b': substr(b, spot + k), 'm': 0::BIGINT}]) AS c
+  FROM (SELECT *, strpos(b, substr(a, i, k)) AS spot FROM (SELECT *, best.k AS k, -best.i AS i FROM (SELECT *, list_max(list_filter(flatten(list_transform(range(1, len(a) + 1), lambda i: list_transform(range(1, len(a) - i + 2), lambda k: {'k': k, 'i': -i}))), lambda x: contains(b, substr(a, -x.i, x.k)))) AS best
+   FROM blocks WHERE a <> '' AND b <> '') WHERE best IS NOT NULL)))),
+alike AS (SELECT hash, nth, path, old_path, 2.0 * sum(m) / (len(path) + len(old_path)) AS ratio FROM blocks JOIN copies USING (path, old_path) GROUP BY hash, nth, path, old_path),
+greedy(hash, nth, taken, path, old_path) AS (SELECT DISTINCT hash, 0::BIGINT, []::VARCHAR[], NULL::VARCHAR, NULL::VARCHAR FROM alike UNION ALL
+ SELECT hash, nth, list_append(taken, pick), path, pick FROM (SELECT g.hash, a.nth, any_value(g.taken) AS taken, any_value(a.path) AS path, arg_min(a.old_path, {'r': -a.ratio, 'o': a.old_path}) AS pick FROM greedy g JOIN alike a ON a.hash = g.hash AND a.nth = g.nth + 1 AND NOT list_contains(g.taken, a.old_path) GROUP BY g.hash, a.nth)),
+ren AS (SELECT g.path, g.old_path, f.language, f.byte_size FROM greedy g JOIN fresh f ON f.path = g.path),
+changes AS (SELECT path, NULL::VARCHAR AS old_path, change, language, byte_size FROM j WHERE path NOT IN (SELECT path FROM ren UNION ALL SELECT old_path FROM ren) UNION ALL SELECT path, old_path, 'renamed', language, byte_size FROM ren),
 dirty AS (SELECT path FROM changes WHERE change <> 'unchanged' UNION SELECT old_path FROM changes WHERE old_path IS NOT NULL)"""
 
 
@@ -31,38 +31,38 @@ def changes(t: Tables) -> DataFrame:
     return snapshot.diff(*t.manifests())
 
 
-@query(f"WITH {DIFF_SQL} SELECT path, old_path, change FROM changes")
+@query(f"WITH RECURSIVE {DIFF_SQL} SELECT path, old_path, change FROM changes")
 def join8_snapshot_diff(t: Tables) -> DataFrame:
     return changes(t).select("path", "old_path", "change")
 
 
-@query(f"WITH {DIFF_SQL} SELECT path, old_path FROM changes WHERE change = 'renamed'")
+@query(f"WITH RECURSIVE {DIFF_SQL} SELECT path, old_path FROM changes WHERE change = 'renamed'")
 def join21_renames(t: Tables) -> DataFrame:
     return changes(t).filter("change = 'renamed'").select("path", "old_path")
 
 
-@query(f"WITH {DIFF_SQL} SELECT path FROM dirty")
+@query(f"WITH RECURSIVE {DIFF_SQL} SELECT path FROM dirty")
 def set3_dirty_set(t: Tables) -> DataFrame:
     return snapshot.dirty(changes(t))
 
 
-@query(f"WITH {DIFF_SQL} SELECT language, change, count(*) AS n FROM changes WHERE change <> 'unchanged' GROUP BY 1, 2")
+@query(f"WITH RECURSIVE {DIFF_SQL} SELECT language, change, count(*) AS n FROM changes WHERE change <> 'unchanged' GROUP BY 1, 2")
 def agg11_language_changes(t: Tables) -> DataFrame:
     return changes(t).filter("change <> 'unchanged'").groupBy("language", "change").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {DIFF_SQL} SELECT count(*) FILTER (WHERE change <> 'unchanged') AS files_changed, count(*) AS files, round(count(*) FILTER (WHERE change <> 'unchanged') / greatest(1, count(*)), 6) AS file_ratio, round(coalesce(sum(byte_size) FILTER (WHERE change <> 'unchanged'), 0) / greatest(1, sum(byte_size)), 6) AS byte_ratio FROM changes")
+@query(f"WITH RECURSIVE {DIFF_SQL} SELECT count(*) FILTER (WHERE change <> 'unchanged') AS files_changed, count(*) AS files, round(count(*) FILTER (WHERE change <> 'unchanged') / greatest(1, count(*)), 6) AS file_ratio, round(coalesce(sum(byte_size) FILTER (WHERE change <> 'unchanged'), 0) / greatest(1, sum(byte_size)), 6) AS byte_ratio FROM changes")
 def agg12_change_ratios(t: Tables) -> DataFrame:
     return snapshot.change_ratios(changes(t))
 
 
-@query(f"WITH {DIFF_SQL}, r AS (SELECT count(*) AS files, coalesce(sum(byte_size) FILTER (WHERE change <> 'unchanged'), 0) / greatest(1, sum(byte_size)) AS b FROM changes), i AS (SELECT count(*) AS impacted FROM dirty) SELECT impacted, round(impacted / greatest(1, files), 6) AS impact_ratio, round(b, 6) AS byte_ratio, CASE WHEN greatest(impacted / greatest(1, files), round(b, 6)) > 0.3 THEN 'full' ELSE 'incremental' END AS mode FROM r, i")
+@query(f"WITH RECURSIVE {DIFF_SQL}, r AS (SELECT count(*) AS files, coalesce(sum(byte_size) FILTER (WHERE change <> 'unchanged'), 0) / greatest(1, sum(byte_size)) AS b FROM changes), i AS (SELECT count(*) AS impacted FROM dirty) SELECT impacted, round(impacted / greatest(1, files), 6) AS impact_ratio, round(b, 6) AS byte_ratio, CASE WHEN greatest(impacted / greatest(1, files), round(b, 6)) > 0.3 THEN 'full' ELSE 'incremental' END AS mode FROM r, i")
 def gr4_incremental_mode(t: Tables) -> DataFrame:
     c = changes(t)
     return snapshot.incremental_mode(snapshot.change_ratios(c), snapshot.dirty(c))
 
 
-@query(f"WITH {DIFF_SQL} SELECT path, change, change IN ('unchanged', 'renamed') AS parse_reused, change = 'unchanged' AS place_reused FROM changes WHERE change <> 'deleted'")
+@query(f"WITH RECURSIVE {DIFF_SQL} SELECT path, change, change IN ('unchanged', 'renamed') AS parse_reused, change = 'unchanged' AS place_reused FROM changes WHERE change <> 'deleted'")
 def led7_lineage(t: Tables) -> DataFrame:
     return snapshot.lineage(changes(t))
 
@@ -73,7 +73,7 @@ def gr1_dependency_closure(t: Tables) -> DataFrame:
     return graph.closure(t.edges().filter("relation = 'RF'"), start).select("node")
 
 
-@query(f"WITH {DIFF_SQL}, roots AS (SELECT DISTINCT regexp_extract(path, '^(.*)/[^/]*$', 1) AS root FROM dirty WHERE regexp_matches(regexp_extract(path, '([^/]+)$', 1), '^1[0-9]*2\\.')) SELECT path FROM dirty UNION SELECT path FROM files WHERE regexp_extract(path, '^(.*)/[^/]*$', 1) IN (SELECT root FROM roots)")
+@query(f"WITH RECURSIVE {DIFF_SQL}, roots AS (SELECT DISTINCT regexp_extract(path, '^(.*)/[^/]*$', 1) AS root FROM dirty WHERE regexp_matches(regexp_extract(path, '([^/]+)$', 1), '^1[0-9]*2\\.')) SELECT path FROM dirty UNION SELECT path FROM files WHERE EXISTS (SELECT 1 FROM roots WHERE root = '' OR starts_with(path, root || '/'))")
 def gr2_boundary_expansion(t: Tables) -> DataFrame:
     return graph.boundary_expansion(snapshot.dirty(changes(t)), t.files(), r"^1[0-9]*2\.")
 
