@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import content_hash, expand_identifiers, lines
+from ..functions.text import content_hash, expand_identifiers, lines, tokens
 
 #: Characters of a chunk's search text that are embedded, and how specific its kinds are.
 MAX_CHARS = 24_000
@@ -30,16 +30,16 @@ def line_windows(files: DataFrame, size: int = 160, overlap: int = 20) -> DataFr
 
 
 def chunks(files: DataFrame, size: int = 160, overlap: int = 20, symbols: Column | None = None, block: int = 80, block_overlap: int = 10) -> DataFrame:
-    """Chunks: ``file_id, path, language, ordinal, kind, symbol, title, start, end, specificity, text, text_hash``.
+    """Chunks: ``file_id, path, language, ordinal, kind, symbol, title, start, end, specificity, text, text_hash, terms``.
 
     A file has windows of lines, a chunk for each of its symbols, and windows inside of symbols of more
     than ``block`` lines. ``symbols`` is an array of (start, end, name) over the file's columns and
     ``_lines``. Lines are split once for each file and chunks numbered as they leave it, so nothing is
-    shuffled. The hash is of the whole text.
+    shuffled. The hash is of the whole text; terms are its words, found once for each line.
     """
     _checked(size, overlap)
     _checked(block, block_overlap)
-    cut = files.select("file_id", "path", "language", lines(F.col("content")).alias("_lines"))
+    cut = files.select("file_id", "path", "language", lines(F.col("content")).alias("_lines")).withColumn("_terms", F.transform("_lines", tokens))
     n = F.size("_lines")
     draft = lambda kind, start, end, name: F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), F.lit(kind).alias("kind"), name.cast("string").alias("symbol"))
     spans = symbols if symbols is not None else F.array().cast("array<struct<start:int,end:int,name:string>>")
@@ -47,13 +47,14 @@ def chunks(files: DataFrame, size: int = 160, overlap: int = 20, symbols: Column
     of_symbol = F.transform(spans, lambda x: draft("symbol", x["start"], x["end"], x["name"]))
     long = F.filter(spans, lambda x: x["end"] - x["start"] + 1 > block)
     of_block = F.flatten(F.transform(long, lambda x: F.transform(_starts(x["start"].cast("int"), x["end"].cast("int"), block, block_overlap), lambda s: draft("block", s, F.least(x["end"], s + block - 1), x["name"]))))
-    drafts = cut.select("file_id", "path", "language", "_lines", F.posexplode(F.array_sort(F.concat(of_file, of_symbol, of_block))).alias("_pos", "_c"))
-    text = F.array_join(F.slice("_lines", F.col("_c.start"), F.col("_c.end") - F.col("_c.start") + 1), "\n")
+    drafts = cut.select("file_id", "path", "language", "_lines", "_terms", F.posexplode(F.array_sort(F.concat(of_file, of_symbol, of_block))).alias("_pos", "_c"))
+    inside = lambda column: F.slice(column, F.col("_c.start"), F.col("_c.end") - F.col("_c.start") + 1)
+    text = F.array_join(inside("_lines"), "\n")
     place = F.concat_ws("-", F.col("_c.start").cast("string"), F.col("_c.end").cast("string"))
     named = F.concat_ws("#", "path", "_c.symbol")
     title = F.when(F.col("_c.kind") == "symbol", named).otherwise(F.concat_ws(" lines ", named, place))
     specificity = F.when(F.col("_c.kind") == "symbol", SPECIFICITY["symbol"]).when(F.col("_c.kind") == "block", SPECIFICITY["block"]).otherwise(SPECIFICITY["file"])
-    return drafts.select("file_id", "path", "language", (F.col("_pos") + 1).alias("ordinal"), "_c.kind", "_c.symbol", title.alias("title"), "_c.start", "_c.end", specificity.alias("specificity"), text.alias("text"), content_hash(text).alias("text_hash"))
+    return drafts.select("file_id", "path", "language", (F.col("_pos") + 1).alias("ordinal"), "_c.kind", "_c.symbol", title.alias("title"), "_c.start", "_c.end", specificity.alias("specificity"), text.alias("text"), content_hash(text).alias("text_hash"), F.flatten(inside("_terms")).alias("terms"))
 
 
 def embedding_text(limit: int = MAX_CHARS) -> Column:

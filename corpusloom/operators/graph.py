@@ -11,24 +11,63 @@ from ..session import written
 from .relational import best_per_key, ranked_fill, top_per_key
 
 
-def closure(edges: DataFrame, start: DataFrame, node: str = "node", reverse: bool = True, rounds: int = 1000) -> DataFrame:
-    """Everything that reaches the start set (or is reached from it), with the distance, the start at 0.
+def _roots(single: DataFrame, log: list[str] | None) -> DataFrame:
+    """``node, root`` of nodes (node, from) with one way in: where the chain that leads to each begins.
 
-    One join for each step: the frontier is expanded and what is known is taken out. Each level is
-    written once; what has been seen is the union of the levels. Only whether a level is empty comes
-    to the driver. Longer chains than ``rounds`` raise.
+    Each round doubles how far all nodes look back. Nodes on, or behind, a circle that nothing leads
+    into have no beginning; they are all that is left when a chain of all nodes would have been done.
+    """
+    rows = single.withColumnsRenamed({"node": "node", "from": "to"})
+    inner = single.select(F.col("node").alias("to"), F.lit(True).alias("open"))
+    jumps = written(rows.join(inner, "to", "left").select("node", "to", F.coalesce("open", F.lit(False)).alias("open")), "jumps")
+    for _ in range(jumps.count().bit_length() + 1):
+        going = jumps.filter("open")
+        if going.isEmpty():
+            break
+        if log is not None:
+            log.append("double")
+        further = jumps.select(F.col("node").alias("to"), F.col("to").alias("beyond"), F.col("open").alias("more"))
+        moved = going.select("node", "to").join(further, "to").select("node", F.col("beyond").alias("to"), F.col("more").alias("open"))
+        jumps = written(jumps.filter("not open").unionByName(moved), "jumps")
+    return jumps.filter("not open").select("node", F.col("to").alias("root"))
+
+
+def closure(edges: DataFrame, start: DataFrame, node: str = "node", reverse: bool = True, log: list[str] | None = None) -> DataFrame:
+    """Everything that reaches the start set (or is reached from it), the start included.
+
+    A node with one way in is reached if what leads to it is, so chains and trees of such nodes are
+    looked through by pointer doubling, in rounds as many as the logarithm of their length. What is
+    left are nodes with several ways in, with edges from where their chains begin; they are reached
+    level by level, and edges into what is reached leave the table, so no level is read again.
+    ``log`` gets a word for each round.
     """
     at, to = ("target", "source") if reverse else ("source", "target")
-    pairs = written(edges.select(F.col(at).alias(node), F.col(to).alias("next")).distinct(), "pairs")
-    frontier = written(start.select(node).distinct(), "level")
-    seen = frontier.withColumn("depth", F.lit(0))
-    for depth in range(1, rounds + 1):
-        new = written(pairs.join(frontier, node, "left_semi").select(F.col("next").alias(node)).distinct().join(seen, node, "left_anti"), "level")
+    begun = written(start.select(F.col(node).alias("node")).distinct(), "start")
+    pairs = edges.select(F.col(at).alias("from"), F.col(to).alias("node")).filter(F.col("from") != F.col("node")).distinct().join(begun, "node", "left_anti")
+    pairs = written(pairs, "pairs")
+    ways = pairs.groupBy("node").agg(F.count("*").alias("ways"), F.min("from").alias("from"))
+    ways = written(ways, "ways")
+    single = ways.filter("ways = 1").select("node", "from")
+    roots = written(_roots(single, log), "roots")
+    # Edges into nodes of several ways, from the beginning of what leads to them; without one nothing does.
+    inner = single.select(F.col("node").alias("from"), F.lit(True).alias("inner"))
+    known = roots.withColumnsRenamed({"node": "from"})
+    core = pairs.join(ways.filter("ways > 1").select("node"), "node", "left_semi").join(inner, "from", "left").join(known, "from", "left")
+    core = core.filter(F.col("inner").isNull() | F.col("root").isNotNull()).select(F.coalesce("root", "from").alias("from"), "node").distinct()
+    core, frontier, levels = written(core, "core"), begun, [begun]
+    while True:
+        new = written(core.join(frontier.select(F.col("node").alias("from")), "from", "left_semi").select("node").distinct(), "level")
         if new.isEmpty():
-            return seen
-        seen = seen.unionByName(new.withColumn("depth", F.lit(depth)))
-        frontier = new
-    raise RuntimeError(f"closure has not settled in {rounds} rounds")
+            break
+        if log is not None:
+            log.append("level")
+        levels.append(new)
+        core, frontier = written(core.join(new, "node", "left_anti"), "core"), new
+    reached = levels[0]
+    for level in levels[1:]:
+        reached = reached.unionByName(level)
+    behind = roots.join(reached.select(F.col("node").alias("root")), "root", "left_semi").select("node")
+    return reached.unionByName(behind).select(F.col("node").alias(node))
 
 
 def reach(edges: DataFrame, sources: DataFrame, depth: int = 3, origin: str = "origin") -> DataFrame:

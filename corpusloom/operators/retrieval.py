@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import lines, tokens
+from .lexical import Lexical
+from .vector_index import VectorIndex, _packed, _units
 
 #: Weights and the constant of reciprocal-rank fusion, candidates of each retriever, final hits.
 WEIGHTS = {"exact": 1.5, "lexical": 1.0, "vector": 1.0, "selection": 1.25}
@@ -66,59 +68,9 @@ def exact(chunks: DataFrame, terms: DataFrame, limit: int = CANDIDATES) -> DataF
     return ranked(found, limit, [F.desc("score"), F.desc("specificity"), F.asc("chunk_id")]).drop("specificity")
 
 
-#: Query terms that are broadcast at most; with more, occurrences are counted by shuffles.
-BROADCAST_TERMS = 200_000
-
-
-def _best_of_task(limit: int):  # noqa: ANN202
-    """A function on batches of (query_id, chunk_id, n), a chunk's rows together: the best chunks of each query in the task."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((0, 3), np.int64)  # rows of the last chunk, which may go on
-        best = np.zeros((0, 3), np.int64)
-
-        def cut(rows: np.ndarray) -> np.ndarray:
-            rows = rows[np.lexsort((rows[:, 1], -rows[:, 2], rows[:, 0]))]
-            new = np.r_[True, rows[1:, 0] != rows[:-1, 0]] if len(rows) else np.zeros(0, bool)
-            nth = np.arange(len(rows)) - np.maximum.accumulate(np.where(new, np.arange(len(rows)), 0))
-            return rows[nth < limit]
-
-        def counted(rows: np.ndarray) -> np.ndarray:
-            if not len(rows):
-                return rows
-            rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
-            start = np.flatnonzero(np.r_[True, (rows[1:, :2] != rows[:-1, :2]).any(1)])
-            return np.c_[rows[start, :2], np.add.reduceat(rows[:, 2], start)]
-
-        for batch in batches:
-            rows = np.concatenate([held, np.stack([np.asarray(batch.column(i)) for i in range(3)], 1)])
-            if not len(rows):
-                continue
-            last = rows[:, 1] == rows[-1, 1]
-            held = counted(rows[last])
-            best = cut(np.concatenate([best, counted(rows[~last])]))
-        best = cut(np.concatenate([best, held]))
-        if len(best):
-            yield pa.RecordBatch.from_arrays([pa.array(best[:, i]) for i in range(3)], ["query_id", "chunk_id", "n"])
-
-    return run
-
-
-def lexical(chunks: DataFrame, terms: DataFrame, limit: int = CANDIDATES, broadcast_terms: int = BROADCAST_TERMS) -> DataFrame:
-    """A tenth for each occurrence of a query's term in a chunk.
-
-    Where the queries' terms are few enough to broadcast, each task counts its own chunks and hands on
-    the best of each query only, so common words cause no shuffle of all (query, chunk) pairs; beyond
-    that, words that no query has leave before the shuffle. Both give the same rows.
-    """
-    words = chunks.select("chunk_id", F.explode(tokens(F.col("text"))).alias("term"))
-    if terms.limit(broadcast_terms + 1).count() <= broadcast_terms:
-        hits = words.join(F.broadcast(terms), "term").select("query_id", "chunk_id", F.lit(1).cast("bigint").alias("n"))
-        counted = hits.mapInArrow(_best_of_task(limit), "query_id bigint, chunk_id bigint, n bigint")
-    else:
-        frequency = words.join(terms.select("term").distinct(), "term", "left_semi").groupBy("chunk_id", "term").agg(F.count("*").alias("tf"))
-        counted = frequency.join(terms, "term").groupBy("query_id", "chunk_id").agg(F.sum("tf").alias("n"))
-    return ranked(counted.select("query_id", "chunk_id", F.round(F.col("n") / 10, 6).alias("score")), limit)
+def lexical(index: Lexical, terms: DataFrame, limit: int = CANDIDATES) -> DataFrame:
+    """A tenth for each occurrence of a query's term in a chunk, by the index of the chunks."""
+    return index.search(terms, limit).select("query_id", "chunk_id", F.round(F.col("n") / 10, 6).alias("score"), "rank")
 
 
 def selected(chunks: DataFrame, selections: DataFrame, limit: int = CANDIDATES) -> DataFrame:
@@ -187,20 +139,6 @@ def spread_answers(hits: DataFrame, distinct: Sequence[str], first: int = 3) ->
     return lead.withColumn("answer_rank", F.row_number().over(Window.partitionBy("query_id").orderBy(early, "rank"))).drop("_n", "_d")
 
 
-def _packed(df: DataFrame, prefix: str, size: int, key: Sequence[str] = ()) -> DataFrame:
-    """Rows (key, id, vector) packed into blocks of about ``size`` rows by hash: key, ids and values as arrays."""
-    n = df.groupBy(*key).agg(F.greatest(F.ceil(F.count("*") / size), F.lit(1)).alias("_blocks"))
-    sized = df.join(n, list(key)) if key else df.join(F.broadcast(n))
-    rows = sized.groupBy(*key, F.pmod(F.xxhash64("id"), F.col("_blocks")).alias(f"{prefix}_block")).agg(F.collect_list(F.struct("id", "vector")).alias("rows"))
-    return rows.select(*key, F.col("rows.id").alias(f"{prefix}_ids"), F.flatten("rows.vector").alias(f"{prefix}_values"))
-
-
-def _units(values: np.ndarray, n: int) -> np.ndarray:
-    m = values.astype(np.float64).reshape(n, -1)
-    size = np.sqrt((m * m).sum(1, keepdims=True))
-    return m / np.where(size == 0, 1, size)
-
-
 def _best_of_pairs(pairs: DataFrame, k: int, least: float) -> DataFrame:
     """``query_id, id, score, rank`` of pairs of blocks (r_ids, r_values, q_ids, q_values): one matrix product each, which leaves ``k`` rows of a query."""
 
@@ -225,67 +163,24 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int, least: float = -1.0, bl
     """``query_id, id, score, rank``: the ``k`` rows of highest cosine for each query, ties by id, exactly.
 
     Both sides have id and vector. Every block of queries meets every block of rows, so the work is
-    rows times queries; ``Lists`` is the way for more. Zero vectors have score 0; null vectors are left out.
+    rows times queries; ``VectorIndex`` is the way for more. Zero vectors have score 0; null vectors are left out.
     """
     sides = [_packed(df.filter("vector is not null"), prefix, block) for df, prefix in ((rows, "r"), (queries, "q"))]
     return _best_of_pairs(sides[0].join(sides[1]), k, least)
 
 
-class Lists:
-    """An index of inverted lists: each row is in the list of its nearest centre, a query looks into the nearest few lists.
-
-    Centres are fitted by spherical k-means on a sample of about ``sample`` rows, chosen by their ids' hashes; every
-    row is indexed. Lists are dealt into blocks, so a list may hold any share of the rows.
-    """
-
-    def __init__(self, rows: DataFrame, lists: int = 64, sample: int = 20_000, rounds: int = 10, seed: int = 5):
-        known = rows.filter("vector is not null")
-        n, slots = known.count(), 1 << 30
-        chosen = known if n <= sample else known.filter(F.pmod(F.xxhash64("id", F.lit("lists")), F.lit(slots)) < int(slots * sample / n))
-        some = chosen.select("vector").toArrow().column(0)
-        m = _units(np.array([v.as_py() for v in some], np.float64), len(some)) if len(some) else np.zeros((1, 1))
-        rng = np.random.default_rng(seed)
-        centres = m[np.sort(rng.choice(len(m), min(lists, len(m)), replace=False))]
-        for _ in range(rounds):
-            of = (m @ centres.T).argmax(1)
-            sums = np.zeros_like(centres)
-            np.add.at(sums, of, m)
-            centres = np.where(np.bincount(of, minlength=len(centres))[:, None] > 0, _units(sums, len(sums)), centres)
-        self.centres = centres
-        self.rows = self._listed(known, 1)
-
-    def _listed(self, df: DataFrame, probes: int) -> DataFrame:
-        """Rows with the ``probes`` nearest lists of each."""
-        shared = df.sparkSession.sparkContext.broadcast(self.centres)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if batch.num_rows:
-                    values = batch.column(1)
-                    m = _units(np.asarray(values.flatten()), batch.num_rows)
-                    near = np.argsort(-(m @ shared.value.T), axis=1, kind="stable")[:, :probes]
-                    at = np.repeat(np.arange(batch.num_rows), near.shape[1])
-                    yield pa.RecordBatch.from_arrays([pa.array(near.ravel().astype(np.int32)), batch.column(0).take(pa.array(at)), values.take(pa.array(at))], ["list", "id", "vector"])
-
-        kind = df.schema["vector"].dataType.simpleString()
-        return df.select("id", "vector").mapInArrow(run, f"list int, id bigint, vector {kind}")
-
-    def nearest(self, queries: DataFrame, k: int, probes: int = 8, least: float = -1.0, block: int = VECTOR_BLOCK) -> DataFrame:
-        """As ``nearest``, but of the rows in each query's ``probes`` lists."""
-        asked = self._listed(queries.filter("vector is not null"), probes)
-        pairs = _packed(self.rows, "r", block, ["list"]).join(_packed(asked, "q", block, ["list"]), "list")
-        return _best_of_pairs(pairs, k, least)
-
-
-def cache_lookup(requests: DataFrame, entries: DataFrame, least: float) -> DataFrame:
+def cache_lookup(requests: DataFrame, entries: DataFrame, least: float, index: VectorIndex | None = None) -> DataFrame:
     """``id, entry, how``: the entry with the request's fingerprint, else the nearest one of ``least`` similarity, else none.
 
+    The nearest is found exactly, or by an index of the entries' vectors where there are many.
+
     Both sides have id, fingerprint, vector and manifest. An entry that was made of other files than
     the request's is not used, whichever way it was found: its row has no entry and is quarantined.
     """
     same = requests.join(entries.groupBy("fingerprint").agg(F.min("id").alias("entry")), "fingerprint", "left")
     missed = same.filter("entry is null").select("id", "vector")
-    near = nearest(entries.select("id", "vector"), missed, 1, least).select(F.col("query_id").alias("id"), F.col("id").alias("near"))
+    hits = index.nearest(missed, 1, least) if index else nearest(entries.select("id", "vector"), missed, 1, least)
+    near = hits.select(F.col("query_id").alias("id"), F.col("id").alias("near"))
     found = same.select("id", "manifest", "entry").join(near, "id", "left").withColumn("hit", F.coalesce("entry", "near"))
     made_of = entries.select(F.col("id").alias("hit"), F.col("manifest").alias("made_of"))
     joined = found.join(made_of, "hit", "left")

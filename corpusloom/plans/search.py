@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,7 +11,9 @@ from ..functions import text as fx
 from ..operators import chunks as ch
 from ..operators import relational as op
 from ..operators import retrieval as rt
-from ..session import written
+from ..operators.lexical import Lexical
+from ..operators.vector_index import VectorIndex
+from ..session import shared_dir, written
 from ..sources.tables import FILES_SQL, Tables
 from .registry import Registry
 
@@ -45,12 +49,14 @@ final AS (SELECT query_id, chunk_id, s2 AS score, rank FROM (SELECT *, row_numbe
 FINAL_SQL = f"{FUSED_SQL}, {ADJUST_SQL}"
 
 
-def chunked(t: Tables) -> DataFrame:
+def chunked(files: Tables | DataFrame) -> DataFrame:
     """Chunks of the files: windows of 20 lines, spans of 40 as symbols named by their first word, and blocks of 16 lines in them."""
+    if isinstance(files, Tables):
+        files = files.files()
     n = F.size("_lines")
     name = lambda s: F.lower(F.regexp_extract(F.get("_lines", s - 1), "[A-Za-z0-9]+", 0))
     spans = F.transform(F.sequence(F.lit(1), n, F.lit(40)), lambda s: F.struct(s.alias("start"), F.least(n, s + 39).alias("end"), name(s).alias("name")))
-    return ch.chunks(t.files(), 20, 5, spans, 16, 4).withColumn("chunk_id", F.col("file_id") * 1_000_000 + F.col("ordinal"))
+    return ch.chunks(files, 20, 5, spans, 16, 4).withColumn("chunk_id", F.col("file_id") * 1_000_000 + F.col("ordinal"))
 
 
 def asked(t: Tables) -> DataFrame:
@@ -77,11 +83,17 @@ def slim(t: Tables) -> DataFrame:
     return written(chunked(t).select("chunk_id", "file_id", "path", "symbol", "title", "start", "end", "specificity", "ordinal"), "chunks")
 
 
+def index(t: Tables) -> Lexical:
+    """The lexical index of the files, in the shared folder: what another query has built is used again, less the files that have changed."""
+    at = hashlib.sha256(t.folder.encode()).hexdigest()[:16]
+    return Lexical.at(f"{shared_dir(t.spark)}/lexical-{at}", t.files(), chunked)
+
+
 def fused(t: Tables, chunks: DataFrame, embedded: bool = True) -> DataFrame:
     q = written(terms(t), "terms")
     of_chunks, of_queries = vectors(t, chunks)
     by_vector, _ = rt.by_vector(of_chunks, of_queries if embedded else None)
-    return rt.fuse({"exact": rt.exact(chunks, q), "lexical": rt.lexical(chunked(t).select("chunk_id", "text"), q), "selection": rt.selected(chunks, selections(t)), "vector": by_vector})
+    return rt.fuse({"exact": rt.exact(chunks, q), "lexical": rt.lexical(index(t), q), "selection": rt.selected(chunks, selections(t)), "vector": by_vector})
 
 
 def final(t: Tables, chunks: DataFrame, candidates: DataFrame | None = None) -> DataFrame:
@@ -103,7 +115,7 @@ def ret2_exact_retriever(t: Tables) -> DataFrame:
 
 @query(f"WITH {CHUNK_SQL}, {TERM_SQL}, {LEXICAL_SQL} SELECT query_id, chunk_id, score, rank FROM lexical")
 def ret3_lexical_retriever(t: Tables) -> DataFrame:
-    return rt.lexical(chunked(t).select("chunk_id", "text"), terms(t)).select("query_id", "chunk_id", "score", "rank")
+    return rt.lexical(index(t), terms(t)).select("query_id", "chunk_id", "score", "rank")
 
 
 @query("SELECT query_id, id, rank FROM (SELECT q.vec_id AS query_id, r.vec_id AS id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], r.embedding::DOUBLE[]), 9) DESC, r.vec_id) AS rank FROM embeddings q, embeddings r WHERE q.vec_id % 20 = 0) WHERE rank <= 8")
@@ -115,7 +127,7 @@ def ret4_vector_topk(t: Tables) -> DataFrame:
 @query()
 def ret4_vector_index(t: Tables) -> DataFrame:
     v = t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    return rt.Lists(v, lists=32).nearest(v.filter("id % 20 = 0"), 8, probes=20).select("query_id", "id", "rank")
+    return VectorIndex(v).nearest(v.filter("id % 20 = 0"), 8).select("query_id", "id", "rank")
 
 
 @query(f"WITH {CHUNK_SQL}, {SELECTION_SQL} SELECT query_id, chunk_id, rank, score FROM selection")

@@ -17,3 +17,46 @@ def test_boundary_expansion(spark):
     assert got("package.json") == {"package.json", *files}
     assert got("a/x.ts") == {"a/x.ts"}
     assert got("a/package.json", "a/b/package.json", "zz/package.json") == {"a/package.json", "a/b/package.json", "zz/package.json", "a/x.ts", "a/b/y.ts", "a/b/c/z.ts"}
+
+
+def plain_closure(pairs, start):
+    """What is reached from the start along (from, to)."""
+    out, todo = set(start), list(start)
+    ahead = {}
+    for a, b in pairs:
+        ahead.setdefault(a, set()).add(b)
+    while todo:
+        for n in ahead.get(todo.pop(), ()):
+            if n not in out:
+                out.add(n)
+                todo.append(n)
+    return out
+
+
+def closed(spark, pairs, start, reverse=False, log=None):
+    edges = spark.createDataFrame([(b, a) if reverse else (a, b) for a, b in pairs], "source long, target long")
+    got = [r.node for r in graph.closure(edges, spark.createDataFrame([(n,) for n in start], "node long"), reverse=reverse, log=log).collect()]
+    assert len(got) == len(set(got))
+    assert set(got) == plain_closure(pairs, start)
+
+
+@pytest.mark.parametrize("reverse", [False, True])
+def test_closure(spark, reverse):
+    import random
+
+    rng = random.Random(3)
+    for n, m in ((60, 50), (60, 90), (40, 200)):
+        pairs = [(rng.randrange(n), rng.randrange(n)) for _ in range(m)]
+        closed(spark, [*pairs, *pairs[:5]], rng.sample(range(n), 3), reverse)
+    circle = [(i, (i + 1) % 7) for i in range(7)]
+    closed(spark, [*circle, (3, 20), (20, 21), (30, 31)], [30], reverse)  # a circle that nothing leads into
+    closed(spark, [*circle, (3, 20), (30, 2)], [30, 99], reverse)
+    closed(spark, [], [1], reverse)
+    closed(spark, circle, [], reverse)
+
+
+def test_closure_of_a_chain_takes_few_rounds(spark):
+    log = []
+    chain = [(i, i + 1) for i in range(10_000)]
+    closed(spark, [*chain, (5_000, 20_000), (9_000, 20_000), (20_000, 20_001)], [0], log=log)
+    assert len(log) <= 20

