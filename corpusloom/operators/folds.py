@@ -1,11 +1,9 @@
-"""Ordered folds of a key's rows without ever holding them: by parts that combine, or by one pass over sorted rows."""
+"""Ordered folds of a key's rows without ever holding them: by parts that combine."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,49 +61,3 @@ def clamped_sums(rows: DataFrame, key: Sequence[str], order: Sequence[str], sums
     joined = maps.groupBy(*key).agg(F.sum("_n").alias("n"), *[F.array_sort(F.collect_list(F.struct("_part", F.col(name).alias("m")))).alias(name) for name in sums])
     value = lambda name, begin: F.aggregate(name, F.lit(begin).cast("bigint"), lambda x, r: clamp(x + r["m"]["s"], r["m"]["l"], r["m"]["h"]))
     return joined.select(*key, *[value(name, begin).alias(name) for name, (_, begin, _, _) in sums.items()], "n")
-
-
-def _granted(amounts: np.ndarray, left: int) -> tuple[np.ndarray, int]:
-    """Which amounts are taken in order from what is left, refusals taking nothing, and what is left then.
-
-    What is left only shrinks, so an amount above it is refused for good; the others are taken up to
-    the first that doesn't fit.
-    """
-    out = np.zeros(len(amounts), bool)
-    rest = np.arange(len(amounts))
-    while len(rest):
-        rest = rest[amounts[rest] <= left]
-        total = np.cumsum(amounts[rest])
-        fit = int(np.searchsorted(total, left, side="right"))
-        out[rest[:fit]] = True
-        left -= int(total[fit - 1]) if fit else 0
-        rest = rest[fit:]
-    return out, left
-
-
-def granted(requests: DataFrame, allowance: int, key: str, order: Sequence[str], amount: str) -> DataFrame:
-    """``key``, the last order column and ``granted`` of each request: amounts (0 or more) taken in order while the allowance lasts.
-
-    One decision depends on all before it, so a key's rows pass through one task in order; of them only
-    the balance is kept.
-    """
-    last = order[-1]
-    rows = requests.select(key, *order, F.col(amount).cast("bigint").alias("_amount")).repartition(key).sortWithinPartitions(key, *order).select(key, last, "_amount")
-    kind = rows.schema
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, left = None, allowance
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = batch.column(0).to_pylist()
-            amounts = np.asarray(batch.column(2).fill_null(0))
-            cuts = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
-            ok = np.zeros(len(keys), bool)
-            for a, b in zip(cuts, cuts[1:]):
-                if (keys[a],) != now:
-                    now, left = (keys[a],), allowance
-                ok[a:b], left = _granted(amounts[a:b], left)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok)], [key, last, "granted"])
-
-    return rows.mapInArrow(run, f"`{key}` {kind[key].dataType.simpleString()}, `{last}` {kind[last].dataType.simpleString()}, granted boolean")

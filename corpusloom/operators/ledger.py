@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .folds import granted
+from .admission import admitted
+
 
 def priced(usage: DataFrame, prices: DataFrame) -> DataFrame:
     """Usage (usage_type, units) with the newest price of its type (since, micro_per_unit): ``cost`` in micro-units.
@@ -26,7 +27,37 @@ def drawdown(grants: DataFrame, amounts: DataFrame, key: str, order: list[Column
 
 def reserve(requests: DataFrame, allowance: int, key: str = "org", order: tuple[str, ...] = ("ts", "event_id"), amount: str = "micro") -> DataFrame:
     """``granted`` of each request: taken in order while the allowance lasts, refusals taking nothing; keys are independent."""
-    return granted(requests, allowance, key, order, amount)
+    return admitted(requests, allowance, key, order, amount)
+
+
+#: How limits are enforced: not at all, refusing, or only noting what would have been refused.
+MODES = ("off", "enforce", "shadow")
+
+
+def reservations(requests: DataFrame, allowance: int, mode: str = "enforce", key: str = "org", order: tuple[str, ...] = ("ts", "event_id"), amount: str = "micro", again: str = "idempotency_key", blocked: str | None = None) -> DataFrame:
+    """``key``, the last order column, ``status`` and ``charged`` of each request.
+
+    Requests of one key and idempotency key are one request, the first, and have its outcome; a null
+    idempotency key is a request of its own. Only the first is charged. A request whose ``blocked`` is
+    true is beyond its feature's limit and takes nothing. In enforce mode what isn't reserved is
+    refused; in shadow mode it goes on as shadow_exceeded, uncharged; where limits are off there are no
+    reservations: status off.
+    """
+    if mode not in MODES:
+        raise ValueError(f"mode must be one of {MODES}")
+    last = order[-1]
+    limited = F.coalesce(F.col(blocked), F.lit(False)) if blocked else F.lit(False)
+    rows = requests.select(F.struct(F.col(key).alias("k"), F.coalesce(F.col(again).cast("string"), F.concat(F.lit("\0"), F.col(last).cast("string"))).alias("a")).alias("_same"), F.col(key), *order, F.coalesce(F.col(amount).cast("bigint"), F.lit(0)).alias("_amount"), limited.alias("_blocked"))
+    if mode == "off":
+        return rows.select(key, last, F.lit("off").alias("status"), F.lit(0).cast("bigint").alias("charged"))
+    first = rows.groupBy("_same").agg(F.min(F.struct(*order, "_amount", "_blocked")).alias("_first"))
+    asked = first.filter("not _first._blocked").select(F.col("_same.k").alias(key), *[F.col(f"_first.{c}").alias(c) for c in order], F.col("_first._amount").alias("_amount"))
+    granted = admitted(asked, allowance, key, order, "_amount").filter("granted").select(F.struct(F.col(key).alias("k"), F.col(last).alias("i")).alias("_at"))
+    outcome = first.select("_same", F.col(f"_first.{last}").alias("_last"), F.col("_first._amount").alias("_taken"), F.struct(F.col("_same.k").alias("k"), F.col(f"_first.{last}").alias("i")).alias("_at"))
+    outcome = outcome.join(granted.withColumn("_ok", F.lit(True)), "_at", "left").drop("_at")
+    ok, mine = F.coalesce("_ok", F.lit(False)), F.col(last).eqNullSafe(F.col("_last"))
+    status = F.when(ok, "reserved").otherwise("refused" if mode == "enforce" else "shadow_exceeded")
+    return rows.join(outcome, "_same").select(key, last, status.alias("status"), F.when(ok & mine, F.col("_taken")).otherwise(0).cast("bigint").alias("charged"))
 
 
 def release_stale(reservations: DataFrame, now: Column) -> DataFrame:

@@ -46,6 +46,17 @@ def led1_reserve(t: Tables) -> DataFrame:
     return u.select("org").distinct().join(granted, "org", "left").select("org", F.coalesce("used", F.lit(0)).alias("used"))
 
 
+@query(f"""WITH {USAGE_SQL}, keyed AS (SELECT *, event_id // 3 AS again, feature = 'error' AS blocked FROM usage), firsts AS (SELECT org, again, arg_min(event_id, {{'t': ts, 'e': event_id}}) AS event_id FROM keyed GROUP BY 1, 2),
+asked AS (SELECT k.* FROM keyed k JOIN firsts USING (org, again, event_id) WHERE NOT blocked),
+walk AS (SELECT org, list_reduce(list_prepend({{'left': 50000::BIGINT, 'ids': []::BIGINT[]}}, list({{'left': micro, 'ids': [event_id]}} ORDER BY ts, event_id)), lambda a, x: CASE WHEN x.left <= a.left THEN {{'left': a.left - x.left, 'ids': list_concat(a.ids, x.ids)}} ELSE a END) AS w FROM asked GROUP BY 1),
+ok AS (SELECT org, unnest(w.ids) AS event_id FROM walk), outcome AS (SELECT f.*, o.event_id IS NOT NULL AS ok FROM firsts f LEFT JOIN ok o USING (org, event_id))
+SELECT k.org, k.event_id, CASE WHEN o.ok THEN 'reserved' ELSE 'shadow_exceeded' END AS status, CASE WHEN o.ok AND k.event_id = o.event_id THEN k.micro ELSE 0 END AS charged FROM keyed k JOIN outcome o USING (org, again)""")
+def led1_reserve_shadow(t: Tables) -> DataFrame:
+    """Requests that repeat an idempotency key, some beyond their feature's limit, in shadow mode."""
+    u = t.usage().withColumns({"idempotency_key": F.floor(F.col("event_id") / 3), "over": F.col("feature") == "error"})
+    return ld.reservations(u, 50_000, "shadow", blocked="over")
+
+
 @query(f"WITH {USAGE_SQL}, m AS (SELECT max(ts) - INTERVAL 2 DAY AS now FROM usage), r AS (SELECT event_id, micro, ts + INTERVAL 7 DAY AS expires_at, CASE WHEN feature IN ('view', 'click') THEN 'pending' ELSE 'settled' END AS status, CASE WHEN feature = 'click' THEN event_id END AS provider_request FROM usage), s AS (SELECT *, status = 'pending' AND expires_at <= now AND provider_request IS NULL AS stale FROM r, m) SELECT event_id, CASE WHEN stale THEN 'released' ELSE status END AS status, CASE WHEN stale THEN 0 ELSE micro END AS reserved FROM s")
 def led3_release_stale(t: Tables) -> DataFrame:
     kind = F.col("feature")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as fx
 from corpusloom.operators import chunks as ch
-from corpusloom.operators import folds, graph, learning, ledger, mapping, resolution, retrieval, snapshot
+from corpusloom.operators import admission, folds, graph, learning, ledger, mapping, resolution, retrieval, snapshot
 from corpusloom.operators.evaluation import matched_flows
 from corpusloom.operators.vector_index import VectorIndex
 from corpusloom.plans import learning as learning_plans
@@ -245,3 +245,49 @@ def test_scanning(spark, tmp_path):
     got = scanning.collected(rows, ["build/"], {".py": "python", ".pem": "key"}, 20)
     assert {(r.path, r.content) for r in got.collect()} == {("a/x.py", "print(1)\n"), ("d/u.py", "\u00e9")}
     assert [tuple(r) for r in scanning.within_limits(got, 1, 99).collect()] == [("s", 2, 14, "too many files")]
+
+
+def granted_in_order(rows, allowance):
+    left, out = {}, {}
+    for org, i, micro in rows:
+        have = left.setdefault(org, allowance)
+        out[i] = micro <= have
+        left[org] -= micro * out[i]
+    return out
+
+
+@pytest.mark.parametrize("sizes", ["mixed", "small", "large", "falling"])
+def test_one_org_holds_all_requests(spark, sizes):
+    rng = random.Random(len(sizes))
+    pick = {"mixed": lambda i: rng.choice([0, 1, 7, 300, 4_000, 60_000]), "small": lambda i: rng.randrange(1, 9), "large": lambda i: rng.randrange(20_000, 60_000), "falling": lambda i: max(1, 50_000 >> (i // 97))}[sizes]
+    rows = [("hot" if i % 50 else None if i % 3 else "b", i, pick(i)) for i in range(6000)]
+    requests = spark.createDataFrame(rows, "org string, event_id long, micro long").withColumn("ts", F.timestamp_seconds(F.col("event_id"))).repartition(7)
+    log = []
+    got = admission.admitted(requests, 50_000, "org", ("ts", "event_id"), "micro", block=40, log=log)
+    assert {r.event_id: r.granted for r in got.collect()} == granted_in_order(rows, 50_000)
+    assert len(log) <= 18  # the logarithm of 50,000, and two
+
+
+def test_reservations(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice(["a", None]), i, rng.randrange(0, 500), rng.choice([None, f"k{rng.randrange(60)}"]), rng.random() < 0.1) for i in range(300)]
+    frame = spark.createDataFrame(rows, "org string, event_id long, micro long, idempotency_key string, over boolean").withColumn("ts", F.timestamp_seconds(F.col("event_id")))
+    for mode in ledger.MODES:
+        left, seen, want = {}, {}, {}
+        for org, i, micro, again, over in rows:
+            key = (org, again if again is not None else i)
+            if mode == "off":
+                want[i] = ("off", 0)
+            elif key in seen:
+                want[i] = (seen[key], 0)
+            else:
+                have = left.setdefault(org, 5000)
+                ok = micro <= have and not over
+                left[org] -= micro * ok
+                seen[key] = "reserved" if ok else "refused" if mode == "enforce" else "shadow_exceeded"
+                want[i] = (seen[key], micro * ok)
+        assert {r.event_id: (r.status, r.charged) for r in ledger.reservations(frame, 5000, mode, blocked="over").collect()} == want
+    with pytest.raises(ValueError):
+        ledger.reservations(frame, 1, "maybe")
+    with pytest.raises(Exception, match="below 0"):
+        ledger.reserve(frame.withColumn("micro", F.lit(-1)), 5).collect()
