@@ -90,28 +90,59 @@ def as_of(events: DataFrame, versions: DataFrame, key: Sequence[str], at: str, s
     return both.filter("_kind = 1").select(*key, "_event.*", "_version.*")
 
 
-def enclosing(points: DataFrame, spans: DataFrame, key: Sequence[str], bucket: int = 64, keep: Sequence[str] = ("span_id",)) -> DataFrame:
-    """The shortest span around each (start, end), ties by start then id, joined over fixed buckets of lines.
+def _shifted(x: Column, k: Column) -> Column:
+    return F.call_function("shiftright", x.cast("bigint"), k.cast("int"))
 
-    A span is listed in each bucket it touches, and a point is looked up in the bucket it starts in, so
-    the join is on equal keys whatever the lengths.
+
+def cover(start: Column, end: Column) -> Column:
+    """The fewest dyadic ranges that make up whole numbers from start to end: an array of (level, node), twice the logarithm of the length at most.
+
+    A node of level k has the numbers from node * 2**k on, 2**k of them. A range that ends before it starts has none.
+    """
+    levels = F.sequence(F.lit(0), F.greatest(F.ceil(F.log2((end - start + 1).cast("double"))), F.lit(0)).cast("int") + 1)
+
+    def of_level(k: Column) -> Column:
+        first, past = -_shifted(-start, k), _shifted(end + 1, k)
+        node = lambda x: F.struct(k.cast("int").alias("level"), x.cast("bigint").alias("node"))
+        odd = lambda x: F.pmod(x, F.lit(2)) == 1
+        return F.array_compact(F.array(F.when((first < past) & odd(first), node(first)), F.when((first < past) & odd(past), node(past - 1))))
+
+    return F.when(end >= start, F.flatten(F.transform(levels, of_level))).otherwise(F.array().cast("array<struct<level:int,node:bigint>>"))
+
+
+def _containing(points: DataFrame, point: str, spans: DataFrame, start: str, end: str, key: Sequence[str]) -> DataFrame:
+    """Points with each span of their key that holds the column ``point``, by an equi join on the nodes of the spans' covers."""
+    covered = spans.withColumn("_n", F.explode(cover(F.col(start), F.col(end)))).select("*", F.col("_n.level").alias("_level"), F.col("_n.node").alias("_node")).drop("_n")
+    levels = sorted(r[0] for r in covered.select("_level").distinct().collect())  # 64 at most
+    nodes = F.array(*[F.struct(F.lit(k).alias("level"), F.shiftright(F.col(point).cast("bigint"), k).alias("node")) for k in levels]) if levels else F.array().cast("array<struct<level:int,node:bigint>>")
+    placed = points.withColumn("_n", F.explode(nodes)).select("*", F.col("_n.level").alias("_level"), F.col("_n.node").alias("_node")).drop("_n")
+    return placed.join(covered, [*key, "_level", "_node"]).drop("_level", "_node")
+
+
+def enclosing(points: DataFrame, spans: DataFrame, key: Sequence[str], keep: Sequence[str] = ("span_id",)) -> DataFrame:
+    """The shortest span around each (start, end), ties by start then id.
+
+    A span is listed by the dyadic ranges that make it up, and a point is looked up in its range of each
+    level, so the join is on equal keys and a span costs the logarithm of its length.
     """
-    b = spans.select(*key, F.col("start").alias("_s"), F.col("end").alias("_e"), *keep, F.explode(F.sequence((F.col("start") / bucket).cast("int"), (F.col("end") / bucket).cast("int"))).alias("_b"))
-    p = points.withColumn("_b", (F.col("start") / bucket).cast("int"))
-    hit = p.join(b, [*key, "_b"]).filter((F.col("_s") <= F.col("start")) & (F.col("_e") >= F.col("end")))
+    named = spans.select(*key, F.col("start").alias("_s"), F.col("end").alias("_e"), *keep)
+    hit = _containing(points, "start", named, "_s", "_e", key).filter(F.col("_e") >= F.col("end"))
     cols = [c for c in points.columns]
     return hit.groupBy(*cols).agg(F.min_by(F.struct(*keep), F.struct(F.col("_e") - F.col("_s"), "_s", *keep)).alias("_k")).select(*cols, "_k.*")
 
 
-def overlapping(left: DataFrame, right: DataFrame, key: Sequence[str], bucket: int = 64) -> DataFrame:
+def overlapping(left: DataFrame, right: DataFrame, key: Sequence[str]) -> DataFrame:
     """Pairs of overlapping (start, end) and (r_start, r_end) with equal keys, each pair once.
 
-    Both sides are listed in the buckets they touch; a pair counts in the first bucket that both have.
+    Of two ranges that overlap one has the other's start in it: the right start in the left range, or
+    the left start in the right range behind its start.
     """
-    spread = lambda df, s, e: df.withColumn("_b", F.explode(F.sequence((F.col(s) / bucket).cast("int"), (F.col(e) / bucket).cast("int"))))
-    both = spread(left, "start", "end").join(spread(right, "r_start", "r_end"), [*key, "_b"])
-    first = F.greatest((F.col("start") / bucket).cast("int"), (F.col("r_start") / bucket).cast("int"))
-    return both.filter((F.col("start") <= F.col("r_end")) & (F.col("end") >= F.col("r_start")) & (F.col("_b") == first)).drop("_b")
+    columns = [*left.columns, *[c for c in right.columns if c not in key]]
+    whole = lambda df, s, e: df.filter(F.col(s) <= F.col(e))
+    left, right = whole(left, "start", "end"), whole(right, "r_start", "r_end")
+    ahead = _containing(right, "r_start", left, "start", "end", key)
+    behind = _containing(left, "start", right, "r_start", "r_end", key).filter("start > r_start")
+    return ahead.select(*columns).unionByName(behind.select(*columns))
 
 
 def ranked_fill(df: DataFrame, group: str, order: Sequence[Column], per_group: int, target: int) -> DataFrame:
