@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text as fx
 from ..session import written
 from .mapping import CODE
 from .relational import best_per_key, first_existing, insert_if_absent, top_per_key
@@ -28,27 +27,6 @@ def import_bindings(imports: DataFrame, files: DataFrame) -> DataFrame:
     return wanted.join(found, ["snapshot", "specifier"]).select("snapshot", "path", "local", target.alias("target_path"), F.coalesce("imported", "local").alias("imported"))
 
 
-def resolved_calls(calls: DataFrame, symbols: DataFrame, bindings: DataFrame) -> DataFrame:
-    """Calls (snapshot, path, target) with the ``symbol_id`` they mean: of their own file by the last part of the name, else of what the first part was imported as."""
-    named = calls.withColumns({"_short": F.element_at(F.split("target", r"\."), -1), "_root": F.element_at(F.split("target", r"\."), 1)})
-    own = symbols.select("snapshot", "path", F.col("name").alias("_short"), F.col("symbol_id").alias("_own"))
-    via = bindings.select("snapshot", "path", F.col("local").alias("_root"), "target_path", "imported")
-    far = symbols.select("snapshot", F.col("path").alias("target_path"), F.col("name").alias("_far"), F.col("symbol_id").alias("_other"))
-    both = named.join(own, ["snapshot", "path", "_short"], "left").join(via, ["snapshot", "path", "_root"], "left")
-    both = both.withColumn("_far", F.when(F.contains("target", F.lit(".")), F.col("_short")).otherwise(F.col("imported"))).join(far, ["snapshot", "target_path", "_far"], "left")
-    symbol = F.coalesce("_own", "_other")
-    return both.select(*calls.columns, symbol.alias("symbol_id"), F.when(symbol.isNull(), "syntactic_target_only").otherwise("resolved_symbol").alias("resolution"))
-
-
-def resolved_requests(requests: DataFrame, routes: DataFrame) -> DataFrame:
-    """Requests (snapshot, target, method) with the route that handles them: an equal path and method in the snapshot; remote targets have none."""
-    path = F.when(~F.contains("target", F.lit("://")), fx.request_path(F.col("target")))
-    asked = requests.withColumn("request_path", path)
-    handled = routes.select("snapshot", "request_path", "method", "symbol_id", "route_file")
-    joined = asked.join(handled, ["snapshot", "request_path", "method"], "left")
-    return joined.withColumn("resolution", F.when(F.col("route_file").isNull(), "literal_only").otherwise("exact_route"))
-
-
 def tree_summary(files: DataFrame) -> DataFrame:
     """``snapshot, first_file, directories``: the first file of the tree, directories before files without case, and its directories down to two levels."""
     parts = F.split("path", "/")

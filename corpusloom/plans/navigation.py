@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as fx
+from ..operators import edges as eg
 from ..operators import evaluation as ev
 from ..operators import jobs as jb
 from ..operators import mapping as mp
@@ -176,7 +177,7 @@ def gr21_resolved_calls(t: Tables) -> DataFrame:
     tree = t.tree().filter("file_id % 12 in (2, 8)")
     target = F.when(F.col("file_id") % 3 == 0, "own").when(F.col("file_id") % 3 == 1, "run").otherwise(F.concat(F.lit("run.f"), (F.col("file_id") % 2).cast("string")))
     calls = tree.select("snapshot", "path", "file_id", target.alias("target"))
-    return rs.resolved_calls(calls, symbols(t), rs.import_bindings(t.imports(), t.tree())).select("file_id", "target", "symbol_id", "resolution")
+    return eg.resolved_calls(calls, symbols(t), rs.import_bindings(t.imports(), t.tree())).select("file_id", "target", "symbol_id", "resolution")
 
 
 @query(f"""WITH {TREE_SQL}, routes AS (SELECT snapshot, file_id * 10 + 2 AS symbol_id, path AS route_file, '/api/d' || file_id AS request_path, 'GET' AS method FROM tree WHERE file_id % 12 = 1),
@@ -186,8 +187,60 @@ def gr21_resolved_requests(t: Tables) -> DataFrame:
     tree = t.tree()
     routes = tree.select("snapshot", (F.col("file_id") * 10 + 2).alias("symbol_id"), F.col("path").alias("route_file"), fx.route_path(F.col("path")).alias("request_path"), F.lit("GET").alias("method")).filter("request_path is not null")
     local = F.concat(F.lit("/api/d"), (F.col("file_id") - F.col("file_id") % 12 + 1).cast("string"), F.lit("/"))
-    asked = tree.filter("file_id % 12 in (2, 8)").select("snapshot", "file_id", F.when(F.col("file_id") % 5 == 0, local).otherwise("https://x.org/api/d1").alias("target"), F.when(F.col("file_id") % 10 == 0, "POST").otherwise("GET").alias("method"))
-    return rs.resolved_requests(asked, routes).select("file_id", "symbol_id", "route_file", "resolution")
+    asked = tree.filter("file_id % 12 in (2, 8)").select("snapshot", "path", "file_id", F.when(F.col("file_id") % 5 == 0, local).otherwise("https://x.org/api/d1").alias("request_path"), F.when(F.col("file_id") % 10 == 0, "POST").otherwise("GET").alias("method"))
+    no_roots = t.spark.createDataFrame([], "snapshot string, root string")
+    return eg.resolved_requests(asked, routes.withColumn("package_root", F.lit("*")), no_roots).select("file_id", "symbol_id", "route_file", "resolution")
+
+
+#: Parsed edges of the tree's code: each file has one of each kind that its place in the tree has.
+PARSED_SQL = """parsed AS (SELECT snapshot, path, file_id * 10 + k AS edge_id, relation, path || '::' || scope AS source, target, request_path, method, model FROM (
+  SELECT *, unnest([{'k': 0, 'relation': 'IMPORTS', 'scope': 'x', 'target': CASE file_id % 4 WHEN 0 THEN '../lib/d' || (file_id + 1) WHEN 1 THEN './gone' ELSE '../../src/./lib/../lib/d' || (file_id + 1) END, 'request_path': NULL, 'method': NULL, 'model': NULL},
+    {'k': 1, 'relation': 'IMPORTS', 'scope': 'x', 'target': CASE WHEN file_id % 2 = 0 THEN 'react' ELSE '@/lib/d' || file_id END, 'request_path': NULL, 'method': NULL, 'model': NULL},
+    {'k': 2, 'relation': 'TRIGGERS', 'scope': CASE WHEN file_id % 3 = 0 THEN 'own.inner.deep' ELSE 'other' END, 'target': CASE WHEN file_id % 5 = 0 THEN 'none' ELSE 'own' END, 'request_path': NULL, 'method': NULL, 'model': NULL},
+    {'k': 3, 'relation': 'REQUESTS', 'scope': 'x', 'target': 'fetch', 'request_path': '/api/d' || (file_id - file_id % 12 + 1) || '/', 'method': CASE WHEN file_id % 3 = 0 THEN 'post' END, 'model': NULL},
+    {'k': 4, 'relation': 'READS', 'scope': 'x', 'target': 'db', 'request_path': NULL, 'method': NULL, 'model': 'M' || (file_id % 7)},
+    {'k': 5, 'relation': 'RAISES', 'scope': 'x', 'target': 'Error', 'request_path': NULL, 'method': NULL, 'model': NULL},
+    {'k': 6, 'relation': 'CALLS', 'scope': 'x', 'target': CASE WHEN file_id % 2 = 0 THEN 'own' ELSE 'run.f' || (file_id % 3) END, 'request_path': NULL, 'method': NULL, 'model': NULL}], recursive := true) FROM tree WHERE file_id % 12 IN (2, 8)))"""
+
+
+def parsed_edges(t: Tables) -> DataFrame:
+    n, text = F.col("file_id"), lambda x: x.cast("string")
+    edge = lambda k, relation, target, scope=F.lit("x"), path=None, method=None, model=None: F.struct(F.lit(k).alias("k"), F.lit(relation).alias("relation"), scope.alias("scope"), target.alias("target"), *[(F.lit(None).cast("string") if c is None else c).alias(name) for name, c in (("request_path", path), ("method", method), ("model", model))])
+    near = F.when(n % 4 == 0, F.concat(F.lit("../lib/d"), text(n + 1))).when(n % 4 == 1, "./gone").otherwise(F.concat(F.lit("../../src/./lib/../lib/d"), text(n + 1)))
+    edges = [
+        edge(0, "IMPORTS", near),
+        edge(1, "IMPORTS", F.when(n % 2 == 0, "react").otherwise(F.concat(F.lit("@/lib/d"), text(n)))),
+        edge(2, "TRIGGERS", F.when(n % 5 == 0, "none").otherwise("own"), F.when(n % 3 == 0, "own.inner.deep").otherwise("other")),
+        edge(3, "REQUESTS", F.lit("fetch"), path=F.concat(F.lit("/api/d"), text(n - n % 12 + 1), F.lit("/")), method=F.when(n % 3 == 0, "post")),
+        edge(4, "READS", F.lit("db"), model=F.concat(F.lit("M"), text(n % 7))),
+        edge(5, "RAISES", F.lit("Error")),
+        edge(6, "CALLS", F.when(n % 2 == 0, "own").otherwise(F.concat(F.lit("run.f"), text(n % 3)))),
+    ]
+    rows = t.tree().filter("file_id % 12 in (2, 8)").select("snapshot", "path", "file_id", F.explode(F.array(*edges)).alias("e"))
+    return rows.select("snapshot", "path", (n * 10 + F.col("e.k")).alias("edge_id"), "e.relation", F.concat_ws("::", "path", "e.scope").alias("source"), "e.target", "e.request_path", "e.method", "e.model")
+
+
+@query(f"""WITH {TREE_SQL}, {BIND_SQL}, {SYMBOL_SQL}, {PARSED_SQL}, named AS (SELECT snapshot, path, name, path || '::' || name AS qualified, symbol_id FROM symbols UNION ALL SELECT snapshot, path, 'M' || (file_id % 61), path || '::M' || (file_id % 61), file_id * 10 + 5 FROM tree WHERE file_id % 12 = 4),
+routes AS (SELECT snapshot, CASE WHEN file_id % 24 = 1 THEN '' ELSE '*' END AS package_root, '/api/d' || file_id AS request_path, 'GET' AS method, file_id * 10 + 2 AS symbol_id, path AS route_file FROM tree WHERE file_id % 12 = 1),
+roots AS (SELECT DISTINCT snapshot FROM tree WHERE file_id % 12 = 6 AND contains(content, '"next"')),
+imp AS (SELECT p.*, CASE WHEN starts_with(target, '@/') THEN 'web/src/' || target[3:] || '.ts' WHEN starts_with(target, '../') THEN 'src/lib/' || regexp_extract(target, '[^/]*$') || '.ts' WHEN target = './gone' THEN 'none' ELSE target END AS want FROM parsed p WHERE relation = 'IMPORTS'),
+one AS (SELECT snapshot, name, min(symbol_id) AS symbol_id FROM named GROUP BY 1, 2 HAVING count(*) = 1),
+hit AS (SELECT p.*, a.symbol_id AS own_id, a.route_file AS own_file, b.symbol_id AS any_id, b.route_file AS any_file FROM parsed p LEFT JOIN roots r ON r.snapshot = p.snapshot LEFT JOIN routes a ON a.package_root = '' AND a.snapshot = r.snapshot AND a.request_path = rtrim(p.request_path, '/') AND a.method = upper(coalesce(p.method, 'GET')) LEFT JOIN routes b ON b.package_root = '*' AND b.snapshot = p.snapshot AND b.request_path = rtrim(p.request_path, '/') AND b.method = upper(coalesce(p.method, 'GET')) WHERE relation = 'REQUESTS')
+SELECT edge_id, relation, coalesce(k.path, target) AS target_path, NULL::BIGINT AS symbol_id, CASE WHEN k.path IS NULL THEN 'module_specifier' ELSE 'local_file' END AS resolution FROM imp LEFT JOIN known k ON k.snapshot = imp.snapshot AND k.path = imp.want
+UNION ALL SELECT edge_id, relation, target, s.symbol_id, CASE WHEN s.symbol_id IS NULL THEN 'unresolved_identifier' ELSE 'local_symbol' END FROM parsed p LEFT JOIN named s ON s.snapshot = p.snapshot AND s.qualified = p.path || '::' || p.target WHERE relation = 'TRIGGERS'
+UNION ALL SELECT edge_id, relation, target, NULL, CASE WHEN own_file IS NOT NULL THEN 'exact_package_route' WHEN any_file IS NOT NULL THEN 'exact_route' ELSE 'literal_only' END FROM hit
+UNION ALL SELECT edge_id, 'HANDLED_BY', coalesce(own_file, any_file), CASE WHEN own_file IS NOT NULL THEN own_id ELSE any_id END, CASE WHEN own_file IS NOT NULL THEN 'exact_package_route' ELSE 'exact_route' END FROM hit WHERE coalesce(own_file, any_file) IS NOT NULL
+UNION ALL SELECT edge_id, relation, target, o.symbol_id, CASE WHEN o.symbol_id IS NOT NULL THEN 'unique_model_symbol' END FROM parsed p LEFT JOIN one o ON o.snapshot = p.snapshot AND o.name = p.model WHERE relation = 'READS'
+UNION ALL SELECT edge_id, relation, target, NULL, NULL FROM parsed WHERE relation = 'RAISES'
+UNION ALL SELECT edge_id, relation, target, coalesce(s.symbol_id, f.symbol_id), CASE WHEN coalesce(s.symbol_id, f.symbol_id) IS NULL THEN 'syntactic_target_only' ELSE 'resolved_symbol' END FROM parsed p LEFT JOIN named s ON s.snapshot = p.snapshot AND s.path = p.path AND s.name = string_split(p.target, '.')[-1]
+  LEFT JOIN bind b ON b.snapshot = p.snapshot AND b.path = p.path AND b.local = split_part(p.target, '.', 1) LEFT JOIN named f ON f.snapshot = b.snapshot AND f.path = b.target_path AND f.name = CASE WHEN contains(p.target, '.') THEN string_split(p.target, '.')[-1] ELSE b.imported END WHERE relation = 'CALLS'""")
+def gr21_resolved_edges(t: Tables) -> DataFrame:
+    tree, number = t.tree(), F.col("file_id")
+    models = tree.filter("file_id % 12 = 4").select("snapshot", "path", F.concat(F.lit("M"), (number % 61).cast("string")).alias("name"), (number * 10 + 5).alias("symbol_id"))
+    named = symbols(t).unionByName(models).withColumn("qualified", F.concat_ws("::", "path", "name"))
+    routes = tree.filter("file_id % 12 = 1").select("snapshot", F.when(number % 24 == 1, "").otherwise("*").alias("package_root"), fx.route_path(F.col("path")).alias("request_path"), F.lit("GET").alias("method"), (number * 10 + 2).alias("symbol_id"), F.col("path").alias("route_file"))
+    roots = tree.filter((number % 12 == 6) & F.contains("content", F.lit('"next"'))).select("snapshot", F.lit("").alias("root")).distinct()
+    return eg.resolved_edges(parsed_edges(t), tree.select("snapshot", "path"), named, rs.import_bindings(t.imports(), tree), routes, roots)
 
 
 # -- artifacts ---------------------------------------------------------------------------------
