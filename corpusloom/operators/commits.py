@@ -44,7 +44,7 @@ class Versions:
 
     def _version(self, number: int) -> dict:
         if not number:
-            return {"schema": None, "folders": {}}
+            return {"schema": None, "folders": {}, "notes": {}}
         return json.loads(self.spark.read.text(f"{self.path}/versions/{number}.json", wholetext=True).first().value)
 
     def latest(self) -> int:
@@ -63,11 +63,15 @@ class Versions:
             self._fs.delete(draft, False)
         return done
 
-    def replace(self, rows: DataFrame, values: Iterable[object]) -> int:
+    def notes(self) -> dict[str, int]:
+        """What writers have noted with their commits, such as how far they had read."""
+        return self._version(self.latest())["notes"]
+
+    def replace(self, rows: DataFrame, values: Iterable[object], notes: dict[str, int] | None = None) -> int:
         """Let ``rows`` be all that the partitions of ``values`` have, in one commit; the new version's number.
 
         A value without rows ends empty; rows of other values raise before anything is visible. Other
-        partitions stay as they are.
+        partitions stay as they are. ``notes`` are kept with the version, beside older ones of other names.
         """
         values = {_name(v) for v in values}
         folder = uuid.uuid4().hex
@@ -82,7 +86,7 @@ class Versions:
             if now["schema"] not in (None, rows.schema.json()):
                 raise ValueError("the rows have other columns than the table")
             folders = {v: f for v, f in now["folders"].items() if v not in values} | {v: folder for v in found}
-            if self._publish(number + 1, {"schema": rows.schema.json(), "folders": folders}):
+            if self._publish(number + 1, {"schema": rows.schema.json(), "folders": folders, "notes": now["notes"] | (notes or {})}):
                 return number + 1
         raise RuntimeError(f"no version could be published in {TRIES} tries")
 
