@@ -62,6 +62,8 @@ SOME_STOPS, MANY_STOPS = 0.08, 0.2
 #: Below this share of stop words over a page, its language has no list here.
 FEW_STOPS = 0.12
 MOST_LINKED, LINKED_IN_ARTICLE = 0.2, 0.8
+#: Blocks between a doubtful block of few stop words and the nearest good one, at most.
+FAR = 40
 
 _ATTRIBUTES = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*+"
 _INSIDE = r"(?:[^<]++|<(?!/?\2\b))"
@@ -96,6 +98,7 @@ class Block:
     level: int
     home: int = 0
     heading: bool = False
+    apart: bool = False
     label: str = ""
 
     @property
@@ -233,20 +236,26 @@ def marks(found: list[Block]) -> tuple[int, int]:
 
 
 def first_pass(found: list[Block]) -> None:
-    """Labels good and bad where a block can be decided, near and short where not, off where the page's marks rule it out.
+    """Labels good and bad where a block can be decided, near and short where not, off what is hidden.
 
-    Blocks of a language without stop words here go by links and length.
+    The page's marks move the thresholds: what an article mark holds may have more links, and what
+    stands outside of it, or in a part that is marked as none of it, isn't good by itself, however
+    long and dense. Blocks of a language without stop words here go by links and length.
     """
     marked, most = marks(found)
     listed = has_stop_words(found)
     for b in found:
         size = len(b.text) if listed else b.size
-        if b.out > most or b.level < marked:
+        b.apart = b.out > most or b.level < marked
+        article = marked and not b.apart
+        if b.out == 3:
             b.label = "off"
-        elif b.link_density > (LINKED_IN_ARTICLE if marked else MOST_LINKED):
+        elif b.link_density > (LINKED_IN_ARTICLE if article else MOST_LINKED):
             b.label = "bad"
         elif size < SHORT:
-            b.label = "bad" if b.linked and not marked else "short"
+            b.label = "bad" if b.linked and not article else "short"
+        elif b.apart:
+            b.label = "near"
         elif b.link_density > MOST_LINKED:
             b.label = "near"
         elif not listed:
@@ -282,10 +291,15 @@ def second_pass(found: list[Block]) -> None:
     after on the page, and beyond the ends the article's mark, or bad on a page without. Doubtful
     blocks are good next to a good one. Short ones are good between two; where both sides differ, the
     nearer of one parent decides, at equal distance the later for a heading and the earlier for
-    others, and over parents they are bad.
+    others, and over parents they are bad. A doubtful block of few stop words is bad if no good one is
+    within ``FAR`` blocks. What is apart from the article has neighbours there only, and bad beyond its ends.
     """
-    edge = "good" if marks(found)[0] else "bad"
-    inside = [i for i, b in enumerate(found) if b.label != "off"]
+    for apart, edge in ((False, "good" if marks(found)[0] else "bad"), (True, "bad")):
+        _settle(found, [i for i, b in enumerate(found) if b.label != "off" and b.apart == apart], edge)
+
+
+def _settle(found: list[Block], inside: list[int], edge: str) -> None:
+    """The second pass over some of the page's blocks, with what stands beyond their ends."""
     homes: dict[int, list[int]] = {}
     for i in inside:
         homes.setdefault(found[i].home, []).append(i)
@@ -297,7 +311,9 @@ def second_pass(found: list[Block]) -> None:
             at_home = bool(near)
             near = near or on_page[i]
             kinds = {label for label, _ in near}
-            if len(kinds) == 1:
+            if found[i].label == "near" and min((d for label, d in near + on_page[i] if label == "good"), default=0) > FAR and found[i].stop_density < SOME_STOPS:
+                labels[i] = "bad"
+            elif len(kinds) == 1:
                 labels[i] = kinds.pop()
             elif found[i].label == "near":
                 labels[i] = "good"

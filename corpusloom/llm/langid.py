@@ -82,21 +82,28 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(sorted({p for p in (model.id_to_piece(i) for i in ids) if len(p) <= LONGEST and p == p.lower()}))
 
 
-def _matrices(raw: bytes, start: np.ndarray, end: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Owners and code points of words, by length; words of more than ``STRETCH`` letters in stretches of that many."""
-    rows: dict[tuple[int, bool], tuple[list[int], list[str]]] = {}
+def _matrices(words: list[tuple[int, str]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Owners and code points of words (owner, lower-case letters), by length."""
+    rows: dict[int, tuple[list[int], list[str]]] = {}
+    for owner, word in words:
+        owners, parts = rows.setdefault(len(word), ([], []))
+        owners.append(owner)
+        parts.append(word)
+    for n, (owners, parts) in rows.items():
+        points = np.frombuffer("".join(parts).encode("utf-32-le"), np.uint32).reshape(-1, n)
+        yield np.array(owners), np.concatenate([np.full((len(points), 1), _START, np.uint32), points], 1)
+
+
+def _by_length(raw: bytes, start: np.ndarray, end: np.ndarray) -> tuple[list[tuple[int, str]], list[tuple[int, np.ndarray]]]:
+    """Words with their number: those of up to ``STRETCH`` letters, and the code points of longer ones."""
+    short, long = [], []
     for i, (s, e) in enumerate(zip(start.tolist(), end.tolist(), strict=True)):
         word = raw[s:e].lower().decode("utf-8", "replace")
-        for at in range(0, len(word), STRETCH):
-            part = word[at : at + STRETCH]
-            owners, parts = rows.setdefault((len(part), at == 0), ([], []))
-            owners.append(i)
-            parts.append(part)
-    for (n, begins), (owners, parts) in rows.items():
-        points = np.frombuffer("".join(parts).encode("utf-32-le"), np.uint32).reshape(-1, n)
-        if begins:
-            points = np.concatenate([np.full((len(points), 1), _START, np.uint32), points], 1)
-        yield np.array(owners), points
+        if len(word) <= STRETCH:
+            short.append((i, word))
+        else:
+            long.append((i, np.array([_START, *map(ord, word)], np.uint32)))
+    return short, long
 
 
 def _edges(points: np.ndarray, words: Vocabulary) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -136,17 +143,13 @@ def forward(points: np.ndarray, words: Vocabulary, theta: np.ndarray) -> tuple[n
     return alpha, used
 
 
-def log_sum(points: np.ndarray, words: Vocabulary, theta: np.ndarray) -> np.ndarray:
-    """Log of the sum over all segmentations of one run of any length, by language.
-
-    All pieces in it are found at once; the sums go on from end to end with the last ``longest`` of
-    them held, rescaled as they go.
-    """
-    n, longest = len(points), words.longest
+def _all_pieces(points: np.ndarray, words: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """End, size and number of all pieces in one run, by end."""
+    n = len(points)
     terms = mix(points.astype(np.uint64) + np.uint64(0x1F3))
     hashes = np.zeros(n, np.uint64)
     ends, sizes, numbers = [], [], []
-    for size in range(1, min(n, longest) + 1):
+    for size in range(1, min(n, words.longest) + 1):
         hashes = hashes[: n - size + 1] + terms[size - 1 :] * _UP[size - 1]
         at, found = words.find(hashes)
         ends.append(at + size)
@@ -154,7 +157,17 @@ def log_sum(points: np.ndarray, words: Vocabulary, theta: np.ndarray) -> np.ndar
         numbers.append(found)
     end, size, number = (np.concatenate(x) for x in (ends, sizes, numbers))
     order = np.argsort(end, kind="stable")
-    end, size, number = end[order], size[order], number[order]
+    return end[order], size[order], number[order]
+
+
+def log_sum(points: np.ndarray, words: Vocabulary, theta: np.ndarray) -> np.ndarray:
+    """Log of the sum over all segmentations of one run of any length, by language.
+
+    All pieces in it are found at once; the sums go on from end to end with the last ``longest`` of
+    them held, rescaled as they go.
+    """
+    n, longest = len(points), words.longest
+    end, size, number = _all_pieces(points, words)
     cut = np.searchsorted(end, np.arange(1, n + 2))
     held, scale = np.zeros((longest + 1, theta.shape[1])), np.zeros(theta.shape[1])
     held[0] = 1.0
@@ -171,6 +184,33 @@ def log_sum(points: np.ndarray, words: Vocabulary, theta: np.ndarray) -> np.ndar
     return np.log(np.maximum(held[n % (longest + 1)], 1e-300)) + scale - n * np.log(SCALE)
 
 
+def run_expectations(points: np.ndarray, words: Vocabulary, theta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pieces and how often each is expected in one run of any length, in one language, over all its segmentations.
+
+    Logs of the sums up to each letter and from each letter on; a piece's share is what goes through it.
+    """
+    n, log_theta, alone = len(points), np.log(theta), np.log(UNKNOWN)
+    end, size, number = _all_pieces(points, words)
+    start = end - size
+    weight = log_theta[number]
+    to = np.searchsorted(end, np.arange(1, n + 2))
+    ahead = np.zeros(n + 1)
+    for j in range(1, n + 1):
+        a, b = to[j - 1], to[j]
+        ahead[j] = np.logaddexp.reduce(ahead[start[a:b]] + weight[a:b]) if a < b else ahead[j - 1] + alone
+    order = np.argsort(start, kind="stable")
+    since = np.searchsorted(start[order], np.arange(n + 1))
+    behind = np.full(n + 1, -np.inf)
+    behind[n] = 0.0
+    for i in range(n - 1, -1, -1):
+        on = order[since[i] : since[i + 1]]
+        ways = behind[end[on]] + weight[on]
+        if to[i] == to[i + 1]:  # no piece ends at the next letter, which so stands by itself
+            ways = np.append(ways, behind[i + 1] + alone)
+        behind[i] = np.logaddexp.reduce(ways) if len(ways) else -np.inf
+    return number, np.exp(ahead[start] + weight + behind[end] - ahead[n])
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -198,15 +238,12 @@ class Scorer:
     def compute(self, raw: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """As 32-bit numbers, which is what is remembered, so a word has one score whenever it is asked for."""
         out = np.zeros((len(start), len(self.languages)))
-        long = np.flatnonzero(end - start > STRETCH)
-        long = long[[len(raw[s:e].decode("utf-8", "replace")) > STRETCH for s, e in zip(start[long].tolist(), end[long].tolist(), strict=True)]] if len(long) else long
-        for i in long.tolist():
-            word = raw[start[i] : end[i]].lower().decode("utf-8", "replace")
-            out[i] = log_sum(np.array([_START, *map(ord, word)], np.uint32), self.words, self.theta)
-        short = np.setdiff1d(np.arange(len(start)), long)
-        for owners, points in _matrices(raw, start[short], end[short]):
+        short, long = _by_length(raw, start, end)
+        for i, points in long:
+            out[i] = log_sum(points, self.words, self.theta)
+        for owners, points in _matrices(short):
             alpha, _ = forward(points, self.words, self.theta)
-            out[short[owners]] = np.log(np.maximum(alpha[-1], 1e-300)) - points.shape[1] * np.log(SCALE)
+            out[owners] = np.log(np.maximum(alpha[-1], 1e-300)) - points.shape[1] * np.log(SCALE)
         return out.astype(np.float32)
 
     def of_words(self, texts: Texts, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -248,7 +285,11 @@ def expectations(column: pa.Array, langs: np.ndarray, model: Model) -> np.ndarra
         mine = np.flatnonzero(of == k)
         _, example, counts = np.unique(hashes[mine], return_index=True, return_counts=True)
         theta = np.exp(model.log_theta[:, [k]])
-        for owners, points in _matrices(raw, words.start[mine[example]], words.end[mine[example]]):
+        short, long = _by_length(raw, words.start[mine[example]], words.end[mine[example]])
+        for i, points in long:
+            found, n = run_expectations(points, vocab, theta[:, 0])
+            np.add.at(out[:, k], found, n * counts[i])
+        for owners, points in _matrices(short):
             alpha, used = forward(points, vocab, theta)
             beta = np.zeros_like(alpha)
             beta[-1] = counts[owners][:, None] / np.maximum(alpha[-1], 1e-300)
@@ -266,8 +307,7 @@ def train(docs: DataFrame, path: str, held_in: Column, sample: int = SAMPLE, rou
     """Learn from the texts of rows with ``held_in`` and a language, about ``sample`` of each at most, by their ids' hashes.
 
     Rows without text or language are left out; with none left the model has no languages. Of texts of
-    one id all are in the sample or none. Runs of more than ``STRETCH`` letters are learned from in
-    stretches.
+    one id all are in the sample or none. Runs of letters are learned from whole, however long.
     """
     known = docs.filter(held_in & F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}

@@ -97,35 +97,42 @@ def _parsed(head: bytes, block: bytes) -> dict:
     return out | {"http": None, "payload": block, "complete": True}
 
 
+_MARK, _BREAK = _VERSION.encode(), b"\r\n\r\n"
+
+
 def _records(chunks: Iterator[tuple[int, bytes]]) -> Iterator[dict]:
     """Records from what stands between occurrences of the version mark, each with its file's number.
 
     A block goes on for as many bytes as Content-Length says, whatever marks it contains. A record
     that its file ends in the middle of has ``complete`` false and what there is of it.
     """
-    of, held = None, b""
-    size = -1
+    of, size, head = None, -1, None
+    parts: list[bytes] = []
+    n = 0  # bytes of the block so far, once its length is known
 
     def cut() -> dict | None:
-        if not held:
+        if head is None and not any(parts):
             return None
-        head, _, block = held.partition(b"\r\n\r\n")
-        return _parsed(head, block[:size] if size >= 0 else block) | {"complete": size >= 0 and len(block) >= size}
+        if head is None:
+            start, _, block = b"".join(parts).partition(_BREAK)
+            return _parsed(start, block) | {"complete": False}
+        block = b"".join(parts)
+        return _parsed(head, block[:size]) | {"complete": len(block) >= size}
 
     for file, chunk in chunks:
-        done = of != file or size < 0
-        if not done:
-            head, mark, block = held.partition(b"\r\n\r\n")
-            done = bool(mark) and len(block) >= size
-        if done:
+        if of != file or head is None or n >= size:
             if found := cut():
                 yield found
-            of, held = file, chunk
+            of, size, head = file, -1, None
+            start, mark, block = chunk.partition(_BREAK)
+            length = [line.partition(b":")[2].strip() for line in start.split(b"\r\n") if line.lower().startswith(b"content-length:")]
+            if mark and length and length[0].isdigit():
+                size, head, parts, n = int(length[0]), start, [block], len(block)
+            else:
+                parts = [chunk]
         else:
-            held += _VERSION.encode() + chunk
-        head, mark, _ = held.partition(b"\r\n\r\n")
-        length = [line.partition(b":")[2].strip() for line in head.split(b"\r\n") if line.lower().startswith(b"content-length:")]
-        size = int(length[0]) if mark and length and length[0].isdigit() else -1
+            parts += [_MARK, chunk]
+            n += len(_MARK) + len(chunk)
     if found := cut():
         yield found
 
