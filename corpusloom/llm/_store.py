@@ -33,9 +33,37 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Folders of tables written inside of ``collected``.
+_collected: list[list[str]] = []
+
+
+@contextmanager
+def collected() -> Iterator[list[str]]:
+    """The folders of the tables written inside, so that they can be deleted once nothing reads them."""
+    found: list[str] = []
+    _collected.append(found)
+    try:
+        yield found
+    finally:
+        _collected.remove(found)
+
+
+def delete_unread(spark: SparkSession, folders: list[str], reader: DataFrame) -> None:
+    """Delete folders of the shared folder, but for those that ``reader`` still reads."""
+    files = reader.inputFiles()
+    shared = shared_dir(spark).removeprefix("file://")
+    for folder in folders:
+        name = folder.rsplit("/", 1)[-1]
+        if folder.removeprefix("file://").startswith(f"{shared}/") and not any(f"/{name}/" in f for f in files):
+            at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back, so later readers neither recompute nor depend on executors."""
     at = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    for found in _collected:
+        found.append(at)
     df.write.option("compression", "zstd").parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
