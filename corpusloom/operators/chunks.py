@@ -62,3 +62,15 @@ def embedding_text(limit: int = MAX_CHARS) -> Column:
     header = [F.concat(F.lit(f"{name}: "), F.col(column)) for name, column in (("path", "path"), ("language", "language"), ("chunk", "kind"), ("title", "title"), ("symbol", "symbol"))]
     whole = F.concat_ws("\n", *header, F.lit("source:"), F.col("text"))
     return F.substring(F.concat_ws("\n", whole, expand_identifiers(F.col("title"))), 1, limit)
+
+
+#: Fixed value: segments of a chunk.
+SEGMENTS = 80
+
+
+def line_segments(pieces: DataFrame, most: int = SEGMENTS) -> DataFrame:
+    """``chunk_id, segment_id, line, source``: the first lines of each chunk (chunk_id, start, text) that aren't blank, numbered, without the white space around them."""
+    each = F.split("text", "\r\n|[\n\r\u000b\u000c\u001c-\u001e\u0085\u2028\u2029]")
+    trimmed = F.transform(each, lambda x, i: F.struct(i.alias("at"), F.regexp_replace(x, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "").alias("source")))
+    rows = pieces.select("chunk_id", "start", F.posexplode(F.slice(F.filter(trimmed, lambda x: x["source"] != ""), 1, most)).alias("n", "x"))
+    return rows.select("chunk_id", F.concat(F.lit("seg_"), F.lpad((F.col("n") + 1).cast("string"), 3, "0")).alias("segment_id"), (F.col("start") + F.col("x.at")).alias("line"), F.col("x.source").alias("source"))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .matching import greedy_matching
+
 
 def retrieval_quality(hits: DataFrame, gold: DataFrame, k: int) -> DataFrame:
     """``queries, recall, mrr`` of hits (query_id, item, rank) against gold (query_id, item): any expected item counts."""
@@ -37,7 +38,7 @@ def matched_flows(gold: DataFrame, actual: DataFrame) -> DataFrame:
     """
     size = gold.groupBy("gold_id").agg(F.count_distinct("step").alias("size"))
     shared = gold.select("gold_id", "step").distinct().join(actual.select("actual_id", "step").distinct(), "step").groupBy("gold_id", "actual_id").agg(F.count("*").alias("overlap"))
-    score = F.round(F.col("overlap") / F.col("size"), 9) * 1_000_000 + F.col("overlap") / 1_000_000
+    score = F.struct((F.col("overlap") / F.col("size")).alias("coverage"), "overlap")
     pairs = shared.join(size, "gold_id").select(F.col("gold_id").alias("left"), F.col("actual_id").alias("right"), score.alias("score"))
     return greedy_matching(pairs).select(F.col("left").alias("gold_id"), F.col("right").alias("actual_id"))
 
@@ -93,39 +94,3 @@ def gate(report: DataFrame, at_least: Mapping[str, float], at_most: Mapping[str,
     for name, most in at_most.items():
         ok = ok & (F.col(name) <= most)
     return report.withColumn("passed", ok)
-
-
-def greedy_matching(pairs: DataFrame, few: int = 100_000) -> DataFrame:
-    """One-to-one pairs (left, right, score) by greedy best score: pairs that are best for both sides are taken, round by round.
-
-    Ties go to the least left, then right. Each round is a window over either side, so no task sees all
-    pairs, and takes one pair at least; the last ``few`` pairs, which ties may leave, are taken in order by one task.
-    """
-    from pyspark.sql import Window
-
-    from ..session import checkpointed
-
-    order = (F.desc("score"), "left", "right")
-
-    def in_order(batches):
-        lefts, rights = set(), set()
-        for batch in batches:
-            keep = []
-            for left, right in zip(batch["left"].to_pylist(), batch["right"].to_pylist(), strict=True):
-                keep.append(left not in lefts and right not in rights)
-                if keep[-1]:
-                    lefts.add(left)
-                    rights.add(right)
-            yield batch.filter(pa.array(keep, pa.bool_()))
-
-    # Of pairs that repeat, the best; otherwise either side could pick another of equal rows.
-    rest = checkpointed(pairs.groupBy("left", "right").agg(F.max("score").alias("score")))
-    taken = rest.limit(0)
-    while (left_over := rest.count()) > few:
-        best = lambda side: F.row_number().over(Window.partitionBy(side).orderBy(*order))
-        now = checkpointed(rest.withColumns({"_l": best("left"), "_r": best("right")}).filter("_l = 1 and _r = 1").drop("_l", "_r"))
-        taken = checkpointed(taken.unionByName(now))
-        for side in ("left", "right"):
-            rest = rest.join(now.select(F.col(side).alias("_x")), F.col(side).eqNullSafe(F.col("_x")), "left_anti")
-        rest = checkpointed(rest)
-    return taken.unionByName(rest.repartition(1).sortWithinPartitions(*order).mapInArrow(in_order, rest.schema)) if left_over else taken

@@ -71,13 +71,16 @@ def closure(edges: DataFrame, start: DataFrame, node: str = "node", reverse: boo
 
 
 def reach(edges: DataFrame, sources: DataFrame, depth: int = 3, origin: str = "origin") -> DataFrame:
-    """``origin, node, depth``: nodes within ``depth`` steps forward of each source, without itself, at their least distance."""
+    """``origin, node, depth``: nodes within ``depth`` steps forward of each source, without itself, at their least distance.
+
+    Each level is written once, so the next one doesn't compute it again.
+    """
     pairs = edges.select("source", "target").distinct()
-    seen = sources.select(F.col("source").alias(origin), F.col("source").alias("node"), F.lit(0).alias("depth"))
-    frontier = seen
+    frontier = sources.select(F.col("source").alias(origin), F.col("source").alias("node"), F.lit(0).alias("depth")).distinct()
+    seen = frontier
     for d in range(1, depth + 1):
         step = frontier.join(pairs, frontier["node"] == pairs["source"]).select(origin, F.col("target").alias("node"), F.lit(d).alias("depth")).distinct()
-        frontier = step.join(seen, [origin, "node"], "left_anti")
+        frontier = written(step.join(seen, [origin, "node"], "left_anti"), "reach")
         seen = seen.unionByName(frontier)
     return seen.filter(F.col("depth") > 0)
 

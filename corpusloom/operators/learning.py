@@ -91,3 +91,16 @@ def reduce_progress(events: DataFrame) -> DataFrame:
     style = clamped_sums(events.withColumn("_step", step), ["profile"], ["ts", "event_id"], {"style": ("_step", 2, 0, 2)}).drop("n")
     times = lambda k, name: F.count_if(kind == k).alias(name)
     return events.groupBy("profile").agg(times("opened", "opened"), times("understood", "understood"), times("needs_help", "help")).join(style, "profile")
+
+
+def concept_bridge(wanted: DataFrame, copy: DataFrame, examples: DataFrame, key: str, concepts: str) -> DataFrame:
+    """``key, place, concept, title, definition, question, code`` of each concept that a row names, each once, in order.
+
+    ``copy`` has concept, title, definition and ``examples`` concept, code; a concept without either gets
+    its own name as title, a plain definition, and a hint in place of code.
+    """
+    each = wanted.select(key, F.posexplode(F.array_distinct(concepts)).alias("at", "concept")).withColumn("place", F.col("at") + 1)
+    one = lambda df, *columns: df.groupBy("concept").agg(*[F.min(c).alias(c) for c in columns])
+    joined = each.join(one(copy, "title", "definition"), "concept", "left").join(one(examples, "code"), "concept", "left")
+    title = F.coalesce("title", F.regexp_replace("concept", "_", " "))
+    return joined.select(key, "place", "concept", title.alias("title"), F.coalesce("definition", F.concat(F.lit("What "), title, F.lit(" does in this code."))).alias("definition"), F.concat(F.lit("Where is "), title, F.lit(" used here, and why?")).alias("question"), F.coalesce("code", F.lit("// Follow a small input through this code.")).alias("code"))

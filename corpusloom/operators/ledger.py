@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .admission import admitted
+from .relational import summed_before
 
 
 def priced(usage: DataFrame, prices: DataFrame) -> DataFrame:
@@ -17,11 +18,10 @@ def priced(usage: DataFrame, prices: DataFrame) -> DataFrame:
     return usage.join(newest, "usage_type").withColumn("cost", (F.col("units") * F.col("micro_per_unit")).cast("bigint"))
 
 
-def drawdown(grants: DataFrame, amounts: DataFrame, key: str, order: list[Column]) -> DataFrame:
-    """``used`` of each grant when an amount is taken from each key's grants in order."""
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum("amount").over(w), F.lit(0))
-    wanted = grants.withColumn("_before", before).join(amounts.withColumnRenamed("amount", "_take"), key)
+def drawdown(grants: DataFrame, amounts: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """``used`` of each grant when an amount is taken from each key's grants in order; a key's grants are summed in ranges, not in one task."""
+    before = summed_before(grants, [key], order, F.coalesce(F.col("amount"), F.lit(0)).cast("bigint"), "_before")
+    wanted = before.join(amounts.withColumnRenamed("amount", "_take"), key)
     return wanted.withColumn("used", F.least("amount", F.greatest(F.lit(0), F.col("_take") - F.col("_before")))).drop("_before", "_take")
 
 

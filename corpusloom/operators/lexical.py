@@ -108,24 +108,28 @@ class Lexical:
         made = dealt.select("block", "file_id", "chunk_id", "terms").mapInArrow(lambda batches: _blocks(parts, batches), "part int, block int, term string, most int, found array<struct<chunk_id: bigint, n: int, file_id: bigint>>")
         return made.unionByName(self._made_of(files, chunks, blocks))
 
-    def _build(self, files: DataFrame, chunks: Callable[[DataFrame], DataFrame]) -> None:
+    def _build(self, files: DataFrame, chunks: Callable[[DataFrame], DataFrame], parts_before: int = 0) -> None:
         cut = chunks(files)
         blocks = max(1, -(-cut.count() // BLOCK))
         note = self.spark.range(1).select(F.lit(0).alias("part"), F.lit(0).alias("block"), F.lit(BLOCKS).alias("term"), F.lit(blocks).alias("most"))
-        self.table.replace(self._rows(files, cut, blocks).unionByName(note, allowMissingColumns=True), range(_parts(blocks)))
+        self.table.replace(self._rows(files, cut, blocks).unionByName(note, allowMissingColumns=True), range(max(_parts(blocks), parts_before)))
         self.rows = self.table.read()
 
     def blocks(self) -> int:
         return self.rows.filter(F.col("term") == BLOCKS).first().most
 
     def _update(self, files: DataFrame, chunks: Callable[[DataFrame], DataFrame]) -> None:
-        """Rewrite the parts that hold files which were changed, added or taken away."""
+        """Rewrite the parts that hold files which were changed, added or taken away; all anew if most files were."""
         had = self.rows.filter(F.startswith("term", F.lit(HASH))).select("term", F.explode("found").alias("f")).select(F.col("f.file_id").alias("file_id"), F.col("term").alias("old"), F.col("f.n").alias("had"))
         both = files.select("file_id", F.coalesce("content_hash", F.lit(HASH)).alias("new")).join(had, "file_id", "full")
         dirty = written(both.filter(~F.col("old").eqNullSafe(F.col("new"))).select("file_id", "had"), "dirty-files")
-        if dirty.isEmpty():
+        changed, n = dirty.count(), self.blocks()
+        if not changed:
             return
-        n, ids = self.blocks(), dirty.select("file_id")
+        if 2 * changed > both.count():
+            self._build(files, chunks, _parts(n))
+            return
+        ids = dirty.select("file_id")
         current = files.join(ids, "file_id", "left_semi")
         new = written(self._rows(current, chunks(current), n), "index-rows")
         old = dirty.filter("had is not null").select("file_id", F.explode(F.sequence(F.lit(0), F.floor(F.col("had") / BLOCK).cast("int"))).alias("k"))

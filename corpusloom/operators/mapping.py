@@ -59,12 +59,16 @@ def dependencies(files: DataFrame) -> DataFrame:
 
 
 def merged_claims(claims: DataFrame, most: int = 5) -> DataFrame:
-    """``snapshot, name, detail, confidence, paths`` of claims (snapshot, name, detail, confidence, place, path): the first detail, the best confidence, a few paths in order."""
+    """``snapshot, name, detail, confidence, paths`` of claims (snapshot, name, detail, confidence, place, path): the first detail, the best confidence, a few paths in order.
+
+    Each is an aggregate that combines before the shuffle, or a rank that is cut to a few in each task.
+    """
     rank = F.array_position(F.array(*[F.lit(r) for r in RANKS]), F.col("confidence"))
-    at = F.struct("place", "path")
-    held = top_per_key(claims.groupBy("snapshot", "name", "path").agg(F.min("place").alias("place"), F.min_by("detail", at).alias("detail"), F.max(rank).alias("r")), ["snapshot", "name"], [F.col("place"), F.col("path")], 1 << 30, "_n")
-    joined = held.groupBy("snapshot", "name").agg(F.min_by("detail", "_n").alias("detail"), F.max("r").alias("r"), F.array_sort(F.collect_list(F.when(F.col("_n") <= most, F.struct("_n", "path")))).alias("p"))
-    return joined.select("snapshot", "name", "detail", F.element_at(F.array(*[F.lit(r) for r in RANKS]), F.col("r").cast("int")).alias("confidence"), F.array_join(F.transform("p", lambda x: x["path"]), ",").alias("paths"))
+    of_path = claims.groupBy("snapshot", "name", "path").agg(F.min("place").alias("place"), F.min_by("detail", F.struct("place", "path")).alias("detail"), F.max(rank).alias("r"))
+    merged = of_path.groupBy("snapshot", "name").agg(F.min_by("detail", F.struct("place", "path")).alias("detail"), F.max("r").alias("r"))
+    few = top_per_key(of_path.select("snapshot", "name", "place", "path"), ["snapshot", "name"], [F.col("place"), F.col("path")], most, "_n")
+    paths = few.groupBy("snapshot", "name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", "path"))), lambda x: x["path"]), ",").alias("paths"))
+    return merged.join(paths, ["snapshot", "name"]).select("snapshot", "name", "detail", F.element_at(F.array(*[F.lit(r) for r in RANKS]), F.col("r").cast("int")).alias("confidence"), "paths")
 
 
 def _named(mapping: Mapping[str, tuple[str, str]], key: Column, i: int) -> Column:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import written
 
@@ -26,20 +30,26 @@ def top_per_key(df: DataFrame, key: Sequence[str], order: Sequence[Column], n: i
     return df.withColumn(name, F.row_number().over(w)).filter(F.col(name) <= n)
 
 
-def numbered(df: DataFrame, key: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
-    """Rows with their place within their key by ``order``, from 1, without any key in one task.
+def summed_before(df: DataFrame, key: Sequence[str], order: Sequence[str], value: Column, name: str) -> DataFrame:
+    """Rows with the sum of ``value`` over the rows of their key that stand before them by ``order``, without any key in one task.
 
-    Rows are sorted by ranges over all keys and written; a row's place is its place among its key's
-    rows of one range, and the key's rows in the ranges before.
+    Rows are sorted by ranges over all keys and written. What stands before a row are the rows before
+    it in its range, and its key's rows in the ranges before, of which there is one sum for each range.
     """
-    ordered = df.repartitionByRange(*key, *order).sortWithinPartitions(*key, *order)
-    rows = written(ordered.withColumns({"_range": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}), "numbered")
-    ranges = rows.groupBy(*key, "_range").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = ranges.withColumn("_before", before).drop("_n")
+    ordered = df.withColumn("_v", value).repartitionByRange(*key, *order).sortWithinPartitions(*key, *order)
+    rows = written(ordered.withColumns({"_range": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}), "ranges")
+    so_far = lambda c, by, at: F.coalesce(F.sum(c).over(Window.partitionBy(*by).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = rows.groupBy(*key, "_range").agg(F.sum("_v").alias("_sum"))
+    offsets = ranges.withColumn("_before", so_far("_sum", key, "_range")).drop("_sum")
+    within = rows.withColumn("_within", so_far("_v", [*key, "_range"], "_at"))
     same = [F.col(f"r.{c}").eqNullSafe(F.col(f"o.{c}")) for c in (*key, "_range")]
-    joined = rows.alias("r").join(offsets.alias("o"), same)
-    return joined.select(*[F.col(f"r.{c}") for c in df.columns], (F.col("_before") + F.col("_at") - F.col("_first") + 1).alias(name))
+    joined = within.alias("r").join(offsets.alias("o"), same)
+    return joined.select(*[F.col(f"r.{c}") for c in df.columns], (F.col("_before") + F.col("_within")).alias(name))
+
+
+def numbered(df: DataFrame, key: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
+    """Rows with their place within their key by ``order``, from 1, without any key in one task."""
+    return summed_before(df, key, order, F.lit(1).cast("bigint"), "_n").withColumn(name, F.col("_n") + 1).drop("_n")
 
 
 def insert_if_absent(table: DataFrame, rows: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -165,14 +175,33 @@ def distinct_first(df: DataFrame, distinct_by: str, order: Sequence[Column], lim
 
 
 def manifest_hash(files: DataFrame, by: str) -> DataFrame:
-    """One hash for each group of files (path, content_hash): of its parts' hashes, where a part holds the paths whose digest begins alike.
+    """``by, manifest``: the hash of each group's canonical JSON, the list of its files by path.
 
-    A part's paths are hashed in order, then the 4,096 parts in order, so no group is ever one string.
+    An entry has the keys byte_size, content_hash, language and path in order. SHA-256 goes over the text
+    from beginning to end, so a group's sorted rows pass through one task, which holds none of them.
     """
-    line = F.struct("path", F.concat_ws("=", "path", "content_hash").alias("line"))
-    joined = lambda rows, name: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(rows)), lambda x: x[name]), "\n"), 256)
-    parts = files.groupBy(by, F.substring(F.sha2("path", 256), 1, 3).alias("part")).agg(joined(line, "line").alias("hash"))
-    return parts.groupBy(by).agg(joined(F.struct("part", "hash"), "hash").alias("manifest"))
+    rows = files.select(F.col(by).alias("by"), "path", "content_hash", "language", F.col("byte_size").cast("bigint").alias("byte_size")).repartition("by").sortWithinPartitions("by", "path")
+    kind = rows.schema["by"]
+
+    def run(batches):  # noqa: ANN001, ANN202
+        now, digest = None, None
+        for batch in batches:
+            done = []
+            for key, path, content, language, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if now != (key,):
+                    if digest:
+                        digest.update(b"]")
+                        done.append((now[0], f"sha256:{digest.hexdigest()}"))
+                    now, digest = (key,), hashlib.sha256(b"[")
+                else:
+                    digest.update(b",")
+                digest.update(json.dumps({"byte_size": size, "content_hash": content, "language": language, "path": path}, separators=(",", ":")).encode())
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in done], batch.schema.field("by").type), pa.array([h for _, h in done], pa.string())], ["by", "manifest"])
+        if digest:
+            digest.update(b"]")
+            yield pa.RecordBatch.from_arrays([pa.array([now[0]], batch.schema.field("by").type), pa.array([f"sha256:{digest.hexdigest()}"])], ["by", "manifest"])
+
+    return rows.mapInArrow(run, T.StructType([T.StructField("by", kind.dataType), T.StructField("manifest", T.StringType())])).withColumnRenamed("by", by)
 
 
 def unexpired(rows: DataFrame, now: Column) -> DataFrame:

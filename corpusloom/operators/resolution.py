@@ -109,13 +109,6 @@ def return_stack(steps: DataFrame) -> DataFrame:
 
 def merged_questions(have: DataFrame, stacks: DataFrame, bank: DataFrame, key: str) -> DataFrame:
     """Questions a learner has, and those of the bank for their stack that they haven't: common ones and the stack's own."""
-    common = stacks.select(key).join(F.broadcast(bank.filter("needs is null").select("id").agg(F.collect_list("id").alias("ids")))).select(key, F.explode("ids").alias("id"))
-    own = stacks.join(bank.filter("needs is not null"), F.col("stack") == F.col("needs")).select(key, "id")
-    return insert_if_absent(have.distinct(), common.unionByName(own), [key, "id"])
-
-
-def role_connections(edges: DataFrame, roles: DataFrame) -> DataFrame:
-    """``source_role, target_role, edges, relations`` of edges between nodes (node, role) of different roles."""
-    role = lambda at, name: roles.select(F.col("node").alias(at), F.col("role").alias(name))
-    joined = edges.join(role("source", "source_role"), "source").join(role("target", "target_role"), "target").filter("source_role <> target_role")
-    return joined.groupBy("source_role", "target_role").agg(F.count("*").alias("edges"), F.array_join(F.array_sort(F.collect_set("relation")), ",").alias("relations"))
+    wanted = stacks.select(key, F.explode(F.array_distinct(F.array(F.lit(""), F.coalesce("stack", F.lit(""))))).alias("need"))
+    theirs = wanted.join(bank.select(F.coalesce("needs", F.lit("")).alias("need"), "id"), "need").select(key, "id")
+    return insert_if_absent(have.distinct(), theirs, [key, "id"])

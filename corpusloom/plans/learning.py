@@ -29,7 +29,7 @@ REPLAY_SQL = MASTERY_SQL + ", folded AS (SELECT profile, concept, list_reduce(li
 def win8_fifo_drawdown(t: Tables) -> DataFrame:
     grants = t.orders.select("o_custkey", "o_orderkey", "o_orderdate", F.round(F.col("o_totalprice") * 100).cast("bigint").alias("amount"))
     take = t.orders.select("o_custkey").distinct().withColumn("amount", F.lit(30_000_000))
-    return ld.drawdown(grants, take, "o_custkey", [F.col("o_orderdate"), F.col("o_orderkey")]).select("o_custkey", "o_orderkey", "used")
+    return ld.drawdown(grants, take, "o_custkey", ["o_orderdate", "o_orderkey"]).select("o_custkey", "o_orderkey", "used")
 
 
 @query(f"WITH {PRICE_SQL}, newest AS (SELECT usage_type, arg_max(micro, since) AS micro FROM prices GROUP BY 1) SELECT user_id, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT) * micro) AS BIGINT) AS cost FROM events JOIN newest ON usage_type = event_type GROUP BY 1")
@@ -147,7 +147,7 @@ def st9_replan(t: Tables) -> DataFrame:
     # One sort for each size, then offsets of sizes: no window over all rows.
     sizes = left.groupBy("p_size").agg(COUNT()).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("p_size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
     k = F.row_number().over(Window.partitionBy("p_size").orderBy("item"))
-    return left.withColumn("k", k).join(F.broadcast(sizes), "p_size").join(F.broadcast(done.agg(COUNT()))).select("item", (F.col("n") + F.col("before") + F.col("k")).alias("ordinal"))
+    return left.withColumn("k", k).join(sizes, "p_size").join(F.broadcast(done.agg(COUNT()))).select("item", (F.col("n") + F.col("before") + F.col("k")).alias("ordinal"))
 
 
 @query("SELECT user_id AS profile, title, rank FROM (SELECT user_id, p_name || '#' || p_partkey AS title, row_number() OVER (PARTITION BY user_id ORDER BY k + abs(p_size - 25) * 10, p_size, p_name || '#' || p_partkey) AS rank FROM (SELECT user_id, event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) JOIN part ON p_partkey = k + 1) WHERE rank <= 6")
@@ -201,7 +201,7 @@ def ev1_retrieval_quality(t: Tables) -> DataFrame:
     return ev.retrieval_quality(hits, gold, 8)
 
 
-@query()
+@query("WITH RECURSIVE pairs AS MATERIALIZED (SELECT l_suppkey AS l, l_partkey AS r, sum(l_quantity) AS score FROM lineitem GROUP BY 1, 2), g(n, pick, ls, rs) AS (SELECT 0, NULL::STRUCT(l BIGINT, r BIGINT, s DOUBLE), []::BIGINT[], []::BIGINT[] UNION ALL SELECT n + 1, best, list_append(ls, best.l), list_append(rs, best.r) FROM (SELECT n, ls, rs, arg_min({'l': p.l::BIGINT, 'r': p.r::BIGINT, 's': p.score::DOUBLE}, {'s': -p.score, 'l': p.l, 'r': p.r}) AS best FROM g JOIN pairs p ON NOT list_contains(ls, p.l) AND NOT list_contains(rs, p.r) GROUP BY n, ls, rs)) SELECT pick.l AS \"left\", pick.r AS \"right\", pick.s AS score FROM g WHERE n > 0")
 def join20_greedy_matching(t: Tables) -> DataFrame:
     pairs = t.lineitem.groupBy(F.col("l_suppkey").alias("left"), F.col("l_partkey").alias("right")).agg(F.sum("l_quantity").alias("score"))
     return ev.greedy_matching(pairs)

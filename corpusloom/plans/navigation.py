@@ -6,15 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as fx
+from ..operators import briefs as bf
 from ..operators import edges as eg
 from ..operators import evaluation as ev
 from ..operators import jobs as jb
+from ..operators import learning as lr
 from ..operators import mapping as mp
 from ..operators import relational as op
 from ..operators import resolution as rs
+from ..operators import story as st
 from ..operators.commits import Versions
-from ..session import shared_dir
-from ..sources.tables import FILES_SQL, IMPORTS_SQL, TREE_SQL, Tables
+from ..session import shared_dir, written
+from ..sources.tables import EDGES_SQL, FILES_SQL, IMPORTS_SQL, TREE_SQL, Tables
 from .registry import Registry
 
 query = Registry()
@@ -87,7 +90,7 @@ def fn20_readme_features(t: Tables) -> DataFrame:
     return mp.readme_features(t.tree())
 
 
-SUMMARY_SQL = f"""body AS (SELECT doc_id AS file_id, source AS snapshot, trim(coalesce(string_split(text, chr(10))[1], ''), ' ') AS a, trim(coalesce(string_split(text, chr(10))[2], ''), ' ') AS b FROM documents WHERE text IS NOT NULL AND doc_id % 12 = 7),
+SUMMARY_SQL = f"""body AS (SELECT doc_id AS file_id, 'repo' || (doc_id // 12) % 20 AS snapshot, trim(coalesce(string_split(text, chr(10))[1], ''), ' ') AS a, trim(coalesce(string_split(text, chr(10))[2], ''), ' ') AS b FROM documents WHERE text IS NOT NULL AND doc_id % 12 = 7),
 ok AS (SELECT *, a <> '' AND NOT regexp_matches(a, '^(#|- |\\* |\\+ |\\||```|<!--|<img|<picture|!\\[|\\[!\\[)') AS a_ok, b <> '' AND NOT regexp_matches(b, '^(#|- |\\* |\\+ |\\||```|<!--|<img|<picture|!\\[|\\[!\\[)') AS b_ok FROM body),
 joined AS (SELECT snapshot, file_id, CASE WHEN a_ok AND b_ok THEN concat_ws(' ', nullif({CLEAN("a")}, ''), nullif({CLEAN("b")}, '')) WHEN a_ok THEN {CLEAN("a")} WHEN b_ok THEN {CLEAN("b")} ELSE 'no bullet' END AS s FROM ok),
 summaries AS (SELECT snapshot, file_id, {CUT("s", 240)} AS summary FROM joined)"""
@@ -267,24 +270,31 @@ def src10_gold_reader(t: Tables) -> DataFrame:
     return ev.read_gold(t.spark, at)
 
 
-GOLD_SQL = "gold AS (SELECT DISTINCT l_orderkey AS id, l_returnflag || l_partkey % 7 AS step FROM lineitem), actual AS (SELECT DISTINCT l_orderkey * 2 AS id, l_returnflag || l_partkey % 7 AS step, l_linestatus = 'F' AS verified FROM lineitem WHERE l_linenumber <> 2), link AS (SELECT id AS gold_id, id * 2 AS actual_id FROM gold GROUP BY 1, 2)"
+#: Flows of expected steps by supplier, and of found steps by part, that share some; matched greedily, one pair a step.
+GOLD_SQL = """gold AS (SELECT DISTINCT l_suppkey AS gold_id, l_returnflag || l_linenumber || 'p' || l_partkey % 5 || 'q' || l_quantity::INTEGER % 9 AS step FROM lineitem WHERE l_discount < 0.06),
+actual AS (SELECT l_partkey % 150 AS actual_id, l_returnflag || l_linenumber || 'p' || l_partkey % 5 || 'q' || l_quantity::INTEGER % 9 AS step, bool_or(l_linestatus = 'F') AS verified FROM lineitem WHERE l_discount > 0.03 GROUP BY 1, 2),
+sized AS (SELECT gold_id, count(*) AS size FROM gold GROUP BY 1), shared AS MATERIALIZED (SELECT gold_id, actual_id, count(*) AS overlap, count(*) / any_value(size) AS coverage FROM gold JOIN actual USING (step) JOIN sized USING (gold_id) GROUP BY 1, 2),
+link(n, gold_id, actual_id, gs, xs) AS (SELECT 0, NULL::BIGINT, NULL::BIGINT, []::BIGINT[], []::BIGINT[] UNION ALL
+  SELECT n + 1, pick.g, pick.x, list_append(gs, pick.g), list_append(xs, pick.x) FROM (SELECT n, gs, xs, arg_min({'g': p.gold_id, 'x': p.actual_id}, {'a': -coverage, 'b': -overlap, 'g': p.gold_id, 'x': p.actual_id}) AS pick FROM link JOIN shared p ON NOT list_contains(gs, p.gold_id) AND NOT list_contains(xs, p.actual_id) GROUP BY n, gs, xs)),
+pairs AS (SELECT gold_id, actual_id FROM link WHERE n > 0)"""
 
 
-@query(f"WITH {GOLD_SQL}, j AS (SELECT g.id, count(*) AS expected, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM actual a WHERE a.id = g.id * 2 AND a.step = g.step)) AS hit FROM gold g GROUP BY 1), v AS (SELECT count(*) AS n, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM gold g WHERE g.id * 2 = a.id AND g.step = a.step)) AS ok FROM actual a WHERE verified) SELECT count(*) AS features, round(count(*) FILTER (WHERE hit >= 0.8 * expected) / count(*), 4) AS feature_recall, round(sum(hit) / sum(expected), 4) AS step_recall, (SELECT round(ok / n, 4) FROM v) AS verified_precision FROM j")
+def flows(t: Tables) -> tuple[DataFrame, DataFrame]:
+    step = F.concat("l_returnflag", F.col("l_linenumber").cast("string"), F.lit("p"), (F.col("l_partkey") % 5).cast("string"), F.lit("q"), (F.col("l_quantity").cast("int") % 9).cast("string")).alias("step")
+    gold = t.lineitem.filter("l_discount < 0.06").select(F.col("l_suppkey").alias("gold_id"), step).distinct()
+    actual = t.lineitem.filter("l_discount > 0.03").groupBy((F.col("l_partkey") % 150).alias("actual_id"), step).agg(F.bool_or(F.col("l_linestatus") == "F").alias("verified"))
+    return gold, actual
+
+
+@query(f"WITH RECURSIVE {GOLD_SQL}, j AS (SELECT g.gold_id, count(*) AS expected, count(a.step) AS hit FROM gold g LEFT JOIN pairs USING (gold_id) LEFT JOIN actual a ON a.actual_id = pairs.actual_id AND a.step = g.step GROUP BY 1), v AS (SELECT count(*) AS n, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM pairs p JOIN gold g ON g.gold_id = p.gold_id WHERE p.actual_id = a.actual_id AND g.step = a.step)) AS ok FROM actual a WHERE verified) SELECT count(*) AS features, round(count(*) FILTER (WHERE hit >= 0.2 * expected) / count(*), 4) AS feature_recall, round(sum(hit) / sum(expected), 4) AS step_recall, (SELECT round(ok / n, 4) FROM v) AS verified_precision FROM j")
 def ev2_flow_quality(t: Tables) -> DataFrame:
-    step = F.concat("l_returnflag", (F.col("l_partkey") % 7).cast("string"))
-    gold = t.lineitem.select(F.col("l_orderkey").alias("gold_id"), step.alias("step")).distinct()
-    actual = t.lineitem.filter("l_linenumber <> 2").select((F.col("l_orderkey") * 2).alias("actual_id"), step.alias("step"), (F.col("l_linestatus") == "F").alias("verified")).distinct()
-    pairs = gold.select("gold_id", (F.col("gold_id") * 2).alias("actual_id")).distinct()
-    return ev.flow_quality(gold, actual, pairs, 0.8)
+    gold, actual = flows(t)
+    return ev.flow_quality(gold, actual, ev.matched_flows(gold, actual), 0.2)
 
 
-@query()
+@query(f"WITH RECURSIVE {GOLD_SQL} SELECT gold_id, actual_id FROM pairs")
 def ev2_flow_matching(t: Tables) -> DataFrame:
-    step = F.concat("l_returnflag", F.col("l_partkey").cast("string"))
-    gold = t.lineitem.filter("l_linenumber <= 3").select(F.col("l_orderkey").alias("gold_id"), step.alias("step")).distinct()
-    actual = t.lineitem.filter("l_linenumber >= 2").select(F.col("l_orderkey").alias("actual_id"), step.alias("step")).distinct()
-    return ev.matched_flows(gold, actual)
+    return ev.matched_flows(*flows(t))
 
 
 @query("""WITH role AS (SELECT p_brand AS id, bool_or(p_size > 48) AS verified, count(*) FILTER (WHERE p_name LIKE '%a%') AS filled, count(*) AS fields, bool_or(p_type LIKE '%STEEL%') AS generic FROM part GROUP BY 1), gold AS (SELECT DISTINCT p_brand AS id FROM part WHERE p_size < 10 UNION SELECT 'Brand#none')
@@ -440,20 +450,57 @@ def cp15_get_or_create(t: Tables) -> DataFrame:
     return op.get_or_create(t.lineitem.select(*key).distinct(), have, ["chunk", "depth"], "artifact", made)
 
 
-@query("WITH c(concept, title) AS (VALUES ('en', 'English'), ('de', 'German')) SELECT doc_id, lang AS concept, coalesce(title, lang) AS title, CASE WHEN title IS NULL THEN 'none' ELSE 'bridge' END AS kind FROM documents LEFT JOIN c ON concept = lang")
+@query(f"WITH {TREE_SQL}, t AS (SELECT file_id, unnest(list_concat(['function', language], CASE WHEN file_id % 3 = 0 THEN ['loop', 'function'] ELSE ['state_x'] END)) AS concept, unnest(range(4)) AS at_ FROM tree), d AS (SELECT file_id, concept, row_number() OVER (PARTITION BY file_id ORDER BY min(at_)) AS place FROM t WHERE concept IS NOT NULL GROUP BY 1, 2), c AS (SELECT DISTINCT lang AS concept, 'Language ' || lang AS title FROM documents), x AS (SELECT 'function' AS concept, min(p_name) AS code FROM part) SELECT file_id, place, d.concept, coalesce(title, replace(d.concept, '_', ' ')) AS title, 'Where is ' || coalesce(title, replace(d.concept, '_', ' ')) || ' used here, and why?' AS question, coalesce(code, '// Follow a small input through this code.') AS code FROM d LEFT JOIN c ON c.concept = d.concept LEFT JOIN x ON x.concept = d.concept")
 def cp17_concept_bridge(t: Tables) -> DataFrame:
-    copy = t.spark.createDataFrame([("en", "English"), ("de", "German")], "concept string, title string")
-    rows = t.documents.select("doc_id", F.col("lang").alias("concept")).join(copy, "concept", "left")
-    return rows.select("doc_id", "concept", F.coalesce("title", "concept").alias("title"), F.when(F.col("title").isNull(), "none").otherwise("bridge").alias("kind"))
+    """Concepts of the tree's files; titles and examples come from tables."""
+    tail = F.when(F.col("file_id") % 3 == 0, F.array(F.lit("loop"), F.lit("function"))).otherwise(F.array(F.lit("state_x")))
+    wanted = t.tree().select("file_id", F.array_compact(F.concat(F.array(F.lit("function"), F.col("language")), tail)).alias("concepts"))
+    copy = t.documents.filter("lang is not null").select(F.col("lang").alias("concept"), F.concat(F.lit("Language "), "lang").alias("title"), F.lit(None).cast("string").alias("definition")).distinct()
+    examples = t.part.agg(F.min("p_name").alias("code")).select(F.lit("function").alias("concept"), "code")
+    return lr.concept_bridge(wanted, copy, examples, "file_id", "concepts").drop("definition")
+
+
+#: Files as nodes of a story, and imports and requests between them.
+NODE_SQL = f"""{FLAG_SQL}, layered AS (SELECT snapshot, path, file_id, regexp_extract(path, '[^/]*$') AS label, CASE WHEN file_id % 12 = 8 THEN 'worker' ELSE 'file' END AS node_type, CASE WHEN is_interface THEN 'client' WHEN is_api THEN 'server' WHEN is_data THEN 'data' WHEN is_core THEN 'domain' WHEN is_config THEN 'configuration' ELSE 'shared' END AS layer, file_id % 24 = 3 AS in_flow, CASE WHEN file_id % 5 = 0 THEN 'verified' ELSE 'inferred' END AS confidence FROM flags),
+kept AS (SELECT * FROM layered WHERE snapshot <> 'repo0' OR layer NOT IN ('client', 'server')),
+roled AS (SELECT k.*, library, CASE WHEN library THEN CASE WHEN in_flow OR regexp_replace(lower(label), '(.)\\.[^.]*$', '\\1') IN ('index', 'main', 'lib', '__init__') THEN 'public_api' WHEN layer = 'configuration' THEN 'runtime' WHEN layer IN ('domain', 'server') THEN 'core' ELSE 'shared' END
+  WHEN layer = 'client' THEN 'experience' WHEN node_type = 'worker' THEN 'analysis' WHEN layer = 'data' OR contains(lower(path), '/models') THEN 'persistence' WHEN layer = 'configuration' THEN 'runtime' WHEN layer = 'shared' THEN 'shared' ELSE 'application' END AS role
+  FROM kept k JOIN (SELECT snapshot, NOT bool_or(layer IN ('client', 'server')) AS library FROM kept GROUP BY 1) USING (snapshot)),
+told AS (SELECT snapshot, role, count(*) AS nodes, CASE WHEN bool_or(confidence = 'verified') THEN 'verified' ELSE 'inferred' END AS confidence, array_to_string(list_sort(list(path))[1:6], ',') AS evidence, row_number() OVER (PARTITION BY snapshot ORDER BY list_position({list(st.ROLES)}, role)) AS place FROM roled GROUP BY snapshot, role)"""
+
+
+def story_nodes(t: Tables) -> DataFrame:
+    a, n = mp.areas(F.col("path")), F.col("file_id")
+    layer = fx.first_match([(a["interface"], "client"), (a["api"], "server"), (a["data"], "data"), (a["core"], "domain"), (a["configuration"], "configuration")], "shared")
+    tree = written(t.tree().select("snapshot", "path", "file_id"), "tree")
+    nodes = tree.select("snapshot", "path", F.regexp_extract("path", "[^/]*$", 0).alias("label"), F.when(n % 12 == 8, "worker").otherwise("file").alias("node_type"), layer.alias("layer"), (n % 24 == 3).alias("in_flow"), F.when(n % 5 == 0, "verified").otherwise("inferred").alias("confidence"))
+    # One snapshot is a library: it has nothing that is seen or served.
+    return st.with_roles(nodes.filter("snapshot <> 'repo0' or layer not in ('client', 'server')"))
 
 
-@query("WITH w AS (SELECT c_custkey, n_regionkey AS role FROM customer JOIN nation ON c_nationkey = n_nationkey), e AS (SELECT o_custkey AS a, o_custkey % 100 + 1 AS b, o_orderstatus AS relation FROM orders) SELECT x.role AS source_role, y.role AS target_role, count(*) AS edges, string_agg(DISTINCT relation, ',' ORDER BY relation) AS relations FROM e JOIN w x ON x.c_custkey = a JOIN w y ON y.c_custkey = b WHERE x.role <> y.role GROUP BY 1, 2")
+@query(f"WITH {TREE_SQL}, {NODE_SQL} SELECT snapshot, place, role, nodes, confidence, evidence FROM told")
+def gr20_story_roles(t: Tables) -> DataFrame:
+    return st.roles(story_nodes(t)).withColumn("evidence", F.array_join("evidence", ","))
+
+
+@query(f"WITH {TREE_SQL}, {NODE_SQL}, {BIND_SQL}, e AS (SELECT snapshot, path AS source, target_path AS target, 'IMPORTS' AS relation, CASE WHEN imported = 'f1' THEN 'verified' ELSE 'inferred' END AS confidence FROM bind UNION ALL SELECT a.snapshot, a.path, b.path, CASE WHEN a.file_id % 24 = 2 THEN 'REQUESTS' ELSE 'READS' END, 'inferred' FROM tree a JOIN tree b ON b.snapshot = a.snapshot AND b.file_id = a.file_id - a.file_id % 12 + 1 WHERE a.file_id % 12 IN (2, 8)),\n" + "x AS (SELECT e.*, s.role AS source_role, g.role AS target_role FROM e JOIN roled s ON s.snapshot = e.snapshot AND s.path = e.source JOIN roled g ON g.snapshot = e.snapshot AND g.path = e.target WHERE s.role <> g.role) SELECT snapshot, source_role, target_role, array_to_string(list_transform(list_sort(list_distinct(list({'p': coalesce(list_position(" + str(list(st.RELATIONS)) + ", relation), 99), 'r': relation}))), lambda z: z.r), ',') AS relations, count(*) AS edges, CASE WHEN bool_or(confidence = 'verified') THEN 'verified' ELSE 'inferred' END AS confidence, array_to_string(list_sort(list_distinct(list(source)))[1:5], ',') AS evidence FROM x GROUP BY 1, 2, 3")
 def gr20_role_story(t: Tables) -> DataFrame:
-    roles = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("node"), F.col("n_regionkey").alias("role"))
-    edges = t.orders.select(F.col("o_custkey").alias("source"), (F.col("o_custkey") % 100 + 1).alias("target"), F.col("o_orderstatus").alias("relation"))
-    return rs.role_connections(edges, roles)
+    tree = t.tree()
+    imports = rs.import_bindings(t.imports(), tree).select("snapshot", F.col("path").alias("source"), F.col("target_path").alias("target"), F.lit("IMPORTS").alias("relation"), F.when(F.col("imported") == "f1", "verified").otherwise("inferred").alias("confidence"))
+    n = F.col("file_id")
+    asked = tree.filter(n % 12 == 1).select("snapshot", n.alias("api"), F.col("path").alias("target"))
+    requests = tree.filter("file_id % 12 in (2, 8)").withColumn("api", n - n % 12 + 1).join(asked, ["snapshot", "api"]).select("snapshot", F.col("path").alias("source"), "target", F.when(n % 24 == 2, "REQUESTS").otherwise("READS").alias("relation"), F.lit("inferred").alias("confidence"))
+    told = st.connections(imports.unionByName(requests), story_nodes(t))
+    return told.withColumns({"relations": F.array_join("relations", ","), "evidence": F.array_join("evidence", ",")})
 
 
+@query(f"WITH {TREE_SQL}, {NODE_SQL}, {SUMMARY_SQL}, s AS (SELECT snapshot, arg_min(summary, file_id) AS summary FROM summaries GROUP BY 1), f AS (SELECT snapshot, arg_min('flow of d' || file_id, file_id) AS outcome FROM tree WHERE file_id % 24 = 3 GROUP BY 1), h AS (SELECT snapshot, bool_or(role = 'experience') AS seen, string_agg(place || '. ' || role, ',' ORDER BY place) FILTER (WHERE place <= 5) AS steps FROM told GROUP BY 1), k AS (SELECT DISTINCT snapshot, library FROM roled) SELECT k.snapshot, coalesce(nullif(trim(summary), ''), k.snapshot) AS one_liner, CASE WHEN library THEN 'developers' WHEN seen THEN 'people' ELSE 'systems' END AS audience, CASE WHEN NOT library AND seen THEN 'understanding' ELSE coalesce(outcome, 'core result') END AS outcome, steps FROM k JOIN h USING (snapshot) LEFT JOIN s USING (snapshot) LEFT JOIN f USING (snapshot)")
+def gr20_story_purpose(t: Tables) -> DataFrame:
+    tree, nodes = t.tree(), story_nodes(t)
+    summaries = mp.readme_summary(tree).groupBy("snapshot").agg(F.min_by("summary", "file_id").alias("summary"))
+    features = tree.filter("file_id % 24 = 3").select("snapshot", F.col("file_id").alias("rank"), F.concat(F.lit("flow of d"), F.col("file_id").cast("string")).alias("outcome"))
+    return st.purpose(st.roles(nodes), nodes, summaries, features).withColumn("steps", F.array_join("steps", ","))
+
 
 # -- jobs --------------------------------------------------------------------------------------
 CHANGES_SQL = "j AS (SELECT user_id AS id, event_type AS status, ts AS at_, event_id AS seq, max(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS over, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS was FROM events), changes AS (SELECT id, status, at_, seq FROM j WHERE coalesce(over, 0) = 0 AND was IS DISTINCT FROM status)"
@@ -481,10 +528,33 @@ def str4_guarded_jobs(t: Tables) -> DataFrame:
     return jb.guarded(job_rows(t).withColumnRenamed("status", "kind"), "error", ["purchase", "signup"])
 
 
-@query("WITH e AS (SELECT o_custkey, o_orderkey, o_orderpriority, CASE WHEN o_orderstatus = 'F' THEN 'confirmed' ELSE 'possible' END AS kind FROM orders), b AS (SELECT o_custkey, count(*) FILTER (WHERE kind = 'confirmed') AS confirmed, count(*) FILTER (WHERE kind = 'possible') AS possible FROM e GROUP BY 1) SELECT o_custkey, confirmed, possible, CASE WHEN o_custkey % 5 = 0 THEN 'brief_' || o_custkey ELSE 'made_' || confirmed || '_' || possible END AS brief, o_custkey % 5 <> 0 AS created FROM b")
+#: Suppliers as symbols in files of nations, the edges between them, and customers' selections of lines.
+BRIEF_SQL = f"""{EDGES_SQL}, sym AS (SELECT s_suppkey AS symbol_id, s_nationkey AS file_id, s_suppkey % 40 * 25 + 1 AS start, s_suppkey % 40 * 25 + 20 + s_suppkey % 15 AS "end" FROM supplier),
+ed AS (SELECT source || '-' || target || '-' || relation AS edge_id, CASE relation WHEN 'AF' THEN 'WRITES' WHEN 'NF' THEN 'CALLS' WHEN 'NO' THEN 'READS' ELSE 'REQUESTS' END AS relation, confidence / 100 AS confidence, file_id AS source_file, source AS source_symbol, CASE WHEN target % 3 > 0 THEN target END AS target_symbol, line % 1000 + 1 AS first, line % 1000 + 3 AS last FROM edges JOIN sym ON symbol_id = source),
+sl AS (SELECT c_custkey AS brief, c_nationkey AS file_id, c_custkey % 1000 + 1 AS start, c_custkey % 1000 + 1 + c_custkey % 12 AS "end" FROM customer),
+own AS (SELECT brief, arg_min(symbol_id, struct_pack(a := s."end" - s.start, b := s.start, c := symbol_id)) AS symbol_id FROM sl JOIN sym s ON s.file_id = sl.file_id AND s.start <= sl.start AND s."end" >= sl."end" GROUP BY 1),
+hit AS (SELECT brief, edge_id, max(o) = 1 AS outgoing, max(i) = 1 AS incoming FROM (SELECT brief, edge_id, 1 AS o, 0 AS i FROM sl JOIN ed ON source_file = file_id AND first <= "end" AND last >= start UNION ALL SELECT brief, edge_id, 1, 0 FROM own JOIN sl USING (brief) JOIN ed ON source_symbol = symbol_id AND source_file = file_id UNION ALL SELECT brief, edge_id, 0, 1 FROM own JOIN ed ON target_symbol = symbol_id) GROUP BY 1, 2),
+full_ AS (SELECT h.brief, h.outgoing, h.incoming, ed.*, struct_pack(a := CASE WHEN outgoing THEN 0 ELSE 1 END, b := first, c := relation, d := ed.edge_id) AS o, CASE WHEN confidence >= 0.8 AND (relation IN ('REQUESTS', 'WRITES') OR incoming) THEN 'confirmed' ELSE 'possible' END AS kind FROM hit h JOIN ed USING (edge_id)),
+lists AS (SELECT brief, list(edge_id ORDER BY o) FILTER (WHERE kind = 'confirmed') AS confirmed, list(edge_id ORDER BY o) FILTER (WHERE kind = 'possible') AS possible, bool_or(confidence >= 0.8 AND relation = 'WRITES') AS high, bool_or(confidence >= 0.8 AND relation = 'REQUESTS') AS middle FROM full_ GROUP BY 1),
+ends AS (SELECT brief, f.o, coalesce(s.file_id, CASE WHEN incoming THEN source_file END) AS file, coalesce(s.start, 1) AS line FROM full_ f LEFT JOIN sym s ON s.symbol_id = CASE WHEN incoming THEN source_symbol ELSE target_symbol END),
+far AS (SELECT brief, file, line, min(o) AS o FROM ends WHERE file IS NOT NULL GROUP BY 1, 2, 3 EXCEPT SELECT e.brief, e.file, e.line, e.o FROM (SELECT brief, file, line, min(o) AS o FROM ends GROUP BY 1, 2, 3) e JOIN sl ON sl.brief = e.brief AND sl.file_id = e.file AND sl.start = e.line),
+placed AS (SELECT brief, list(file || ':' || line ORDER BY o) AS far FROM far GROUP BY 1), files AS (SELECT brief, count(DISTINCT file) AS files FROM (SELECT brief, file FROM far UNION ALL SELECT brief, file_id FROM sl) GROUP BY 1)"""
+
+
+@query(f"""WITH {BRIEF_SQL} SELECT brief, symbol_id, coalesce(array_to_string(confirmed[1:8], ','), '') AS confirmed, coalesce(array_to_string(possible[1:CASE WHEN confirmed IS NULL THEN 7 ELSE 8 END], ','), '') AS possible, confirmed IS NULL AS to_verify,
+  array_to_string(list_concat([sl.file_id || ':' || sl.start], coalesce(far[1:7], [])), ',') AS places, CASE WHEN high THEN 'high' WHEN files > 1 OR middle THEN 'medium' WHEN high IS NOT NULL THEN 'low' ELSE 'unknown' END AS risk,
+  CASE WHEN c_mktsegment = 'BUILDING' THEN 'brief_' || brief ELSE 'made_' || brief END AS artifact, c_mktsegment <> 'BUILDING' AS created FROM sl JOIN customer ON c_custkey = brief LEFT JOIN own USING (brief) LEFT JOIN lists USING (brief) LEFT JOIN placed USING (brief) LEFT JOIN files USING (brief)""")
 def cp16_change_brief(t: Tables) -> DataFrame:
-    sure = F.col("o_orderstatus") == "F"
-    briefs = t.orders.groupBy("o_custkey").agg(F.count_if(sure).alias("confirmed"), F.count_if(~sure).alias("possible"))
-    have = t.customer.filter("c_custkey % 5 = 0").select(F.col("c_custkey").alias("o_custkey"), F.concat(F.lit("brief_"), F.col("c_custkey").cast("string")).alias("brief"))
-    made = F.concat_ws("_", F.lit("made"), F.col("confirmed").cast("string"), F.col("possible").cast("string"))
-    return op.get_or_create(briefs, have, ["o_custkey"], "brief", made, ["confirmed", "possible"])
+    """Briefs of customers' selections, taken from earlier artifacts where there are some."""
+    n = F.col("s_suppkey")
+    symbols = t.supplier.select(n.alias("symbol_id"), F.col("s_nationkey").alias("file_id"), (n % 40 * 25 + 1).alias("start"), (n % 40 * 25 + 20 + n % 15).alias("end"))
+    of_symbol = symbols.select(F.col("symbol_id").alias("source"), F.col("file_id").alias("source_file"))
+    names = F.when(F.col("relation") == "AF", "WRITES").when(F.col("relation") == "NF", "CALLS").when(F.col("relation") == "NO", "READS").otherwise("REQUESTS")
+    edges = t.edges().join(of_symbol, "source").select(F.concat_ws("-", F.col("source").cast("string"), F.col("target").cast("string"), "relation").alias("edge_id"), names.alias("relation"), (F.col("confidence") / 100).alias("confidence"), "source_file", F.col("source").alias("source_symbol"), F.when(F.col("target") % 3 > 0, F.col("target")).alias("target_symbol"), (F.col("line") % 1000 + 1).alias("first"), (F.col("line") % 1000 + 3).alias("last"))
+    c = F.col("c_custkey")
+    selections = t.customer.select(c.alias("brief"), F.col("c_nationkey").alias("file_id"), (c % 1000 + 1).alias("start"), (c % 1000 + 1 + c % 12).alias("end"))
+    made = bf.change_briefs(selections, symbols, edges)
+    flat = made.withColumns({"confirmed": F.array_join("confirmed", ","), "possible": F.array_join("possible", ","), "places": F.array_join(F.transform("places", lambda x: F.concat_ws(":", x["file_id"].cast("string"), x["line"].cast("string"))), ",")})
+    text = lambda name: F.concat(F.lit(name), F.col("brief").cast("string"))
+    have = t.customer.filter("c_mktsegment = 'BUILDING'").select(c.alias("brief")).select("brief", text("brief_").alias("artifact"))
+    return op.get_or_create(flat, have, ["brief"], "artifact", text("made_"), ["symbol_id", "confirmed", "possible", "to_verify", "places", "risk"])

@@ -291,7 +291,7 @@ def agg17_reuse(t: Tables) -> DataFrame:
     return t.documents.agg(COUNT("total"), d.alias("distinct_texts"), (F.count("*") - d).alias("reused"))
 
 
-@query(f"WITH {FILES_SQL}, b AS (SELECT language, sha256(path)[1:3] AS part, sha256(string_agg(path || '=' || content_hash, chr(10) ORDER BY path)) AS hash FROM files GROUP BY 1, 2) SELECT language, sha256(string_agg(hash, chr(10) ORDER BY part)) AS manifest FROM b GROUP BY 1")
+@query(f"WITH {FILES_SQL} SELECT language, 'sha256:' || sha256('[' || string_agg('{{\"byte_size\":' || byte_size || ',\"content_hash\":' || coalesce('\"' || content_hash || '\"', 'null') || ',\"language\":' || coalesce('\"' || language || '\"', 'null') || ',\"path\":\"' || path || '\"}}', ',' ORDER BY path) || ']') AS manifest FROM files GROUP BY 1")
 def agg19_manifest_hash(t: Tables) -> DataFrame:
     return op.manifest_hash(t.files(), "language")
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as fx
 from ..operators import chunks as ch
+from ..operators import grounded as gd
 from ..operators import relational as op
 from ..operators import retrieval as rt
 from ..operators.lexical import Lexical
@@ -315,23 +316,37 @@ def fn11_normalized(t: Tables) -> DataFrame:
 
 
 # -- composites --------------------------------------------------------------------------------
-@query(FINAL_SQL + """, cached AS (SELECT item_id AS query_id, 'answer-' || item_id AS answer FROM benchmark WHERE item_id % 4 = 0),
-kept AS (SELECT f.query_id, f.chunk_id, c.file_id, row_number() OVER (PARTITION BY f.query_id ORDER BY rank) AS k FROM final f JOIN chunks c USING (chunk_id) WHERE c.file_id % 6 <> 0 AND f.query_id NOT IN (SELECT query_id FROM cached)),
+@query(FINAL_SQL + """, rq AS (SELECT item_id AS id, item_id % 5 AS org, sha256(lower(text)) AS f, CASE WHEN item_id % 16 = 0 THEN 9 ELSE item_id % 3 END AS m, embedding::DOUBLE[] AS v FROM benchmark JOIN embeddings ON vec_id = item_id + 10),
+en AS (SELECT item_id AS id, sha256(lower(text)) AS f, item_id % 3 AS m, embedding::DOUBLE[] AS v, 'answer-' || item_id AS answer FROM benchmark JOIN embeddings ON vec_id = item_id + 10 WHERE item_id % 4 = 0),
+ex AS (SELECT rq.id, min(en.id) AS entry FROM rq JOIN en USING (f) GROUP BY 1),
+nr AS (SELECT rq.id, en.id AS near, row_number() OVER (PARTITION BY rq.id ORDER BY round(list_cosine_similarity(rq.v, en.v), 9) DESC, en.id) AS k, round(list_cosine_similarity(rq.v, en.v), 9) AS s FROM rq, en WHERE rq.id NOT IN (SELECT id FROM ex)),
+lk AS (SELECT rq.id, rq.org, rq.m, coalesce(ex.entry, near) AS hit, CASE WHEN ex.entry IS NOT NULL THEN 'exact' WHEN near IS NOT NULL THEN 'semantic' ELSE 'miss' END AS how FROM rq LEFT JOIN ex USING (id) LEFT JOIN nr ON nr.id = rq.id AND k = 1 AND s >= 0.2),
+tn AS (SELECT lk.id, lk.org, CASE WHEN hit IS NOT NULL AND en.m <> lk.m THEN 'quarantined' ELSE how END AS how, CASE WHEN en.m = lk.m THEN answer END AS answer FROM lk LEFT JOIN en ON en.id = lk.hit),
+asking AS (SELECT *, row_number() OVER (PARTITION BY org ORDER BY id) AS nth FROM tn WHERE answer IS NULL),
+kept AS (SELECT f.query_id, f.chunk_id, c.file_id, row_number() OVER (PARTITION BY f.query_id ORDER BY rank) AS k FROM final f JOIN chunks c USING (chunk_id) WHERE c.file_id % 6 <> 0 AND f.query_id IN (SELECT id FROM asking WHERE nth <= 4)),
 spread AS (SELECT *, row_number() OVER (PARTITION BY query_id, file_id ORDER BY k) AS n FROM kept), lead AS (SELECT *, row_number() OVER (PARTITION BY query_id, n = 1 ORDER BY k) AS d FROM spread),
-placed AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN n = 1 AND d <= 3 THEN 0 ELSE 1 END, k) AS a FROM lead)
-SELECT query_id, 'cache' AS how, answer, 0 AS cost FROM cached UNION ALL SELECT query_id, 'retrieved', string_agg('ev_' || chunk_id, ',' ORDER BY a), 3 * count(*) FROM placed WHERE a <= 3 GROUP BY 1""")
+placed AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN n = 1 AND d <= 3 THEN 0 ELSE 1 END, k) AS a FROM lead),
+made AS (SELECT query_id, string_agg('ev_' || chunk_id, ',' ORDER BY a) AS answer, 5 * count(*) AS cost FROM placed WHERE a <= 3 GROUP BY 1)
+SELECT id, how, answer, 'free' AS status, 0 AS cost FROM tn WHERE answer IS NOT NULL UNION ALL SELECT id, how, made.answer, CASE WHEN nth > 4 THEN 'refused' WHEN made.answer IS NULL THEN 'insufficient' ELSE 'settled' END, coalesce(cost, 0) FROM asking LEFT JOIN made ON query_id = id""")
 def cp9_grounded_turn(t: Tables) -> DataFrame:
-    cached = t.benchmark.filter("item_id % 4 = 0").select(F.col("item_id").alias("query_id"), F.concat(F.lit("answer-"), F.col("item_id").cast("string")).alias("answer"))
-    chunks = slim(t)
-    hits = final(t, chunks).join(cached.select("query_id"), "query_id", "left_anti").join(chunks.select("chunk_id", "file_id", "start", "end"), "chunk_id")
-    # Evidence counts only if the file is what it was when the chunk was made.
-    files = t.files()
-    made_of = files.select("file_id", F.when(F.col("file_id") % 6 == 0, F.lit("sha256:old")).otherwise(F.col("content_hash")).alias("file_hash"))
-    texts = chunked(t).select("chunk_id", "text")
-    kept = rt.verified(hits.join(texts, "chunk_id").join(made_of, "file_id"), files)
-    best = rt.spread_answers(kept, ["file_id"]).filter("answer_rank <= 3")
-    answers = best.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("answer_rank", "chunk_id"))), lambda x: F.concat(F.lit("ev_"), x["chunk_id"].cast("string"))), ",").alias("answer"), (3 * F.count("*")).alias("cost"))
-    return cached.select("query_id", F.lit("cache").alias("how"), "answer", F.lit(0).cast("bigint").alias("cost")).unionByName(answers.select("query_id", F.lit("retrieved").alias("how"), "answer", "cost"))
+    """Passages as requests of five orgs; a quarter of them is cached, of some the files have changed since."""
+    n, print_ = F.col("item_id"), F.sha2(F.lower("text"), 256).alias("fingerprint")
+    asked = t.benchmark.join(t.embeddings, F.col("vec_id") == n + 10)
+    requests = asked.select(n.alias("id"), (n % 5).alias("org"), F.timestamp_seconds(n).alias("ts"), n.cast("string").alias("idempotency_key"), print_, F.col("embedding").alias("vector"), F.when(n % 16 == 0, 9).otherwise(n % 3).alias("manifest"))
+    entries = asked.filter(n % 4 == 0).select(n.alias("id"), print_, F.col("embedding").alias("vector"), (n % 3).alias("manifest"), F.concat(F.lit("answer-"), n.cast("string")).alias("answer"))
+    chunks = written(chunked(t).select("chunk_id", "file_id", "path", "symbol", "title", "start", "end", "specificity", "ordinal", "text"), "chunks")
+    made_of = t.files().select("file_id", F.when(F.col("file_id") % 6 == 0, F.lit("sha256:old")).otherwise(F.col("content_hash")).alias("file_hash"))
+
+    def retrieve(ids: DataFrame) -> DataFrame:
+        return final(t, chunks).join(ids, "query_id", "left_semi").join(chunks.select("chunk_id", "file_id", "start", "end", "text"), "chunk_id").join(made_of, "file_id")
+
+    prices = t.region.agg(F.count("*").cast("bigint").alias("micro_per_unit")).select(F.lit("answer").alias("usage_type"), F.lit("2024-01-01").alias("since"), "micro_per_unit")
+    return gd.grounded_turns(requests, entries, retrieve, t.files(), prices, 40, 10, 0.2)
+
+
+@query(f"WITH {CHUNK_SQL}, l AS (SELECT chunk_id, start, regexp_split_to_array(text, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]') AS ls FROM chunks), x AS (SELECT chunk_id, start, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM l), y AS (SELECT chunk_id, start + pos AS line, regexp_replace(line, '^[\\s\\x1c-\\x1f]+|[\\s\\x1c-\\x1f]+$', '', 'g') AS source FROM x) SELECT chunk_id, 'seg_' || lpad(n::VARCHAR, 3, '0') AS segment_id, line, source FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY line) AS n FROM y WHERE source <> '') WHERE n <= 80")
+def udtf3_line_segments(t: Tables) -> DataFrame:
+    return ch.line_segments(chunked(t).select("chunk_id", "start", "text"))
 
 
 @query(f"""WITH {CHUNK_SQL}, {SELECTION_SQL}, s AS (SELECT query_id, file_id, coalesce(first, 1) AS first, coalesce(last, 1) AS last FROM sel),

@@ -34,7 +34,7 @@ class Tables:
         )
 
     def tree(self) -> DataFrame:
-        """Documents as the files of code repositories, one for each source: paths and contents follow from the id and the text."""
+        """Documents as the files of code repositories, each with files of all kinds: paths and contents follow from the id and the text."""
         d = self.documents.filter("text is not null")
         kind, name = F.col("doc_id") % 12, F.concat(F.lit("d"), F.col("doc_id").cast("string"))
         path, content = F.lit(None).cast("string"), F.col("text")
@@ -48,7 +48,7 @@ class Tables:
         content = F.when(kind == 6, manifest).when(kind == 7, readme).when(kind == 8, call).otherwise(content)
         suffix = F.regexp_extract(path, r"\.([a-z]+)$", 1)
         language = F.when(suffix == "ts", "typescript").when(suffix == "js", "javascript").otherwise(suffix)
-        return d.select(F.col("source").alias("snapshot"), F.col("doc_id").alias("file_id"), path.alias("path"), language.alias("language"), content.alias("content"), F.size(F.split(content, "\n")).alias("line_count"))
+        return d.select(F.concat(F.lit("repo"), (F.floor(F.col("doc_id") / 12) % 20).cast("string")).alias("snapshot"), F.col("doc_id").alias("file_id"), path.alias("path"), language.alias("language"), content.alias("content"), F.size(F.split(content, "\n")).alias("line_count"))
 
     def imports(self) -> DataFrame:
         """Imports of packages and files by the tree's library files: a specifier, what it is called here, and what it is called there."""
@@ -99,7 +99,7 @@ TREE_PACKAGES = {"next": (5, 0), "react": (3, 0), "stripe": (7, 0), "zod": (4, 2
 FILES_SQL = """files AS (SELECT doc_id AS file_id, source || '/' || doc_id || '.' || lang AS path, lang AS language, text AS content,
   'sha256:' || sha256(text) AS content_hash, CAST(strlen(text) AS BIGINT) AS byte_size,
   CAST(len(string_split(regexp_replace(text, '\\n$', ''), chr(10))) AS BIGINT) AS line_count FROM documents)"""
-TREE_SQL = "tree AS (SELECT source AS snapshot, doc_id AS file_id, path, CASE regexp_extract(path, '\\.([a-z]+)$', 1) WHEN 'ts' THEN 'typescript' WHEN 'js' THEN 'javascript' ELSE regexp_extract(path, '\\.([a-z]+)$', 1) END AS language, content, len(string_split(content, chr(10))) AS line_count FROM (SELECT *, CASE doc_id % 12 " + " ".join(f"WHEN {i} THEN '{a}d' || doc_id || '{b}'" for i, (a, b) in enumerate(TREE_PATHS)) + (
+TREE_SQL = "tree AS (SELECT 'repo' || (doc_id // 12) % 20 AS snapshot, doc_id AS file_id, path, CASE regexp_extract(path, '\\.([a-z]+)$', 1) WHEN 'ts' THEN 'typescript' WHEN 'js' THEN 'javascript' ELSE regexp_extract(path, '\\.([a-z]+)$', 1) END AS language, content, len(string_split(content, chr(10))) AS line_count FROM (SELECT *, CASE doc_id % 12 " + " ".join(f"WHEN {i} THEN '{a}d' || doc_id || '{b}'" for i, (a, b) in enumerate(TREE_PATHS)) + (
     " END AS path, CASE doc_id % 12 WHEN 6 THEN '{\"dependencies\": {' || concat_ws(', ', " + ", ".join(f"CASE WHEN doc_id % {n} = {r} THEN '\"{p}\": \"1\"' END" for p, (n, r) in TREE_PACKAGES.items()) + ") || '}}'"
     " WHEN 7 THEN concat_ws(chr(10), '# Title', '```', '- code', '```', coalesce(ls[1], ''), coalesce(ls[2], ''), '', '## Features:', '- **' || coalesce(ls[1], '')[1:60] || '**', '* ' || coalesce(ls[3], ''), 'no bullet', '## Other', '- no')"
     " WHEN 8 THEN concat_ws(chr(10), text, 'const x = await fetch(''https://api.' || lang || '.example.org/v1'')', 'fetch(''https://example.com/x''); plain https://other.example.net') ELSE text END AS content FROM (SELECT *, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL)))"

@@ -59,6 +59,7 @@ def test_index(spark):
     index = lexical.Lexical.at(path, *frames(spark, corpus))
     assert index.table.latest() == version + 1
     assert found(spark, index, 24) == plain(corpus, 24)
+    assert index.blocks() == lexical.Lexical(spark, path).blocks()
     fresh = lexical.Lexical.at(f"{path}-fresh", *frames(spark, corpus))
     postings = lambda x: sorted((r.term, f.chunk_id, f.n) for r in x.rows.filter("term not like ':%'").collect() for f in r.found if f.chunk_id is not None)
     assert postings(index) == postings(fresh)
@@ -74,6 +75,15 @@ def test_blocks_that_cannot_reach_are_skipped(spark):
     assert log["blocks"] > 20 and log["scored"] <= lexical.FIRST
 
 
+def test_most_files_changed(spark):
+    rng = random.Random(4)
+    path = f"{shared_dir(spark)}/lexical-{uuid.uuid4().hex}"
+    small = lexical.Lexical.at(path, *frames(spark, made(rng, range(3), lambda i: 2)))
+    corpus = made(rng, range(50), lambda i: 300)
+    index = lexical.Lexical.at(path, *frames(spark, corpus))
+    assert index.blocks() > small.blocks() and found(spark, index, 9) == plain(corpus, 9)
+
+
 def test_empty(spark):
     index = lexical.Lexical.at(f"{shared_dir(spark)}/lexical-{uuid.uuid4().hex}", *frames(spark, {}))
     assert found(spark, index, 3) == {}

@@ -1,8 +1,10 @@
 """Greedy matching against the plain loop, with more ties than there once were rounds."""
 
+import random
+
 import pytest
 
-from corpusloom.operators.evaluation import greedy_matching
+from corpusloom.operators.matching import greedy_matching
 
 
 def plain(pairs):
@@ -15,9 +17,34 @@ def plain(pairs):
     return sorted(out)
 
 
-@pytest.mark.parametrize("n, options", [(60, {}), (5, {"few": 0})])
-def test_greedy(spark, n, options):
+def check(spark, pairs, rounds=None):
+    log = []
+    found = greedy_matching(spark.createDataFrame(pairs, "left long, right long, score long"), log)
+    assert sorted(tuple(r) for r in found.collect()) == plain(pairs)
+    assert rounds is None or len(log) <= rounds
+
+
+@pytest.mark.parametrize("n", [60, 5])
+def test_greedy(spark, n):
     pairs = [(a, b, 1) for a in range(n) for b in range(n)]
     pairs += [(1000 + i, 1000 + i + k, 2 * i + k) for i in range(n // 2) for k in (0, 1)] + [(7000, 7000, 3)] * 2
-    found = greedy_matching(spark.createDataFrame(pairs, "left long, right long, score long"), **options)
-    assert sorted(tuple(r) for r in found.collect()) == plain(pairs)
+    check(spark, pairs)
+
+
+def test_full_tie_takes_a_round(spark):
+    check(spark, [(a, b, 1) for a in range(1000) for b in range(1000)], rounds=1)
+    check(spark, [(a, b, 1) for a in range(300) for b in range(100)] + [(a, 500 + a, 2) for a in range(0, 300, 7)], rounds=4)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_random_ties(spark, seed):
+    rng = random.Random(seed)
+    n, scores = rng.choice([(12, 1), (25, 2), (40, 3), (30, 30)])
+    check(spark, [(rng.randrange(n), rng.randrange(n), rng.randrange(scores)) for _ in range(n * rng.choice([2, 6, 12]))])
+
+
+def test_no_pairs(spark):
+    empty = spark.createDataFrame([], "left long, right long, score long")
+    assert greedy_matching(empty).collect() == []
+    odd = spark.createDataFrame([(None, 1, 5), (None, 2, 4), (1, None, 3), (2, 2, None)], "left long, right long, score long")
+    assert sorted(((r.left, r.right) for r in greedy_matching(odd).collect()), key=str) == [(1, None), (None, 1)]

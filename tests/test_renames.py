@@ -62,7 +62,7 @@ def test_long_paths_have_popular_characters(spark):
     check(spark, rows, kept=2)
 
 
-@pytest.mark.parametrize("added,deleted", [(4700, 300), (60, 4940)])
+@pytest.mark.parametrize("added,deleted", [(4800, 200), (15, 4985)])
 def test_many_copies(spark, added, deleted):
     rng = np.random.default_rng(added)
     words = ["pkg", "core", "util", "web"]
