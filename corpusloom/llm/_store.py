@@ -45,7 +45,7 @@ def collected() -> Iterator[list[str]]:
     try:
         yield found
     finally:
-        _collected.remove(found)
+        _collected[:] = [x for x in _collected if x is not found]  # equal lists are others'
 
 
 def delete_unread(spark: SparkSession, folders: list[str], reader: DataFrame) -> None:

@@ -61,3 +61,17 @@ def test_tables_on_the_way_are_deleted(spark, sf_dir):
     assert third.count() <= first.count()
     corpus_pipeline.mix_sources(spark, corpus_pipeline.written(third, "third"), sf_dir)
     assert corpus_pipeline._before
+
+
+def test_run(spark, sf_dir):
+    """The registered query has the rows that its stages have one after the other, and keeps no stage's input."""
+    import os
+
+    docs = queries.table(spark, sf_dir, "documents")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.written(stage(spark, docs, sf_dir), name)
+    want = sorted(tuple(r) for r in corpus_pipeline.token_output(spark, docs, sf_dir).collect())
+    before = set(os.listdir(corpus_pipeline.shared_dir(spark).removeprefix("file://")))
+    assert sorted(tuple(r) for r in corpus_pipeline.run(spark, sf_dir).collect()) == want
+    left = [f for f in set(os.listdir(corpus_pipeline.shared_dir(spark).removeprefix("file://"))) - before if f.startswith(("quality_rules", "near_dedup", "decontamination"))]
+    assert not left
