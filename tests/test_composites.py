@@ -48,6 +48,27 @@ def test_change_briefs(spark):
         assert [(p.file_id, p.line) for p in r.places] == places[:8]
 
 
+def test_change_briefs_pair_no_edges_with_selections(spark, monkeypatch):
+    """Many selections of lines that many edges have: what is written stays in proportion, and edges into the own symbol leave the lists whole."""
+    rows = []
+    keep = briefs.written
+    monkeypatch.setattr(briefs, "written", lambda df, name: rows.append((name, (out := keep(df, name)).count())) or out)
+    symbols = [(0, "a", 1, 100), (1, "a", 200, 210), (2, "b", 1, 5), (3, "b", 7, 9)]
+    # The first 300 possible ones by line come into the selection's symbol, so they are confirmed; others follow behind them.
+    edges = [(f"e{n:03d}", "CALLS", 0.9, "a", 1, 0 if n < 300 else 2 + n % 2, 5 + n // 100, 12) for n in range(400)]
+    selections = [(i, "a", 5 + i % 7, 12) for i in range(2000)]
+    got = briefs.change_briefs(
+        spark.createDataFrame(selections, "brief long, file_id string, start long, end long"),
+        spark.createDataFrame(symbols, "symbol_id long, file_id string, start long, end long"),
+        spark.createDataFrame(edges, "edge_id string, relation string, confidence double, source_file string, source_symbol long, target_symbol long, first long, last long"),
+    ).collect()
+    assert len(got) == 2000 and max(n for _, n in rows) <= 6 * len(edges), rows
+    for r in got:
+        assert (r.symbol_id, list(r.confirmed), list(r.possible), r.risk) == (0, [f"e{n:03d}" for n in range(8)], [f"e{n}" for n in range(300, 308)], "medium")
+        start = 5 + r.brief % 7
+        assert [(p.file_id, p.line) for p in r.places] == [("a", start), ("a", 200), ("b", 1), ("b", 7)]
+
+
 def test_line_segments(spark):
     text = " one\n\n\t\r\ntwo \x0b three\rfour \x1c five  \n" + "x\n" * 100
     want = [(n, line.strip()) for n, line in enumerate(text.splitlines()) if line.strip()][:80]
