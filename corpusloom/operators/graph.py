@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,17 +72,113 @@ def closure(edges: DataFrame, start: DataFrame, node: str = "node", reverse: boo
     return reached.unionByName(behind).select(F.col("node").alias(node))
 
 
-def reach(edges: DataFrame, sources: DataFrame, depth: int = 3, origin: str = "origin") -> DataFrame:
+#: Origins of a block of bits, edges and bytes of bits that a task holds at most, and rows of a join for each edge beyond which a level goes by blocks.
+ORIGINS, TASK_EDGES, TASK_BYTES, BLOCK_FACTOR = 1024, 4_000_000, 32 << 20, 8
+#: Edges of a packed row.
+PACKED_EDGES = 32_768
+
+
+def _bits(frontier: DataFrame, seen: DataFrame, origin: str, per: int) -> DataFrame:
+    """``ob, node, now, all``: for each block of origins and node the bits of the block's origins that have reached it in the last level, and at all.
+
+    Both sides have origin and node; origins are numbered by ``_n``.
+    """
+    both = frontier.select("_n", "node", F.lit(True).alias("now")).unionByName(seen.select("_n", "node", F.lit(False).alias("now")))
+    words = [(F.floor(F.col("_n") / 64) % (per // 64)) == w for w in range(per // 64)]
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("_n") % 64).cast("int"))
+    folded = lambda keep: F.array(*[F.coalesce(F.bit_or(F.when(w & keep, bit)), F.lit(0).cast("bigint")) for w in words])
+    return both.groupBy(F.floor(F.col("_n") / per).cast("bigint").alias("ob"), "node").agg(folded(F.col("now")).alias("now"), folded(F.lit(True)).alias("all"))
+
+
+def _level_by_blocks(pairs: DataFrame, frontier: DataFrame, seen: DataFrame, origin: str, depth: int, edges: int) -> DataFrame:
+    """The next level of a reach as a product of bit matrices: blocks of origins with blocks of targets.
+
+    A task holds the bits of one block of origins, over the nodes of the graph, and the edges into one
+    block of targets. More nodes have smaller blocks of origins, and more edges more blocks of targets,
+    so neither is ever larger; what is reached anew leaves the task row by row.
+    """
+    names = written(seen.select(origin).distinct().sort(origin), "origins")
+    order = names.rdd.map(lambda r: r[0]).zipWithIndex()
+    numbers = written(names.sparkSession.createDataFrame(order, f"{origin} bigint, _n bigint"), "origin-numbers")
+    nodes = max(1, seen.select("node").distinct().count())
+    per = ORIGINS
+    while per > 64 and nodes * per // 4 > TASK_BYTES:
+        per //= 2
+    spark = pairs.sparkSession
+    blocks = max(1, -(-edges // TASK_EDGES), -(-2 * spark.sparkContext.defaultParallelism * per // max(per, numbers.count())))
+    numbered = lambda df: df.join(numbers, origin).select("_n", "node")
+    bits = written(_bits(numbered(frontier), numbered(seen), origin, per), "bits")
+    of_block = [r[0] for r in bits.select("ob").distinct().collect()]
+    # Both sides of a cogroup are dealt by hash, so their keys have one type.
+    everywhere = lambda column, values: F.explode(F.array(*[F.lit(v).cast("bigint") for v in values])).alias(column)
+    target_block = F.pmod(F.xxhash64("target"), F.lit(blocks))
+    left = bits.select("ob", everywhere("tb", range(blocks)), "node", "now", "all")
+    pieces = F.pmod(F.xxhash64("target", "source"), F.lit(max(1, edges // blocks // PACKED_EDGES))).alias("piece")
+    packed = pairs.filter("source is not null and target is not null").groupBy(target_block.alias("tb"), pieces).agg(F.collect_list(F.struct("source", "target")).alias("e"))
+    packed = written(packed.select("tb", F.col("e.source").alias("source"), F.col("e.target").alias("target")), "packed-edges")
+    right = packed.select(everywhere("ob", of_block), "tb", "source", "target")
+    names_of = numbers.select(F.floor(F.col("_n") / per).alias("ob"), (F.col("_n") % per).alias("_at"), origin)
+
+    schema = pa.schema([("ob", pa.int64()), ("node", pa.int64()), ("bits", pa.list_(pa.int64()))])
+
+    def multiply(key, a, b):  # noqa: ANN001, ANN202
+        if not a.num_rows or not b.num_rows:
+            return schema.empty_table()
+        flat = lambda table, name: np.concatenate([c.flatten().to_numpy() for c in table.column(name).chunks])
+        at = np.asarray(a.column("node"))
+        order = np.argsort(at)
+        at = at[order]
+        now, every = (flat(a, name).reshape(len(at), -1)[order] for name in ("now", "all"))
+        source, target = flat(b, "source"), flat(b, "target")
+        place = np.searchsorted(at, source)
+        known = (place < len(at)) & (at[np.minimum(place, len(at) - 1)] == source)
+        place, target = place[known], target[known]
+        order = np.argsort(target, kind="stable")
+        place, target = place[order], target[order]
+        starts = np.flatnonzero(np.r_[True, target[1:] != target[:-1]]) if len(target) else np.zeros(0, np.int64)
+        ends = np.r_[starts[1:], len(target)]
+        out = []
+        for s, e in zip(starts, ends, strict=True):
+            bits = np.bitwise_or.reduce(now[place[s:e]], axis=0)
+            own = np.searchsorted(at, target[s])
+            if own < len(at) and at[own] == target[s]:
+                bits &= ~every[own]
+            out.append(bits)
+        new = np.array(out, np.int64).reshape(len(out), every.shape[1])
+        keep = new.any(axis=1)
+        n = int(keep.sum())
+        rows = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * every.shape[1]), pa.array(new[keep].ravel()))
+        return pa.table([pa.array(np.full(n, key[0].as_py(), np.int64)), pa.array(target[starts][keep]), rows], schema=schema)
+
+    product = left.groupBy("ob", "tb").cogroup(right.groupBy("ob", "tb")).applyInArrow(multiply, "ob bigint, node bigint, bits array<bigint>")
+    words = written(product, "reach-bits")
+    set_bits = words.select("ob", "node", F.posexplode("bits").alias("w", "word")).filter("word <> 0")
+    at = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.call_function("shiftright", F.col("word"), i) % 2 != 0)
+    each = set_bits.select("ob", "node", F.explode(at).alias("i"), "w").select("ob", "node", (F.col("w") * 64 + F.col("i")).cast("bigint").alias("_at"))
+    found = each.join(F.broadcast(names_of), ["ob", "_at"]).select(origin, "node", F.lit(depth).alias("depth"))
+    nowhere = frontier.join(pairs.filter("target is null"), frontier["node"] == pairs["source"]).select(origin, F.col("target").alias("node"), F.lit(depth).alias("depth")).distinct()
+    return found.unionByName(nowhere)
+
+
+def reach(edges: DataFrame, sources: DataFrame, depth: int = 3, origin: str = "origin", block_factor: int = BLOCK_FACTOR) -> DataFrame:
     """``origin, node, depth``: nodes within ``depth`` steps forward of each source, without itself, at their least distance.
 
-    Each level is written once, so the next one doesn't compute it again.
+    Each level is written once, so the next one doesn't compute it again. A level whose join would have more
+    than ``block_factor`` rows for each edge, as where all reach all, goes by blocks of bits, written in that form.
     """
-    pairs = edges.select("source", "target").distinct()
+    pairs = written(edges.select("source", "target").distinct(), "pairs")
+    degrees = written(pairs.groupBy("source").agg(F.count("*").alias("degree")), "degrees")
+    m = degrees.agg(F.coalesce(F.sum("degree"), F.lit(0))).first()[0]
     frontier = sources.select(F.col("source").alias(origin), F.col("source").alias("node"), F.lit(0).alias("depth")).distinct()
+    whole = all(dict(df.dtypes)[c] == "bigint" for df, c in ((frontier, "node"), (pairs, "source"), (pairs, "target")))
     seen = frontier
     for d in range(1, depth + 1):
-        step = frontier.join(pairs, frontier["node"] == pairs["source"]).select(origin, F.col("target").alias("node"), F.lit(d).alias("depth")).distinct()
-        frontier = written(step.join(seen, [origin, "node"], "left_anti"), "reach")
+        rows = frontier.join(degrees, frontier["node"] == degrees["source"]).agg(F.coalesce(F.sum("degree"), F.lit(0))).first()[0] if whole and d > 1 else 0
+        if rows > block_factor * m:
+            frontier = _level_by_blocks(pairs, frontier, seen.filter("node is not null"), origin, d, m)
+        else:
+            step = frontier.join(pairs, frontier["node"] == pairs["source"]).select(origin, F.col("target").alias("node"), F.lit(d).alias("depth")).distinct()
+            frontier = written(step.join(seen, [origin, "node"], "left_anti"), "reach")
         seen = seen.unionByName(frontier)
     return seen.filter(F.col("depth") > 0)
 

@@ -1,5 +1,7 @@
 """Graph operators against plain versions."""
 
+import random
+
 import pytest
 
 from corpusloom.operators import graph
@@ -60,3 +62,35 @@ def test_closure_of_a_chain_takes_few_rounds(spark):
     chain = [(i, i + 1) for i in range(10_000)]
     closed(spark, [*chain, (5_000, 20_000), (9_000, 20_000), (20_000, 20_001)], [0], log=log)
     assert len(log) <= 20
+
+
+def test_reach_by_blocks_of_bits(spark, monkeypatch):
+    """Where all reach nearly all, no level joins origins with edges one by one; the rows are those of plain search."""
+    rng = random.Random(8)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(2400)] + [(None, 3), (5, None), (900, 901), (901, 902)]
+    origins = [*range(0, 300, 2), 900, 950]
+    after: dict = {}
+    for a, b in edges:
+        after.setdefault(a, set()).add(b)
+    wanted = set()
+    for o in origins:
+        seen, now = {o}, {o}
+        for d in (1, 2, 3):
+            now = {b for a in now if a is not None for b in after.get(a, ())} - seen
+            seen |= now
+            wanted |= {(o, n, d) for n in now if n is not None}
+    e = spark.createDataFrame(edges, "source long, target long")
+    s = spark.createDataFrame([(o,) for o in origins], "source long")
+    rows = lambda **more: sorted(tuple(r) for r in graph.reach(e, s, 3, **more).filter("node is not null").collect())
+    monkeypatch.setattr(graph, "ORIGINS", 64)
+    monkeypatch.setattr(graph, "TASK_EDGES", 1000)
+    coalesce = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # keys of one block have to meet in any number of partitions
+    levels = []
+    keep = graph._level_by_blocks
+    monkeypatch.setattr(graph, "_level_by_blocks", lambda *a: levels.append(a[4]) or keep(*a))
+    try:
+        assert rows() == sorted(wanted) and levels == [3]
+        assert rows(block_factor=0) == sorted(wanted) and levels == [3, 2, 3]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesce)
