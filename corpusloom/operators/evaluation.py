@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import written
 from .matching import greedy_matching
 
 
@@ -31,13 +34,74 @@ def read_gold(spark: SparkSession, path: str) -> DataFrame:
     return cases.select(F.col("id").alias("query_id"), "query", F.explode("expected_any").alias("e")).select("query_id", "query", F.col("e.path").alias("expected"))
 
 
+#: Rows (flow, step) of a block of flows on either side.
+FLOW_ROWS = 262_144
+
+
+def _flow_blocks(flows: DataFrame, name: str) -> DataFrame:
+    """Numbered flows (id number, step number) in blocks of about ``FLOW_ROWS``, all of a flow in one."""
+    rows = flows.count()
+    blocks = max(1, -(-rows // FLOW_ROWS))
+    packed = flows.groupBy(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("_b")).agg(F.collect_list(F.struct("id", "step")).alias("e"))
+    return packed.select(F.col("e.id").alias(f"{name}_ids"), F.col("e.step").alias(f"{name}_steps"))
+
+
+def _shared_steps(gold: DataFrame, actual: DataFrame) -> DataFrame:
+    """``gold_id, actual_id, overlap`` of distinct (gold_id, step) and (actual_id, step): how many steps they share.
+
+    Rows of one step are never paired one by one: a task multiplies a block of gold flows with a block of actual
+    ones, and has for each pair of flows one row.
+    """
+    steps = _numbered(gold.select("step").join(actual.select("step").distinct(), "step", "left_semi").distinct(), "step")
+    golds, actuals = _numbered(gold.select("gold_id").distinct(), "gold_id"), _numbered(actual.select("actual_id").distinct(), "actual_id")
+
+    def side(df: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+        numbered = df.join(_as(steps, "step", "_s"), "step").join(_as(ids, name, "_i"), name)
+        return written(numbered.select(F.col("_i").alias("id"), F.col("_s").alias("step")), "flow-steps")
+
+    left, right = _flow_blocks(side(gold, golds, "gold_id"), "g"), _flow_blocks(side(actual, actuals, "actual_id"), "a")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                g, gs, a, s = (batch.column(c)[row].values.to_numpy() for c in range(4))
+                known, step = np.unique(s, return_inverse=True)
+                names, at = np.unique(a, return_inverse=True)
+                place = np.minimum(np.searchsorted(known, gs), max(0, len(known) - 1))
+                keep = known[place] == gs if len(known) else np.zeros(len(gs), bool)
+                order = np.argsort(g[keep], kind="stable")
+                flow, place = g[keep][order], place[keep][order]
+                starts = np.flatnonzero(np.r_[True, flow[1:] != flow[:-1]]) if len(flow) else np.zeros(0, np.int64)
+                for b in range(0, len(names), 256):
+                    own = (at >= b) & (at < b + 256)
+                    has = np.zeros((len(known), min(256, len(names) - b)), np.int32)
+                    has[step[own], at[own] - b] = 1
+                    for x in range(0, len(starts), 128):
+                        first, past = starts[x], starts[x + 128] if x + 128 < len(starts) else len(flow)
+                        n = np.add.reduceat(has[place[first:past]], starts[x : x + 128] - first, axis=0)
+                        i, j = np.nonzero(n)
+                        yield pa.RecordBatch.from_arrays([pa.array(flow[starts[x : x + 128]][i]), pa.array(names[b + j]), pa.array(n[i, j].astype(np.int64))], ["_g", "_a", "overlap"])
+
+    found = left.join(right).select("g_ids", "g_steps", "a_ids", "a_steps").mapInArrow(run, "_g bigint, _a bigint, overlap bigint")
+    return found.join(_as(golds, "gold_id", "_g"), "_g").join(_as(actuals, "actual_id", "_a"), "_a").select("gold_id", "actual_id", "overlap")
+
+
+def _numbered(df: DataFrame, name: str) -> DataFrame:
+    """Distinct values with numbers: any, but each its own."""
+    return written(df.filter(F.col(name).isNotNull()).withColumn("_number", F.monotonically_increasing_id()), "numbers")
+
+
+def _as(numbers: DataFrame, name: str, number: str) -> DataFrame:
+    return numbers.select(name, F.col("_number").alias(number))
+
+
 def matched_flows(gold: DataFrame, actual: DataFrame) -> DataFrame:
     """``gold_id, actual_id`` one to one: greedy by coverage of the gold flow's steps, then by how many, then by ids.
 
-    Only flows that share a step can be matched, so pairs come from a join on steps.
+    Only flows that share a step can be matched. Flows without an id are none.
     """
     size = gold.groupBy("gold_id").agg(F.count_distinct("step").alias("size"))
-    shared = gold.select("gold_id", "step").distinct().join(actual.select("actual_id", "step").distinct(), "step").groupBy("gold_id", "actual_id").agg(F.count("*").alias("overlap"))
+    shared = _shared_steps(gold.select("gold_id", "step").distinct(), actual.select("actual_id", "step").distinct())
     score = F.struct((F.col("overlap") / F.col("size")).alias("coverage"), "overlap")
     pairs = shared.join(size, "gold_id").select(F.col("gold_id").alias("left"), F.col("actual_id").alias("right"), score.alias("score"))
     return greedy_matching(pairs).select(F.col("left").alias("gold_id"), F.col("right").alias("actual_id"))

@@ -11,10 +11,14 @@ are each other's best.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpointed
+from .relational import top_per_key
 
 
 def _round(rest: DataFrame) -> DataFrame:
@@ -42,17 +46,54 @@ def _round(rest: DataFrame) -> DataFrame:
     return asked.withColumn("sure", sure).filter("sure").select("l", "r", F.col("g.s").alias("score"))
 
 
-def greedy_matching(pairs: DataFrame, log: list[int] | None = None) -> DataFrame:
+def _able(rest: DataFrame) -> DataFrame:
+    """The pairs that can be taken at all.
+
+    When a right's turn comes at its n-th pair, the lefts of the pairs before went to other rights. So with n rights
+    in all each takes one of its first n pairs or none, and likewise a left one of as many as there are lefts.
+    """
+    for side, other in (("r", "l"), ("l", "r")):
+        many = rest.select(side).distinct().count()
+        rest = top_per_key(rest, [side], [F.desc("score"), F.col(other)], many, "_n").drop("_n") if many else rest
+    return rest
+
+
+#: Pairs that are few enough for the plain loop in one task.
+FEW = 50_000
+
+
+def _plain(rest: DataFrame) -> DataFrame:
+    """The greedy rule's pairs of a few."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lefts, rights = set(), set()
+        for batch in batches:
+            keep = []
+            for a, b in zip(batch.column("l").field(0).to_pylist(), batch.column("r").field(0).to_pylist(), strict=True):
+                keep.append(a not in lefts and b not in rights)
+                if keep[-1]:
+                    lefts.add(a)
+                    rights.add(b)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return rest.select("l", "r", "score").repartition(1).sortWithinPartitions(F.desc("score"), "l", "r").mapInArrow(run, rest.select("l", "r", "score").schema)
+
+
+def greedy_matching(pairs: DataFrame, log: list[int] | None = None, few: int = FEW) -> DataFrame:
     """One-to-one pairs (left, right, score) by greedy best score, ties by left, then right.
 
     Of pairs that repeat the best counts; a null id is an id, a null score no pair. ``log`` gets the
-    number of pairs left before each round; each round takes one at least.
+    number of pairs left before each round; each round takes one at least. The last ``few`` are taken in a plain loop.
     """
     rest = checkpointed(pairs.filter("score is not null").groupBy(F.struct("left").alias("l"), F.struct("right").alias("r")).agg(F.max("score").alias("score")))
+    rest = checkpointed(_able(rest))
     taken = []
     while n := rest.count():
         if log is not None:
             log.append(n)
+        if n <= few:
+            taken.append(checkpointed(_plain(rest)))
+            break
         taken.append(checkpointed(_round(rest)))
         for side in ("l", "r"):
             rest = rest.join(taken[-1].select(side), side, "left_anti")
