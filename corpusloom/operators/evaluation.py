@@ -52,6 +52,7 @@ def _shared_steps(gold: DataFrame, actual: DataFrame) -> DataFrame:
     Rows of one step are never paired one by one: a task multiplies a block of gold flows with a block of actual
     ones, and has for each pair of flows one row.
     """
+    actual = actual.select(F.struct("actual_id").alias("actual_id"), "step")  # a null id is an id
     steps = _numbered(gold.select("step").join(actual.select("step").distinct(), "step", "left_semi").distinct(), "step")
     golds, actuals = _numbered(gold.select("gold_id").distinct(), "gold_id"), _numbered(actual.select("actual_id").distinct(), "actual_id")
 
@@ -83,7 +84,7 @@ def _shared_steps(gold: DataFrame, actual: DataFrame) -> DataFrame:
                         yield pa.RecordBatch.from_arrays([pa.array(flow[starts[x : x + 128]][i]), pa.array(names[b + j]), pa.array(n[i, j].astype(np.int64))], ["_g", "_a", "overlap"])
 
     found = left.join(right).select("g_ids", "g_steps", "a_ids", "a_steps").mapInArrow(run, "_g bigint, _a bigint, overlap bigint")
-    return found.join(_as(golds, "gold_id", "_g"), "_g").join(_as(actuals, "actual_id", "_a"), "_a").select("gold_id", "actual_id", "overlap")
+    return found.join(_as(golds, "gold_id", "_g"), "_g").join(_as(actuals, "actual_id", "_a"), "_a").select("gold_id", "actual_id.actual_id", "overlap")
 
 
 def _numbered(df: DataFrame, name: str) -> DataFrame:
@@ -98,7 +99,7 @@ def _as(numbers: DataFrame, name: str, number: str) -> DataFrame:
 def matched_flows(gold: DataFrame, actual: DataFrame) -> DataFrame:
     """``gold_id, actual_id`` one to one: greedy by coverage of the gold flow's steps, then by how many, then by ids.
 
-    Only flows that share a step can be matched. Flows without an id are none.
+    Only flows that share a step can be matched. Gold flows without an id are none.
     """
     size = gold.groupBy("gold_id").agg(F.count_distinct("step").alias("size"))
     shared = _shared_steps(gold.select("gold_id", "step").distinct(), actual.select("actual_id", "step").distinct())

@@ -65,7 +65,7 @@ def test_few_rights_keep_few_pairs(spark):
 def test_shared_steps_without_pairs_of_rows(spark, monkeypatch):
     rng = random.Random(5)
     gold = {(g, f"s{rng.randrange(40)}") for g in range(90) for _ in range(25)} | {(200, "alone"), (201, None)}
-    actual = {(x, f"s{rng.randrange(40)}") for x in range(300) for _ in range(20)} | {(400, "other"), (401, None)}
+    actual = {(x, f"s{rng.randrange(40)}") for x in range(300) for _ in range(20)} | {(400, "other"), (401, None), (None, "s1"), (None, "s2")}
     monkeypatch.setattr(evaluation, "FLOW_ROWS", 500)
     found = evaluation._shared_steps(spark.createDataFrame(list(gold), "gold_id long, step string"), spark.createDataFrame(list(actual), "actual_id long, step string"))
     have = {}
