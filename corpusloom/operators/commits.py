@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Tries to publish a version among other writers.
-TRIES = 20
+#: Tries to publish a version among other writers, and partitions that a task writes side by side instead of sorting its rows.
+TRIES, WRITERS = 20, 64
 
 
 def _name(value: object) -> str:
@@ -76,7 +76,7 @@ class Versions:
         values = {_name(v) for v in values}
         folder = uuid.uuid4().hex
         at = f"{self.path}/data/{folder}"
-        rows.write.partitionBy(self.by).parquet(at)
+        self._write(rows, at)
         found = {_name(r[0]) for r in self.spark.read.schema(rows.schema).parquet(at).select(F.col(self.by).cast("string")).distinct().collect()}
         if not found <= values:
             raise ValueError(f"rows of {self.by} that aren't replaced: {sorted(found - values)[:5]}")
@@ -90,6 +90,16 @@ class Versions:
                 return number + 1
         raise RuntimeError(f"no version could be published in {TRIES} tries")
 
+    def _write(self, rows: DataFrame, at: str) -> None:
+        """Write rows by partition; each task keeps its partitions' files open, as sorting whole rows takes their size in memory."""
+        conf, name = self.spark.conf, "spark.sql.maxConcurrentOutputFileWriters"
+        before = conf.get(name)
+        conf.set(name, str(max(int(before), WRITERS)))
+        try:
+            rows.write.partitionBy(self.by).parquet(at)
+        finally:
+            conf.set(name, before)
+
     def read(self, number: int | None = None, values: Iterable[object] | None = None) -> DataFrame:
         """The newest version's rows, an older one's, or those of some partitions."""
         version = self._version(self.latest() if number is None else number)

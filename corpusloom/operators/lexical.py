@@ -40,23 +40,81 @@ def _block(file_id: Column, ordinal: Column, blocks: int) -> Column:
 FOUND = pa.list_(pa.struct([("chunk_id", pa.int64()), ("n", pa.int32()), ("file_id", pa.int64())]))
 
 
-def _packed(part: int, block: int, chunks: pa.RecordBatch) -> pa.RecordBatch:
-    """The index rows of one block's chunks (file_id, chunk_id, terms)."""
-    chunks = chunks.take(pa.array(np.argsort(chunks.column("chunk_id").to_numpy(), kind="stable")))
-    lists = chunks.column("terms")
-    words = lists.flatten().dictionary_encode()
-    key, n = np.unique(words.indices.to_numpy().astype(np.int64) * chunks.num_rows + np.repeat(np.arange(chunks.num_rows), lists.value_lengths().to_numpy()), return_counts=True)
-    term, row = key // max(1, chunks.num_rows), pa.array(key % max(1, chunks.num_rows))
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pieces of chunks (file_id, k, ordinal, chunk_id, terms) that follow each other in a file's place ``k``.
+
+    Chunks of a file overlap, so a piece has each of its words once: their lengths, the steps from one (word, chunk)
+    to the next, how often each stands there, and the words, compressed.
+    """
+    for batch in (whole.slice(at, FED) for whole in batches for at in range(0, whole.num_rows, FED)):
+        file, k, lists, rows = batch.column("file_id").to_numpy(), batch.column("k").to_numpy(), batch.column("terms"), batch.num_rows
+        cuts = np.r_[0, np.flatnonzero((file[1:] != file[:-1]) | (k[1:] != k[:-1])) + 1, rows]
+        sizes = np.diff(cuts)
+        first = np.repeat(cuts[:-1], sizes)  # of each chunk's piece
+        row = np.repeat(np.arange(rows), lists.value_lengths().fill_null(0).to_numpy())
+        words = lists.flatten().dictionary_encode()
+        known = max(1, len(words.dictionary))
+        key, n = np.unique((first[row] * known + words.indices.to_numpy()) * rows + row, return_counts=True)
+        word, row = np.divmod(key, rows)
+        starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]]) if len(word) else np.zeros(0, np.int64)
+        text = words.dictionary.take(pa.array(word[starts] % known)).cast(pa.binary())
+        at = np.searchsorted(word, cuts * known)  # the pairs of each piece
+        at_word = np.searchsorted(word[starts], cuts * known)
+        place = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(word)]))
+        lengths, whole = np.diff(np.frombuffer(text.buffers()[1], np.int32, len(text) + 1)), text.buffers()[2]
+        whole, ends = b"" if whole is None else whole.to_pybytes(), np.r_[0, np.cumsum(lengths)]
+        raw = []
+        for p in range(len(sizes)):
+            (x, y), (v, w) = at[p : p + 2], at_word[p : p + 2]
+            pairs = (place[x:y] - v) * sizes[p] + row[x:y] - cuts[p]
+            raw.append(lengths[v:w].tobytes() + np.diff(pairs, prepend=0).tobytes() + n[x:y].astype(np.int32).tobytes() + whole[ends[v] : ends[w]])
+        data = [pa.compress(r, codec="zstd", asbytes=True) for r in raw]
+        ints = lambda v: pa.array(np.asarray(v, np.int32))
+        ids = pa.ListArray.from_arrays(ints(cuts), batch.column("chunk_id"))
+        last = np.maximum.reduceat(batch.column("ordinal").to_numpy(), cuts[:-1])
+        yield pa.RecordBatch.from_arrays([pa.array(file[cuts[:-1]]), pa.array(k[cuts[:-1]]), ints(last), ids, ints(np.diff(at_word)), ints(np.diff(at)), ints([len(r) for r in raw]), pa.array(data, pa.binary())], PIECE)
+
+
+#: Chunks that are made into pieces at a time, and a piece's columns.
+FED = 512
+PIECE = ["file_id", "k", "last", "chunk_ids", "words", "pairs", "size", "data"]
+
+
+def _packed(part: int, block: int, pieces: pa.Table) -> pa.RecordBatch:
+    """The index rows of one block's pieces."""
+    column = lambda name: pieces.column(name).to_numpy()
+    lists = pieces.column("chunk_ids").combine_chunks()
+    chunk, sizes, words, pairs = lists.flatten().to_numpy(), lists.value_lengths().to_numpy(), column("words"), column("pairs")
+    order = np.argsort(chunk, kind="stable")
+    place = np.empty_like(order)
+    place[order] = np.arange(len(order))
+    lengths, term, row, n, text = [], [], [], [], []
+    before, known = np.r_[0, np.cumsum(sizes)], np.r_[0, np.cumsum(words)]
+    for i, data in enumerate(pieces.column("data")):
+        raw = pa.decompress(data.as_buffer(), int(pieces.column("size")[i].as_py()), codec="zstd", asbytes=True)
+        a, b = 4 * int(words[i]), 4 * int(words[i]) + 8 * int(pairs[i])
+        w, r = np.divmod(np.cumsum(np.frombuffer(raw, np.int64, int(pairs[i]), a)), sizes[i])
+        lengths.append(np.frombuffer(raw, np.int32, int(words[i])))
+        term.append(w + known[i])
+        row.append(r + before[i])
+        n.append(np.frombuffer(raw, np.int32, int(pairs[i]), b))
+        text.append(raw[b + 4 * int(pairs[i]) :])
+    lengths, term, row, n = (np.concatenate(v) for v in (lengths, term, row, n))
+    ends = np.r_[0, np.cumsum(lengths)].astype(np.int32)
+    coded = pa.StringArray.from_buffers(len(lengths), pa.py_buffer(ends.tobytes()), pa.py_buffer(b"".join(text))).dictionary_encode()
+    term, row = coded.indices.to_numpy()[term], place[row]
+    by = np.argsort(term.astype(np.int64) * max(1, len(order)) + row)
+    term, row, n = term[by], row[by], n[by]
     starts = np.flatnonzero(np.r_[True, term[1:] != term[:-1]]) if len(term) else np.zeros(0, np.int64)
-    found = pa.StructArray.from_arrays([chunks.column("chunk_id").take(row), pa.array(n.astype(np.int32)), chunks.column("file_id").take(row)], fields=list(FOUND.value_type))
-    lists = pa.ListArray.from_arrays(pa.array(np.r_[starts, len(term)].astype(np.int32)), found)
+    files = np.repeat(column("file_id"), sizes)[order]
+    found = pa.StructArray.from_arrays([pa.array(chunk[order][row]), pa.array(n), pa.array(files[row])], fields=list(FOUND.value_type))
     most = np.maximum.reduceat(n, starts) if len(starts) else n
     same = lambda v: pa.array(np.full(len(starts), v, np.int32))
-    return pa.RecordBatch.from_arrays([same(part), same(block), words.dictionary.take(pa.array(term[starts])), pa.array(most.astype(np.int32)), lists], ["part", "block", "term", "most", "found"])
+    return pa.RecordBatch.from_arrays([same(part), same(block), coded.dictionary.take(pa.array(term[starts])), pa.array(most), pa.ListArray.from_arrays(pa.array(np.r_[starts, len(term)].astype(np.int32)), found)], ["part", "block", "term", "most", "found"])
 
 
 def _blocks(parts: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Index rows of chunks whose blocks follow each other; no more than a block is held."""
+    """Index rows of pieces whose blocks follow each other; no more than a block is held."""
     held: list[pa.RecordBatch] = []
     now = 0
     for batch in batches:
@@ -64,13 +122,13 @@ def _blocks(parts: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
         cuts = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1).tolist(), len(block)]
         for a, b in zip(cuts, cuts[1:], strict=False):
             if a < b and held and block[a] != now:
-                yield _packed(now % parts, now, pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+                yield _packed(now % parts, now, pa.Table.from_batches(held))
                 held = []
             if a < b:
                 now = int(block[a])
                 held.append(batch.slice(a, b - a))
     if held:
-        yield _packed(now % parts, now, pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+        yield _packed(now % parts, now, pa.Table.from_batches(held))
 
 
 def _parts(blocks: int) -> int:
@@ -94,25 +152,30 @@ class Lexical:
             index._update(files, chunks)
         return index
 
-    def _made_of(self, files: DataFrame, chunks: DataFrame, blocks: int) -> DataFrame:
+    def _cut(self, chunks: DataFrame) -> DataFrame:
+        """The chunks in pieces, written: they are cut once, and cross the network without their overlap."""
+        fed = chunks.select("file_id", F.floor(F.col("ordinal") / BLOCK).cast("bigint").alias("k"), F.col("ordinal").cast("int").alias("ordinal"), "chunk_id", "terms")
+        return written(fed.mapInArrow(_pieces, "file_id bigint, k bigint, last int, chunk_ids array<bigint>, words int, pairs int, size int, data binary"), "index-pieces")
+
+    def _made_of(self, files: DataFrame, pieces: DataFrame, blocks: int) -> DataFrame:
         """An index row for each file: its hash and its number of chunks."""
-        numbered = files.select("file_id", F.coalesce("content_hash", F.lit(HASH)).alias("term")).join(chunks.groupBy("file_id").agg(F.max("ordinal").alias("n")), "file_id", "left")
+        numbered = files.select("file_id", F.coalesce("content_hash", F.lit(HASH)).alias("term")).join(pieces.groupBy("file_id").agg(F.max("last").alias("n")), "file_id", "left")
         n, block = F.coalesce("n", F.lit(0)).cast("int"), _block(F.col("file_id"), F.lit(0), blocks)
         found = F.array(F.struct(F.lit(None).cast("bigint").alias("chunk_id"), n.alias("n"), "file_id"))
         return numbered.select((block % _parts(blocks)).alias("part"), block.alias("block"), "term", n.alias("most"), found.alias("found"))
 
-    def _rows(self, files: DataFrame, chunks: DataFrame, blocks: int) -> DataFrame:
-        block = _block(F.col("file_id"), F.col("ordinal"), blocks)
+    def _rows(self, files: DataFrame, pieces: DataFrame, blocks: int) -> DataFrame:
+        block = _block(F.col("file_id"), F.col("k") * BLOCK, blocks)
         parts = _parts(blocks)
-        dealt = chunks.select((block % parts).alias("part"), block.alias("block"), "file_id", "chunk_id", "terms").repartition("part").sortWithinPartitions("part", "block")
-        made = dealt.select("block", "file_id", "chunk_id", "terms").mapInArrow(lambda batches: _blocks(parts, batches), "part int, block int, term string, most int, found array<struct<chunk_id: bigint, n: int, file_id: bigint>>")
-        return made.unionByName(self._made_of(files, chunks, blocks))
+        dealt = pieces.select((block % parts).alias("part"), block.alias("block"), "file_id", "chunk_ids", "words", "pairs", "size", "data").repartition("part").sortWithinPartitions("part", "block")
+        made = dealt.drop("part").mapInArrow(lambda batches: _blocks(parts, batches), "part int, block int, term string, most int, found array<struct<chunk_id: bigint, n: int, file_id: bigint>>")
+        return made.unionByName(self._made_of(files, pieces, blocks).repartition("part"))
 
     def _build(self, files: DataFrame, chunks: Callable[[DataFrame], DataFrame], parts_before: int = 0) -> None:
-        cut = chunks(files)
-        blocks = max(1, -(-cut.count() // BLOCK))
+        pieces = self._cut(chunks(files))
+        blocks = max(1, -(-(pieces.agg(F.sum(F.size("chunk_ids")).alias("n")).first().n or 0) // BLOCK))
         note = self.spark.range(1).select(F.lit(0).alias("part"), F.lit(0).alias("block"), F.lit(BLOCKS).alias("term"), F.lit(blocks).alias("most"))
-        self.table.replace(self._rows(files, cut, blocks).unionByName(note, allowMissingColumns=True), range(max(_parts(blocks), parts_before)))
+        self.table.replace(self._rows(files, pieces, blocks).unionByName(note, allowMissingColumns=True), range(max(_parts(blocks), parts_before)))
         self.rows = self.table.read()
 
     def blocks(self) -> int:
@@ -131,7 +194,7 @@ class Lexical:
             return
         ids = dirty.select("file_id")
         current = files.join(ids, "file_id", "left_semi")
-        new = written(self._rows(current, chunks(current), n), "index-rows")
+        new = written(self._rows(current, self._cut(chunks(current)), n), "index-rows")
         old = dirty.filter("had is not null").select("file_id", F.explode(F.sequence(F.lit(0), F.floor(F.col("had") / BLOCK).cast("int"))).alias("k"))
         held = old.select((_block(F.col("file_id"), F.col("k") * BLOCK, n) % _parts(n)).alias("part")).unionByName(new.select("part"))
         parts = [r.part for r in held.distinct().collect()]

@@ -96,3 +96,22 @@ def test_empty(spark):
 def test_block_of_a_file(spark, least):
     got = spark.range(2000).select(lexical._block(F.lit(5), F.col("id") + least, 1000).alias("b")).groupBy("b").count().collect()
     assert max(r["count"] for r in got) <= lexical.BLOCK and len(got) > 10
+
+
+def test_chunks_cross_without_their_overlap(spark):
+    """Chunks are cut once, and what is written of them and dealt out grows far less than their overlap."""
+    rng = random.Random(7)
+    text = {i: [f"{rng.randrange(1 << 30):x}é\n" for _ in range(200)] for i in range(20)}
+    kept = {}
+    for times in (1, 30):
+        corpus = {i: [words] * times for i, words in text.items()} | {99: [[]] * 150 + [["x"]]}
+        files, cut = frames(spark, corpus)
+        calls = spark.sparkContext.accumulator(0)
+        seen = F.udf(lambda terms: calls.add(1) or terms, "array<string>")
+        index = lexical.Lexical.at(f"{shared_dir(spark)}/lexical-{uuid.uuid4().hex}", files, lambda f: cut(f).withColumn("terms", seen("terms")))  # noqa: B023
+        assert calls.value == 20 * times + 151
+        kept[times] = index._cut(cut(files)).agg(F.sum(F.length("data"))).first()[0]
+        asked = spark.createDataFrame([(1, text[3][5]), (2, text[4][0]), (3, "x")], "query_id long, term string")
+        hits = {(r.query_id, r.chunk_id, r.n) for r in index.search(asked, 1000).collect()}
+        assert hits == {(q, f * 100_000 + p, 1) for q, f in ((1, 3), (2, 4)) for p in range(times)} | {(3, 99 * 100_000 + 150, 1)}
+    assert kept[30] < 4 * kept[1]
