@@ -16,8 +16,8 @@ from .vector_index import VectorIndex, _packed, _units
 #: Weights and the constant of reciprocal-rank fusion, candidates of each retriever, final hits.
 WEIGHTS = {"exact": 1.5, "lexical": 1.0, "vector": 1.0, "selection": 1.25}
 RRF_K, CANDIDATES, HITS, MAX_TERMS = 60, 24, 8, 10
-#: Rows of a block that is multiplied with another.
-VECTOR_BLOCK = 2048
+#: Rows of a block that is multiplied with another, and queries of a product.
+VECTOR_BLOCK, QUERY_ROWS = 2048, 128
 
 
 def query_terms(queries: DataFrame, text: Column, limit: int = MAX_TERMS) -> DataFrame:
@@ -139,20 +139,25 @@ def spread_answers(hits: DataFrame, distinct: Sequence[str], first: int = 3) ->
     return lead.withColumn("answer_rank", F.row_number().over(Window.partitionBy("query_id").orderBy(early, "rank"))).drop("_n", "_d")
 
 
+def _best_of_blocks(ids: np.ndarray, values: np.ndarray, queries: np.ndarray, asked: np.ndarray, k: int, least: float) -> Iterator[pa.RecordBatch]:
+    """``query_id, id, score`` of the best ``k`` rows of a block for each of a block of queries; scores of ``QUERY_ROWS`` queries are held at a time."""
+    order = np.argsort(ids, kind="stable")
+    ids, rows, asked = ids[order], _units(values, len(ids))[order].T, _units(asked, len(queries))
+    for a in range(0, len(queries), QUERY_ROWS):
+        score = np.round(asked[a : a + QUERY_ROWS] @ rows, 9)
+        top = np.argsort(-score, axis=1, kind="stable")[:, :k]
+        best = np.take_along_axis(score, top, 1)
+        keep = best >= least
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(queries[a : a + QUERY_ROWS], top.shape[1])[keep.ravel()]), pa.array(ids[top][keep]), pa.array(best[keep])], ["query_id", "id", "score"])
+
+
 def _best_of_pairs(pairs: DataFrame, k: int, least: float) -> DataFrame:
-    """``query_id, id, score, rank`` of pairs of blocks (r_ids, r_values, q_ids, q_values): one matrix product each, which leaves ``k`` rows of a query."""
+    """``query_id, id, score, rank`` of pairs of blocks (r_ids, r_values, q_ids, q_values): matrix products, which leave ``k`` rows of a query."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                ids, queries = (np.asarray(batch.column(c)[row].values) for c in (0, 2))
-                score = np.round(_units(np.asarray(batch.column(3)[row].values), len(queries)) @ _units(np.asarray(batch.column(1)[row].values), len(ids)).T, 9)
-                order = np.argsort(ids, kind="stable")
-                ids, score = ids[order], score[:, order]
-                top = np.argsort(-score, axis=1, kind="stable")[:, :k]
-                best = np.take_along_axis(score, top, 1)
-                keep = best >= least
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(queries, top.shape[1])[keep.ravel()]), pa.array(ids[top][keep]), pa.array(best[keep])], ["query_id", "id", "score"])
+                yield from _best_of_blocks(*(np.asarray(batch.column(c)[row].values) for c in range(4)), k, least)
 
     part = pairs.select("r_ids", "r_values", "q_ids", "q_values").mapInArrow(run, "query_id bigint, id bigint, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")

@@ -291,3 +291,20 @@ def test_reservations(spark):
         ledger.reservations(frame, 1, "maybe")
     with pytest.raises(Exception, match="below 0"):
         ledger.reserve(frame.withColumn("micro", F.lit(-1)), 5).collect()
+
+
+def test_nearest_holds_few_scores_at_a_time():
+    """Two full blocks: the scores of all their pairs are never held at once, and the best are those of all scores."""
+    import tracemalloc
+
+    n, rng = retrieval.VECTOR_BLOCK, np.random.default_rng(4)
+    ids, values, asked = rng.permutation(n) + 7, rng.normal(size=(n, 16)), rng.normal(size=(n, 16))
+    tracemalloc.start()
+    out = list(retrieval._best_of_blocks(ids, values.ravel(), np.arange(n), asked.ravel(), 3, -1.0))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16e6 < n * n * 8
+    unit = lambda m: m / np.sqrt((m * m).sum(1, keepdims=True))
+    score = np.round(unit(asked) @ unit(values).T, 9)
+    found = [(q, i) for b in out for q, i in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+    assert found == [(q, int(i)) for q in range(n) for i in ids[np.lexsort((ids, -score[q]))[:3]]]
