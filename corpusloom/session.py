@@ -41,3 +41,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     at = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
+#: Rows that a task groups, about, of tables with more.
+TASK_ROWS = 1_000_000
+
+
+def dealt(df: DataFrame, rows: int, *key: str) -> DataFrame:
+    """``df`` of about ``rows`` rows dealt out by ``key``, so that a task's share doesn't grow with the table."""
+    if rows <= TASK_ROWS:
+        return df
+    return df.repartition(max(-(-rows // TASK_ROWS), df.sparkSession.sparkContext.defaultParallelism), *key)

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import dealt
+
 
 @dataclass(frozen=True)
 class Tables:
@@ -66,7 +68,7 @@ class Tables:
             (100 - 5 * F.round(F.col("l_discount") * 100).cast("int")).alias("confidence"),
             F.col("l_orderkey").alias("line"),
         )
-        return rows.groupBy("source", "target", "relation").agg(F.max("confidence").alias("confidence"), F.min("line").alias("line"))
+        return dealt(rows, self.lineitem.count(), "source", "target").groupBy("source", "target", "relation").agg(F.max("confidence").alias("confidence"), F.min("line").alias("line"))
 
     def manifests(self) -> tuple[DataFrame, DataFrame]:
         """Two snapshots of the files: some added, deleted, changed and renamed since the first. Copies have one hash, so renames compete."""

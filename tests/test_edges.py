@@ -1,5 +1,7 @@
 """Resolution of parsed edges: one row for each edge, whatever repeats on the other side."""
 
+import pytest
+
 from corpusloom.operators import edges
 
 
@@ -84,3 +86,19 @@ def test_models_need_one_symbol(spark):
     rows = frame(spark, "snapshot string, edge_id long, model string", ("s", 1, "User"), ("s", 2, "Twice"), ("s", 3, None), ("t", 4, "User"))
     symbols = frame(spark, "snapshot string, name string, symbol_id long", ("s", "User", 5), ("s", "Twice", 6), ("s", "Twice", 7))
     assert {r.edge_id: r.symbol_id for r in edges.resolved_models(rows, symbols).collect()} == {1: 5, 2: None, 3: None, 4: None}
+
+
+@pytest.mark.parametrize("name", ["gr11_suppress_weaker", "gr13_import_view"])
+def test_tasks_of_edges_do_not_grow(spark, sf_dir, monkeypatch, name):
+    """With more rows than a task groups there are more tasks, whatever number of partitions the session has."""
+    from corpusloom import session
+    from corpusloom.plans import snapshots
+    from corpusloom.sources.tables import Tables
+    from tests.oracle import duck, rows
+
+    monkeypatch.setattr(session, "TASK_ROWS", 250, raising=False)
+    t = Tables(spark, sf_dir)
+    least = t.lineitem.count() // 250
+    made = t.edges() if name == "gr11_suppress_weaker" else snapshots.query.queries[name](spark, sf_dir)
+    assert made.rdd.getNumPartitions() >= least > 8
+    assert rows(snapshots.query.queries[name](spark, sf_dir)) == duck(sf_dir, snapshots.query.sql[name])
