@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import graph, relational, snapshot
+from ..session import dealt
 from ..sources.tables import EDGES_SQL, FILES_SQL, MANIFEST_SQL, Tables
 from .registry import Registry
 
@@ -156,7 +157,8 @@ def gr12_in_out_labels(t: Tables) -> DataFrame:
 def gr13_import_view(t: Tables) -> DataFrame:
     known = t.supplier.filter("s_acctbal > 0").select(F.col("s_suppkey").alias("target"), "s_name")
     name = F.coalesce("s_name", F.concat(F.lit("external:"), F.col("target").cast("string")))
-    return t.edges().join(known, "target", "left").groupBy("source", name.alias("target_name")).agg(F.count("*").alias("n"))
+    pairs = t.edges().groupBy("source", "target").agg(F.count("*").alias("n")).join(known, "target", "left").select("source", name.alias("target_name"), "n")
+    return dealt(pairs, t.lineitem.count(), "source", "target_name").groupBy("source", "target_name").agg(F.sum("n").alias("n"))
 
 
 @query(f"WITH {EDGES_SQL}, s AS (SELECT s_suppkey FROM supplier WHERE s_acctbal < -500) SELECT relation, CASE WHEN confidence >= 80 THEN 'confirmed' ELSE 'possible' END AS kind, count(*) AS n FROM edges WHERE source IN (SELECT * FROM s) OR target IN (SELECT * FROM s) GROUP BY 1, 2")
