@@ -334,11 +334,13 @@ def cp9_grounded_turn(t: Tables) -> DataFrame:
     asked = t.benchmark.join(t.embeddings, F.col("vec_id") == n + 10)
     requests = asked.select(n.alias("id"), (n % 5).alias("org"), F.timestamp_seconds(n).alias("ts"), n.cast("string").alias("idempotency_key"), print_, F.col("embedding").alias("vector"), F.when(n % 16 == 0, 9).otherwise(n % 3).alias("manifest"))
     entries = asked.filter(n % 4 == 0).select(n.alias("id"), print_, F.col("embedding").alias("vector"), (n % 3).alias("manifest"), F.concat(F.lit("answer-"), n.cast("string")).alias("answer"))
-    chunks = written(chunked(t).select("chunk_id", "file_id", "path", "symbol", "title", "start", "end", "specificity", "ordinal", "text"), "chunks")
-    made_of = t.files().select("file_id", F.when(F.col("file_id") % 6 == 0, F.lit("sha256:old")).otherwise(F.col("content_hash")).alias("file_hash"))
+    chunks = slim(t)
 
     def retrieve(ids: DataFrame) -> DataFrame:
-        return final(t, chunks).join(ids, "query_id", "left_semi").join(chunks.select("chunk_id", "file_id", "start", "end", "text"), "chunk_id").join(made_of, "file_id")
+        hits = written(final(t, chunks).join(ids, "query_id", "left_semi").join(chunks.select("chunk_id", "file_id"), "chunk_id"), "hits")
+        files = t.files().join(hits.select("file_id").distinct(), "file_id", "left_semi")  # only files with hits are cut for their text
+        made_of = files.select("file_id", F.when(F.col("file_id") % 6 == 0, F.lit("sha256:old")).otherwise(F.col("content_hash")).alias("file_hash"))
+        return written(hits.join(chunked(files).select("chunk_id", "start", "end", "text"), "chunk_id").join(made_of, "file_id"), "evidence")
 
     prices = t.region.agg(F.count("*").cast("bigint").alias("micro_per_unit")).select(F.lit("answer").alias("usage_type"), F.lit("2024-01-01").alias("since"), "micro_per_unit")
     return gd.grounded_turns(requests, entries, retrieve, t.files(), prices, 40, 10, 0.2)

@@ -139,3 +139,14 @@ def test_manifest_hash(spark):
     for key in ("s", None):
         rows = [{"path": p, "content_hash": h, "language": g, "byte_size": n} for p, h, g, n, k in sorted(files, key=lambda f: f[0]) if k == key]
         assert got[key] == "sha256:" + hashlib.sha256(json.dumps(rows, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+
+
+def test_turns_keep_texts_of_hits_only(spark, sf_dir, monkeypatch):
+    """Of the tables a grounded turn writes on its way only the evidence has texts."""
+    from corpusloom.plans import search
+
+    tables = {}
+    monkeypatch.setattr(search, "written", lambda df, name, write=search.written: tables.setdefault(name, write(df, name)))
+    answered = search.query.queries["cp9_grounded_turn"](spark, sf_dir).filter("status = 'settled'").count()
+    assert [name for name, df in tables.items() if "text" in df.columns] == ["evidence"]
+    assert 0 < answered <= tables["evidence"].select("query_id").distinct().count() and tables["evidence"].count() == tables["hits"].count() < tables["chunks"].count()
