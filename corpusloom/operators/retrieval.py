@@ -6,11 +6,12 @@ from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import lines, tokens
-from .lexical import Lexical
+from .lexical import BROADCAST_TERMS, Lexical
 from .vector_index import VectorIndex, _packed, _units
 
 #: Weights and the constant of reciprocal-rank fusion, candidates of each retriever, final hits.
@@ -73,6 +74,73 @@ def lexical(index: Lexical, terms: DataFrame, limit: int = CANDIDATES) -> DataFr
     return index.search(terms, limit).select("query_id", "chunk_id", F.round(F.col("n") / 10, 6).alias("score"), "rank")
 
 
+#: Queries whose words are one matrix, and rows that are multiplied with it at a time.
+WORD_QUERIES, WORD_ROWS = 256, 256
+
+
+def by_words(rows: DataFrame, queries: DataFrame, limit: int, broadcast_terms: int = BROADCAST_TERMS) -> DataFrame:
+    """``query_id, item, n, enough`` of pairs that share ``n`` words: all with ``enough``, and of the others at least each query's best ``limit``, ties by item.
+
+    ``rows`` has item and terms, ``queries`` query_id, terms and need, each term once in its row; ``enough`` is
+    ``n`` of at least need, and never if that is null. Rows of one id add up, and the least need counts. A row
+    keeps its words that queries have as numbers, and no pairs are grouped: tasks multiply rows with queries and
+    pass on the best of a batch. With more than ``broadcast_terms`` words of queries pairs are counted in a shuffle.
+    """
+    asked = queries.groupBy("query_id").agg(F.flatten(F.collect_list("terms")).alias("terms"), F.min("need").alias("need"))
+    if (asked.agg(F.sum(F.size("terms")).alias("n")).first().n or 0) > broadcast_terms:
+        each = lambda df, key: df.select(key, F.explode("terms").alias("term"))
+        n = each(rows, "item").join(each(queries, "query_id"), "term").groupBy("query_id", "item").agg(F.count("*").alias("n"))
+        needed = asked.select(F.col("query_id").alias("_q"), "need")
+        return n.join(needed, F.col("query_id").eqNullSafe(F.col("_q"))).select("query_id", "item", "n", F.coalesce(F.col("n") >= F.col("need"), F.lit(False)).alias("enough"))
+    table = asked.toArrow().combine_chunks()
+    lists = table.column("terms").combine_chunks() if table.num_rows else pa.array([], pa.list_(pa.string()))
+    coded = lists.flatten().dictionary_encode()
+    ends = np.r_[0, np.cumsum(lists.value_lengths().to_numpy())]
+    need = np.array([1 << 62 if x is None else x for x in table.column("need").to_pylist()], np.int64)
+    shared = rows.sparkSession.sparkContext.broadcast((table.column("query_id").combine_chunks() if table.num_rows else pa.array([], pa.int64()), coded.dictionary, coded.indices.to_numpy(), ends, need))
+
+    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = shared.value[1]
+        for batch in batches:
+            lists = batch.column(1)
+            number = pc.index_in(lists.flatten(), value_set=words)
+            row = np.repeat(np.arange(batch.num_rows), lists.value_lengths().fill_null(0).to_numpy())
+            has = number.is_valid().to_numpy(zero_copy_only=False)
+            size = np.bincount(row[has], minlength=batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)].astype(np.int32)), number.drop_null())], ["item", "words"])
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, words, of_query, ends, need = shared.value
+        for batch in batches:
+            batch = batch.take(pc.sort_indices(batch.column(0)))  # nulls last
+            lists = batch.column(1)
+            word, row = lists.flatten().to_numpy(), np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
+            for q in range(0, len(need), WORD_QUERIES):
+                least = need[q : q + WORD_QUERIES]
+                own, at = np.unique(of_query[ends[q] : ends[q + len(least)]], return_inverse=True)
+                has = np.zeros((len(own), len(least)))
+                np.add.at(has, (at, np.repeat(np.arange(len(least)), np.diff(ends[q : q + len(least) + 1]))), 1)
+                place = np.full(len(words), -1)
+                place[own] = np.arange(len(own))
+                here = place[word]
+                inside, n = here >= 0, np.zeros((batch.num_rows, len(least)), np.int64)
+                key, first = row[inside] * len(own) + here[inside], np.arange(0, batch.num_rows, WORD_ROWS)
+                cuts = np.searchsorted(row[inside], np.r_[first, batch.num_rows])
+                for a, x, y in zip(first, cuts, cuts[1:], strict=False):
+                    size = min(WORD_ROWS, batch.num_rows - a)
+                    n[a : a + size] = np.bincount(key[x:y] - a * len(own), minlength=size * len(own)).reshape(size, len(own)) @ has
+                keep = n >= least
+                np.put_along_axis(keep, np.argsort(-n, axis=0, kind="stable")[:limit], True, axis=0)
+                item, query = np.nonzero(keep & (n > 0))
+                found = n[item, query]
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(query + q)), batch.column(0).take(pa.array(item)), pa.array(found), pa.array(found >= least[query])], ["query_id", "item", "n", "enough"])
+
+    kind = lambda df, name: df.schema[name].dataType.simpleString()
+    numbers = rows.select("item", "terms").mapInArrow(known, f"item {kind(rows, 'item')}, words array<int>")
+    of_item = numbers.filter(F.size("words") > 0).groupBy("item").agg(F.flatten(F.collect_list("words")).alias("words"))
+    return of_item.mapInArrow(best, f"query_id {kind(queries, 'query_id')}, item {kind(rows, 'item')}, n bigint, enough boolean")
+
+
 def selected(chunks: DataFrame, selections: DataFrame, limit: int = CANDIDATES) -> DataFrame:
     """Chunks that overlap a query's selection (query_id, file_id, first, last), by place; a null range is the whole file. Score 1 / rank."""
     hit = chunks.join(selections, "file_id").filter(F.coalesce((F.col("start") <= F.col("last")) & (F.col("end") >= F.col("first")), F.lit(True)))

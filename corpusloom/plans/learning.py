@@ -10,6 +10,8 @@ from ..operators import evaluation as ev
 from ..operators import learning as lr
 from ..operators import ledger as ld
 from ..operators import relational as op
+from ..operators import retrieval as rt
+from ..session import written
 from ..sources.tables import FILES_SQL, MASTERY_SQL, USAGE_SQL, Tables
 from .registry import Registry
 
@@ -190,15 +192,19 @@ def ev5_threshold_gate(t: Tables) -> DataFrame:
 
 @query("WITH gold AS (SELECT b.item_id AS q, d.doc_id AS i FROM benchmark b JOIN documents d ON position(b.text IN d.text) > 0), w AS (SELECT item_id AS q, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS term FROM benchmark), p AS (SELECT doc_id AS i, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS term FROM documents), s AS (SELECT q, i, count(*) AS n FROM w JOIN p USING (term) GROUP BY 1, 2), h AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY n DESC, i) AS rank FROM s), f AS (SELECT g.q, min(rank) AS rank FROM gold g LEFT JOIN h ON h.q = g.q AND h.i = g.i AND h.rank <= 8 GROUP BY 1) SELECT count(*) AS queries, round(avg(CASE WHEN rank IS NOT NULL THEN 1.0 ELSE 0.0 END), 6) AS recall, round(avg(coalesce(1 / rank, 0.0)), 6) AS mrr FROM f")
 def ev1_retrieval_quality(t: Tables) -> DataFrame:
-    words = lambda df, key, name: df.select(F.col(key).alias(name), F.explode(F.array_distinct(fx.tokens(F.col("text")))).alias("term"))
-    w, p = words(t.benchmark, "item_id", "query_id"), words(t.documents, "doc_id", "item")
-    scores = p.join(w.select("term").distinct(), "term", "left_semi").join(w, "term").groupBy("query_id", "item").agg(COUNT())
-    hits = op.top_per_key(scores, ["query_id"], [F.desc("n"), F.asc("item")], 8)
-    # A passage's document has all its words, so only pairs that share them all are searched for it.
-    full = scores.join(w.groupBy("query_id").agg(COUNT("all")), "query_id").filter("n = all").select("query_id", "item")
-    text = lambda df, key, name, as_: df.select(F.col(key).alias(name), F.col("text").alias(as_))
-    gold = full.join(text(t.benchmark, "item_id", "query_id", "passage"), "query_id").join(text(t.documents, "doc_id", "item", "content"), "item").filter(F.col("content").contains(F.col("passage"))).select("query_id", "item")
-    return ev.retrieval_quality(hits, gold, 8)
+    words = fx.tokens(F.col("text"))
+    begins, ends = (F.lower("text").rlike(pattern).cast("int") for pattern in ("^[a-z0-9]", r"[a-z0-9]\z"))
+    # A passage may begin and end within a document's words, but has all of its others; one without others is searched for everywhere.
+    inner = F.size(F.array_distinct(F.slice(words, begins + 1, F.greatest(F.lit(0), F.size(words) - begins - ends))))
+    passages = t.benchmark.filter("text is not null").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"), F.array_distinct(words).alias("terms"), F.when(inner > 0, inner).alias("need"))
+    documents = t.documents.filter("text is not null").select(F.col("doc_id").alias("item"), F.col("text").alias("content"))
+    pairs = written(rt.by_words(documents.select("item", F.array_distinct(fx.tokens(F.col("content"))).alias("terms")), passages, 8), "word-pairs")
+    hits = op.top_per_key(pairs, ["query_id"], [F.desc("n"), F.asc_nulls_last("item")], 8)
+    full = pairs.filter("enough").select(F.col("query_id").alias("_q"), F.col("item").alias("_i"))
+    found = full.join(passages, F.col("_q").eqNullSafe(F.col("query_id"))).join(documents, F.col("_i").eqNullSafe(F.col("item")))
+    anywhere = documents.join(F.broadcast(passages.filter("need is null")))
+    gold = found.select("query_id", "item", "passage", "content").unionByName(anywhere.select("query_id", "item", "passage", "content"))
+    return ev.retrieval_quality(hits, gold.filter(F.col("content").contains(F.col("passage"))).select("query_id", "item"), 8)
 
 
 @query("WITH RECURSIVE pairs AS MATERIALIZED (SELECT l_suppkey AS l, l_partkey AS r, sum(l_quantity) AS score FROM lineitem GROUP BY 1, 2), g(n, pick, ls, rs) AS (SELECT 0, NULL::STRUCT(l BIGINT, r BIGINT, s DOUBLE), []::BIGINT[], []::BIGINT[] UNION ALL SELECT n + 1, best, list_append(ls, best.l), list_append(rs, best.r) FROM (SELECT n, ls, rs, arg_min({'l': p.l::BIGINT, 'r': p.r::BIGINT, 's': p.score::DOUBLE}, {'s': -p.score, 'l': p.l, 'r': p.r}) AS best FROM g JOIN pairs p ON NOT list_contains(ls, p.l) AND NOT list_contains(rs, p.r) GROUP BY n, ls, rs)) SELECT pick.l AS \"left\", pick.r AS \"right\", pick.s AS score FROM g WHERE n > 0")
