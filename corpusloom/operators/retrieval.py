@@ -86,7 +86,7 @@ def by_words(rows: DataFrame, queries: DataFrame, limit: int, broadcast_terms: i
     keeps its words that queries have as numbers, and no pairs are grouped: tasks multiply rows with queries and
     pass on the best of a batch. With more than ``broadcast_terms`` words of queries pairs are counted in a shuffle.
     """
-    asked = queries.groupBy("query_id").agg(F.flatten(F.collect_list("terms")).alias("terms"), F.min("need").alias("need"))
+    asked = queries.filter(F.size("terms") > 0).groupBy("query_id").agg(F.flatten(F.collect_list("terms")).alias("terms"), F.min("need").alias("need"))
     if (asked.agg(F.sum(F.size("terms")).alias("n")).first().n or 0) > broadcast_terms:
         each = lambda df, key: df.select(key, F.explode("terms").alias("term"))
         n = each(rows, "item").join(each(queries, "query_id"), "term").groupBy("query_id", "item").agg(F.count("*").alias("n"))
